@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from autolot.llm import hosts, sharding
+from autolot.llm import hosts, language, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language": language.query,
+        "op4_quality_rules": quality.query,
         "op9_jump_sharding": sharding.query,
         "op10_host_reputation": hosts.query,
     }
