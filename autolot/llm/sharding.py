@@ -67,7 +67,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, key: str = "doc_id", text:
         F.col(key).alias("doc_id"),
         (F.octet_length(body).cast("long") + 1).alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
-        draw(F.col(key), 0).alias("_rank"),
+        draw(F.col(key), -1).alias("_rank"),
         jump(F.col(key), shards).alias("shard"),
         jump(F.col(key), shards + 1).alias("grown_shard"),
     )
