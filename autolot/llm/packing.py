@@ -8,6 +8,7 @@ suffices; a segment tree over remaining capacities finds it.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -16,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from autolot.llm.common import materialize, strings, table
+from autolot.llm.common import chunks, materialize, strings, table, utf8
+from autolot.llm.words import spans
 
 CAPACITY, END = 2048, 1
 #: Tokens in pieces shorter than a window that are packed together, as expected.
 BIN_TOKENS = 4_000_000
-#: Spelled chunks that a worker remembers.
-REMEMBERED = 400_000
-STOP = "<|endoftext|>"
+#: Spelled words that a worker remembers, about.
+REMEMBERED = 1_000_000
 
 
 def vocabulary() -> str:
@@ -32,63 +33,118 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# Classes of bytes in plain texts: ASCII without the apostrophe, and the letters U+00C0-U+00FF.
+_SPACE, _LETTER, _DIGIT, _OTHER, _ODD = range(5)
+_CLASS = np.full(256, _ODD, np.uint8)
+_CLASS[0x21:0x7F] = _OTHER
+_CLASS[[0x20, 0x09, 0x0A, 0x0D]] = _SPACE
+_CLASS[0x30:0x3A] = _DIGIT
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), 0xC3]] = _LETTER
+_CLASS[ord("'")] = _ODD  # it can start a contraction
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
+
+
 class Tokenizer:
     """Ids of whole texts, equal to the tokenizer's own.
 
-    White space is dropped by this vocabulary and ends every token, so a text's ids are those of its
-    chunks between spaces. Each different chunk is encoded once, many in one call with a special token
-    between them; chunks that hold the special token itself are encoded alone.
+    This vocabulary's tokens never reach over a word's end, where words are runs of letters, single
+    digits, or runs of other characters but white space. So each different word is spelled once, by the
+    tokenizer's merge model, and found again by a 64-bit hash. That is done for plain texts (see _CLASS);
+    any other text is encoded by the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer as Model
 
         self.model = Model.from_file(path)
-        self.stop = self.model.token_to_id(STOP)
+        self.merges = self.model.model
+        printed = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # byte-level BPE writes other bytes as 256, 257, ...
+        others = iter(range(256, 512))
+        self.letters = {k: chr(k) if k in printed else chr(next(others)) for k in range(256)}
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {"": 0}
-        self.ids, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
-
-    def _learn(self, fresh: list[str]) -> None:
-        plain = [w for w in fresh if "<|" not in w]
-        found: list[np.ndarray] = []
-        lengths: list[np.ndarray] = []
-        for k in range(0, len(plain), 4096):
-            part = plain[k : k + 4096]
-            ids = np.array(self.model.encode(STOP.join(part), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(np.append(ids, self.stop) == self.stop)
-            assert len(ends) == len(part)
-            found.append(ids[ids != self.stop])
-            lengths.append(np.diff(ends, prepend=-1) - 1)
-        odd = [w for w in fresh if "<|" in w]
-        for w in odd:
-            ids = np.array(self.model.encode(w, add_special_tokens=False).ids, np.uint32)
-            found.append(ids)
-            lengths.append(np.array([len(ids)]))
-        base = len(self.lengths)
-        self.known.update((w, base + k) for k, w in enumerate(plain + odd))
-        n = np.concatenate(lengths)
+        """Words by hash in an open table: `slots` holds hashes (0: free), `number` the words' numbers."""
+        size = 4 * REMEMBERED
+        self.mask = np.uint64((1 << (size - 1).bit_length()) - 1)
+        self.slots = np.zeros(int(self.mask) + 1, np.uint64)
+        self.number = np.zeros(len(self.slots), np.int32)
+        self.ids, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The slot of each hash, or where there is none, of the first free slot after its place."""
+        at = h & self.mask
+        todo = np.flatnonzero((self.slots[at] != h) & (self.slots[at] != 0))
+        while len(todo):
+            at[todo] = (at[todo] + np.uint64(1)) & self.mask
+            got = self.slots[at[todo]]
+            todo = todo[(got != h[todo]) & (got != 0)]
+        return at
+
+    def _learn(self, h: np.ndarray, words: list[bytes]) -> None:
+        spelled = [[t.id for t in self.merges.tokenize(w.decode() if w.isascii() else w.decode("latin-1").translate(self.letters))] for w in words]
+        n = np.array([len(x) for x in spelled], np.int64)
+        base = len(self.starts)
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(n) - n])
         self.lengths = np.concatenate([self.lengths, n])
-        self.ids = np.concatenate([self.ids, *found])
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > REMEMBERED:
+        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(spelled), np.uint32, int(n.sum()))])
+        todo = np.arange(len(h))
+        while len(todo):  # of several hashes that meet in a free slot, one gets it
+            at = self._find(h[todo])
+            self.slots[at] = h[todo]
+            won = self.slots[at] == h[todo]
+            self.number[at[won]] = base + todo[won]
+            todo = todo[~won]
+
+    def _plain(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain texts, and each text's offset in them."""
+        data = _LOWER[data]
+        upper = (data[1:] >= 0x80) & (data[1:] < 0x9F) & (data[:-1] == 0xC3)
+        data[1:][upper] += 32
+        kind = _CLASS[data]
+        begin = np.ones(len(data), bool)
+        begin[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        begin[at[:-1][at[:-1] < len(data)]] = True
+        edge = np.append(np.flatnonzero(begin), len(data))
+        real = kind[edge[:-1]] != _SPACE
+        start, end = edge[:-1][real], edge[1:][real]
+        h = spans(data, start, end)
+        h[h == 0] = 1
+        if len(self.starts) > REMEMBERED:
             self._clear()
-        fresh = [w for w in set().union(*words) if w not in self.known] if words else []
-        if fresh:
-            self._learn(fresh)
-        out = []
-        for own in words:
-            at = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))
-            n = self.lengths[at]
-            total = int(n.sum())
-            step = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-            out.append(self.ids[np.repeat(self.starts[at], n) + step])
-        return out
+        where = self._find(h)
+        new = np.flatnonzero(self.slots[where] == 0)
+        if len(new):
+            fresh, first = np.unique(h[new], return_index=True)
+            raw = data.tobytes()
+            self._learn(fresh, [raw[a:b] for a, b in zip(start[new[first]].tolist(), end[new[first]].tolist(), strict=True)])
+            where = self._find(h)
+        word = self.number[where]
+        n = self.lengths[word]
+        to = np.append(0, np.cumsum(n))
+        step = np.arange(to[-1]) - np.repeat(to[:-1], n)
+        return self.ids[np.repeat(self.starts[word], n) + step], to[np.searchsorted(start, at)]
+
+    def encode(self, texts: pa.Array):
+        """The ids of each text of a null-free array, in order."""
+        for lo, hi in chunks(texts):
+            part = texts.slice(lo, hi - lo)
+            data, at = utf8(part)
+            odd = _CLASS[data] == _ODD
+            lead = np.flatnonzero(data[:-1] == 0xC3)
+            odd[lead[(data[lead + 1] == 0x97) | (data[lead + 1] == 0xB7)]] = True  # multiplication and division signs
+            odd[:-2] |= (data[:-2] == 0x3C) & (data[1:-1] == 0x7C)  # the start of a special token
+            total = np.append(0, np.cumsum(odd))
+            plain = total[at[1:]] == total[at[:-1]]
+            ids, to = self._plain(*utf8(part.filter(pa.array(plain))))
+            k = 0
+            for row, ok in enumerate(plain.tolist()):
+                if ok:
+                    yield ids[to[k] : to[k + 1]]
+                    k += 1
+                else:
+                    yield np.array(self.model.encode(part[row].as_py(), add_special_tokens=False).ids, np.uint32)
 
 
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
@@ -104,7 +160,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
                 row, start, length, crc, tokens, ids = [], [], [], [], [], []
-                for k, own in enumerate(tokenizer.encode(strings(part.column(1)).to_pylist())):
+                for k, own in enumerate(tokenizer.encode(strings(part.column(1)))):
                     own = np.append(own, np.uint32(END)).astype("<u4")
                     for at in range(0, len(own), capacity):
                         piece = own[at : at + capacity]

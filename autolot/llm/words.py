@@ -37,6 +37,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges."""
+    power, inverse = _power(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
+    return mix((total[end] - total[start]) * inverse[start])
+
+
 class Words:
     """Words of the rows of a batch: `start`, `end` (bytes), `hash`, and `first`, each row's first word."""
 
@@ -53,10 +61,7 @@ class Words:
         self.start = np.flatnonzero(~separator & before)
         self.end = np.flatnonzero(~separator & after) + 1
         self.first = np.searchsorted(self.start, at)
-        power, inverse = _power(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * inverse[self.start])
+        self.hash = spans(data, self.start, self.end)
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """First words of all windows of n words within a row, and the windows' hashes."""
