@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from autolot.llm import hosts, language, packing, quality, sharding
+from autolot.llm import hosts, language, packing, private, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language": language.query,
+        "op2_private_data": private.query,
         "op4_quality_rules": quality.query,
         "op5_packing": packing.query,
         "op9_jump_sharding": sharding.query,
