@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from autolot.llm import hosts, language, mixing, packing, private, quality, sharding
+from autolot.llm import hosts, language, mixing, neardup, packing, private, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_private_data": private.query,
         "op4_quality_rules": quality.query,
         "op5_packing": packing.query,
+        "op6_near_duplicates": neardup.query,
         "op7_poisson_mixing": mixing.query,
         "op9_jump_sharding": sharding.query,
         "op10_host_reputation": hosts.query,
