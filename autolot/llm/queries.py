@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from autolot.llm import hosts, language, mixing, neardup, packing, private, quality, sharding
+from autolot.llm import hosts, knn, language, mixing, neardup, packing, private, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,10 +17,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packing": packing.query,
         "op6_near_duplicates": neardup.query,
         "op7_poisson_mixing": mixing.query,
+        "op8_voronoi_knn": knn.query,
         "op9_jump_sharding": sharding.query,
         "op10_host_reputation": hosts.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_poisson_mixing": mixing.SQL, "op10_host_reputation": hosts.SQL}
+    return {"op7_poisson_mixing": mixing.SQL, "op8_voronoi_knn": knn.SQL, "op10_host_reputation": hosts.SQL}
