@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from autolot.llm import hosts, knn, language, mixing, neardup, packing, private, quality, sharding
+from autolot.llm import hosts, knn, language, mixing, neardup, packing, private, quality, sharding, tools
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language": language.query,
         "op2_private_data": private.query,
+        "op3_tool_calls": tools.query,
         "op4_quality_rules": quality.query,
         "op5_packing": packing.query,
         "op6_near_duplicates": neardup.query,
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_poisson_mixing": mixing.SQL, "op8_voronoi_knn": knn.SQL, "op10_host_reputation": hosts.SQL}
+    return {"op3_tool_calls": tools.SQL, "op7_poisson_mixing": mixing.SQL, "op8_voronoi_knn": knn.SQL, "op10_host_reputation": hosts.SQL}

@@ -172,7 +172,7 @@ l AS (SELECT conv_id, turn, 0 AS level FROM c a WHERE NOT EXISTS (SELECT 1 FROM
   UNION ALL SELECT c.conv_id, c.turn, l.level + 1 FROM l JOIN c ON c.conv_id = l.conv_id AND c.turn = l.turn + 2),
 x AS (SELECT c.*, r.turn AS rt, r.text AS res, l.level, row_number() OVER (PARTITION BY c.conv_id ORDER BY l.level, c.turn) - 1 AS position,
     concat_ws(',', CASE WHEN name = 'search' AND lim > 50 THEN '$.limit:maximum' WHEN name = 'lookup' AND lim > 100 THEN '$.limit:maximum' END,
-                   CASE WHEN name <> 'note' AND text = '' THEN '$.query:minLength' WHEN name = 'note' AND length(text) > 600 THEN '$.query:maxLength' END) AS errors
+                   CASE WHEN name <> 'note' AND c.text = '' THEN '$.query:minLength' WHEN name = 'note' AND length(c.text) > 600 THEN '$.query:maxLength' END) AS errors
   FROM c JOIN l USING (conv_id, turn) LEFT JOIN r USING (conv_id, call_id))
 SELECT conv_id, call_id, turn, name, CASE WHEN rt IS NULL THEN 'unanswered' ELSE 'linked' END AS status, rt::BIGINT AS result_turn,
   CASE WHEN rt IS NULL THEN 0 ELSE 1 END::BIGINT AS n_results, level::INT AS level, position::BIGINT AS position, errors = '' AS valid, errors,
