@@ -11,7 +11,8 @@ from autolot.functions.text import contains_any, lookup
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 10.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """Into the range; null stays null, which least and greatest would pass over."""
+    return F.when(x < low, F.lit(low)).when(x > high, F.lit(high)).otherwise(x.cast("double"))
 
 
 def mean_of_known(*values: Column) -> Column:
@@ -43,7 +44,7 @@ def reliability(has_sheet: Column, sheet_score: Column, faults: Column, review:
 
 
 def from_five(x: Column, default: float) -> Column:
-    return F.coalesce(F.least(F.lit(10.0), F.nullif(x, F.lit(0.0)) * 2), F.lit(default))
+    return F.coalesce(clamp(F.nullif(x, F.lit(0.0)) * 2), F.lit(default))
 
 
 def final_note(reliable: Column, comfort: Column, cheap: Column, safe: Column, roomy: Column) -> Column:
@@ -108,7 +109,7 @@ def count_with(items: Column, words: list[str]) -> Column:
 
 
 def contextual_reliability(known: Column, faults: Column, reviews: Column, km: Column) -> Column:
-    s = F.when(known > 0, known).otherwise(5.0) - F.least(faults * 0.3, F.lit(2.0)) + F.when((reviews > 50) & (known >= 7), 0.5).otherwise(0.0)
+    s = F.when(known > 0, known).otherwise(5.0) - F.least(F.coalesce(faults, F.lit(0)) * 0.3, F.lit(2.0)) + F.when((reviews > 50) & (known >= 7), 0.5).otherwise(0.0)
     return clamp(s - F.when((km > 150000) & (s < 7), 0.5).otherwise(0.0))
 
 

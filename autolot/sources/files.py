@@ -16,6 +16,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that is read more than once, or whose expressions are long, and read it back."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def delimiter(spark: SparkSession, path: str) -> str:
     """`;` if the first line has more of them than commas, else a comma."""
     first = spark.read.text(path).limit(1).first()
