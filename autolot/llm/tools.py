@@ -1,8 +1,7 @@
 """Tool calls of conversations: link calls with results, order them, validate and serialise them.
 
-Calls and results are hash-joined by conversation and identifier. A call's level is one more than the
-highest level of the calls it comes after; ordering by level, then turn, is a topological order. Arguments
-are checked against the tools' schemas (the JSON Schema keywords of `errors_of`), and a record is written
+Calls and results are hash-joined by conversation and identifier. Calls are ordered topologically, after
+all calls they name as coming before (see `levels`). Arguments are checked against the tools' schemas (the JSON Schema keywords of `errors_of`), and a record is written
 as canonical JSON: sorted keys, no blanks, no escapes that are not needed.
 """
 
@@ -10,13 +9,14 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from autolot.llm.common import materialize, table
+from autolot.llm.common import materialize, shared_dir, table
 
 #: Turns numbered together.
 TURNS = 1000
@@ -85,38 +85,44 @@ def checked(schemas: dict[str, dict]):
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of different calls (conv_id, call_id, after); level is null on and behind a cycle.
+    """(conv_id, call_id, level) of different calls (conv_id, call_id, turn, after).
 
-    Calls named in `after` that do not exist don't count. A round settles the calls whose predecessors are
-    settled, so there are as many rounds as the longest chain has calls; each is written.
+    Where all calls of a conversation come after calls of earlier turns only, as in an orderly log, turns are
+    a topological order already, and the level is 0. In other conversations it is one more than the highest level of the
+    calls before it; null on and behind a cycle. There a round settles the calls whose predecessors are
+    settled, so there are as many rounds as the longest chain of such a conversation has calls; what is
+    settled is appended to one table. Calls named in `after` that do not exist don't count.
     """
-    calls = materialize(calls.select("conv_id", "call_id", "after"), "calls")
-    ids = calls.select("conv_id", F.col("call_id").alias("before"))
-    edges = calls.select("conv_id", "call_id", F.explode(F.array_distinct("after")).alias("before")).join(ids, ["conv_id", "before"])
-    edges = materialize(edges.select("conv_id", "call_id", "before"), "order")
-    settled = materialize(calls.join(edges.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("level")), "levels")
-    done, fresh = settled, settled
-    left = edges
+    calls = materialize(calls.select("conv_id", "call_id", "turn", "after"), "calls")
+    ids = calls.select("conv_id", F.col("call_id").alias("before"), F.col("turn").alias("before_turn"))
+    edges = calls.select("conv_id", "call_id", "turn", F.explode(F.array_distinct("after")).alias("before")).join(ids, ["conv_id", "before"])
+    tangled = materialize(edges.where("before_turn >= turn or turn is null or before_turn is null").select("conv_id").distinct(), "tangled")
+    if tangled.isEmpty():
+        return calls.select("conv_id", "call_id", F.lit(0).alias("level"))
+    left = materialize(edges.join(tangled, "conv_id", "left_semi").select("conv_id", "call_id", "before"), "order")
+    start = calls.join(left.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("level"))
+    path, spark = f"{shared_dir(calls.sparkSession)}/settled-{uuid.uuid4().hex}", calls.sparkSession
+    start.write.parquet(path)
     while not left.isEmpty():
-        known = done.select("conv_id", F.col("call_id").alias("before"), "level")
+        known = spark.read.schema(start.schema).parquet(path).select("conv_id", F.col("call_id").alias("before"), "level")
         state = left.join(known, ["conv_id", "before"], "left").groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.count("level").alias("m"), F.max("level").alias("top"))
         fresh = materialize(state.where("n = m").select("conv_id", "call_id", (F.col("top") + 1).alias("level")), "levels")
         if fresh.isEmpty():
             break
-        done = done.unionByName(fresh)
+        fresh.write.mode("append").parquet(path)
         left = materialize(left.join(fresh.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti"), "order")
-    return calls.select("conv_id", "call_id").join(done, ["conv_id", "call_id"], "left")
+    return calls.select("conv_id", "call_id").join(spark.read.schema(start.schema).parquet(path), ["conv_id", "call_id"], "left")
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """A row for each call, and for each result without a call.
 
     `calls`: conv_id, turn, call_id, name, arguments (JSON), after (array of call_ids). `results`: conv_id, turn,
-    call_id, content. Returns conv_id, call_id, turn, name, status, result_turn, n_results, level, position, valid,
+    call_id, content. Returns conv_id, call_id, turn, name, status, result_turn, n_results, position, valid,
     errors, record. status: `linked`; `unanswered`; `duplicate`, a call whose identifier an earlier turn of the
     conversation has (ties: the lesser arguments, then one row of equals); `orphan`, a result without a call.
     Of several results the earliest counts (ties: the lesser content). position numbers a conversation's calls
-    in topological order from 0; level and position are null on and behind a cycle, and for orphans and
+    in topological order from 0 (by level, turn, call_id); it is null on and behind a cycle, and for orphans and
     duplicates. Null identifiers link with nothing. Broken arguments are invalid and give no record.
     """
     calls = calls.select("conv_id", "turn", "call_id", "name", "arguments", F.coalesce("after", F.array().cast("array<string>")).alias("after"))
@@ -134,14 +140,14 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     inside = F.row_number().over(Window.partitionBy("conv_id", "level", "part").orderBy("turn", "call_id"))
     linked = linked.withColumn("k", inside).join(counts, ["conv_id", "level", "part"], "left").withColumn("position", F.col("start") + F.col("k") - 1)
     linked = linked.withColumn("status", F.when(F.col("n_results").isNull(), "unanswered").otherwise("linked"))
-    none = {"result_turn": "long", "result": "string", "n_results": "long", "level": "int", "position": "long"}
+    none = {"result_turn": "long", "result": "string", "n_results": "long", "position": "long"}
     again = calls.where("nth > 1").withColumn("status", F.lit("duplicate")).select("*", *(F.lit(None).cast(t).alias(c) for c, t in none.items()))
     columns = ["conv_id", "call_id", "turn", "name", "status", "arguments", *none]
     rows = linked.select(*columns).unionByName(again.select(*columns))
     checks = checked(schemas)(F.col("name"), F.col("call_id"), F.col("arguments"), F.col("result"))
-    rows = rows.withColumn("c", checks).select("conv_id", "call_id", "turn", "name", "status", F.col("result_turn").cast("long"), F.coalesce("n_results", F.lit(0)).alias("n_results"), F.col("level").cast("int"), F.col("position").cast("long"), "c.valid", "c.errors", "c.record")
+    rows = rows.withColumn("c", checks).select("conv_id", "call_id", "turn", "name", "status", F.col("result_turn").cast("long"), F.coalesce("n_results", F.lit(0)).alias("n_results"), F.col("position").cast("long"), "c.valid", "c.errors", "c.record")
     orphans = results.join(ids.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
-    orphans = orphans.select("conv_id", "call_id", F.lit(None).cast(calls.schema["turn"].dataType).alias("turn"), F.lit(None).cast("string").alias("name"), F.lit("orphan").alias("status"), F.col("turn").cast("long").alias("result_turn"), F.lit(1).cast("long").alias("n_results"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("long").alias("position"), F.lit(None).cast("boolean").alias("valid"), F.lit(None).cast("string").alias("errors"), F.lit(None).cast("string").alias("record"))
+    orphans = orphans.select("conv_id", "call_id", F.lit(None).cast(calls.schema["turn"].dataType).alias("turn"), F.lit(None).cast("string").alias("name"), F.lit("orphan").alias("status"), F.col("turn").cast("long").alias("result_turn"), F.lit(1).cast("long").alias("n_results"), F.lit(None).cast("long").alias("position"), F.lit(None).cast("boolean").alias("valid"), F.lit(None).cast("string").alias("errors"), F.lit(None).cast("string").alias("record"))
     return rows.unionByName(orphans)
 
 
@@ -165,18 +171,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-WITH RECURSIVE c AS (SELECT conv_id, turn, conv_id || '-' || turn AS call_id, ['search', 'lookup', 'note'][(turn % 3 + 1)::INT] AS name, text, len(string_split(text, ' ')) AS lim
+WITH c AS (SELECT conv_id, turn, conv_id || '-' || turn AS call_id, ['search', 'lookup', 'note'][(turn % 3 + 1)::INT] AS name, text, len(string_split(text, ' ')) AS lim
   FROM conversations WHERE role = 'user'),
 r AS (SELECT conv_id, turn, conv_id || '-' || (turn - 1) AS call_id, text FROM conversations WHERE role = 'assistant'),
-l AS (SELECT conv_id, turn, 0 AS level FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.conv_id = a.conv_id AND b.turn = a.turn - 2)
-  UNION ALL SELECT c.conv_id, c.turn, l.level + 1 FROM l JOIN c ON c.conv_id = l.conv_id AND c.turn = l.turn + 2),
-x AS (SELECT c.*, r.turn AS rt, r.text AS res, l.level, row_number() OVER (PARTITION BY c.conv_id ORDER BY l.level, c.turn) - 1 AS position,
+x AS (SELECT c.*, r.turn AS rt, r.text AS res, row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn) - 1 AS position,
     concat_ws(',', CASE WHEN name = 'search' AND lim > 50 THEN '$.limit:maximum' WHEN name = 'lookup' AND lim > 100 THEN '$.limit:maximum' END,
                    CASE WHEN name <> 'note' AND c.text = '' THEN '$.query:minLength' WHEN name = 'note' AND length(c.text) > 600 THEN '$.query:maxLength' END) AS errors
-  FROM c JOIN l USING (conv_id, turn) LEFT JOIN r USING (conv_id, call_id))
+  FROM c LEFT JOIN r USING (conv_id, call_id))
 SELECT conv_id, call_id, turn, name, CASE WHEN rt IS NULL THEN 'unanswered' ELSE 'linked' END AS status, rt::BIGINT AS result_turn,
-  CASE WHEN rt IS NULL THEN 0 ELSE 1 END::BIGINT AS n_results, level::INT AS level, position::BIGINT AS position, errors = '' AS valid, errors,
+  CASE WHEN rt IS NULL THEN 0 ELSE 1 END::BIGINT AS n_results, position::BIGINT AS position, errors = '' AS valid, errors,
   '{"arguments":{"limit":' || lim || ',"query":' || to_json(text)::VARCHAR || '},"id":"' || call_id || '","name":"' || name || '","result":' || coalesce(to_json(res)::VARCHAR, 'null') || '}' AS record FROM x
 UNION ALL
-SELECT conv_id, call_id, NULL, NULL, 'orphan', turn::BIGINT, 1::BIGINT, NULL, NULL, NULL, NULL, NULL FROM r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = r.conv_id AND c.call_id = r.call_id)
+SELECT conv_id, call_id, NULL, NULL, 'orphan', turn::BIGINT, 1::BIGINT, NULL, NULL, NULL, NULL FROM r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = r.conv_id AND c.call_id = r.call_id)
 """
