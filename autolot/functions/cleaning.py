@@ -54,6 +54,11 @@ CONS = [
 LETTERS = "a-zàâäéèêëïîôùûüç"
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), where the value is worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
 def _rewrite(text: Column, rules: list[tuple[str, str]]) -> Column:
     return reduce(lambda s, r: F.regexp_replace(s, "(?iuU)" + r[0], r[1]), rules, text)
 
@@ -82,15 +87,14 @@ def punctuate(text: Column) -> Column:
     """Single blanks, none before a sign, one after; a capital first and a full stop last."""
     s = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"\s+([.,!?;:])", "$1")
     s = F.regexp_replace(s, r"([.,!?;:])([A-Za-zÀ-ÿ])", "$1 $2")
-    s = F.concat(F.upper(F.substring(s, 1, 1)), F.substr(s, F.lit(2)))
-    return F.trim(F.when((s != "") & ~s.rlike(r"[.!?]\z"), F.concat(s, F.lit("."))).otherwise(s))
+    s = bound(s, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substr(x, F.lit(2))))
+    return bound(s, lambda x: F.trim(F.when((x != "") & ~x.rlike(r"[.!?]\z"), F.concat(x, F.lit("."))).otherwise(x)))
 
 
 def clean(text: Column, pro: bool = True) -> Column:
     """All rules in order; null, and what is shorter than ten characters in the end, gives the empty text."""
     s = neutralise(expand(drop_fillers(F.trim(F.coalesce(text, F.lit(""))))))
-    s = punctuate(praise(s) if pro else complaint(s))
-    return F.when(F.length(s) < 10, "").otherwise(s)
+    return bound(punctuate(praise(s) if pro else complaint(s)), lambda x: F.when(F.length(x) < 10, "").otherwise(x))
 
 
 def keywords(text: Column) -> Column:

@@ -15,6 +15,11 @@ def clamp(x: Column, low: float = 0.0, high: float = 10.0) -> Column:
     return F.when(x < low, F.lit(low)).when(x > high, F.lit(high)).otherwise(x.cast("double"))
 
 
+def tidy(x: Column, digits: int) -> Column:
+    """Round half up, after dropping what the last bits of a sum add to a tie."""
+    return F.round(F.round(x, 9), digits)
+
+
 def mean_of_known(*values: Column) -> Column:
     """The mean of those values that are not null; null without any."""
     n = sum((F.when(v.isNotNull(), 1).otherwise(0) for v in values), F.lit(0))
@@ -101,7 +106,7 @@ def sheet_reliability(faults: Column, engine: Column, gearbox: Column, cons: Col
 
 def sheet_global(reliable: Column, engine_mean: Column, pros: Column, cons: Column) -> Column:
     ratio = F.when(pros + cons > 0, pros / F.greatest(F.lit(1), pros + cons) * 10)
-    return F.coalesce(F.round(mean_of_known(F.nullif(reliable, F.lit(0.0)), engine_mean, ratio), 1), F.lit(7.0))
+    return F.coalesce(tidy(mean_of_known(F.nullif(reliable, F.lit(0.0)), engine_mean, ratio), 1), F.lit(7.0))
 
 
 def count_with(items: Column, words: list[str]) -> Column:

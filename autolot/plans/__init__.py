@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load() -> None:
-    from autolot.plans import aggregates, ingest, matching  # noqa: F401
+    from autolot.plans import aggregates, ingest, jobs, matching, scoring, texts  # noqa: F401
 
 
 def queries() -> dict:
