@@ -100,7 +100,7 @@ def token_set(a: str, b: str) -> float:
     left, right = (f"{both} {' '.join(sorted(s))}".strip() for s in (x - y, y - x))
     if both and (not x - y or not y - x):
         return 100.0
-    return max(indel(left, right), *((indel(both, left), indel(both, right)) if both else ()))
+    return max([indel(left, right), *((indel(both, left), indel(both, right)) if both else ())])
 
 
 @F.pandas_udf(DoubleType())

@@ -115,7 +115,7 @@ USE = "CASE WHEN conso > 0 THEN conso ELSE CASE carburant " + " ".join(f"WHEN '{
 query("h58_ownership_cost", dbl(f"SELECT vehicle_id, round(u, 1) AS consumption, CASE WHEN conso > 0 THEN 'ademe' ELSE 'estimation' END AS source, round(f, 2) AS fuel, round(1000 * 0.093, 2) AS upkeep, round(f + 1000 * 0.093, 2) AS month, round((f + 1000 * 0.093) * 12, 2) AS year FROM (SELECT *, 1000 / 100 * u * ({PRICE}) AS f FROM (SELECT *, {USE} AS u FROM {V}))"))(lambda spark, sf: frame(spark, sf, "vehicles").select("vehicle_id", S.ownership(c("conso"), c("carburant")).alias("o")).select("vehicle_id", "o.*"))
 
 
-@query("h59_monthly_fuel", dbl(f"SELECT vehicle_id, round(round(coalesce(conso, 7.0) / 100 * 1500, 9), 1) AS litres, round(round(coalesce(conso, 7.0) / 100 * 1500 * 1.695, 9), 2) AS cost FROM {V}"))
+@query("h59_monthly_fuel", dbl(f"SELECT vehicle_id, round((coalesce(conso, 7.0) / 100 * 1500)::DECIMAL(18, 9), 1)::DOUBLE AS litres, round((coalesce(conso, 7.0) / 100 * 1500 * 1.695)::DECIMAL(18, 9), 2)::DOUBLE AS cost FROM {V}"))
 def h59(spark, sf):
     litres = F.coalesce("conso", F.lit(7.0)) / 100 * 1500
     return frame(spark, sf, "vehicles").select("vehicle_id", S.tidy(litres, 1).alias("litres"), S.tidy(litres * 1.695, 2).alias("cost"))

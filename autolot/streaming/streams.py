@@ -32,8 +32,8 @@ def fresh_listings(captures: DataFrame, ttl: str = "5 minutes") -> DataFrame:
 def fuel_windows(feed: DataFrame, width: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
     """Mean, least and highest price of each fuel in tumbling windows; late rows are dropped by the watermark."""
     names = F.create_map([F.lit(x) for fuel, ns in R.STATION_NAMES.items() for n in ns for x in (n, fuel)])
-    known = feed.select("ts", names[F.col("name")].alias("fuel"), (F.col("raw").try_cast("double") / 1000).alias("p")).where("fuel is not null and p is not null")
-    out = known.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "fuel").agg(F.round(F.avg("p"), 3).alias("mean"), F.min("p").alias("least"), F.max("p").alias("most"), F.count("*").alias("n"))
+    known = feed.select(F.col("ts").cast("timestamp").alias("ts"), names[F.col("name")].alias("fuel"), (F.col("raw").try_cast("double") / 1000).alias("p")).where("fuel is not null and p is not null")
+    out = known.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "fuel").agg(F.round(F.round(F.avg("p"), 9), 3).alias("mean"), F.min("p").alias("least"), F.max("p").alias("most"), F.count("*").alias("n"))
     return out.select(F.col("w.start").alias("start"), "fuel", "mean", "least", "most", "n")
 
 
