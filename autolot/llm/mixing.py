@@ -63,7 +63,7 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, power
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = POWER, seed: int = SEED) -> DataFrame:
     """Replicate and shuffle: all columns of `docs` (doc_id, source, ...), with copy, rate and position.
 
-    `copy` counts a document's copies from 0; `position` (ties: doc_id, copy) orders the mixture, and each
+    Columns of `docs` with these three names give way. `copy` counts a document's copies from 0; `position` (ties: doc_id, copy) orders the mixture, and each
     partition is sorted by it. Equal rows draw alike. Null doc_ids draw as one key. Empty tables give none.
     The target has about as many rows as `docs`; nothing else is dropped. The draw needs no shuffle; one
     exchange by a hash moves the copies, which no source or key can skew.
@@ -71,16 +71,19 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power:
     plan = materialize(rates(docs.select("source"), weights, power).select(F.col("source").alias("_source"), "rate"), "rates")
     if plan.count() <= MANY_SOURCES:
         plan = F.broadcast(plan)  # of a checked size; else Spark shuffles, and splits skewed sources
-    drawn = docs.join(plan, F.expr("source <=> _source")).drop("_source")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source")
+    drawn = rows.join(plan, F.expr("source <=> _source"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / STEP)).cast("int")
     mean = F.col("rate") / parts
     most = F.ceil(mean + 12 * F.sqrt(mean) + 20).cast("int")
     us = F.transform(F.sequence(F.lit(1), parts), lambda j: uniform(F.lit(seed), F.col("doc_id"), j))
     copies = F.aggregate(F.transform(us, lambda u: poisson(mean, most, u)), F.lit(0).cast("long"), lambda a, x: a + x)
-    out = drawn.select("*", F.posexplode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("copy", "_")).drop("_")
-    out = out.withColumn("copy", F.col("copy").cast("long")).withColumn("position", place(F.lit(seed), F.col("doc_id"), F.col("copy"))).withColumn("rate", F.round("rate", 9))
+    out = drawn.select("row", "doc_id", "rate", F.posexplode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("copy", "_"))
+    out = out.withColumn("position", place(F.lit(seed), F.col("doc_id"), F.col("copy")))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return out.repartition(n, "position").sortWithinPartitions("position", "doc_id", "copy")
+    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("copy", "rate", "position")]
+    out = out.repartition(n, "position").sortWithinPartitions("position", "doc_id", "copy")
+    return out.select(*kept, F.col("copy").cast("long").alias("copy"), F.round("rate", 9).alias("rate"), "position")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

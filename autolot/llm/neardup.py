@@ -203,8 +203,8 @@ def keep_one(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     found = materialize(classes(docs, least).where("node is not null"), "kept")
     dropped = materialize(found.where("not doc_id <=> class_id").select(F.col("doc_id").alias("_doc"), F.col("node").alias("_node")).distinct(), "dropped")
     again = materialize(found.where("doc_id <=> class_id").groupBy(F.col("doc_id").alias("_doc")).agg(F.count("*").alias("_n")).where("_n > 1"), "again")
-    rows = docs.withColumn("_node", F.md5("text"))
-    rows = rows.alias("r").join(maybe_broadcast(dropped).alias("d"), F.expr("r._node = d._node and r.doc_id <=> d._doc"), "left_anti")
-    twice = rows.where("text is not null").join(maybe_broadcast(again), F.expr("doc_id <=> _doc"), "left_semi").dropDuplicates(["doc_id"])
-    once = rows.join(maybe_broadcast(again), F.expr("doc_id <=> _doc and text is not null"), "left_anti")
-    return once.unionByName(twice).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.md5("text").alias("node"))
+    rows = rows.join(maybe_broadcast(dropped), F.expr("node = _node and doc_id <=> _doc"), "left_anti")
+    twice = rows.where("node is not null").join(maybe_broadcast(again), F.expr("doc_id <=> _doc"), "left_semi").dropDuplicates(["doc_id"])
+    once = rows.join(maybe_broadcast(again), F.expr("doc_id <=> _doc and node is not null"), "left_anti")
+    return once.unionByName(twice).select("row.*")

@@ -231,14 +231,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that pass, with all their columns."""
+    """The documents that pass, with all their columns, whatever these are called."""
     rules = fit(docs, table(spark, sf_dir, "labels"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
 
     def run(batches):
         for batch in batches:
-            found = statistics(strings(batch.column(batch.schema.get_field_index("text"))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[k], pa.int64()) for k in COUNTS)], [*batch.schema.names, *COUNTS])
+            found = statistics(strings(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[k], pa.int64()) for k in COUNTS)], ["row", *COUNTS])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    measured = docs.mapInArrow(run, kinds + "".join(f", {k} long" for k in COUNTS))
-    return judge(measured, rules).where("kept").select(*docs.columns)
+    kind = rows.schema["row"].dataType.simpleString()
+    return judge(rows.mapInArrow(run, f"row {kind}, " + ", ".join(f"{k} long" for k in COUNTS)), rules).where("kept").select("row.*")

@@ -1,0 +1,71 @@
+import random
+import re
+import time
+
+import numpy as np
+
+from autolot.llm import private as P
+from autolot.llm.common import table
+from tests.llm import samples
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute(t):
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    out = [("email", *m.span()) for m in EMAIL.finditer(t)]
+    out += [("ip", *m.span()) for m in IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [("card", *m.span()) for m in CARD.finditer(t) if 16 <= len(digits(m)) <= 19 and P.luhn(digits(m))]
+    return out + [("phone", *m.span()) for m in PHONE.finditer(t) if 8 <= len(digits(m)) <= 15]
+
+
+def test_base_spans_of_random_texts():
+    for seed in range(20_000):
+        rng = random.Random(seed)
+        t = "".join(rng.choice("0123456789.+-@ a()b%\n" if seed % 3 else "01.@ +a-") for _ in range(rng.randint(0, 40)))
+        assert P.base_spans(t) == brute(t), t
+
+
+def test_base_spans_of_documents(spark, sf_dir):
+    docs = {r.doc_id: r.text for r in table(spark, sf_dir, "documents").collect()}
+    for r in P.query(spark, sf_dir).collect():
+        base = brute(docs[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in base) for k in P.BASE]
+        assert set(P.joined(base).split(",")) - {""} <= set(r.spans.split(","))
+
+
+def test_hard_texts_cost_little():
+    for t in ("1" * 200_000, "a" * 200_000 + "@", "a." * 100_000 + "@" + "a." * 100_000, "1 " * 100_000, "+1" + "(" * 100_000, "1." * 100_000, "@" * 100_000):
+        start = time.time()
+        P.base_spans(t)
+        P.propose(t)
+        assert time.time() - start < 5
+
+
+def test_chooser_learns_and_keeps_base():
+    texts = [f"word password={random.Random(i).getrandbits(64):016x} word version {i}.{i}" for i in range(300)]
+    rows = [(P._features(t, *s), P._sure(t, s, P.base_spans(t))) for t in texts for s in P.propose(t)]
+    chooser = P.Chooser(np.array([r[0] for r in rows], float), np.array([r[1] for r in rows]))
+    base, added = chooser.spans("mail a.b@c.example.com, password=0f0e0d0c0b0a0908")
+    assert base == [("email", 5, 22)]
+    assert P.Chooser(np.zeros((0, len(P.FEATURES))), np.zeros(0, bool)).spans("+1 (612) 555-5827")[0] == [("phone", 0, 17)]
+
+
+def test_redaction():
+    assert P.redact_text("call +1 (612) 555-5827 now", [("phone", 5, 22)]) == "call <PHONE> now"
+    assert P.redact_text("abcdef", [("ip", 1, 3), ("card", 2, 5)]) == "a<IP>f"
+
+
+def test_odd_rows(spark):
+    docs = samples.documents(spark)
+    chooser = P.fit(docs)
+    found = P.find(docs, chooser).collect()
+    assert len(found) == docs.count()
+    assert [(r.n_phone, r.n_email) for r in found if r.doc_id == 10] == [(1, 1)]
+    out = P.redact(docs, chooser)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    assert [r.text for r in out.collect() if r.doc_id == 10] == ["12 <PHONE> <EMAIL>"]
+    assert P.redact(samples.empty(spark), P.fit(samples.empty(spark))).count() == 0
