@@ -22,6 +22,8 @@ from autolot.llm.common import chunks, spread, strings, table, utf8
 SAMPLE_DOCS, SAMPLE_SPANS = 6000, 40_000
 #: Share of right ones that is asked of proposals above a threshold.
 PRECISION = 0.97
+#: A generator adds nothing until so many proposals set apart were right above its threshold.
+SURE = 5
 BASE = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 
@@ -74,6 +76,7 @@ _PROPOSE = (
     ("contact", re.compile(r"(?<![^\s<>(),;:\"'])[^\s@<>(),;:\"']++@[^\s@<>(),;:\"']++")),
     ("secret", re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+")),
 )
+_MARK = re.compile(r"[0-9@]")
 _WORDS = (
     re.compile(r"pass|pwd|token|secret|key|auth|credential", re.I),
     re.compile(r"tel|phone|call|mobile|fax|ssn|iban|account|card|mail|contact", re.I),
@@ -97,7 +100,8 @@ def _features(text: str, kind: str, a: int, b: int) -> list[float]:
 
 
 def propose(text: str) -> list[Span]:
-    return [(kind, *m.span()) for kind, pattern in _PROPOSE for m in pattern.finditer(text)]
+    """All proposals; those without a digit or `@`, such as long plain words, are none."""
+    return [(kind, *m.span()) for kind, pattern in _PROPOSE for m in pattern.finditer(text) if _MARK.search(text, *m.span())]
 
 
 _AWS = re.compile(r"AKIA[0-9A-Z]{16}")
@@ -151,7 +155,8 @@ class Chooser:
             order = np.argsort(-p[kind == k], kind="stable")
             s, good = p[kind == k][order], np.cumsum(y[apart][kind == k][order])
             ok = np.flatnonzero((good >= PRECISION * np.arange(1, len(s) + 1)) & (s >= 0.5) & np.append(s[1:] < s[:-1], True))
-            self.least[name] = float(s[ok[-1]]) if len(ok) else np.inf
+            if len(ok) and good[ok[-1]] >= SURE:
+                self.least[name] = float(s[ok[-1]])
 
     def spans(self, text: str) -> tuple[list[Span], list[Span]]:
         """Base spans, and added ones."""

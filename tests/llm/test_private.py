@@ -54,6 +54,10 @@ def test_chooser_learns_and_keeps_base():
     assert P.Chooser(np.zeros((0, len(P.FEATURES))), np.zeros(0, bool)).spans("+1 (612) 555-5827")[0] == [("phone", 0, 17)]
 
 
+def test_long_plain_words_are_no_secrets():
+    assert P.propose("anthrererendanhe schereinachiesch 12 foraningtiontionandsomuchmore") == []
+
+
 def test_redaction():
     assert P.redact_text("call +1 (612) 555-5827 now", [("phone", 5, 22)]) == "call <PHONE> now"
     assert P.redact_text("abcdef", [("ip", 1, 3), ("card", 2, 5)]) == "a<IP>f"
