@@ -32,6 +32,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slim_batches(spark: SparkSession, most: int = 1000) -> None:
+    """Let Arrow send texts to Python in batches of at most `most` rows; a session that asks for fewer keeps its own.
+
+    At Spark's default of 10,000 rows a batch of texts, and what is made of it, takes hundreds of MB in each worker.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > most:
+        spark.conf.set(key, str(most))
+
+
 def spread(*cols: Column | str, seed: int = 0) -> Column:
     """A uniform hash of the columns, as a fraction of [0, 1) with 52 bits."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 12).cast("double") / F.lit(float(2**52))

@@ -16,7 +16,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from autolot.llm.common import chunks, spread, strings, table, utf8
+from autolot.llm.common import chunks, slim_batches, spread, strings, table, utf8
 
 #: Documents sampled for each language, as expected; all are taken where there are fewer.
 SAMPLE_DOCS = 400
@@ -158,6 +158,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     if model is None:
         return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    slim_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from autolot.llm.common import chunks, materialize, strings, table, utf8
+from autolot.llm.common import chunks, materialize, slim_batches, strings, table, utf8
 from autolot.llm.graphs import components, maybe_broadcast
 from autolot.llm.words import Words, mix
 
@@ -114,6 +114,7 @@ def signed(docs: DataFrame, weighting: str = "set", count: int = BANDS, size: in
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[some].ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), lists], ["doc_id", "node", "bands"])
 
+    slim_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.where("text is not null").select("doc_id", F.md5("text").alias("node"), "text").mapInArrow(run, f"doc_id {kind}, node string, bands array<long>")
 

@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from autolot.llm.common import chunks, materialize, strings, table, utf8
+from autolot.llm.common import chunks, materialize, slim_batches, strings, table, utf8
 from autolot.llm.words import spans
 
 CAPACITY, END = 2048, 1
 #: Tokens in pieces shorter than a window that are packed together, as expected.
 BIN_TOKENS = 4_000_000
 #: Spelled words that a worker remembers, about.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 
 def vocabulary() -> str:
@@ -153,6 +153,7 @@ PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """The pieces of every row of `docs` (doc_id, text): full windows, then the rest. A null text is empty; its one id is END."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    slim_batches(docs.sparkSession)
 
     def run(batches):
         tokenizer = Tokenizer(path)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from autolot.llm.boost import Boosted
-from autolot.llm.common import chunks, spread, strings, table, utf8
+from autolot.llm.common import chunks, slim_batches, spread, strings, table, utf8
 
 #: Documents, as expected, and most proposals that the trees learn from.
 SAMPLE_DOCS, SAMPLE_SPANS = 6000, 40_000
@@ -194,6 +194,7 @@ def find(docs: DataFrame, chooser: Chooser) -> DataFrame:
     """Spans of every row of `docs` (doc_id, text). A null text is empty; repeated rows stay; other columns are ignored."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(chooser)
+    slim_batches(docs.sparkSession)
     nothing = hashlib.sha256(b"").hexdigest()
 
     def run(batches):
@@ -226,6 +227,7 @@ def redact_text(text: str, spans: list[Span]) -> str:
 def redact(docs: DataFrame, chooser: Chooser) -> DataFrame:
     """All rows and columns of `docs`, with spans in `text` replaced and `n_chars`, if there is one, counted anew. Null texts stay null."""
     sent = docs.sparkSession.sparkContext.broadcast(chooser)
+    slim_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches):

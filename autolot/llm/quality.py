@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from autolot.llm.common import chunks, spread, strings, table, utf8
+from autolot.llm.common import chunks, slim_batches, spread, strings, table, utf8
 from autolot.llm.words import Words
 
 #: Labelled documents sampled for learning, as expected; all are taken where there are fewer.
@@ -112,6 +112,7 @@ def measure(docs: DataFrame, *keep: str) -> DataFrame:
             found = statistics(strings(batch.column(len(keep))))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(found[k], pa.int64()) for k in COUNTS)], [*keep, *COUNTS])
 
+    slim_batches(docs.sparkSession)
     kinds = "".join(f"`{k}` {docs.schema[k].dataType.simpleString()}, " for k in keep)
     return docs.select(*keep, "text").mapInArrow(run, kinds + ", ".join(f"{k} long" for k in COUNTS))
 
@@ -240,5 +241,6 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             found = statistics(strings(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[k], pa.int64()) for k in COUNTS)], ["row", *COUNTS])
 
+    slim_batches(spark)
     kind = rows.schema["row"].dataType.simpleString()
     return judge(rows.mapInArrow(run, f"row {kind}, " + ", ".join(f"{k} long" for k in COUNTS)), rules).where("kept").select("row.*")
