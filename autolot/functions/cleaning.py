@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from autolot.functions.refdata import STOP_WORDS
+from autolot.functions.text import bound
 
 # Fillers to remove, in order.
 FILLERS = [
@@ -54,11 +55,6 @@ CONS = [
 LETTERS = "a-zàâäéèêëïîôùûüç"
 
 
-def bound(value: Column, use) -> Column:
-    """use(value), where the value is worked out once however often it is used."""
-    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
-
-
 def _rewrite(text: Column, rules: list[tuple[str, str]]) -> Column:
     return reduce(lambda s, r: F.regexp_replace(s, "(?iuU)" + r[0], r[1]), rules, text)
 

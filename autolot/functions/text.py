@@ -19,6 +19,11 @@ def lookup(table: dict, key: Column, default: Column | None = None) -> Column:
     return found if default is None else F.coalesce(found, default)
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), where the value is worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
 def contains_any(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
@@ -98,7 +103,7 @@ def power_candidates(text: Column) -> Column:
 
 
 def power_in(text: Column) -> Column:
-    return most_frequent(power_candidates(text))
+    return bound(power_candidates(text), most_frequent)
 
 
 def year_in(text: Column, last: int = 2026) -> Column:
@@ -107,7 +112,8 @@ def year_in(text: Column, last: int = 2026) -> Column:
 
 
 def _hits(text: Column, words: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, [F.size(F.regexp_extract_all(text, F.lit(r"\b" + re.escape(w) + r"\b"), 0)) for w in words])
+    """Occurrences of the words; no word stands inside another with its own boundaries, so one pattern counts all."""
+    return F.size(F.regexp_extract_all(text, F.lit(r"\b(?:" + "|".join(map(re.escape, words)) + r")\b"), 0))
 
 
 def gearbox_in(text: Column) -> Column:
@@ -126,10 +132,15 @@ def fuel_in(text: Column, normalize_keywords: bool = False) -> Column:
 
 def features(title: Column, description: Column | None = None) -> Column:
     """power, year, gearbox, fuel, text (200 characters), complete."""
-    t = listing_text(title, description)
-    power, year, gearbox, fuel = power_in(t), year_in(t), gearbox_in(t), fuel_in(t)
-    complete = power.isNotNull() & year.isNotNull() & (gearbox != "inconnu") & (fuel != "inconnu")
-    return F.struct(power.alias("power"), year.alias("year"), gearbox.alias("gearbox"), fuel.alias("fuel"), F.substring(t, 1, 200).alias("text"), complete.alias("complete"))
+
+    def complete(p: Column) -> Column:
+        known = p["power"].isNotNull() & p["year"].isNotNull() & (p["gearbox"] != "inconnu") & (p["fuel"] != "inconnu")
+        return F.struct(*[p[c].alias(c) for c in ("power", "year", "gearbox", "fuel", "text")], known.alias("complete"))
+
+    def read(t: Column) -> Column:
+        return bound(F.struct(power_in(t).alias("power"), year_in(t).alias("year"), gearbox_in(t).alias("gearbox"), fuel_in(t).alias("fuel"), F.substring(t, 1, 200).alias("text")), complete)
+
+    return bound(listing_text(title, description), read)
 
 
 # Sequences that stand for wrongly decoded letters.

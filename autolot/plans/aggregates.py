@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from autolot.functions import cleaning as C
 from autolot.functions import refdata as R
 from autolot.functions import scores as Sc
-from autolot.functions import text as T
 from autolot.operators import rows, stats
 from autolot.plans.lifts import frame, sql
 from autolot.plans.matching import SEV

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from autolot.functions import text as T
-from autolot.operators import rows, vehicles
+from autolot.operators import vehicles
 from autolot.plans.lifts import frame, sql
 from autolot.plans.registry import query
 from autolot.sources import files
