@@ -73,9 +73,9 @@ class Model:
         unseen = 256 - len(used)
         s = [self.symbol.astype(np.int64)[(g[:, None] >> np.array([24, 16, 8, 0])) & 255] for g in grams]
         code = [(x[:, 0] * a + x[:, 1]) * a + x[:, 2] for x in s]
-        often = np.concatenate([np.unique(c[np.repeat(True, len(c))]) for c in code])
+        often = np.unique(np.concatenate(code))
         seen = [np.bincount(c, n, minlength=a**3) for c, n in zip(code, counts, strict=True)]
-        known = np.unique(often[np.max([x[often] for x in seen], axis=0) >= LEAST_COUNT])
+        known = often[np.max([x[often] for x in seen], axis=0) >= LEAST_COUNT]
         self.rows = len(known) + (np.arange(a**3) % a**2).astype(np.int32)
         self.rows[known] = np.arange(len(known))
         self.cost = np.empty(((len(known) + a * a) * a, len(langs)), np.float32)
