@@ -180,6 +180,13 @@ def links(docs: DataFrame, rows: DataFrame, least: float = SIMILAR, block: int =
     return texts.groupBy("key").applyInPandas(lambda frame: _links(frame, least), "a string, b string")
 
 
+def members(docs: DataFrame, least: float = SIMILAR, weighting: str = "set") -> DataFrame:
+    """(doc_id, node, root) of every row with a text; rows of one class have one root."""
+    rows = materialize(signed(docs, weighting), "signed")
+    roots = materialize(components(links(docs, rows, least)), "roots")
+    return materialize(rows.select("doc_id", "node").join(maybe_broadcast(roots), "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root")), "members")
+
+
 def classes(docs: DataFrame, least: float = SIMILAR, weighting: str = "set") -> DataFrame:
     """(doc_id, node, class_id) of every row of `docs` (doc_id, text).
 
@@ -187,9 +194,7 @@ def classes(docs: DataFrame, least: float = SIMILAR, weighting: str = "set") ->
     has none). A text without words equals its exact copies only. A row with a null text is in a class of its
     own (node null). Repeated rows stay. Empty tables give an empty result; other columns are ignored.
     """
-    rows = materialize(signed(docs, weighting), "signed")
-    roots = materialize(components(links(docs, rows, least)), "roots")
-    member = materialize(rows.select("doc_id", "node").join(maybe_broadcast(roots), "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root")), "members")
+    member = members(docs, least, weighting)
     least_id = materialize(member.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).where("n > 1").select("root", "class_id"), "classes")
     found = member.join(maybe_broadcast(least_id), "root", "left").select("doc_id", "node", F.coalesce("class_id", "doc_id").alias("class_id"))
     return found.unionByName(docs.where("text is null").select("doc_id", F.lit(None).cast("string").alias("node"), F.col("doc_id").alias("class_id")))
@@ -200,12 +205,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """The row with the least doc_id of each class, with all columns; of repeated rows one; all rows with a null text."""
-    found = materialize(classes(docs, least).where("node is not null"), "kept")
-    dropped = materialize(found.where("not doc_id <=> class_id").select(F.col("doc_id").alias("_doc"), F.col("node").alias("_node")).distinct(), "dropped")
-    again = materialize(found.where("doc_id <=> class_id").groupBy(F.col("doc_id").alias("_doc")).agg(F.count("*").alias("_n")).where("_n > 1"), "again")
+    """One row of each class, with all columns: that with the least doc_id (null if it has none, and of several texts
+    with this doc_id the least MD5), once if it is repeated. All rows with a null text. Classes, not ids, are counted:
+    different texts stay, whether they share a doc_id or have none.
+    """
+    member = members(docs, least)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("head")
+    heads = materialize(member.groupBy("root").agg(first, F.count("*").alias("n")).where("n > 1").select("root", F.col("head.doc_id").alias("_doc"), F.col("head.node").alias("_node")), "heads")
+    found = member.join(maybe_broadcast(heads), "root").select("doc_id", "node", F.expr("node = _node and doc_id <=> _doc").alias("kept"))
+    dropped = materialize(found.where("not kept").select(F.col("doc_id").alias("_doc"), F.col("node").alias("_node")).distinct(), "dropped")
+    again = materialize(found.where("kept").groupBy("node").agg(F.count("*").alias("_n")).where("_n > 1").select("node"), "again")
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.md5("text").alias("node"))
     rows = rows.join(maybe_broadcast(dropped), F.expr("node = _node and doc_id <=> _doc"), "left_anti")
-    twice = rows.where("node is not null").join(maybe_broadcast(again), F.expr("doc_id <=> _doc"), "left_semi").dropDuplicates(["doc_id"])
-    once = rows.join(maybe_broadcast(again), F.expr("doc_id <=> _doc and node is not null"), "left_anti")
-    return once.unionByName(twice).select("row.*")
+    twice = rows.join(maybe_broadcast(again), "node", "left_semi").dropDuplicates(["node"])
+    once = rows.join(maybe_broadcast(again), "node", "left_anti")
+    return once.select("row").unionByName(twice.select("row")).select("row.*")

@@ -111,3 +111,19 @@ def test_odd_rows(spark):
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(4) == 1 and ids.count(5) == ids.count(6) == ids.count(8) == 0 and ids.count(0) == 1
     assert N.classes(samples.empty(spark)).count() == 0 and N.keep_one(samples.empty(spark)).count() == 0
+
+
+def test_one_row_of_each_class_not_of_each_id(spark):
+    """Ids that are null or repeated: different texts stay, copies go."""
+    docs = samples.documents(spark)
+    texts = {r.text for r in docs.where("doc_id = 3").collect()}
+    assert len(texts) == 2 and {r.text for r in N.keep_one(docs).where("doc_id = 3").collect()} == texts
+
+    a, b, c, d, e, f = (samples.prose(s, 60) for s in range(20, 26))
+    near = lambda t: t.replace(t.split()[0], "changed", 1)
+    rows = [(None, a), (None, b), (None, b), (None, c), (None, near(c)), (None, d), (9, near(d)), (7, e), (7, near(e)), (8, e), (7, f), (7, f), (None, None), (None, None), (7, None)]
+    kept = [tuple(r) for r in N.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept[k][0] or 0 for k in range(len(kept)) if kept[k][1] is not None) == [0, 0, 0, 7, 7, 9]
+    assert [t for i, t in kept].count(a) == [t for i, t in kept].count(b) == 1 and (9, near(d)) in kept and kept.count((7, f)) == 1
+    assert len({c, near(c)} & {t for i, t in kept}) == len({e, near(e)} & {t for i, t in kept}) == 1
+    assert kept.count((None, None)) == 2 and kept.count((7, None)) == 1
