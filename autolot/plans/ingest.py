@@ -162,7 +162,7 @@ query("b21_keep_reviews", f"SELECT review_id FROM {sql('reviews')} WHERE note IS
 
 @query("b22_queue", f"SELECT review_id, CASE WHEN note IS NULL THEN 'failed' ELSE 'processed' END AS status, CASE WHEN note IS NULL THEN 'no rating' ELSE '' END AS errors FROM {sql('reviews')} WHERE level = 'low' ORDER BY ts, review_id LIMIT 200")
 def b22(spark, sf):
-    pending = frame(spark, sf, "reviews").where("level = 'low'").orderBy("ts", "review_id").limit(200)  # a worker's batch
+    pending = frame(spark, sf, "reviews").where("level = 'low'").orderBy("ts", "review_id")  # all of them, oldest first
     failed = F.col("note").isNull()
     errors = F.when(failed, F.array_append(F.array().cast("array<string>"), F.lit("no rating"))).otherwise(F.array().cast("array<string>"))
     return pending.select("review_id", F.when(failed, "failed").otherwise("processed").alias("status"), F.array_join(errors, ",").alias("errors"))
