@@ -23,7 +23,7 @@ STAT = dbl(f"(SELECT *, round(impact0, 2) AS impact, round(greatest(0, 10.0 - im
 MM, REF = STAT.replace("KEYS", "marque, modele"), STAT.replace("KEYS", "ref")
 query("d4_recall_stats", f"SELECT marque, modele, total, critical, serious, moderate, impact, score FROM {MM}")(lambda spark, sf: stats.recall_stats(frame(spark, sf, "recalls"), ["marque", "modele"]).select("marque", "modele", "total", "critical", "serious", "moderate", "impact", "score"))
 query("d4_vehicles_without_recalls", f"SELECT v.marque, v.modele, coalesce(score, 10.0::DOUBLE) AS score FROM (SELECT DISTINCT marque, modele FROM {V}) v LEFT JOIN (SELECT * FROM {MM} WHERE critical < 60) s USING (marque, modele)")(
-    lambda spark, sf: frame(spark, sf, "vehicles").select("marque", "modele").distinct().join(stats.recall_stats(frame(spark, sf, "recalls"), ["marque", "modele"]).where("critical < 60").select("marque", "modele", "score"), ["marque", "modele"], "left").withColumn("score", F.coalesce("score", F.lit(10.0)))
+    lambda spark, sf: frame(spark, sf, "vehicles").select("marque", "modele").distinct().join(stats.recall_stats(frame(spark, sf, "recalls"), ["marque", "modele"]).select("marque", "modele", "score"), ["marque", "modele"], "left").withColumn("score", F.coalesce("score", F.lit(10.0)))
 )
 LEVEL = "CASE WHEN total = 0 THEN 'excellent' WHEN total <= 2 THEN 'bon' WHEN total <= 5 THEN 'moyen' WHEN total <= 10 THEN 'attention' ELSE 'critique' END"
 WEEK = STAT.replace("KEYS", "marque, date_trunc('week', ts) AS week")

@@ -17,3 +17,17 @@ def test_queue_and_order_have_all_rows(spark, sf_dir):
     listings = frame(spark, sf_dir, "listings").select("external_id", "k", "expert", "price").collect()
     want = sorted(listings, key=lambda r: (-(r.expert or 0), 999999 if r.price is None else r.price, r.external_id, r.k))
     assert [tuple(r) for r in plans.queries()["f3_listing_order"](spark, sf_dir).collect()] == [(r.external_id, r.k) for r in want]
+
+
+def test_models_with_many_recalls_score_low(spark, sf_dir, tmp_path):
+    """Forty times the recalls, but none of the first brand."""
+    spark.read.parquet(f"{sf_dir}/part.parquet").write.parquet(f"{tmp_path}/part.parquet")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("(o_custkey + o_orderkey) % 16 <> 0")
+    orders.crossJoin(spark.range(40)).drop("id").write.parquet(f"{tmp_path}/orders.parquet")
+    recalls = frame(spark, str(tmp_path), "recalls")
+    many = {tuple(r) for r in recalls.where(F.col("risks").contains("incendie")).groupBy("marque", "modele").count().where("count >= 60").select("marque", "modele").collect()}
+    known = {tuple(r) for r in recalls.select("marque", "modele").distinct().collect()}
+    got = {(r.marque, r.modele): r.score for r in plans.queries()["d4_vehicles_without_recalls"](spark, str(tmp_path)).collect()}
+    assert many & set(got) and all(got[m] == 0.0 for m in many & set(got))
+    without = set(got) - known
+    assert without and all(got[m] == 10.0 for m in without)
