@@ -102,14 +102,15 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCAL
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     rows = materialize(_assign(rows, centre), "cells")
     nearest = F.row_number().over(Window.partitionBy("cell", "part").orderBy("far"))
-    salted = rows.select("cell", "far", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("part"))
+    # A query leaves out every row with its vec_id, so each vec_id counts once, in one cell, towards the k + 1 of a bound.
+    salted = rows.select("vec_id", "cell", "far").dropDuplicates(["vec_id"]).select("cell", "far", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("part"))
     close = salted.withColumn("_k", nearest).where(F.col("_k") <= k + 1).groupBy("cell").agg(F.slice(F.array_sort(F.collect_list("far")), 1, k + 1).alias("near"))
     total = rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"), F.sum(F.col("query").cast("long")).alias("nq"), F.max(F.when(F.col("query"), F.col("far"))).alias("qr"), F.max(F.when(F.col("query"), F.col("norm"))).alias("qn"))
     p = len(centre)
     n, radius, nq, qr, qn, near = np.zeros(p, int), np.zeros(p), np.zeros(p, int), np.zeros(p), np.zeros(p), [np.zeros(0)] * p
-    for r in total.join(close, "cell").collect():  # a row for each pivot
+    for r in total.join(close, "cell", "left").collect():  # a row for each pivot; rows of a cell may all be counted in others
         c = r["cell"]
-        n[c], radius[c], nq[c], qr[c], qn[c], near[c] = r["n"], r["radius"], r["nq"], r["qr"] or 0, r["qn"] or 0, np.array(r["near"])
+        n[c], radius[c], nq[c], qr[c], qn[c], near[c] = r["n"], r["radius"], r["nq"], r["qr"] or 0, r["qn"] or 0, np.array(r["near"] or [], float)
 
     groups: list[list[int]] = []  # query cells near each other, together about `group` queries
     left = [c for c in range(p) if nq[c]]

@@ -35,3 +35,16 @@ def test_few_and_none(spark):
     assert [tuple(r) for r in K.search(df).select("query_id", "rank", "vec_id", "score").collect()] == [(0, 1, 1, 8192)]
     assert K.search(df.limit(0)).count() == 0
     assert K.search(spark.createDataFrame([(1, [2.0])], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_repeated_query_ids(spark):
+    """More rows of a query's vec_id than k, far from all its neighbours."""
+    rng = random.Random(4)
+    rows = [(0, [100.0, 0.0])] * 12 + [(i, [rng.gauss(5, 0.1), rng.gauss(5, 0.1)]) for i in range(1, 60) if i % 20]
+    rows += [(i, [rng.gauss(-50, 0.1), rng.gauss(-50, 0.1)]) for i in range(61, 99) if i % 20]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = K.search(df, k=5).select("query_id", "rank", "vec_id", "score").collect()
+    assert len(got) == 5 and {tuple(r) for r in got} == brute(rows, 5, 20)
+    rows += [(3, [100.0, 0.5])] * 9  # a candidate that is repeated, apart from its first cell
+    got = K.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5).select("query_id", "rank", "vec_id", "score").collect()
+    assert len(got) == 5 and {tuple(r) for r in got} == brute(rows, 5, 20)
