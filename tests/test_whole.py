@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import inspect
+
+import pytest
 from pyspark.sql import functions as F
 
 from autolot import plans
+from autolot.operators import learning
 from autolot.plans.lifts import frame
 
 
@@ -31,3 +35,27 @@ def test_models_with_many_recalls_score_low(spark, sf_dir, tmp_path):
     assert many & set(got) and all(got[m] == 0.0 for m in many & set(got))
     without = set(got) - known
     assert without and all(got[m] == 10.0 for m in without)
+
+
+class Called(Exception):
+    pass
+
+
+@pytest.mark.parametrize("name", ["j2_train_metrics", "j3_predict_notes"])
+def test_models_search_the_whole_grid(spark, sf_dir, monkeypatch, name):
+    default = {k: v.default for k, v in inspect.signature(learning.train).parameters.items()}
+    assert (default["trees"], default["depths"], default["leaves"], default["folds"]) == ((100, 200, 300), (30, 10, 20), (1, 2, 4), 5)
+
+    def train(*args, **kwargs):
+        assert len(args) == 4 and not kwargs
+        raise Called
+
+    monkeypatch.setattr(learning, "train", train)
+    with pytest.raises(Called):
+        plans.queries()[name](spark, sf_dir)
+
+
+def test_leaf_size_is_searched(spark):
+    df = spark.createDataFrame([(f"m{i % 3}", float(i % 50), float(i % 3) * 6) for i in range(300)], "m string, x double, y double")
+    model = learning.train(df, ["m"], ["x"], "y", trees=(2,), depths=(4,), folds=2, leaves=(120, 1))
+    assert model.stages[-1].getMinInstancesPerNode() == 1
