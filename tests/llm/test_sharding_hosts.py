@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -57,7 +58,8 @@ URLS = [
 
 
 def test_hosts_paths_and_rules(spark):
-    pages = spark.createDataFrame([(i, u[0], "x") for i, u in enumerate(URLS)], "page_id long, url string, host string")
+    clashing = "host string, path string, rule string, verdict string, n long, good int, held double, rate double, doc_id long, domain string, _key string, _url string"
+    pages = spark.createDataFrame([(i, u[0], "x", "x", "x", "x", 1, 1, 0.5, 0.5, 1, "x", "x", "x") for i, u in enumerate(URLS)], f"page_id long, url string, {clashing}")
     rows = {r.page_id: r for r in hosts.judge(pages, spark.createDataFrame([], "page_id long, good int")).collect()}
     for i, (_, host, path, rule, verdict) in enumerate(URLS):
         assert (rows[i].host, rows[i].path, rows[i].rule) == (host, path, rule) and rows[i].verdict == (verdict or "allow")
@@ -71,3 +73,44 @@ def test_bad_hosts_are_blocked_and_few_labels_are_not_enough(spark):
     assert got[0].host_rate < got[5001].host_rate < got[1000].host_rate
     none = spark.createDataFrame([], "page_id long, url string")
     assert hosts.judge(none, spark.createDataFrame(good, "page_id long, good int")).count() == 0
+
+
+def test_keys_of_hosts(spark):
+    hosts_ = {
+        "www.a.co.uk": ("www.a.co.uk", "a.co.uk", "co.uk"), "a.b.com:8080": ("a.b.com", "b.com", "com"), "u:p@x.y.org.": ("x.y.org", "y.org", "org"), "co.uk": ("co.uk", "co.uk", "co.uk"),
+        "10.0.0.1:80": ("10.0.0.1",) * 3, "": ("", "", ""), "localhost": ("localhost",) * 3, "taco.uk": ("taco.uk", "taco.uk", "uk"), "a.com.example": ("a.com.example", "com.example", "example"),
+    }
+    df = spark.createDataFrame([(h,) for h in hosts_], "h string")
+    assert {r[0]: tuple(r[1:]) for r in df.select("h", *hosts.keys(sharding.F.col("h"))).collect()} == hosts_
+
+
+def test_mass_below_equals_binomial_sums(spark):
+    cases = [(a, b, x) for a, b in ((1, 1), (3, 2), (40, 7), (1, 60), (700, 250)) for x in (0.05, 0.5, 0.74, 0.9)]
+    df = spark.createDataFrame([(float(a), float(b), x) for a, b, x in cases], "a double, b double, x double")
+    got = {tuple(r[:3]): r[3] for r in df.select("a", "b", "x", hosts.mass_below(*(sharding.F.col(c) for c in "abx"))).collect()}
+    for a, b, x in cases:
+        n = a + b - 1
+        exact = sum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(x) + (n - j) * math.log(1 - x)) for j in range(a, n + 1))
+        assert abs(got[a, b, x] - exact) < 2e-3
+
+
+def test_strength_is_learned(spark):
+    rows = lambda spread, seed: [(50, random.Random(seed * 1000 + k).binomialvariate(50, random.Random(k).betavariate(0.7 * spread, 0.3 * spread)), 0.7) for k in range(2000)]
+    for spread in (5, 40):
+        assert 0.8 * spread < hosts.strength(spark.createDataFrame(rows(spread, 1), "n long, good long, rate double"), 1) < 1.25 * spread
+    assert hosts.strength(spark.createDataFrame([(50, 35, 0.7)] * 100, "n long, good long, rate double"), 1) == hosts.STRONGEST
+    assert hosts.strength(spark.createDataFrame([(1, 1, 0.7)], "n long, good long, rate double"), 1) == hosts.STRONGEST
+
+
+def test_planted_hosts_of_the_given_pages(spark):
+    """Labels of the given tables do not depend on hosts (see README), so bad outcomes are planted on some hosts; a third is held out."""
+    pages = table(spark, "/root/testdata/sf0.1", "pages")
+    rng = random.Random(5)
+    bad_host = {r.page_id: any(w in r.url for w in ("casino", "spam", "adult", "bets")) for r in pages.collect()}
+    good = [(i, int(rng.random() < (0.3 if bad_host[i] else 0.85))) for i in sorted(bad_host)]
+    known, apart = [g for g in good if g[0] % 3], {i: g for i, g in good if i % 3 == 0}
+    rows = [r for r in hosts.judge(pages, spark.createDataFrame(known, "page_id long, good int")).collect() if r.rule is None]
+    blocked, allowed = ([apart[r.page_id] for r in rows if r.verdict == v and r.page_id in apart] for v in ("block", "allow"))
+    assert len(blocked) > 5 and sum(blocked) / len(blocked) < 0.5 < 0.8 < sum(allowed) / len(allowed)
+    caught = [r.verdict == "block" for r in rows if bad_host[r.page_id]]
+    assert sum(caught) / len(caught) > 0.8 and sum(r.verdict == "block" and not bad_host[r.page_id] for r in rows) <= 0.1 * len(rows)
