@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,6 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
+
+_LOCAL: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,12 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the cluster names none."""
+    """The folder all executors share, as `spark.checkpoint.dir` names it.
+
+    Only a local master, whose executors are threads of this machine, may do without: it gets one temporary folder.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _LOCAL:
+        _LOCAL.append(f"file://{tempfile.mkdtemp(prefix='spark-')}")
+        atexit.register(shutil.rmtree, _LOCAL[0].removeprefix("file://"), ignore_errors=True)
+    return _LOCAL[0]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -32,15 +44,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slim_batches(spark: SparkSession, most: int = 1000) -> None:
-    """Let Arrow send texts to Python in batches of at most `most` rows; a session that asks for fewer keeps its own.
+def slim(batches: Iterator[pa.RecordBatch], most: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `most` rows, so that what is made of their texts stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, most):
+            yield batch.slice(at, most)
 
-    At Spark's default of 10,000 rows a batch of texts, and what is made of it, takes hundreds of MB in each worker.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > most:
-        spark.conf.set(key, str(most))
+
+def quoted(name: str) -> str:
+    """A column's name for use in a DDL string."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def ddl(df: DataFrame) -> str:
+    """The schema of `df` as a DDL string, whatever its columns are called."""
+    return ", ".join(f"{quoted(f.name)} {typed(f.dataType)}" for f in df.schema)
+
+
+def typed(kind: DataType) -> str:
+    """A type for use in a DDL string, with quoted names of fields."""
+    if isinstance(kind, StructType):
+        return "struct<" + ", ".join(f"{quoted(f.name)}: {typed(f.dataType)}" for f in kind) + ">"
+    if isinstance(kind, ArrayType):
+        return f"array<{typed(kind.elementType)}>"
+    if isinstance(kind, MapType):
+        return f"map<{typed(kind.keyType)}, {typed(kind.valueType)}>"
+    return kind.simpleString()
 
 
 def spread(*cols: Column | str, seed: int = 0) -> Column:

@@ -16,7 +16,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from autolot.llm.common import chunks, slim_batches, spread, strings, table, utf8
+from autolot.llm.common import chunks, slim, spread, strings, table, utf8
 
 #: Documents sampled for each language, as expected; all are taken where there are fewer.
 SAMPLE_DOCS = 400
@@ -40,7 +40,7 @@ def _padded(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _grams(batches):
     """Counts of four-byte strings by language, for each task."""
-    for batch in batches:
+    for batch in slim(batches):
         texts, langs = strings(batch.column(0)), np.array(batch.column(1).to_pylist(), object)
         counts: dict[str, dict] = {}
         for a, b in chunks(texts):
@@ -158,10 +158,9 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     if model is None:
         return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    slim_batches(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in slim(batches):
             texts = strings(batch.column(2))
             lang, score = sent.value.predict(texts)
             none = batch.column(2).is_null()

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from autolot.llm.common import materialize, table
+from autolot.llm.common import materialize, quoted, table
 
 SEED = 7
 #: Without weights, a source's share of the target goes with this power of its rows.
@@ -71,7 +71,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power:
     plan = materialize(rates(docs.select("source"), weights, power).select(F.col("source").alias("_source"), "rate"), "rates")
     if plan.count() <= MANY_SOURCES:
         plan = F.broadcast(plan)  # of a checked size; else Spark shuffles, and splits skewed sources
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source")
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), "doc_id", "source")
     drawn = rows.join(plan, F.expr("source <=> _source"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / STEP)).cast("int")
     mean = F.col("rate") / parts

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from autolot.llm.common import chunks, materialize, slim_batches, strings, table, utf8
+from autolot.llm.common import chunks, materialize, quoted, slim, strings, table, utf8
 from autolot.llm.graphs import components, maybe_broadcast
 from autolot.llm.words import Words, mix
 
@@ -103,7 +103,7 @@ def signed(docs: DataFrame, weighting: str = "set", count: int = BANDS, size: in
     """(doc_id, node, bands) of every row with a text; node is the text's MD5."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slim(batches):
             texts = strings(batch.column(2))
             for lo, hi in chunks(texts, 1 << 19):
                 data, at = utf8(texts.slice(lo, hi - lo))
@@ -114,7 +114,6 @@ def signed(docs: DataFrame, weighting: str = "set", count: int = BANDS, size: in
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[some].ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), lists], ["doc_id", "node", "bands"])
 
-    slim_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.where("text is not null").select("doc_id", F.md5("text").alias("node"), "text").mapInArrow(run, f"doc_id {kind}, node string, bands array<long>")
 
@@ -215,7 +214,7 @@ def keep_one(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     found = member.join(maybe_broadcast(heads), "root").select("doc_id", "node", F.expr("node = _node and doc_id <=> _doc").alias("kept"))
     dropped = materialize(found.where("not kept").select(F.col("doc_id").alias("_doc"), F.col("node").alias("_node")).distinct(), "dropped")
     again = materialize(found.where("kept").groupBy("node").agg(F.count("*").alias("_n")).where("_n > 1").select("node"), "again")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.md5("text").alias("node"))
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), "doc_id", F.md5("text").alias("node"))
     rows = rows.join(maybe_broadcast(dropped), F.expr("node = _node and doc_id <=> _doc"), "left_anti")
     twice = rows.join(maybe_broadcast(again), "node", "left_semi").dropDuplicates(["node"])
     once = rows.join(maybe_broadcast(again), "node", "left_anti")

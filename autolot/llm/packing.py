@@ -14,15 +14,18 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from autolot.llm.common import chunks, materialize, slim_batches, strings, table, utf8
+from autolot.llm.common import chunks, ddl, materialize, slim, strings, table, utf8
 from autolot.llm.words import spans
 
 CAPACITY, END = 2048, 1
-#: Tokens in pieces shorter than a window that are packed together, as expected.
-BIN_TOKENS = 4_000_000
+#: Tokens in pieces shorter than a window that are packed together, as expected: few enough for many tasks, and
+#: so many that the last windows of a bin, the only ones that stay open, are about a thousandth of its windows.
+BIN_TOKENS = 1_000_000
+#: Full windows numbered together, as expected.
+NUMBERED = 100_000
 #: Spelled words that a worker remembers, about.
 REMEMBERED = 500_000
 
@@ -71,6 +74,7 @@ class Tokenizer:
         self.slots = np.zeros(int(self.mask) + 1, np.uint64)
         self.number = np.zeros(len(self.slots), np.int32)
         self.ids, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.spelled, self.spelled_at = np.zeros(0, np.uint8), np.zeros(1, np.int64)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """The slot of each hash, or where there is none, of the first free slot after its place."""
@@ -89,6 +93,8 @@ class Tokenizer:
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(n) - n])
         self.lengths = np.concatenate([self.lengths, n])
         self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(spelled), np.uint32, int(n.sum()))])
+        self.spelled = np.concatenate([self.spelled, np.frombuffer(b"".join(words), np.uint8)])
+        self.spelled_at = np.concatenate([self.spelled_at, self.spelled_at[-1] + np.cumsum([len(w) for w in words], dtype=np.int64)])
         todo = np.arange(len(h))
         while len(todo):  # of several hashes that meet in a free slot, one gets it
             at = self._find(h[todo])
@@ -97,8 +103,21 @@ class Tokenizer:
             self.number[at[won]] = base + todo[won]
             todo = todo[~won]
 
-    def _plain(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of plain texts, and each text's offset in them."""
+    def _other(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Words whose bytes differ from those of the spelled word that was found for them."""
+        size = end - start
+        other = size != self.spelled_at[word + 1] - self.spelled_at[word]
+        same = np.flatnonzero(~other)
+        n = size[same]
+        at = np.cumsum(n) - n
+        step = np.arange(n.sum()) - np.repeat(at, n)
+        unlike = data[np.repeat(start[same], n) + step] != self.spelled[np.repeat(self.spelled_at[word[same]], n) + step]
+        if unlike.any():
+            other[same[np.searchsorted(at, np.flatnonzero(unlike), "right") - 1]] = True
+        return other
+
+    def _plain(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of plain texts, each text's offset in them, and the texts that hold a word with another one's hash."""
         data = _LOWER[data]
         upper = (data[1:] >= 0x80) & (data[1:] < 0x9F) & (data[:-1] == 0xC3)
         data[1:][upper] += 32
@@ -124,7 +143,9 @@ class Tokenizer:
         n = self.lengths[word]
         to = np.append(0, np.cumsum(n))
         step = np.arange(to[-1]) - np.repeat(to[:-1], n)
-        return self.ids[np.repeat(self.starts[word], n) + step], to[np.searchsorted(start, at)]
+        clash = np.zeros(len(at) - 1, bool)
+        clash[np.searchsorted(at, start[self._other(data, start, end, word)], "right") - 1] = True
+        return self.ids[np.repeat(self.starts[word], n) + step], to[np.searchsorted(start, at)], clash
 
     def encode(self, texts: pa.Array):
         """The ids of each text of a null-free array, in order."""
@@ -137,12 +158,12 @@ class Tokenizer:
             odd[:-2] |= (data[:-2] == 0x3C) & (data[1:-1] == 0x7C)  # the start of a special token
             total = np.append(0, np.cumsum(odd))
             plain = total[at[1:]] == total[at[:-1]]
-            ids, to = self._plain(*utf8(part.filter(pa.array(plain))))
-            k = 0
+            ids, to, clash = self._plain(*utf8(part.filter(pa.array(plain))))
+            k = -1
             for row, ok in enumerate(plain.tolist()):
-                if ok:
+                k += ok
+                if ok and not clash[k]:
                     yield ids[to[k] : to[k + 1]]
-                    k += 1
                 else:
                     yield np.array(self.model.encode(part[row].as_py(), add_special_tokens=False).ids, np.uint32)
 
@@ -153,31 +174,28 @@ PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """The pieces of every row of `docs` (doc_id, text): full windows, then the rest. A null text is empty; its one id is END."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    slim_batches(docs.sparkSession)
 
     def run(batches):
         tokenizer = Tokenizer(path)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                row, start, length, crc, tokens, ids = [], [], [], [], [], []
-                for k, own in enumerate(tokenizer.encode(strings(part.column(1)))):
-                    own = np.append(own, np.uint32(END)).astype("<u4")
-                    for at in range(0, len(own), capacity):
-                        piece = own[at : at + capacity]
-                        row.append(k)
-                        start.append(at)
-                        length.append(len(piece))
-                        crc.append(zlib.crc32(piece.tobytes()))
-                        tokens.append(len(own))
-                        if keep_ids:
-                            ids.append(piece.astype(np.int64))
-                columns = [part.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, tokens))]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-                if keep_ids:
-                    columns.append(pa.array(ids, pa.list_(pa.int64())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names)
+        for batch in slim(batches):
+            row, start, length, crc, tokens, ids = [], [], [], [], [], []
+            for k, own in enumerate(tokenizer.encode(strings(batch.column(1)))):
+                own = np.append(own, np.uint32(END)).astype("<u4")
+                for at in range(0, len(own), capacity):
+                    piece = own[at : at + capacity]
+                    row.append(k)
+                    start.append(at)
+                    length.append(len(piece))
+                    crc.append(zlib.crc32(piece.tobytes()))
+                    tokens.append(len(own))
+                    if keep_ids:
+                        ids.append(piece.astype(np.int64))
+            columns = [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, tokens))]
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+            if keep_ids:
+                columns.append(pa.array(ids, pa.list_(pa.int64())))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {PIECE}" + ", ids array<long>" * keep_ids)
 
@@ -228,24 +246,27 @@ def pack(found: DataFrame, capacity: int = CAPACITY, bin_tokens: int = BIN_TOKEN
     """Add sequence_id and offset to pieces (doc_id, start, length, ...).
 
     `found` is read twice and should be a written table. Full windows are sequences by themselves, and
-    are not gathered. The other pieces are dealt to as many bins as their tokens ask for, so no bin grows with
-    the input, and only the last few windows of a bin stay open. Equal pieces are packed like others.
-    Sequence numbers are unique, not gapless: odd for full windows.
+    are not gathered, only numbered. The other pieces are dealt to as many bins as their tokens ask for, so no bin
+    grows with the input, and only the last few windows of a bin stay open. Equal pieces are packed like others.
+    Sequence numbers are unique, not gapless: odd for full windows. They depend on the pieces, not on how these are
+    partitioned. Columns that are called sequence_id, offset or _bin give way.
     """
-    short = found.where(F.col("length") < capacity)
-    total = short.agg(F.sum("length")).first()[0] or 0
-    bins = int(total // bin_tokens) + 1
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
+    found = found.drop("sequence_id", "offset", "_bin")
+    size = found.agg(F.sum(F.when(F.col("length") < capacity, F.col("length"))).alias("tokens"), F.count(F.when(F.col("length") == capacity, 1)).alias("full")).first()
+    bins, groups = int((size["tokens"] or 0) // bin_tokens) + 1, int(size["full"] // NUMBERED) + 1
 
     def run(key, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", "ids_crc32", "doc_id", "start"], ascending=False, kind="stable")
         window, offset = best_fit_decreasing(frame["length"].to_numpy(), capacity)
         return frame.drop(columns="_bin").assign(sequence_id=2 * (window * bins + int(key[0])), offset=offset)
 
-    dealt = short.withColumn("_bin", F.pmod(F.xxhash64("ids_crc32", "doc_id", "start", F.lit(5)), F.lit(bins)).cast("int"))
-    packed = dealt.groupBy("_bin").applyInPandas(run, kinds + ", sequence_id long, offset long")
-    full = found.where(F.col("length") == capacity).select("*", (F.monotonically_increasing_id() * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return packed.unionByName(full)
+    def dealt(rows: DataFrame, count: int) -> DataFrame:
+        return rows.withColumn("_bin", F.pmod(F.xxhash64("ids_crc32", "doc_id", "start", F.lit(5)), F.lit(count)).cast("int"))
+
+    packed = dealt(found.where(F.col("length") < capacity), bins).groupBy("_bin").applyInPandas(run, f"{ddl(found)}, sequence_id long, offset long")
+    number = F.row_number().over(Window.partitionBy("_bin").orderBy("ids_crc32", "doc_id", "start"))
+    full = dealt(found.where(F.col("length") == capacity), groups).withColumn("sequence_id", 2 * (number * groups + F.col("_bin")) + 1)
+    return packed.unionByName(full.drop("_bin").withColumn("offset", F.lit(0).cast("long")))
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

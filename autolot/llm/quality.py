@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from autolot.llm.common import chunks, slim_batches, spread, strings, table, utf8
+from autolot.llm.common import chunks, quoted, slim, spread, strings, table, typed, utf8
 from autolot.llm.words import Words
 
 #: Labelled documents sampled for learning, as expected; all are taken where there are fewer.
@@ -108,12 +108,11 @@ def measure(docs: DataFrame, *keep: str) -> DataFrame:
     """The counts of COUNTS for every row, beside the columns `keep`; a null text has no words."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slim(batches):
             found = statistics(strings(batch.column(len(keep))))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(found[k], pa.int64()) for k in COUNTS)], [*keep, *COUNTS])
 
-    slim_batches(docs.sparkSession)
-    kinds = "".join(f"`{k}` {docs.schema[k].dataType.simpleString()}, " for k in keep)
+    kinds = "".join(f"{quoted(k)} {typed(docs.schema[k].dataType)}, " for k in keep)
     return docs.select(*keep, "text").mapInArrow(run, kinds + ", ".join(f"{k} long" for k in COUNTS))
 
 
@@ -234,13 +233,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that pass, with all their columns, whatever these are called."""
     rules = fit(docs, table(spark, sf_dir, "labels"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), "text")
 
     def run(batches):
-        for batch in batches:
+        for batch in slim(batches):
             found = statistics(strings(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[k], pa.int64()) for k in COUNTS)], ["row", *COUNTS])
 
-    slim_batches(spark)
-    kind = rows.schema["row"].dataType.simpleString()
-    return judge(rows.mapInArrow(run, f"row {kind}, " + ", ".join(f"{k} long" for k in COUNTS)), rules).where("kept").select("row.*")
+    return judge(rows.mapInArrow(run, f"row {typed(rows.schema['row'].dataType)}, " + ", ".join(f"{k} long" for k in COUNTS)), rules).where("kept").select("row.*")
