@@ -8,17 +8,21 @@ bound. Each group is solved against blocks of rows, and the blocks' best rows ar
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from autolot.llm.common import materialize, table
+from autolot.llm.common import materialize, slim, table
 
 K, SCALE, EVERY = 20, 64, 20
-#: Pivots, queries in a group, and rows in a block.
-PIVOTS, GROUP, BLOCK = 48, 4096, 4096
+#: Queries in a group, and rows in a block.
+GROUP, BLOCK = 4096, 4096
+#: There is a pivot for each block's worth of rows, within these bounds. The driver holds tables of pivots by pivots.
+FEWEST, MOST = 48, 1024
 
 
 def quantized(vector: Column, scale: int = SCALE) -> Column:
@@ -42,7 +46,7 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([[sum(x * y for x, y in zip(u, v, strict=True)) for v in whole[1]] for u in whole[0]], object)
 
 
-def pivots(rows: DataFrame, count: int = PIVOTS) -> np.ndarray:
+def pivots(rows: DataFrame, count: int) -> np.ndarray:
     """At most `count` different vectors, from four times as many rows chosen by a hash of vec_id; a top-k, not a shuffle."""
     chosen = rows.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(4 * count).toPandas()["v"]
     different = list(dict.fromkeys(tuple(v) for v in chosen))[:count]
@@ -54,7 +58,7 @@ def _assign(rows: DataFrame, centre: np.ndarray) -> DataFrame:
     half = (centre**2).sum(1) / 2
 
     def run(batches):
-        for batch in batches:
+        for batch in slim(batches, 4096):
             x = _matrix(batch.column(2))
             if not len(x):
                 continue
@@ -86,21 +90,58 @@ def needed(centre: np.ndarray, n: np.ndarray, radius: np.ndarray, near: list[np.
     return out
 
 
-def search(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, count: int = PIVOTS, group: int = GROUP, block: int = BLOCK) -> DataFrame:
+def grouped(centre: np.ndarray, nq: np.ndarray, group: int) -> list[list[int]]:
+    """Query cells near each other, together about `group` queries; a larger cell is a group alone."""
+    left, groups = np.flatnonzero(nq), []
+    while len(left):
+        near = left[np.argsort(((centre[left] - centre[left[0]]) ** 2).sum(1), kind="stable")]
+        own = near[: max(1, int(np.searchsorted(np.cumsum(nq[near]), group, "right")))]
+        groups.append(own.tolist())
+        left = np.setdiff1d(left, own)
+    return groups
+
+
+def plan(spark: SparkSession, n: np.ndarray, nq: np.ndarray, groups: list[list[int]], need: list[list[int]], group: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Where rows and queries go: for each cell, its unit, blocks and the groups that need it; for each query cell, its
+    group, its shares and the units it needs. Blocks and shares are numbers here and become rows on the executors.
+    """
+    shares = [int(-(-nq[g].sum() // group)) for g in groups]
+    blocks = np.maximum(1, -(-n // block))
+    unit, filled, last = np.arange(len(n)), block + 1, len(n) - 1
+    for c in sorted(np.flatnonzero((n > 0) & (n < block)).tolist(), key=lambda c: n[c]):  # small cells share a unit
+        if filled + n[c] > block:
+            last, filled = last + 1, 0
+        unit[c], filled = last, filled + n[c]
+    wanted: dict[int, list[tuple[int, int]]] = {}
+    for g, cells in enumerate(need):
+        for c in cells:
+            wanted.setdefault(c, []).append((g, shares[g]))
+    sends = [(c, int(unit[c]), int(blocks[c]), to) for c, to in wanted.items()]
+    asks = [(c, g, shares[g], sorted({(int(unit[x]), int(blocks[x])) for x in need[g]})) for g, cells in enumerate(groups) for c in cells]
+    return (
+        spark.createDataFrame(sends, "cell int, unit int, blocks int, groups array<struct<g: int, shares: int>>"),
+        spark.createDataFrame(asks, "cell int, g int, shares int, units array<struct<unit: int, blocks: int>>"),
+    )
+
+
+def search(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, count: int | None = None, group: int = GROUP, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id and score: the k best of all other rows for each row whose vec_id is divisible by `every`.
 
-    `vectors` has vec_id and embedding. Rows with an unusable vector, or a null vec_id, take no part. Ties go to
-    the smaller vec_id. All usable vectors must have one length. Repeated rows are candidates apart; a query's own
-    row is every row with its vec_id, and a repeated query is answered once. Fewer than k candidates are all given.
-    Empty tables give no rows. What the driver holds is bounded by the pivots.
+    `vectors` has vec_id and embedding. Rows with an unusable vector, or a null vec_id, take no part; nor do vectors
+    of another length than most usable ones (of equally frequent lengths, than the longest). Repeated rows are
+    candidates apart; a query's own row is every row with its vec_id. Several rows of a query's vec_id are one query:
+    the k best are those of all their scores. Fewer than k candidates are all given. Empty tables give no rows; other
+    columns are ignored. What the driver holds and what is broadcast is bounded by the square of the pivots.
     """
     answer = "query_id long, vec_id long, score long"
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), (F.col("vec_id") % every == 0).alias("query"), quantized(F.col("embedding"), scale).alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
-    centre = pivots(rows, count)
     spark = vectors.sparkSession
-    if not len(centre):
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), (F.col("vec_id") % every == 0).alias("query"), quantized(F.col("embedding"), scale).alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
+    length = rows.groupBy(F.size("v").alias("length")).count().orderBy(F.desc("count"), F.desc("length")).first()
+    if length is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    rows = materialize(_assign(rows, centre), "cells")
+    rows = rows.where(F.size("v") == length["length"])
+    centre = pivots(rows, count or min(MOST, max(FEWEST, length["count"] // block)))
+    rows = materialize(_assign(rows, centre).withColumn("row", F.monotonically_increasing_id()), "cells")
     nearest = F.row_number().over(Window.partitionBy("cell", "part").orderBy("far"))
     # A query leaves out every row with its vec_id, so each vec_id counts once, in one cell, towards the k + 1 of a bound.
     salted = rows.select("vec_id", "cell", "far").dropDuplicates(["vec_id"]).select("cell", "far", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("part"))
@@ -112,45 +153,20 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCAL
         c = r["cell"]
         n[c], radius[c], nq[c], qr[c], qn[c], near[c] = r["n"], r["radius"], r["nq"], r["qr"] or 0, r["qn"] or 0, np.array(r["near"] or [], float)
 
-    groups: list[list[int]] = []  # query cells near each other, together about `group` queries
-    left = [c for c in range(p) if nq[c]]
-    while left:
-        first = left[0]
-        own: list[int] = []
-        for c in sorted(left, key=lambda c: (((centre[c] - centre[first]) ** 2).sum(), c)):
-            if own and nq[own].sum() + nq[c] > group:
-                break
-            own.append(c)
-        groups.append(own)
-        left = [c for c in left if c not in own]
+    groups = grouped(centre, nq, group)
     need = needed(centre, n, radius, near, groups, qr, qn, k)
+    pruned = 1 - sum(int(n[c].sum()) * int(nq[g].sum()) for g, c in zip(groups, need, strict=True)) / max(1, int(n.sum()) * int(nq.sum()))
+    logging.getLogger(__name__).info("%d pivots, %d groups of queries; %.4f of all pairs are pruned by bounds", p, len(groups), pruned)
+    sends, asks = plan(spark, n, nq, groups, need, group, block)
 
     # A unit of work is a share of a group's queries and a block of a cell's rows, or of several small cells'.
-    shares = [int(-(-nq[g].sum() // group)) for g in groups]
-    unit: dict[int, int] = {}  # small cells share a block
-    filled = block + 1
-    for c in sorted((c for c in range(p) if 0 < n[c] < block), key=lambda c: n[c]):
-        if filled + n[c] > block:
-            unit[c], filled = p + len(set(unit.values())), 0
-        else:
-            unit[c] = max(unit.values())
-        filled += n[c]
-    blocks = [1 if c in unit else max(1, int(-(-n[c] // block))) for c in range(p)]
-    of_cell = {c: g for g, own in enumerate(groups) for c in own}
-    place = spark.createDataFrame(
-        [(c, [[g, s] for g, cells in enumerate(need) if c in cells for s in range(shares[g])], blocks[c], unit.get(c, c)) for c in range(p) if n[c]],
-        "cell int, sends array<array<int>>, blocks int, unit int",
-    )
-    wants = spark.createDataFrame(
-        [(c, g, shares[g], sorted({(unit.get(x, x), b) for x in need[g] for b in range(blocks[x])})) for c, g in of_cell.items()],
-        "cell int, g int, shares int, units array<struct<u:int,b:int>>",
-    )
-    hashed = F.xxhash64("vec_id", F.lit(8))
-    data = rows.join(F.broadcast(place), "cell").select("vec_id", "v", F.pmod(hashed, "blocks").cast("int").alias("b"), "unit", F.explode("sends").alias("to"))
-    data = data.select(F.concat_ws(":", F.col("to")[0], F.col("to")[1], "unit", "b").alias("key"), "vec_id", "v")
-    asked = rows.where("query").dropDuplicates(["vec_id"]).join(F.broadcast(wants), "cell")
-    asked = asked.select("vec_id", "v", "g", F.pmod(hashed, "shares").alias("s"), F.explode("units").alias("to"))
-    asked = asked.select(F.concat_ws(":", "g", "s", "to.u", "to.b").alias("unit_key"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    hashed = F.xxhash64("row", F.lit(8))  # not of vec_id, which may be repeated
+    data = rows.join(F.broadcast(sends), "cell").select("vec_id", "v", F.pmod(hashed, "blocks").cast("int").alias("b"), "unit", F.explode("groups").alias("to"))
+    data = data.select("vec_id", "v", "b", "unit", "to.g", F.explode(F.sequence(F.lit(0), F.col("to.shares") - 1)).alias("s"))
+    data = data.select(F.concat_ws(":", "g", "s", "unit", "b").alias("key"), "vec_id", "v")
+    asked = rows.where("query").join(F.broadcast(asks), "cell").select("vec_id", "v", "g", F.pmod(hashed, "shares").alias("s"), F.explode("units").alias("to"))
+    asked = asked.select("vec_id", "v", "g", "s", "to.unit", F.explode(F.sequence(F.lit(0), F.col("to.blocks") - 1)).alias("b"))
+    asked = asked.select(F.concat_ws(":", "g", "s", "unit", "b").alias("unit_key"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
 
     def solve(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(block):
@@ -183,8 +199,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+WITH e0 AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+e AS (SELECT * FROM e0 WHERE len(v) = (SELECT len(v) FROM e0 GROUP BY len(v) ORDER BY count(*) DESC, len(v) DESC LIMIT 1)),
 q AS (SELECT vec_id, v FROM e WHERE vec_id % 20 = 0),
 s AS (SELECT q.vec_id AS query_id, e.vec_id, list_dot_product(q.v::DOUBLE[], e.v::DOUBLE[])::BIGINT AS score FROM q JOIN e ON q.vec_id <> e.vec_id),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)

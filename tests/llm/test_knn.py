@@ -7,8 +7,8 @@ from autolot.llm import knn as K
 def brute(rows, k, every, scale=64):
     good = [(i, [math.floor(scale * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v) and v]
     out = set()
-    for q, v in {i: v for i, v in good if i % every == 0}.items():
-        best = sorted((-sum(a * b for a, b in zip(v, x, strict=True)), i) for i, x in good if i != q)[:k]
+    for q in {i for i, _ in good if i % every == 0}:
+        best = sorted((-sum(a * b for a, b in zip(v, x, strict=True)), i) for j, v in good if j == q for i, x in good if i != q)[:k]
         out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
     return out
 
@@ -45,6 +45,43 @@ def test_repeated_query_ids(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = K.search(df, k=5).select("query_id", "rank", "vec_id", "score").collect()
     assert len(got) == 5 and {tuple(r) for r in got} == brute(rows, 5, 20)
-    rows += [(3, [100.0, 0.5])] * 9  # a candidate that is repeated, apart from its first cell
+    rows += [(20, [1.0, 2.0]), (20, [-3.0, 1.0]), (20, [0.0, 9.0])]  # a query of several vectors
+    got = K.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5).select("query_id", "rank", "vec_id", "score").collect()
+    assert len(got) == 10 and {tuple(r) for r in got} == brute(rows, 5, 20)
+    rows = [r for r in rows if r[0] != 20] + [(3, [100.0, 0.5])] * 9  # a candidate that is repeated, apart from its first cell
     got = K.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5).select("query_id", "rank", "vec_id", "score").collect()
     assert len(got) == 5 and {tuple(r) for r in got} == brute(rows, 5, 20)
+
+
+def test_vectors_of_other_lengths_take_no_part(spark):
+    rng = random.Random(7)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(100)]
+    other = [(i, [rng.gauss(0, 1) for _ in range(2 + 4 * (i % 2))]) for i in range(100, 150)]
+    extra = spark.createDataFrame([(i, v, 1, 2, 3) for i, v in rows + other], "vec_id long, embedding array<double>, cell int, g int, row long")
+    assert {tuple(r) for r in K.search(extra, k=5, block=10).select("query_id", "rank", "vec_id", "score").collect()} == brute(rows, 5, 20)
+
+
+def test_tables_of_the_driver_do_not_grow_with_rows(spark):
+    """Many more rows or queries in the same cells make more blocks and shares, not more rows of the plan."""
+    import numpy as np
+
+    groups, need = [[0, 1], [2]], [[0, 1, 2], [1, 2]]
+    seen = []
+    for times in (1, 1000, 1_000_000):
+        n, nq = np.array([5000, 3000, 9000]) * times, np.array([250, 150, 450]) * times
+        sends, asks = (df.collect() for df in K.plan(spark, n, nq, groups, need, 4096, 4096))
+        seen.append((len(sends), sum(len(r.groups) for r in sends), len(asks), sum(len(r.units) for r in asks)))
+        assert {r.cell: r.blocks for r in sends} == {c: max(1, -(-int(n[c]) // 4096)) for c in range(3)}
+    assert len(set(seen)) == 1 and seen[0][0] <= 3 and seen[0][1] <= 9 and seen[0][3] <= 9
+
+
+def test_clusters_are_pruned(spark):
+    import numpy as np
+
+    rng = random.Random(9)
+    rows = [(i, [20.0 * (c == i % 5) + rng.gauss(0, 0.2) for c in range(5)]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {tuple(r) for r in K.search(df, k=3, count=20, group=10, block=100).select("query_id", "rank", "vec_id", "score").collect()} == brute(rows, 3, 20)
+    centre = np.eye(5) * 1280
+    need = K.needed(centre, np.full(5, 400), np.full(5, 30.0), [np.linspace(1, 5, 4)] * 5, [[c] for c in range(5)], np.full(5, 30.0), np.full(5, 1300.0), 3)
+    assert need == [[c] for c in range(5)]
