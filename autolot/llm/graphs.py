@@ -4,16 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
-from autolot.llm.common import materialize
+from autolot.llm.common import materialize, quoted
 
-#: Tables of at most so many rows, as counted, are broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 400_000
+#: Written tables of at most so many bytes, as counted, are broadcast; larger ones are shuffled.
+BROADCAST_BYTES = 64_000_000
 
 
-def maybe_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a written table if its counted rows allow it."""
-    return F.broadcast(df) if df.count() <= most else df
+def maybe_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast a written table if the bytes of its rows, counted whole, allow it."""
+    wide = [c.name for c in df.schema if isinstance(c.dataType, ArrayType | MapType | StructType)]
+    size = F.lit(16 * len(df.columns)).cast("long")
+    for c in df.schema:
+        if isinstance(c.dataType, StringType):
+            size = size + F.coalesce(F.octet_length(quoted(c.name)), F.lit(0))
+    for name in wide:
+        size = size + F.coalesce(F.octet_length(F.to_json(F.struct(quoted(name)))), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= most else df
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -1,13 +1,15 @@
 """Near-duplicates by DartMinHash signatures (Christiani), banded joining, and exact checks.
 
-Darts are thrown at the elements of a weighted set: each unit of an element's weight is hit by a Poisson
-process over time, whose hits (darts) have hashed coordinates. The earliest dart of each coordinate is its
-sample; two sets agree there with the probability of their weighted Jaccard similarity. Only darts up to a
-time that suffices for a set's total weight are made, so a signature of k samples costs about
-weight + k log k steps, not weight * k.
-
-Texts that agree in a whole band of samples are candidates. Connected candidates are compared exactly,
-in blocks, and linked if the similarity of their word shingles reaches the threshold.
+Darts are thrown at the elements of a weighted set. The axis of an element's weight is cut into strips ([0, 1), [1, 2),
+[2, 4), ...); each strip is hit by a Poisson process over time, whose hits (darts) have hashed places and coordinates.
+A set sees the darts that lie within its weights; the earliest one of each coordinate is its sample. Two sets agree
+there with the probability of their weighted Jaccard similarity (sum of minima over sum of maxima). Only darts up to a
+time that suffices for a set's total weight are made, so a signature of k samples costs about elements + k log k steps.
+
+Texts that agree in a whole band of samples share a bucket. Each is compared exactly with its bucket's first text, the
+one that meets most others in all its buckets, which the original of many copies does; a
+bucket's texts that are not linked so are compared with each other, unless their distances from the first text rule
+a link out (the distance, one less the similarity, is a metric).
 """
 
 from __future__ import annotations
@@ -18,15 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from autolot.llm.common import chunks, materialize, quoted, slim, strings, table, utf8
+from autolot.llm.common import chunks, materialize, quoted, slim, strings, table, typed, utf8
 from autolot.llm.graphs import components, maybe_broadcast
 from autolot.llm.words import Words, mix
 
-SHINGLE, SIMILAR = 5, 0.8
+SHINGLE, SIMILAR, WEIGHTING = 5, 0.8, "count"
 #: 32 bands of 7: a pair at 0.8 meets in a band with probability 0.9995, one at 0.33 with 0.014.
 BANDS, ROWS = 32, 7
-#: Texts in a block of a large set of connected candidates.
-BLOCK = 128
+#: Bytes of texts in a block of work, and most texts in a block that are compared with each other.
+BLOCK_BYTES, BLOCK = 4_000_000, 128
 _ODD1, _ODD2, _ODD3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -44,40 +46,50 @@ def shingles(data: np.ndarray, at: np.ndarray, n: int = SHINGLE) -> tuple[np.nda
     return row, h
 
 
-def elements(row: np.ndarray, h: np.ndarray, weighting: str = "set") -> tuple[np.ndarray, np.ndarray]:
-    """Units of weight: each row's different shingles (`set`), or one element for each occurrence (`count`)."""
+def elements(row: np.ndarray, h: np.ndarray, weighting: str = WEIGHTING) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's different shingles with their weights, by row and hash. The weight is 1 (`set`), the number of
+    occurrences n (`count`), or 1 + ln n (`log`)."""
     order = np.lexsort((h, row))
     row, h = row[order], h[order]
     fresh = np.ones(len(h), bool)
     fresh[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    if weighting == "set":
-        return row[fresh], h[fresh]
-    start = np.flatnonzero(fresh)
-    nth = np.arange(len(h)) - np.repeat(start, np.diff(np.append(start, len(h))))
-    return row, mix(h + nth.astype(np.uint64) * _ODD3)
+    count = np.diff(np.append(np.flatnonzero(fresh), len(h))).astype(float)
+    return row[fresh], h[fresh], {"set": np.ones_like, "count": np.asarray, "log": lambda n: 1 + np.log(n)}[weighting](count)
 
 
-def signatures(row: np.ndarray, element: np.ndarray, rows: int, k: int) -> np.ndarray:
+def strips(row: np.ndarray, element: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows, keys, lower ends, widths and elements' weights of all strips that the weights reach into."""
+    found, low, n = [(row, element, np.zeros(len(row)), np.ones(len(row)), weight)], 1.0, 0
+    while (more := weight > low).any():
+        n += 1
+        found.append((row[more], mix(element[more] + np.uint64(n) * _ODD3), np.full(more.sum(), low), np.full(more.sum(), low), weight[more]))
+        low *= 2
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
+def signatures(row: np.ndarray, element: np.ndarray, weight: np.ndarray, rows: int, k: int) -> np.ndarray:
     """k samples for each of `rows` weighted sets; sets without elements have zeros."""
-    weight = np.bincount(row, minlength=rows)
+    total = np.bincount(row, weight, minlength=rows)
     out = np.zeros((rows, k), np.uint64)
-    until = k * (np.log(k) + 3) / np.maximum(weight, 1)
-    todo = weight > 0
+    until = k * (np.log(k) + 3) / np.where(total > 0, total, 1)
+    todo = total > 0
+    row, key, low, width, top = strips(row, element, weight)
     while todo.any():
         own = todo[row]
-        r, e = row[own], element[own]
+        r, e, lo, wide, reach = row[own], key[own], low[own], width[own], top[own]
         time, best = np.zeros(len(r)), np.full(rows * k, np.inf)
         cells, times, values = [], [], []
         n = 0
-        while len(r):  # the n-th dart of each element that is still within its set's time
+        while len(r):  # the n-th dart of each strip that is still within its set's time
             n += 1
             dart = mix(e + np.uint64(n * int(_ODD1) & 0xFFFFFFFFFFFFFFFF))
-            time = time - np.log(((dart >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53)
+            time = time - np.log(((dart >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53) / wide
             alive = time <= until[r]
-            r, e, time, dart = r[alive], e[alive], time[alive], mix(dart[alive] ^ _ODD2)
-            cells.append(r * k + ((dart >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64))
-            times.append(time)
-            values.append(dart)
+            r, e, lo, wide, reach, time, dart = r[alive], e[alive], lo[alive], wide[alive], reach[alive], time[alive], mix(dart[alive] ^ _ODD2)
+            hit = lo + wide * ((dart & np.uint64(0xFFFFFFFF)).astype(np.float64) + 0.5) / 2**32 < reach
+            cells.append(r[hit] * k + ((dart[hit] >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64))
+            times.append(time[hit])
+            values.append(dart[hit])
         cell, when, value = map(np.concatenate, (cells, times, values))
         np.minimum.at(best, cell, when)
         first = when == best[cell]
@@ -99,94 +111,156 @@ def bands(sample: np.ndarray, count: int, size: int) -> np.ndarray:
     return h
 
 
-def signed(docs: DataFrame, weighting: str = "set", count: int = BANDS, size: int = ROWS) -> DataFrame:
-    """(doc_id, node, bands) of every row with a text; node is the text's MD5."""
+def signed(docs: DataFrame, weighting: str = WEIGHTING, count: int = BANDS, size: int = ROWS) -> DataFrame:
+    """(doc_id, node, size, bands) of every row with a text; node is the text's MD5, size its bytes."""
 
     def run(batches):
         for batch in slim(batches):
-            texts = strings(batch.column(2))
+            texts = strings(batch.column(3))
             for lo, hi in chunks(texts, 1 << 19):
                 data, at = utf8(texts.slice(lo, hi - lo))
-                row, h = elements(*shingles(data, at), weighting)
+                row, h, w = elements(*shingles(data, at), weighting)
                 some = np.bincount(row, minlength=hi - lo) > 0
-                found = bands(signatures(row, h, hi - lo, count * size), count, size).view(np.int64)
+                found = bands(signatures(row, h, w, hi - lo, count * size), count, size).view(np.int64)
                 offsets = np.append(0, np.cumsum(np.where(some, count, 0))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[some].ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), lists], ["doc_id", "node", "bands"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.where("text is not null").select("doc_id", F.md5("text").alias("node"), "text").mapInArrow(run, f"doc_id {kind}, node string, bands array<long>")
-
-
-def _links(frame: pd.DataFrame, least: float) -> pd.DataFrame:
-    """A forest of links among the texts of one block."""
-    frame = frame.drop_duplicates("node").sort_values("node").reset_index(drop=True)
-    data, at = utf8(strings(pa.array(frame["text"], pa.string())))
-    row, h = elements(*shingles(data, at))
-    n = len(frame)
-    size = np.bincount(row, minlength=n)
-    _, number, often = np.unique(h, return_inverse=True, return_counts=True)
-    shared = often[number] > 1
-    row, number = row[shared], np.unique(number[shared], return_inverse=True)[1]
-    both = np.zeros((n, n))
-    order = np.argsort(number, kind="stable")
-    row, number = row[order], number[order]
-    width = max(256, (1 << 21) // max(n, 1))
-    for lo in range(0, int(number[-1]) + 1 if len(number) else 0, width):
-        a, b = np.searchsorted(number, [lo, lo + width])
-        hit = np.zeros((n, min(width, int(number[-1]) + 1 - lo)), np.float32)
-        hit[row[a:b], number[a:b] - lo] = 1
-        both += hit @ hit.T
-    near = both >= least * (size[:, None] + size[None] - both) - 1e-9
-    near &= (size > 0)[:, None] & (size > 0)[None]
-    root = np.full(n, -1)
-    pairs = []
-    for k in range(n):
-        if root[k] < 0:
-            root[k], todo = k, [k]
-            while todo:
-                x = todo.pop()
-                for y in np.flatnonzero(near[x] & (root < 0)).tolist():
-                    root[y] = k
-                    pairs.append((k, y))
-                    todo.append(y)
-    nodes = frame["node"].to_numpy()
-    return pd.DataFrame({"a": [nodes[a] for a, _ in pairs], "b": [nodes[b] for _, b in pairs]}, dtype=str)
-
-
-def links(docs: DataFrame, rows: DataFrame, least: float = SIMILAR, block: int = BLOCK) -> DataFrame:
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in range(3)), lists], ["doc_id", "node", "size", "bands"])
+
+    kind = typed(docs.schema["doc_id"].dataType)
+    rows = docs.where("text is not null").select("doc_id", F.md5("text").alias("node"), F.octet_length("text").alias("size"), "text")
+    return rows.mapInArrow(run, f"doc_id {kind}, node string, size int, bands array<long>")
+
+
+class Sets:
+    """The weighted shingles of texts, by number."""
+
+    def __init__(self, texts: pd.Series, weighting: str):
+        row, self.h, self.w = elements(*shingles(*utf8(strings(pa.array(texts, pa.string())))), weighting)
+        self.at = np.searchsorted(row, np.arange(len(texts) + 1))
+        self.total = np.bincount(row, self.w, minlength=len(texts))
+
+    def similarity(self, a: int, b: int) -> float:
+        """Weighted Jaccard similarity of two texts; 0 if one has no words. Equal 64-bit hashes count as equal shingles."""
+        x, y = slice(*self.at[a : a + 2]), slice(*self.at[b : b + 2])
+        at = np.minimum(np.searchsorted(self.h[y], self.h[x]), max(0, self.at[b + 1] - self.at[b] - 1))
+        if not len(at) or not self.total[b]:
+            return 0.0
+        same = self.h[y][at] == self.h[x]
+        shared = np.minimum(self.w[x][same], self.w[y][at[same]]).sum()
+        return float(shared / (self.total[a] + self.total[b] - shared))
+
+
+def _stars(frame: pd.DataFrame, weighting: str) -> pd.DataFrame:
+    """The similarity of each text of the frame to the first text of its star."""
+    frame = frame.drop_duplicates(["star", "node"]).reset_index(drop=True)
+    sets = Sets(frame["text"], weighting)
+    head = {x: k for k, (x, y) in enumerate(zip(frame["star"], frame["node"], strict=True)) if x == y}
+    found = [(y, x, sets.similarity(k, head[x])) for k, (x, y) in enumerate(zip(frame["star"], frame["node"], strict=True)) if x != y]
+    return pd.DataFrame(found, columns=["node", "first", "similarity"]).astype({"node": str, "first": str, "similarity": float})
+
+
+def _rest(frame: pd.DataFrame, least: float, weighting: str) -> pd.DataFrame:
+    """Links among texts of one bucket that are not connected yet. A pair is compared in its first common bucket only."""
+    frame = frame.drop_duplicates(["band", "node"]).reset_index(drop=True)
+    sets, found = Sets(frame["text"], weighting), []
+    nodes, part = frame["node"].to_numpy(), frame["part"].to_numpy()
+    for band, own in frame.groupby("band").indices.items():
+        marks, near = np.stack(frame["bands"].to_numpy()[own]), frame["similarity"].to_numpy()[own]
+        low, high = frame["low"].iloc[own[0]], frame["high"].iloc[own[0]]
+        pair = np.triu(np.abs(near[:, None] - near[None]) <= 1 - least + 1e-9, 1)
+        common = marks[:, None] == marks[None]
+        pair &= np.take_along_axis(np.broadcast_to(marks[:, None], common.shape), common.argmax(2)[:, :, None], 2)[:, :, 0] == band
+        alike = part[own][:, None] == part[own][None]  # pairs within a block are compared beside one other block only
+        pair &= ~alike | (np.where(part[own] > 0, 0, min(1, high)) == np.where(part[own] == low, high, low))[:, None]
+        root = {x: x for x in frame["root"].to_numpy()[own]}
+
+        def top(x, root=root):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for i, j in zip(*(own[x] for x in np.nonzero(pair)), strict=True):
+            x, y = top(frame["root"].iat[i]), top(frame["root"].iat[j])
+            if x != y and sets.similarity(i, j) >= least - 1e-9:
+                root[x] = y
+                found.append((nodes[i], nodes[j]))
+    return pd.DataFrame(found, columns=["a", "b"], dtype=str)
+
+
+def _packed(groups: DataFrame, name: str, block_bytes: int) -> DataFrame:
+    """Add `pack` to `groups` (with bytes, blocks): small groups share a number, so that a task's work is worth its start."""
+    small = groups.where("blocks = 1").agg(F.sum("bytes")).first()[0] or 0
+    return groups.withColumn("pack", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64(name), F.lit(int(small // block_bytes) + 1))))
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`wanted` (_node, _doc, ...) with `text`."""
+    rows = docs.select(F.col("doc_id").alias("_id"), F.md5("text").alias("_md5"), "text")
+    return rows.join(maybe_broadcast(wanted), F.expr("_md5 = _node and _id <=> _doc")).drop("_id", "_md5")
+
+
+def links(docs: DataFrame, rows: DataFrame, least: float = SIMILAR, weighting: str = WEIGHTING, block_bytes: int = BLOCK_BYTES, block: int = BLOCK) -> DataFrame:
     """Links (a, b) among nodes that connect every pair of at least the similarity `least` that meets in a band.
 
-    Candidates that are connected through bands are compared in blocks, two blocks at a time, so no task holds more
-    than two blocks, whatever a set of candidates holds. Small sets share a block.
+    Every text is compared with the first text of each of its buckets. A frequent first text is sent once to each block
+    of the texts that are compared with it, so the work and the copies of texts go with the number of such comparisons.
+    What is left in a bucket is compared in blocks, two at a time; no task holds more than two blocks.
     """
-    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "nodes")
-    exploded = nodes.select("node", F.explode("bands").alias("band"))
-    shared = materialize(exploded.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("band", "first"), "buckets")
-    edges = exploded.join(shared, "band").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    labels = components(edges)
-    sizes = materialize(labels.groupBy("root").agg(F.count("*").alias("n")), "sizes")
-    small = sizes.where(F.col("n") <= block).agg(F.sum("n")).first()[0] or 0
-    packs = int(small // block) + 1
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    pairs = F.transform(F.filter(F.sequence(F.lit(0), blocks - 1), lambda x: x != own), lambda x: F.concat_ws(":", "root", F.least(x, own), F.greatest(x, own)))
-    keys = F.when(F.col("n") <= block, F.array(F.pmod(F.xxhash64("root"), F.lit(packs)).cast("string"))).otherwise(pairs)
-    chosen = labels.join(maybe_broadcast(sizes), "root").join(nodes.select("node", F.col("doc_id").alias("_doc")), "node")
-    chosen = materialize(chosen.select(F.col("node").alias("_node"), "_doc", keys.alias("keys")), "blocks")
-    texts = docs.select(F.col("doc_id"), F.md5("text").alias("node"), "text").join(maybe_broadcast(chosen), F.expr("node = _node and doc_id <=> _doc"))
-    texts = texts.select("node", "text", F.explode("keys").alias("key"))
-    return texts.groupBy("key").applyInPandas(lambda frame: _links(frame, least), "a string, b string")
-
-
-def members(docs: DataFrame, least: float = SIMILAR, weighting: str = "set") -> DataFrame:
+    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
+    member = nodes.select("node", "size", F.explode("bands").alias("band"))
+    met = materialize(member.join(member.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band"), "met")
+    known = met.groupBy("node").agg(F.sum("n").alias("score"))
+    firsts = met.select("node", "band").join(known, "node").groupBy("band").agg(F.max(F.struct("score", "node")).alias("_first")).select("band", F.col("_first.node").alias("first"))
+    met = materialize(met.select("band", "node", "size").join(firsts, "band"), "met")
+    near = materialize(_similarities(docs, nodes, met, weighting, block_bytes), "near")
+    linked = near.where(F.col("similarity") >= least - 1e-9).select(F.col("node").alias("a"), F.col("first").alias("b"))
+
+    # Texts that are not linked to a bucket's first one, and linked ones that may be near enough to them.
+    loose = near.where(F.col("similarity") < least - 1e-9)
+    if loose.isEmpty():
+        return linked
+    close = materialize(met.join(maybe_broadcast(materialize(loose, "loose")), ["node", "first"]).groupBy("band").agg(F.max("similarity").alias("closest")), "close")
+    rest = met.where("node <> first").join(maybe_broadcast(close), "band").join(near, ["node", "first"])
+    rest = rest.where((F.col("similarity") < least - 1e-9) | (F.col("similarity") <= F.col("closest") + (1 - least) + 1e-9))
+    rest = rest.join(maybe_broadcast(components(linked)), "node", "left").select("band", "node", "size", "similarity", F.coalesce("root", "node").alias("root"))
+    rest = materialize(rest, "rest")
+    mixed = rest.groupBy("band").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    mixed = mixed.select("band", "bytes", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / block_bytes)).cast("int").alias("blocks"))
+    mixed = _packed(materialize(mixed, "mixed"), "band", block_bytes)
+    own = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+    wanted = rest.join(maybe_broadcast(materialize(mixed, "mixed")), "band").withColumn("part", own).join(nodes.select("node", F.col("doc_id").alias("_doc"), "bands"), "node")
+    wanted = materialize(wanted.withColumnRenamed("node", "_node"), "wanted")
+    texts = _texts(docs, wanted).withColumnRenamed("_node", "node")
+    other = F.explode(F.expr("if(blocks = 1, array(0), filter(sequence(0, blocks - 1), x -> x <> part))"))
+    texts = texts.withColumn("other", other).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+    key = F.when(F.col("blocks") == 1, F.col("pack").cast("string")).otherwise(F.concat_ws(":", "band", "low", "high"))
+    texts = texts.select(key.alias("key"), "band", "part", "low", "high", "node", "root", "similarity", "bands", "text")
+    return linked.unionByName(texts.groupBy("key").applyInPandas(lambda frame: _rest(frame, least, weighting), "a string, b string"))
+
+
+def _similarities(docs: DataFrame, nodes: DataFrame, met: DataFrame, weighting: str, block_bytes: int) -> DataFrame:
+    """(node, first, similarity) of each text and each different first text of its buckets."""
+    edges = materialize(met.where("node <> first").groupBy("node", "first").agg(F.first("size").alias("size")), "edges")
+    stars = edges.groupBy(F.col("first").alias("star")).agg(F.sum("size").alias("bytes")).withColumn("blocks", F.ceil(F.col("bytes") / block_bytes).cast("int"))
+    stars = materialize(_packed(materialize(stars, "stars"), "star", block_bytes), "stars")
+    spokes = edges.select("node", F.col("first").alias("star")).join(maybe_broadcast(stars), "star").withColumn("low", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    heads = stars.withColumns({"node": F.col("star"), "low": F.lit(0)})
+    wanted = spokes.withColumn("high", F.col("low")).unionByName(heads.withColumn("high", F.col("blocks") - 1))
+    wanted = wanted.join(nodes.select("node", F.col("doc_id").alias("_doc")), "node").select(F.col("node").alias("_node"), "_doc", "star", "pack", "low", "high")
+    texts = _texts(docs, materialize(wanted, "spokes")).withColumn("block", F.explode(F.sequence("low", "high")))
+    key = F.coalesce(F.col("pack").cast("string"), F.concat_ws(":", "star", "block"))
+    texts = texts.select(key.alias("key"), "star", F.col("_node").alias("node"), "text")
+    return texts.groupBy("key").applyInPandas(lambda frame: _stars(frame, weighting), "node string, first string, similarity double")
+
+
+def members(docs: DataFrame, least: float = SIMILAR, weighting: str = WEIGHTING) -> DataFrame:
     """(doc_id, node, root) of every row with a text; rows of one class have one root."""
     rows = materialize(signed(docs, weighting), "signed")
-    roots = materialize(components(links(docs, rows, least)), "roots")
+    roots = materialize(components(links(docs, rows, least, weighting)), "roots")
     return materialize(rows.select("doc_id", "node").join(maybe_broadcast(roots), "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root")), "members")
 
 
-def classes(docs: DataFrame, least: float = SIMILAR, weighting: str = "set") -> DataFrame:
+def classes(docs: DataFrame, least: float = SIMILAR, weighting: str = WEIGHTING) -> DataFrame:
     """(doc_id, node, class_id) of every row of `docs` (doc_id, text).
 
     Equal texts, and texts linked directly or in steps, form a class; class_id is its least doc_id (null if it

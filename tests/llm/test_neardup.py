@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -9,15 +9,15 @@ from autolot.llm.graphs import components
 from tests.llm import samples
 
 
-def shingles(t):
+def shingle_list(t):
     w = t.split()
-    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+    return [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
 
 
 def brute(texts):
-    """Class of each text by all pairs of different texts."""
+    """Class of each text by all pairs of different texts, with the similarity of their shingles' counts."""
     uniq = sorted(set(texts.values()))
-    sets = [shingles(t) for t in uniq]
+    sets = [frozenset((x, k) for x, n in Counter(shingle_list(t)).items() for k in range(n)) for t in uniq]
     root = list(range(len(uniq)))
 
     def find(x):
@@ -58,27 +58,64 @@ def test_star_of_copies_over_blocks(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     rows = N.materialize(N.signed(docs), "signed")
     want = brute(texts)
-    roots = {r.node: r.root for r in components(N.links(docs, rows, block=16)).collect()}
+    roots = {r.node: r.root for r in components(N.links(docs, rows, block=16, block_bytes=20_000)).collect()}
     got = defaultdict(set)
     for r in rows.collect():
         got[roots.get(r.node, r.node)].add(r.doc_id)
     assert sorted(map(sorted, got.values())) == sorted(sorted(k for k in want if want[k] == c) for c in set(want.values()))
 
 
+def test_copies_of_one_text_are_compared_with_it_alone(spark, monkeypatch):
+    """Copies that are near the original but not each other: the texts that are sent go with the copies, not with their square."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(60)]
+    texts = [(0, " ".join(base))]
+    for k in range(1, 2500):
+        w = list(base)
+        w[rng.randrange(5, 55)] = f"x{k}"
+        texts.append((k, " ".join(w)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    sent, plain = [], N._texts
+    monkeypatch.setattr(N, "_texts", lambda docs, wanted: sent.append(wanted.count()) or plain(docs, wanted))
+    assert {r.class_id for r in N.classes(docs).collect()} == {0}
+    assert sum(sent) < 6 * len(texts)
+
+
 def test_samples_agree_with_weighted_jaccard():
     rng = np.random.default_rng(5)
     a, b = rng.integers(0, 2**63, 300, dtype=np.uint64), rng.integers(0, 2**63, 300, dtype=np.uint64)
     b[:200] = a[:200]
     h = np.concatenate([np.repeat(a, 2), b])
     row = np.repeat([0, 1], [600, 300])
-    row, e = N.elements(row, h, "count")
-    sig = N.signatures(row, e, 2, 4000)
+    row, e, w = N.elements(row, h, "count")
+    sig = N.signatures(row, e, w, 2, 4000)
     assert abs((sig[0] == sig[1]).mean() - 200 / 700) < 0.03  # sum of minima over sum of maxima
-    row, e = N.elements(np.repeat([0, 1], [600, 300]), h)
-    sig = N.signatures(row, e, 2, 4000)
+    row, e, w = N.elements(np.repeat([0, 1], [600, 300]), h, "set")
+    sig = N.signatures(row, e, w, 2, 4000)
     assert abs((sig[0] == sig[1]).mean() - 200 / 400) < 0.03
 
 
+def test_samples_agree_for_real_weights():
+    rng = np.random.default_rng(6)
+    e = np.sort(rng.integers(0, 2**63, 400, dtype=np.uint64))
+    a, b = rng.gamma(1, 1.5, 400), rng.gamma(1, 1.5, 400)
+    a[:100], b[300:] = 0, 0
+    row, both, weight = np.repeat([0, 1], 400), np.concatenate([e, e]), np.concatenate([a, b])
+    some = weight > 0
+    sig = N.signatures(row[some], both[some], weight[some], 2, 6000)
+    assert abs((sig[0] == sig[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.025
+
+
+def test_similarity_of_weighted_sets():
+    texts = ["a b c d e f g", "a b c d e f g", "a b c d e x y z a b c d e", "", "short one", "x y z " * 30]
+    for weighting in ("set", "count"):
+        sets = N.Sets(texts, weighting)
+        for i, x in enumerate(texts):
+            for j, y in enumerate(texts):
+                p, q = (Counter(shingle_list(t)) if weighting == "count" else Counter(set(shingle_list(t))) for t in (x, y))
+                assert abs(sets.similarity(i, j) - sum((p & q).values()) / max(1, sum((p | q).values()))) < 1e-12
+
+
 def test_components_of_random_graphs(spark):
     rng = random.Random(1)
     edges = [(f"{a:03}", f"{b:03}") for a, b in ((rng.randrange(200), rng.randrange(200)) for _ in range(150))] + [(f"p{i:03}", f"p{i + 1:03}") for i in range(60)]
