@@ -9,7 +9,7 @@ from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 from autolot.llm.common import materialize, quoted
 
 #: Written tables of at most so many bytes, as counted, are broadcast; larger ones are shuffled.
-BROADCAST_BYTES = 64_000_000
+BROADCAST_BYTES = 16_000_000
 
 
 def maybe_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:

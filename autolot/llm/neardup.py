@@ -74,22 +74,27 @@ def signatures(row: np.ndarray, element: np.ndarray, weight: np.ndarray, rows: i
     until = k * (np.log(k) + 3) / np.where(total > 0, total, 1)
     todo = total > 0
     row, key, low, width, top = strips(row, element, weight)
+    whole, unit = top >= low + width, width == 1
+    whole, unit = None if whole.all() else whole, None if unit.all() else unit
     while todo.any():
-        own = todo[row]
-        r, e, lo, wide, reach = row[own], key[own], low[own], width[own], top[own]
-        time, best = np.zeros(len(r)), np.full(rows * k, np.inf)
+        at = np.flatnonzero(todo[row])
+        time, best = np.zeros(len(at)), np.full(rows * k, np.inf)
         cells, times, values = [], [], []
         n = 0
-        while len(r):  # the n-th dart of each strip that is still within its set's time
+        while len(at):  # the n-th dart of each strip that is still within its set's time
             n += 1
-            dart = mix(e + np.uint64(n * int(_ODD1) & 0xFFFFFFFFFFFFFFFF))
-            time = time - np.log(((dart >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53) / wide
-            alive = time <= until[r]
-            r, e, lo, wide, reach, time, dart = r[alive], e[alive], lo[alive], wide[alive], reach[alive], time[alive], mix(dart[alive] ^ _ODD2)
-            hit = lo + wide * ((dart & np.uint64(0xFFFFFFFF)).astype(np.float64) + 0.5) / 2**32 < reach
-            cells.append(r[hit] * k + ((dart[hit] >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64))
-            times.append(time[hit])
-            values.append(dart[hit])
+            dart = mix(key[at] + np.uint64(n * int(_ODD1) & 0xFFFFFFFFFFFFFFFF))
+            wait = np.log(((dart >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53)
+            time = time - (wait if unit is None else wait / width[at])
+            alive = time <= until[row[at]]
+            at, time, dart = at[alive], time[alive], mix(dart[alive] ^ _ODD2)
+            seen = slice(None)
+            if whole is not None and len(part := np.flatnonzero(~whole[at])):  # darts in a strip that is only partly reached
+                seen = np.ones(len(at), bool)
+                seen[part] = low[at[part]] + width[at[part]] * ((dart[part] & np.uint64(0xFFFFFFFF)).astype(np.float64) + 0.5) / 2**32 < top[at[part]]
+            cells.append(row[at[seen]] * k + ((dart[seen] >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64))
+            times.append(time[seen])
+            values.append(dart[seen])
         cell, when, value = map(np.concatenate, (cells, times, values))
         np.minimum.at(best, cell, when)
         first = when == best[cell]
