@@ -25,8 +25,8 @@ from autolot.llm.graphs import components, maybe_broadcast
 from autolot.llm.words import Words, mix
 
 SHINGLE, SIMILAR, WEIGHTING = 5, 0.8, "count"
-#: 32 bands of 7: a pair at 0.8 meets in a band with probability 0.9995, one at 0.33 with 0.014.
-BANDS, ROWS = 32, 7
+#: 24 bands of 6: a pair at 0.8 meets in a band with probability 0.9993, one at 0.33 with 0.03.
+BANDS, ROWS = 24, 6
 #: Bytes of texts in a block of work, and most texts in a block that are compared with each other.
 BLOCK_BYTES, BLOCK = 4_000_000, 128
 _ODD1, _ODD2, _ODD3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
