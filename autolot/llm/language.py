@@ -16,13 +16,15 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from autolot.llm.common import chunks, slim, spread, strings, table, utf8
+from autolot.llm.common import chunks, slim, spread, strings, table, typed, utf8
 
 #: Documents sampled for each language, as expected; all are taken where there are fewer.
 SAMPLE_DOCS = 400
 #: A context of three bytes is kept if some language has it so often.
 LEAST_COUNT = 3
 DEPTH = 3
+#: Bytes scored at a time.
+WINDOW = 1 << 18
 
 
 def held_out(doc_id: Column) -> Column:
@@ -62,61 +64,85 @@ def _grams(batches):
 
 
 class Model:
-    """Tabled code lengths: `rows` maps three symbols to a row, `cost` has a row for each context and symbol, with a column for each language."""
+    """Tabled code lengths of seen contexts only; what a context has not seen costs its escape and the next shorter context's length.
+
+    For each order d, `key[d]` holds the seen strings of d + 1 bytes in order, and `cost[d]` their last bytes' lengths in bits
+    after the d bytes before, with a column for each language; `context[d]` and `escape[d]` hold the contexts and what leaving
+    them costs (0 where a language does not know them). So the tables go with the strings of the sample, and not with
+    all pairs of bytes and contexts.
+    """
 
     def __init__(self, langs: list[str], grams: list[np.ndarray], counts: list[np.ndarray]):
         self.langs = langs
-        used = np.unique(np.concatenate([((g[:, None] >> np.array([24, 16, 8, 0])) & 255).ravel() for g in grams]))
-        self.symbol = np.zeros(256, np.uint8 if len(used) < 256 else np.uint16)
-        self.symbol[used] = np.arange(1, len(used) + 1)
-        a = self.size = len(used) + 1  # symbol 0: any byte that was never seen
-        unseen = 256 - len(used)
-        s = [self.symbol.astype(np.int64)[(g[:, None] >> np.array([24, 16, 8, 0])) & 255] for g in grams]
-        code = [(x[:, 0] * a + x[:, 1]) * a + x[:, 2] for x in s]
-        often = np.unique(np.concatenate(code))
-        seen = [np.bincount(c, n, minlength=a**3) for c, n in zip(code, counts, strict=True)]
-        known = often[np.max([x[often] for x in seen], axis=0) >= LEAST_COUNT]
-        self.rows = len(known) + (np.arange(a**3) % a**2).astype(np.int32)
-        self.rows[known] = np.arange(len(known))
-        self.cost = np.empty(((len(known) + a * a) * a, len(langs)), np.float32)
-        for k, (x, n) in enumerate(zip(s, counts, strict=True)):
-            base = np.full((1, a), 1 / 256)
-            base[0, 0] = unseen / 256
-            p0 = self._refine(np.bincount(x[:, 3], n, minlength=a)[None].astype(float), base)
-            p1 = self._refine(np.bincount(x[:, 2] * a + x[:, 3], n, minlength=a * a).reshape(a, a), np.repeat(p0, a, 0))
-            p2 = self._refine(np.bincount((x[:, 1] * a + x[:, 2]) * a + x[:, 3], n, minlength=a**3).reshape(a * a, a), np.tile(p1, (a, 1)))
-            own = self.rows[code[k]]
-            kept = own < len(known)
-            c3 = np.bincount(own[kept].astype(np.int64) * a + x[kept, 3], n[kept], minlength=len(known) * a).reshape(-1, a)
-            p3 = self._refine(c3, p2[known % a**2])
-            p = np.concatenate([p3, p2])
-            p[:, 0] /= max(unseen, 1)
-            self.cost[:, k] = -np.log2(np.maximum(p, 1e-30)).ravel()
+        self.key: list[np.ndarray] = []
+        self.cost: list[np.ndarray] = []
+        self.context: list[np.ndarray] = []
+        self.escape: list[np.ndarray] = []
+        shorter = np.full((256, len(langs)), 1 / 256)
+        for d in range(DEPTH + 1):
+            own = [g & ((1 << 8 * (d + 1)) - 1) for g in grams]
+            key = np.unique(np.concatenate(own))
+            n = np.stack([np.bincount(np.searchsorted(key, g), c, minlength=len(key)) for g, c in zip(own, counts, strict=True)], 1)
+            if d == DEPTH:
+                context, at = np.unique(key >> 8, return_inverse=True)
+                often = self._sums(at, n, len(context)).max(1) >= LEAST_COUNT
+                key, n = key[often[at]], n[often[at]]
+            context, at = np.unique(key >> 8, return_inverse=True)
+            lower = shorter if d == 0 else shorter[np.searchsorted(self.key[d - 1], key & ((1 << 8 * d) - 1))]
+            if d == 0:
+                n = np.stack([np.bincount(g, c, minlength=256) for g, c in zip(own, counts, strict=True)], 1)
+                key, context, at = np.arange(256), np.zeros(1, np.int64), np.zeros(256, np.int64)
+            total, kinds = self._sums(at, n, len(context)), self._sums(at, n > 0, len(context))
+            left = np.maximum(0, 1 - self._sums(at, np.where(n > 0, lower, 0), len(context)))
+            leave = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0) * (left > 1e-12)
+            rest = np.where(total > 0, leave / np.where(left > 0, left, 1), 1.0)
+            p = np.where(n > 0, n / np.maximum(total, 1)[at] * (1 - leave)[at], rest[at] * lower)
+            self.key.append(key.astype(np.int64))
+            self.context.append(context.astype(np.int64))
+            self.cost.append(-np.log2(np.maximum(p, 1e-30)))
+            self.escape.append(-np.log2(np.maximum(rest, 1e-30)))
+            shorter = p
+
+    @staticmethod
+    def _sums(group: np.ndarray, values: np.ndarray, groups: int) -> np.ndarray:
+        return np.stack([np.bincount(group, values[:, k], minlength=groups) for k in range(values.shape[1])], 1)
 
     @staticmethod
-    def _refine(count: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        """Distributions after contexts, from counts and from the distributions after the next shorter contexts."""
-        n, d = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
-        rest = np.where(count > 0, 0, shorter)
-        left = rest.sum(1, keepdims=True)
-        escape = np.where(n > 0, d / np.maximum(n + d, 1), 1.0) * (left > 0)
-        own = count / np.maximum(n, 1) * (1 - escape)
-        return own + escape * rest / np.where(left > 0, left, 1)
+    def _find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in a sorted table, and whether the wanted values are there."""
+        if not len(table):
+            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
+        return at, table[at] == wanted
+
+    def _bits(self, gram: np.ndarray) -> np.ndarray:
+        """Lengths of the last bytes of four-byte strings; equal strings are looked up once."""
+        gram, back = np.unique(gram, return_inverse=True)
+        out, todo = np.zeros((len(gram), len(self.langs))), np.arange(len(gram))
+        for d in range(DEPTH, -1, -1):
+            at, hit = self._find(self.key[d], gram[todo] & ((1 << 8 * (d + 1)) - 1))
+            out[todo[hit]] += self.cost[d][at[hit]]
+            todo = todo[~hit]
+            at, hit = self._find(self.context[d], (gram[todo] & ((1 << 8 * (d + 1)) - 1)) >> 8)
+            out[todo[hit]] += self.escape[d][at[hit]]
+        return out[back]
 
     def lengths(self, texts: pa.Array) -> np.ndarray:
-        """Code lengths in bits, a row for each text and a column for each language."""
+        """Code lengths in bits, a row for each text and a column for each language. Long texts are added up in windows."""
         out = np.zeros((len(texts), len(self.langs)))
-        a = np.int32(self.size)
         for lo, hi in chunks(texts, 1 << 18):
             data, at = utf8(texts.slice(lo, hi - lo))
             data, at = _padded(data, at)
-            s = self.symbol[data].astype(np.int32)
-            cell = self.rows[(s[:-3] * a + s[1:-2]) * a + s[2:-1]].astype(np.int64)
-            cell *= a
-            cell += s[3:]
-            bits = np.zeros((len(data) + 1, len(self.langs)))
-            np.cumsum(self.cost[cell], axis=0, dtype=np.float64, out=bits[DEPTH + 1 :])
-            out[lo:hi] = bits[at[1:]] - bits[at[:-1] + DEPTH]
+            row = lo + np.repeat(np.arange(hi - lo), np.diff(at))
+            real = np.arange(len(data)) - np.repeat(at[:-1], np.diff(at)) >= DEPTH
+            for begin in range(DEPTH, len(data), WINDOW):
+                end = min(len(data), begin + WINDOW)
+                x = data[begin - DEPTH : end].astype(np.int64)
+                own = real[begin:end]
+                gram, of = (x[3:] | x[2:-1] << 8 | x[1:-2] << 16 | x[:-3] << 24)[own], row[begin:end][own]
+                if len(of):
+                    first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+                    out[of[first]] += np.add.reduceat(self._bits(gram), first, axis=0)
         return out
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -151,7 +177,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row of `docs` (doc_id, text); other columns are ignored.
 
     A null text, one without letters, and every text if there is no model, gives `und` with score 0. Ties
-    go to the first language by name. Repeated rows stay; texts are read whole.
+    go to the first language by name. Repeated rows stay; texts are read whole, very long ones in windows.
     """
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     rows = docs.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.when(letters, F.col("text")).alias("text"))
@@ -168,7 +194,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             score = pa.compute.if_else(none, 0.0, pa.array(score, pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lang, score], ["doc_id", "held_out", "lang_pred", "score"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = typed(docs.schema["doc_id"].dataType)
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 

@@ -23,9 +23,9 @@ MANY_SOURCES = 50_000
 
 
 def uniform(*parts: Column) -> Column:
-    """A draw between 0 and 1 from the MD5 of the parts, never either."""
+    """A draw of 52 bits between 0 and 1 from the MD5 of the parts, never either."""
     text = F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts])
-    return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
 
 
 def place(*parts: Column) -> Column:
@@ -56,14 +56,28 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, power
     else:
         named = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "source string, weight double")
         rows = rows.alias("r").join(named.alias("w"), F.expr("r.source <=> w.source"), "left").select("r.source", "n", F.coalesce("weight", F.lit(0.0)).alias("weight"))
-    total = rows.agg(F.sum("n").alias("rows"), F.sum(F.col("weight").cast("decimal(38,9)")).cast("double").alias("weights"))
-    return rows.join(F.broadcast(total)).select("source", "n", (F.col("weight") / F.col("weights")).alias("weight"), (F.col("weight") / F.col("weights") * F.col("rows") / F.col("n")).alias("rate"))
+    rows = materialize(rows, "sources")
+    top = rows.agg(F.max("weight")).first()[0] or 1.0
+    share = F.col("weight") / F.lit(top)  # weights are scaled before they are rounded, so that no source's is lost in the sum
+    total = rows.agg(F.sum("n").alias("rows"), F.sum(share.cast("decimal(38,18)")).cast("double").alias("weights")).first()
+    weight = share / F.lit(total["weights"] or 1.0)
+    return rows.select("source", "n", weight.alias("weight"), (weight * F.lit(float(total["rows"] or 0)) / F.col("n")).alias("rate"))
+
+
+def names(docs: DataFrame) -> tuple[str, str, str]:
+    """What mix() calls its columns: copy, rate and position, with `mix_` before those that `docs` has."""
+    out = []
+    for name in ("copy", "rate", "position"):
+        while name in docs.columns:
+            name = f"mix_{name}"
+        out.append(name)
+    return tuple(out)
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = POWER, seed: int = SEED) -> DataFrame:
     """Replicate and shuffle: all columns of `docs` (doc_id, source, ...), with copy, rate and position.
 
-    Columns of `docs` with these three names give way. `copy` counts a document's copies from 0; `position` (ties: doc_id, copy) orders the mixture, and each
+    Columns of `docs` with these names stay, and the new ones are called otherwise (see names). `copy` counts a document's copies from 0; `position` (ties: doc_id, copy) orders the mixture, and each
     partition is sorted by it. Equal rows draw alike. Null doc_ids draw as one key. Empty tables give none.
     The target has about as many rows as `docs`; nothing else is dropped. The draw needs no shuffle; one
     exchange by a hash moves the copies, which no source or key can skew.
@@ -81,9 +95,10 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power:
     out = drawn.select("row", "doc_id", "rate", F.posexplode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("copy", "_"))
     out = out.withColumn("position", place(F.lit(seed), F.col("doc_id"), F.col("copy")))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("copy", "rate", "position")]
+    kept = [F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns]
+    copy, rate, position = names(docs)
     out = out.repartition(n, "position").sortWithinPartitions("position", "doc_id", "copy")
-    return out.select(*kept, F.col("copy").cast("long").alias("copy"), F.round("rate", 9).alias("rate"), "position")
+    return out.select(*kept, F.col("copy").cast("long").alias(copy), F.round("rate", 9).alias(rate), F.col("position").alias(position))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,11 +107,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH n AS (SELECT source, count(*) AS n, pow(count(*)::DOUBLE, 0.5::DOUBLE) AS w FROM documents GROUP BY source),
-t AS (SELECT sum(n)::DOUBLE AS rows, sum(w::DECIMAL(38, 9))::DOUBLE AS ws FROM n),
-r AS (SELECT source, w / ws * rows / n::DOUBLE AS rate FROM n, t),
+m AS (SELECT max(w) AS top FROM n),
+t AS (SELECT sum(n)::DOUBLE AS rows, sum((w / top)::DECIMAL(38, 18))::DOUBLE AS ws FROM n, m),
+r AS (SELECT source, w / top / ws * rows / n::DOUBLE AS rate FROM n, t, m),
 d AS (SELECT d.*, rate, greatest(1, ceil(rate / 64.0::DOUBLE))::INT AS parts FROM documents d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
 p AS (SELECT row_number() OVER () AS id, * FROM d),
-j AS (SELECT id, rate / parts AS mean, (('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null') || ':' || j.j::VARCHAR), 1, 8))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u
+j AS (SELECT id, rate / parts AS mean, (('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null') || ':' || j.j::VARCHAR), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
       FROM p, LATERAL (SELECT unnest(range(1, parts + 1)) AS j) j),
 k AS (SELECT id, sum(list_reduce(range(1, ceil(mean + 12 * sqrt(mean) + 20)::INT + 1),
         lambda s, x: CASE WHEN s.cdf > u THEN s ELSE {'p': s.p * mean / x, 'cdf': s.cdf + s.p * mean / x, 'k': s.k + 1} END,

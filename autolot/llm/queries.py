@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_tool_calls": tools.SQL, "op7_poisson_mixing": mixing.SQL, "op8_voronoi_knn": knn.SQL, "op10_host_reputation": hosts.SQL}
+    return {"op3_tool_calls": tools.SQL, "op7_poisson_mixing": mixing.SQL, "op8_voronoi_knn": knn.SQL, "op9_jump_sharding": sharding.SQL, "op10_host_reputation": hosts.SQL}

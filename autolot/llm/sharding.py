@@ -8,6 +8,8 @@ come from MD5 of the key and the jump's number, which DataFrame functions and pl
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,8 @@ def draw(key: Column, number: Column | int) -> Column:
 def jump(key: Column, shards: int) -> Column:
     """The shard, from 0 to shards - 1, of a key.
 
-    A jump leads at least one shard further, so `shards` jumps always suffice.
+    A row needs about ln(shards) jumps. Twenty and ten standard deviations more than that are folded; rows that have not
+    arrived by then, hardly any, go on for as many as `shards` jumps, which always suffice.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
@@ -36,7 +39,13 @@ def jump(key: Column, shards: int) -> Column:
         further = F.floor((state["next"] + 1) * F.lit(4294967296.0) / (draw(key, number) + 1))
         return F.when(state["next"] < shards, F.struct(state["next"].alias("b"), further.alias("next"))).otherwise(state)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(shards - 1)), start, step, lambda s: s["b"].cast("int"))
+    most = min(shards, 20 + math.ceil(math.log(shards) + 10 * math.sqrt(math.log(shards))))
+    done = F.aggregate(F.sequence(F.lit(0), F.lit(most - 1)), start, step)
+    if most == shards:
+        return done["b"].cast("int")
+    # only rows still on their way get numbers of further jumps
+    numbers = F.when(done["next"] < shards, F.sequence(F.lit(most), F.lit(shards - 1))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(numbers, done, step, lambda s: s["b"].cast("int"))
 
 
 def number_within(df: DataFrame, group: str, order: list[str], rank: str, ranges: int, out: str) -> DataFrame:
@@ -80,3 +89,16 @@ def shard_documents(docs: DataFrame, shards: int = 8, key: str = "doc_id", text:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
+
+
+SQL = """
+WITH RECURSIVE table_bits(i, c, k) AS (SELECT i, i, 0 FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM table_bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM table_bits WHERE k = 8),
+d AS (SELECT coalesce(doc_id::VARCHAR, 'null') AS key, doc_id, coalesce(text, '') AS text FROM documents),
+b AS (SELECT key, doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM d),
+z AS (SELECT key, doc_id, len(bytes)::BIGINT + 1 AS size, xor(list_reduce(bytes, lambda s, x: xor(s >> 8, t[(xor(s, x) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32 FROM b, crc),
+j AS (SELECT *, ('0x' || substr(md5(key || ':-1'), 1, 8))::BIGINT AS rank,
+  list_reduce(range(0, 9), lambda s, n: CASE WHEN s.next < 8 THEN {'b': s.next, 'next': floor((s.next + 1) * 4294967296.0::DOUBLE / (('0x' || substr(md5(key || ':' || n), 1, 8))::BIGINT + 1))::BIGINT} ELSE s END, {'b': 0::BIGINT, 'next': 0::BIGINT}).b AS shard,
+  list_reduce(range(0, 9), lambda s, n: CASE WHEN s.next < 9 THEN {'b': s.next, 'next': floor((s.next + 1) * 4294967296.0::DOUBLE / (('0x' || substr(md5(key || ':' || n), 1, 8))::BIGINT + 1))::BIGINT} ELSE s END, {'b': 0::BIGINT, 'next': 0::BIGINT}).b AS grown FROM z)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY rank, doc_id, text_crc32, size) - 1 AS slot, grown::INT AS grown_shard FROM j
+"""

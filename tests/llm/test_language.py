@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -8,7 +9,7 @@ from autolot.llm.common import table
 from tests.llm import samples
 
 
-def brute_bits(model_texts, text):
+def brute_bits(model_texts, text, often):
     """PPM with exclusion by plain dictionaries, for one language and depth 3."""
     counts = {}
     for t in model_texts:
@@ -20,7 +21,7 @@ def brute_bits(model_texts, text):
 
     def p(ctx, x):
         own = counts.get(ctx, {})
-        if len(ctx) == 3 and sum(own.values()) < L.LEAST_COUNT:
+        if len(ctx) == 3 and ctx not in often:
             own = {}
         if not ctx:
             lower = lambda y: 1 / 256
@@ -37,17 +38,30 @@ def brute_bits(model_texts, text):
     return sum(-np.log2(p(b[i - 3 : i], b[i])) for i in range(3, len(b)))
 
 
-def test_code_lengths_equal_plain_ppm():
-    texts = {"aa": ["the cat sat on the mat", "the dog the cat"], "bb": ["le chat et le chien", "un été à la mer"]}
+def contexts(texts):
+    """Contexts of three bytes that some language has often enough."""
+    out = set()
+    for own in texts.values():
+        n = Counter(b[i - 3 : i] for b in (b"\n\n\n" + t.encode() for t in own) for i in range(3, len(b)))
+        out |= {c for c, k in n.items() if k >= L.LEAST_COUNT}
+    return out
+
+
+def test_code_lengths_equal_plain_ppm(monkeypatch):
+    texts = {"aa": ["the cat sat on the mat", "the dog the cat"], "bb": ["le chat et le chien", "un été à la mer the"]}
     found = [(lang, row) for lang, ts in texts.items() for row in ts]
     grams = {}
     for batch in L._grams([pa.RecordBatch.from_arrays([pa.array([r for _, r in found]), pa.array([x for x, _ in found])], ["text", "lang"])]):
         for lang, g, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             grams.setdefault(lang, {})[g] = n
     model = L.Model(sorted(grams), [np.array(sorted(grams[x])) for x in sorted(grams)], [np.array([grams[x][g] for g in sorted(grams[x])], float) for x in sorted(grams)])
-    for text in ("the mat", "un chat", "zzz", "é", "", "the the the cat sat"):
-        bits = model.lengths(pa.array([text]))[0]
-        assert np.allclose(bits, [brute_bits(texts[x], text) for x in sorted(grams)], rtol=1e-4), text
+    cases = ["the mat", "un chat", "zzz", "é", "", "the the the cat sat", "the chat et the mer " * 40]
+    often = contexts(texts)
+    assert any(sum(t.encode().count(c) for t in texts["aa"]) >= L.LEAST_COUNT > sum(t.encode().count(c) for t in texts["bb"]) > 0 for c in often)  # known in one language, seen in the other
+    want = [[brute_bits(texts[x], text, often) for x in sorted(grams)] for text in cases]
+    for window in (L.WINDOW, 7):
+        monkeypatch.setattr(L, "WINDOW", window)
+        assert np.allclose(model.lengths(pa.array(cases)), want, rtol=1e-9)
 
 
 def test_held_out_accuracy(spark, sf_dir):

@@ -12,7 +12,7 @@ def draw(rate, doc_id, seed=M.SEED):
     n = 0
     for j in range(1, parts + 1):
         key = f"{seed}:{'null' if doc_id is None else doc_id}:{j}"
-        u, lam, k = (int(hashlib.md5(key.encode()).hexdigest()[:8], 16) + 0.5) / 2**32, rate / parts, 0
+        u, lam, k = (int(hashlib.md5(key.encode()).hexdigest()[:13], 16) + 0.5) / 2**52, rate / parts, 0
         p = cdf = math.exp(-lam)
         while cdf <= u and k < math.ceil(lam + 12 * math.sqrt(lam) + 20):
             k += 1
@@ -44,8 +44,17 @@ def test_means_are_met(spark):
 def test_odd_rows(spark):
     docs = samples.documents(spark)
     out = M.mix(docs, power=0.0)
-    assert out.columns == [c for c in docs.columns if c != "copy"] + ["copy", "rate", "position"]
+    assert out.columns == docs.columns + ["mix_copy", "rate", "position"]
+    own = docs.withColumn("copy", M.F.lit(77))
+    assert {r.copy for r in M.mix(own, power=0.0).collect()} == {77}
     assert {r.source for r in out.collect()} <= {"a", "b", None}
     assert M.mix(docs, {"a": 1.0}).where("source is null or source <> 'a'").count() == 0
     assert M.mix(docs, {None: 1.0}).where("source is not null").count() == 0
     assert M.mix(samples.empty(spark)).count() == 0
+
+
+def test_small_weights_count(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "if(id < 1000, 'a', 'b') AS source")
+    got = {r.source: r for r in M.rates(docs, {"a": 3e-12, "b": 1e-12}).collect()}
+    assert abs(got["a"].weight - 0.75) < 1e-9 and abs(got["b"].rate - 0.25 * 3000 / 2000) < 1e-9
+    assert M.rates(docs, {"c": 1.0}).where("rate <> 0").count() == 0 and M.mix(docs, {"c": 1.0}).count() == 0

@@ -37,6 +37,13 @@ def test_shards_are_even_and_move_little(spark):
     assert abs(sum(r.a != r.b for r in rows) / 40_000 - 1 / 9) < 0.01
 
 
+def test_many_shards(spark):
+    ids = spark.range(200)
+    for shards in (40, 100_000):
+        got = {r.id: r.s for r in ids.select("id", sharding.jump(sharding.F.col("id"), shards).alias("s")).collect()}
+        assert got == {k: jump(k, shards) for k in range(200)}
+
+
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = sharding.query(spark, sf_dir)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
