@@ -198,10 +198,10 @@ def _packed(groups: DataFrame, name: str, block_bytes: int) -> DataFrame:
     return groups.withColumn("pack", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64(name), F.lit(int(small // block_bytes) + 1))))
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """`wanted` (_node, _doc, ...) with `text`."""
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of `nodes` (node, doc_id), written once; the only join with all texts."""
     rows = docs.select(F.col("doc_id").alias("_id"), F.md5("text").alias("_md5"), "text")
-    return rows.join(maybe_broadcast(wanted), F.expr("_md5 = _node and _id <=> _doc")).drop("_id", "_md5")
+    return materialize(rows.join(maybe_broadcast(nodes), F.expr("_md5 = node and _id <=> doc_id")).select("node", "text"), "texts")
 
 
 def links(docs: DataFrame, rows: DataFrame, least: float = SIMILAR, weighting: str = WEIGHTING, block_bytes: int = BLOCK_BYTES, block: int = BLOCK) -> DataFrame:
@@ -217,7 +217,8 @@ def links(docs: DataFrame, rows: DataFrame, least: float = SIMILAR, weighting: s
     known = met.groupBy("node").agg(F.sum("n").alias("score"))
     firsts = met.select("node", "band").join(known, "node").groupBy("band").agg(F.max(F.struct("score", "node")).alias("_first")).select("band", F.col("_first.node").alias("first"))
     met = materialize(met.select("band", "node", "size").join(firsts, "band"), "met")
-    near = materialize(_similarities(docs, nodes, met, weighting, block_bytes), "near")
+    texts = _texts(docs, materialize(nodes.join(known.select("node"), "node").select("node", "doc_id"), "candidates"))
+    near = materialize(_similarities(texts, met, weighting, block_bytes), "near")
     linked = near.where(F.col("similarity") >= least - 1e-9).select(F.col("node").alias("a"), F.col("first").alias("b"))
 
     # Texts that are not linked to a bucket's first one, and linked ones that may be near enough to them.
@@ -233,9 +234,8 @@ def links(docs: DataFrame, rows: DataFrame, least: float = SIMILAR, weighting: s
     mixed = mixed.select("band", "bytes", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / block_bytes)).cast("int").alias("blocks"))
     mixed = _packed(materialize(mixed, "mixed"), "band", block_bytes)
     own = F.pmod(F.xxhash64("node"), "blocks").cast("int")
-    wanted = rest.join(maybe_broadcast(materialize(mixed, "mixed")), "band").withColumn("part", own).join(nodes.select("node", F.col("doc_id").alias("_doc"), "bands"), "node")
-    wanted = materialize(wanted.withColumnRenamed("node", "_node"), "wanted")
-    texts = _texts(docs, wanted).withColumnRenamed("_node", "node")
+    wanted = rest.join(maybe_broadcast(materialize(mixed, "mixed")), "band").withColumn("part", own).join(nodes.select("node", "bands"), "node")
+    texts = texts.join(maybe_broadcast(materialize(wanted, "wanted")), "node")
     other = F.explode(F.expr("if(blocks = 1, array(0), filter(sequence(0, blocks - 1), x -> x <> part))"))
     texts = texts.withColumn("other", other).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
     key = F.when(F.col("blocks") == 1, F.col("pack").cast("string")).otherwise(F.concat_ws(":", "band", "low", "high"))
@@ -243,18 +243,17 @@ def links(docs: DataFrame, rows: DataFrame, least: float = SIMILAR, weighting: s
     return linked.unionByName(texts.groupBy("key").applyInPandas(lambda frame: _rest(frame, least, weighting), "a string, b string"))
 
 
-def _similarities(docs: DataFrame, nodes: DataFrame, met: DataFrame, weighting: str, block_bytes: int) -> DataFrame:
+def _similarities(texts: DataFrame, met: DataFrame, weighting: str, block_bytes: int) -> DataFrame:
     """(node, first, similarity) of each text and each different first text of its buckets."""
     edges = materialize(met.where("node <> first").groupBy("node", "first").agg(F.first("size").alias("size")), "edges")
     stars = edges.groupBy(F.col("first").alias("star")).agg(F.sum("size").alias("bytes")).withColumn("blocks", F.ceil(F.col("bytes") / block_bytes).cast("int"))
     stars = materialize(_packed(materialize(stars, "stars"), "star", block_bytes), "stars")
     spokes = edges.select("node", F.col("first").alias("star")).join(maybe_broadcast(stars), "star").withColumn("low", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     heads = stars.withColumns({"node": F.col("star"), "low": F.lit(0)})
-    wanted = spokes.withColumn("high", F.col("low")).unionByName(heads.withColumn("high", F.col("blocks") - 1))
-    wanted = wanted.join(nodes.select("node", F.col("doc_id").alias("_doc")), "node").select(F.col("node").alias("_node"), "_doc", "star", "pack", "low", "high")
-    texts = _texts(docs, materialize(wanted, "spokes")).withColumn("block", F.explode(F.sequence("low", "high")))
+    wanted = spokes.withColumn("high", F.col("low")).unionByName(heads.withColumn("high", F.col("blocks") - 1)).select("node", "star", "pack", "low", "high")
+    texts = texts.join(maybe_broadcast(materialize(wanted, "spokes")), "node").withColumn("block", F.explode(F.sequence("low", "high")))
     key = F.coalesce(F.col("pack").cast("string"), F.concat_ws(":", "star", "block"))
-    texts = texts.select(key.alias("key"), "star", F.col("_node").alias("node"), "text")
+    texts = texts.select(key.alias("key"), "star", "node", "text")
     return texts.groupBy("key").applyInPandas(lambda frame: _stars(frame, weighting), "node string, first string, similarity double")
 
 
@@ -295,6 +294,8 @@ def keep_one(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     again = materialize(found.where("kept").groupBy("node").agg(F.count("*").alias("_n")).where("_n > 1").select("node"), "again")
     rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), "doc_id", F.md5("text").alias("node"))
     rows = rows.join(maybe_broadcast(dropped), F.expr("node = _node and doc_id <=> _doc"), "left_anti")
+    if again.isEmpty():  # as where no row is repeated: the texts are joined once
+        return rows.select("row.*")
     twice = rows.join(maybe_broadcast(again), "node", "left_semi").dropDuplicates(["node"])
     once = rows.join(maybe_broadcast(again), "node", "left_anti")
     return once.select("row").unionByName(twice.select("row")).select("row.*")
