@@ -16,6 +16,7 @@ from pyspark.sql.types import DoubleType
 
 from autolot.functions import refdata as R
 from autolot.operators.rows import cap, keep_first
+from autolot.sources.files import small
 
 
 def exact_match(left: DataFrame, right: DataFrame, ident: str, keys: list[str], key: str, hit: str) -> DataFrame:
@@ -44,17 +45,27 @@ def match(left: DataFrame, right: DataFrame, ident: str, keys: list[str], key: s
     return exact.join(part, on, "left").select(*left.columns, F.coalesce(F.col(hit), F.col("_p")).alias(hit), step.alias("step"))
 
 
-def longest_model(titles: DataFrame, models: DataFrame, ident: str, title: str, model: str, words: int = 4) -> DataFrame:
-    """The longest known model (ties: the first by name) that stands as whole words in the title.
+#: A word, or what stands between two words.
+PIECES = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
 
-    Word runs of the title meet the dictionary in an equi-join, so no title is held against every model.
+
+def longest_model(titles: DataFrame, models: DataFrame, ident: str, title: str, model: str) -> DataFrame:
+    """The longest known model (ties: the first by name) that stands in the title between word boundaries.
+
+    Runs of as many words as the longest model has, with what stands between them, meet the dictionary in an equi-join, so
+    no title is held against every model. The dictionary is broadcast if its bytes allow it. Models begin and end with a
+    letter or digit; signs around them are cut off.
     """
-    w = F.split(F.lower(F.trim(title)), r"\s+")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(words)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))))
-    asked = titles.select(ident, F.explode(F.array_distinct(runs)).alias("_run"))
-    known = models.select(F.col(model).alias("_m"), F.lower(F.trim(model)).alias("_run")).distinct()
+    name = F.regexp_extract(F.lower(F.trim(model)), r"^[^\p{L}\p{N}_]*(.*?)[^\p{L}\p{N}_]*$", 1)
+    known = models.select(F.col(model).alias("_m"), name.alias("_run")).where("_run <> ''").distinct()
+    words = known.agg(F.max(F.size(F.regexp_extract_all("_run", F.lit(r"[\p{L}\p{N}_]+"), 0)))).first()[0] or 1
+    pieces = F.regexp_extract_all(F.lower(title), F.lit(PIECES), 0)
+    asked = titles.select(ident, pieces.alias("_p")).where(F.size("_p") > 0)
+    start = F.sequence(F.lit(1), F.size("_p"))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(words)), lambda n: F.transform(start, lambda i: F.array_join(F.slice("_p", i, 2 * n - 1), ""))))
+    asked = asked.select(ident, F.explode(F.array_distinct(runs)).alias("_run"))
     best = F.min_by("_m", F.struct(-F.length("_m"), F.col("_m")))
-    return asked.join(known, "_run").groupBy(ident).agg(best.alias(model))
+    return asked.join(small(known), "_run").groupBy(ident).agg(best.alias(model))
 
 
 def risks(rows: DataFrame, table: DataFrame, ident: str, brand: Column, year: Column, engine: Column, reference_order: bool = False) -> DataFrame:

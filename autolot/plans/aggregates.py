@@ -22,7 +22,7 @@ query("d3_has_more", f"SELECT count(*) AS total, 40 + least(20, greatest(0, coun
 STAT = dbl(f"(SELECT *, round(impact0, 2) AS impact, round(greatest(0, 10.0 - impact0), 2) AS score, round(greatest(0, least(10, 10.0 - critical * 2.0 - serious * 1.0 - moderate * 0.3)), 1) AS badge_score, CASE WHEN total = 0 THEN 0.0 WHEN total <= 2 THEN 0.5 * total WHEN total <= 5 THEN 1.0 + 0.3 * (total - 2) WHEN total <= 10 THEN 2.0 + 0.2 * (total - 5) ELSE 3.0 + 0.1 * (total - 10) END + 0.5 * penal AS penalty FROM (SELECT *, critical * 2.0 + serious * 1.0 + moderate * 0.5 AS impact0 FROM (SELECT *, critical + serious + moderate AS total FROM (SELECT KEYS, count_if(severity = 'critical') AS critical, count_if(severity = 'serious') AS serious, count_if(severity = 'moderate') AS moderate, count_if(penal) AS penal FROM {SEV} GROUP BY ALL))))")
 MM, REF = STAT.replace("KEYS", "marque, modele"), STAT.replace("KEYS", "ref")
 query("d4_recall_stats", f"SELECT marque, modele, total, critical, serious, moderate, impact, score FROM {MM}")(lambda spark, sf: stats.recall_stats(frame(spark, sf, "recalls"), ["marque", "modele"]).select("marque", "modele", "total", "critical", "serious", "moderate", "impact", "score"))
-query("d4_vehicles_without_recalls", f"SELECT v.marque, v.modele, coalesce(score, 10.0::DOUBLE) AS score FROM (SELECT DISTINCT marque, modele FROM {V}) v LEFT JOIN (SELECT * FROM {MM} WHERE critical < 60) s USING (marque, modele)")(
+query("d4_vehicles_without_recalls", f"SELECT v.marque, v.modele, coalesce(score, 10.0::DOUBLE) AS score FROM (SELECT DISTINCT marque, modele FROM {V}) v LEFT JOIN (SELECT * FROM {MM}) s USING (marque, modele)")(
     lambda spark, sf: frame(spark, sf, "vehicles").select("marque", "modele").distinct().join(stats.recall_stats(frame(spark, sf, "recalls"), ["marque", "modele"]).select("marque", "modele", "score"), ["marque", "modele"], "left").withColumn("score", F.coalesce("score", F.lit(10.0)))
 )
 LEVEL = "CASE WHEN total = 0 THEN 'excellent' WHEN total <= 2 THEN 'bon' WHEN total <= 5 THEN 'moyen' WHEN total <= 10 THEN 'attention' ELSE 'critique' END"
@@ -75,7 +75,7 @@ query("d16_sources_used", f"SELECT review_id, concat_ws(',', CASE WHEN fiabilite
 query("f1_best_page", f"SELECT vehicle_id, prix FROM {V} ORDER BY prix DESC, vehicle_id LIMIT 20 OFFSET 40")(lambda spark, sf: rows.page(frame(spark, sf, "vehicles").select("vehicle_id", "prix"), [F.desc("prix"), F.col("vehicle_id")], 40, 20))
 query("f1_page_after", f"SELECT vehicle_id, prix FROM {V} WHERE prix < 9500 OR (prix = 9500 AND vehicle_id > 10) ORDER BY prix DESC, vehicle_id LIMIT 20")(lambda spark, sf: rows.page_after(frame(spark, sf, "vehicles").select("vehicle_id", "prix"), "prix", "vehicle_id", (9500.0, 10), 20))
 query("f2_search_top", f"SELECT s_id, score, array_to_string(string_split(pros, ';')[1:3], ';') AS pros FROM {SH} WHERE lower(modele) LIKE '%golf%' ORDER BY score DESC NULLS LAST, s_id LIMIT 30")(lambda spark, sf: frame(spark, sf, "sheets").where(F.lower("modele").contains("golf")).orderBy(F.desc_nulls_last("score"), "s_id").limit(30).select("s_id", "score", F.array_join(F.slice(F.split("pros", ";"), 1, 3), ";").alias("pros")))
-query("f3_listing_order", f"SELECT external_id, k FROM {LI} ORDER BY coalesce(expert, 0) DESC, coalesce(price, 999999), external_id, k LIMIT 100")(lambda spark, sf: frame(spark, sf, "listings").orderBy(F.coalesce("expert", F.lit(0.0)).desc(), F.coalesce("price", F.lit(999999.0)), "external_id", "k").select("external_id", "k"))
+query("f3_listing_order", f"SELECT external_id, k FROM {LI} ORDER BY coalesce(expert, 0) DESC, coalesce(price, 999999), external_id, k")(lambda spark, sf: frame(spark, sf, "listings").orderBy(F.coalesce("expert", F.lit(0.0)).desc(), F.coalesce("price", F.lit(999999.0)), "external_id", "k").select("external_id", "k"))
 query("f4_recalls_of_vehicle", f"SELECT marque, modele, ref FROM {RC} QUALIFY row_number() OVER (PARTITION BY marque, modele ORDER BY ref) <= 10")(lambda spark, sf: rows.cap(frame(spark, sf, "recalls").select("marque", "modele", "ref"), ["marque", "modele"], ["ref"], 10))
 query("f5_first_items", f"SELECT s_id, array_to_string(string_split(pros, ';')[1:2], ';') AS pros, len(string_split(pros, ';')[1:2])::INT AS n FROM {SH}")(lambda spark, sf: frame(spark, sf, "sheets").withColumn("p", F.slice(F.split("pros", ";"), 1, 2)).select("s_id", F.array_join("p", ";").alias("pros"), F.size("p").alias("n")))
 query("f6_sales_by_year", f"SELECT s_id, array_to_string(list_transform(list_sort({SALES}), lambda x: CAST(x.annee AS VARCHAR)), ',') AS years FROM {SH}")(lambda spark, sf: frame(spark, sf, "sheets").select("s_id", F.array_join(F.transform(F.sort_array(sales()), lambda x: x["annee"].cast("string")), ",").alias("years")))

@@ -34,35 +34,52 @@ def a1(spark, sf):
     return files.read_labels(spark, path)
 
 
+def indented(spark, df, name, page, rows=5000):
+    """A folder of indented JSON files, each a list of at most `rows` records, beside a broken one."""
+    path = files.scratch(spark, name)
+    pages = df.groupBy(F.floor(F.col(page) / rows).alias("page")).agg(F.collect_list(F.struct("*")).alias("r"))
+    written = pages.select(F.to_json("r", {"pretty": "true"}).alias("value")).union(spark.createDataFrame([("[\n  {broken",)], "value string"))
+    written.write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
 @query("a2_read_nested_json", f"SELECT s_id, marque, len(string_split(pros, ';')) AS n_pros FROM {sql('sheets')}")
 def a2(spark, sf):
+    path = indented(spark, frame(spark, sf, "sheets").select("s_id", "marque", F.split("pros", ";").alias("qualites")), "sheets", "s_id")
+    return files.read_documents(spark, path, "s_id: bigint, marque: string, qualites: array<string>").select("s_id", "marque", F.size("qualites").cast("long").alias("n_pros"))
+
+
+@query("a2_read_json_lines", f"SELECT s_id, marque FROM {sql('sheets')}")
+def a2_lines(spark, sf):
     path = files.scratch(spark, "sheets")
-    df = frame(spark, sf, "sheets").select("s_id", "marque", F.split("pros", ";").alias("qualites"))
+    df = frame(spark, sf, "sheets").select("s_id", "marque")
     df.select(F.to_json(F.struct("*")).alias("value")).union(spark.createDataFrame([("{broken",)], "value string")).write.text(path)
-    return files.read_documents(spark, path, "s_id long, marque string, qualites array<string>").select("s_id", "marque", F.size("qualites").cast("long").alias("n_pros"))
+    return files.read_documents(spark, path, "s_id: bigint, marque: string")
 
 
 @query("a3_transcode_listings", f"SELECT n, lib_mod_doss AS titre FROM {S}")
 def a3(spark, sf):
     old, new = files.scratch(spark, "latin"), files.scratch(spark, "utf8")
-    frame(spark, sf, "labels_csv").select("n", F.col("lib_mod_doss").alias("titre")).write.option("encoding", "ISO-8859-1").json(old)
-    return files.transcode(spark, old, new, "n long, titre string")
+    df = frame(spark, sf, "labels_csv").select("n", F.col("lib_mod_doss").alias("titre"))
+    pages = df.groupBy(F.floor(F.col("n") / 5000).alias("page")).agg(F.collect_list(F.struct("*")).alias("annonces")).drop("page")
+    pages.write.option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1").option("pretty", True).json(old)
+    return files.transcode(spark, old, new, "annonces array<struct<n: bigint, titre: string>>").select(F.explode("annonces").alias("a")).select("a.*")
 
 
 @query("a4_read_recall_pages", f"SELECT ref, product, risks FROM {sql('recalls')}")
 def a4(spark, sf):
     path = files.scratch(spark, "recalls")
-    pages = frame(spark, sf, "recalls").select("ref", "product", "risks").withColumn("page", F.floor(F.col("ref") / 50))
-    pages.groupBy("page").agg(F.count("*").alias("total_count"), F.collect_list(F.struct("ref", "product", "risks")).alias("results")).drop("page").write.json(path)  # 50 records a page
-    return files.read_pages(spark, path, "ref: long, product: string, risks: string")
+    pages = frame(spark, sf, "recalls").select("ref", "product", "risks").withColumn("page", F.floor(F.col("ref") / 5000))
+    pages = pages.groupBy("page").agg(F.count("*").alias("total_count"), F.collect_list(F.struct("ref", "product", "risks")).alias("results"))
+    pages.select(F.to_json(F.struct("total_count", "results"), {"pretty": "true"}).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return files.read_pages(spark, path, "ref: bigint, product: string, risks: string")
 
 
 @query("a5_read_station_prices", f"SELECT station, name, raw FROM {sql('fuel_feed')}")
 def a5(spark, sf):
-    path = files.scratch(spark, "stations")
     feed = frame(spark, sf, "fuel_feed")
-    feed.select("station", F.array(F.struct(F.col("name").alias("@nom"), F.col("raw").alias("@valeur"))).alias("prix")).write.json(path)
-    return files.read_stations(spark, path)
+    prices = F.array(F.struct(F.col("name").alias("@nom"), F.col("raw").alias("@valeur")))
+    return files.read_stations(spark, indented(spark, feed.select("station", prices.alias("prix")), "stations", "station"))
 
 
 @query("a6_column_aliases", f"SELECT n, lib_mrq AS marque, lib_mod_doss AS modele, '' AS code FROM {S}")
@@ -93,14 +110,18 @@ def a8(spark, sf):
     return spark.read.parquet(path).groupBy("vehicle_id").agg(F.count("*").alias("n"))
 
 
-@query("a9_report", f"SELECT level, count(*) AS n FROM {sql('reviews')} GROUP BY level")
+@query("a9_report", f"SELECT '2024-03-01T12:30:00' AS scrape_date, 'caradisiac' AS source, (SELECT count(*) FROM {sql('reviews')}) AS total_reviews, level, count(*) AS n FROM {sql('reviews')} GROUP BY level")
 def a9(spark, sf):
-    return files.report(frame(spark, sf, "reviews").select("review_id", "level", "note"), files.scratch(spark, "report"), "level")
+    rows = frame(spark, sf, "reviews").select("review_id", "level", "note")
+    return files.report(rows, files.scratch(spark, "report"), "level", "caradisiac", F.lit("2024-03-01 12:30:00").cast("timestamp"))
 
 
-@query("a10_count_objects", f"SELECT source, count(*) AS n FROM {sql('listings')} GROUP BY source")
+@query("a10_count_objects", f"SELECT source, count(*) + 1 AS n FROM {sql('listings')} GROUP BY source")
 def a10(spark, sf):
-    return frame(spark, sf, "listings").groupBy("source").agg(F.count("*").alias("n"))
+    """Exports of each source: lists of records, one object, a number, and a broken one."""
+    lists = frame(spark, sf, "listings").groupBy("source", F.floor(F.col("k") / 1000).alias("page")).agg(F.to_json(F.collect_list(F.struct("external_id", "price"))).alias("export"))
+    single = lists.select("source").distinct().select("source", F.explode(F.array(F.lit('{"a": 1}'), F.lit("17"), F.lit("[{"), F.lit("[]"))).alias("export"))
+    return lists.select("source", "export").unionByName(single).groupBy("source").agg(F.sum(files.count_objects(F.col("export"))).cast("long").alias("n"))
 
 
 query("a11_duplicate_keys", f"SELECT marque, modele, count(*) AS n FROM {sql('vehicles')} GROUP BY ALL HAVING count(*) > 1")(lambda spark, sf: files.duplicates(frame(spark, sf, "vehicles"), ["marque", "modele"]))
@@ -160,7 +181,7 @@ query("b20_recall_search", f"SELECT ref FROM {sql('recalls')} WHERE category = '
 query("b21_keep_reviews", f"SELECT review_id FROM {sql('reviews')} WHERE note IS NOT NULL OR fiabilite IS NOT NULL OR content <> ''")(lambda spark, sf: frame(spark, sf, "reviews").where("note is not null or fiabilite is not null or content <> ''").select("review_id"))
 
 
-@query("b22_queue", f"SELECT review_id, CASE WHEN note IS NULL THEN 'failed' ELSE 'processed' END AS status, CASE WHEN note IS NULL THEN 'no rating' ELSE '' END AS errors FROM {sql('reviews')} WHERE level = 'low' ORDER BY ts, review_id LIMIT 200")
+@query("b22_queue", f"SELECT review_id, CASE WHEN note IS NULL THEN 'failed' ELSE 'processed' END AS status, CASE WHEN note IS NULL THEN 'no rating' ELSE '' END AS errors FROM {sql('reviews')} WHERE level = 'low'")
 def b22(spark, sf):
     pending = frame(spark, sf, "reviews").where("level = 'low'").orderBy("ts", "review_id")  # all of them, oldest first
     failed = F.col("note").isNull()

@@ -98,10 +98,17 @@ query("c18_matched_sources", f"WITH m AS ({matched_sql(SH, 's_id', True)}) SELEC
 TI = sql("titles")
 
 
-@query("c5_longest_model", f"SELECT title, first(modele ORDER BY length(modele) DESC, modele) AS modele FROM (SELECT DISTINCT title FROM {TI}) t JOIN (SELECT DISTINCT modele FROM {V}) m ON contains(' ' || regexp_replace(lower(trim(title)), '\\s+', ' ', 'g') || ' ', ' ' || lower(modele) || ' ') GROUP BY title")
+SIGNED = "CASE length(title) % 3 WHEN 0 THEN replace(title, ' ', ', ') WHEN 1 THEN concat('(', replace(title, ' ', ')('), ')') ELSE title END"
+WHOLE = r"regexp_matches(lower(title), '\b' || regexp_replace(lower(modele), '([-.+()])', '\\\1', 'g') || '\b')"
+WITH_LONG = "SELECT DISTINCT modele FROM (SELECT modele FROM {} UNION ALL SELECT 'Rover Sport V8 Long Edition')"
+
+
+@query("c5_longest_model", f"SELECT title, first(modele ORDER BY length(modele) DESC, modele) AS modele FROM (SELECT DISTINCT {SIGNED} AS title FROM {TI} UNION ALL SELECT 'Land Rover Sport V8 Long Edition, 2019') t JOIN ({WITH_LONG.format(V)}) m ON {WHOLE} GROUP BY title")
 def c5(spark, sf):
-    titles = frame(spark, sf, "titles").select("title").distinct()
-    return M.longest_model(titles.withColumn("t", F.col("title")), frame(spark, sf, "vehicles").select("modele").distinct(), "title", "t", "modele")
+    """Titles with blanks, commas and brackets, and one model of five words."""
+    titles = frame(spark, sf, "titles").select(F.expr(SIGNED).alias("title")).distinct().union(spark.createDataFrame([("Land Rover Sport V8 Long Edition, 2019",)], "title string"))
+    models = frame(spark, sf, "vehicles").select("modele").union(spark.createDataFrame([("Rover Sport V8 Long Edition",)], "modele string")).distinct()
+    return M.longest_model(titles.withColumn("t", F.col("title")), models, "title", "t", "modele")
 
 
 STATS = f"(SELECT lower(trim(marque)) AS b, lower(modele) AS m, max(struct_pack(n := 20.0::DOUBLE * (vehicle_id % 10) / 10, i := -vehicle_id)) AS best FROM {V} GROUP BY ALL)"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import json
+import shutil
 import tempfile
 import uuid
 from functools import reduce
@@ -10,9 +13,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_LOCAL: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder where all executors can write; a temporary one only where the cluster names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    """A new folder where all executors can write, in that of `spark.checkpoint.dir`; a temporary one only for a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if not _LOCAL:
+            _LOCAL.append(f"file://{tempfile.mkdtemp(prefix='spark-')}")
+            atexit.register(shutil.rmtree, _LOCAL[0].removeprefix("file://"), ignore_errors=True)
+        base = _LOCAL[0]
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
@@ -23,6 +36,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = 32_000_000) -> DataFrame:
+    """Broadcast `df` if its rows' bytes, counted whole, allow it. For columns of texts and numbers."""
+    size = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in df.columns), F.lit(16 * len(df.columns)))
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= most else df
+
+
 def delimiter(spark: SparkSession, path: str) -> str:
     """`;` if the first line has more of them than commas, else a comma."""
     first = spark.read.text(path).limit(1).first()
@@ -36,29 +55,51 @@ def read_labels(spark: SparkSession, path: str, limit: int | None = None) -> Dat
     return df if limit is None else df.limit(limit)
 
 
+def is_whole(spark: SparkSession, path: str, encoding: str = "UTF-8") -> bool:
+    """Whether JSON files hold one document each, over many lines; else each line is one. The first line that is read tells:
+    it is a whole object only where lines are documents."""
+    first = spark.read.option("encoding", encoding).text(path).where("trim(value) <> ''").first()
+    try:
+        return first is not None and not isinstance(json.loads(first[0]), dict)
+    except ValueError:
+        return first[0].strip() in ("{", "[") or first[0].lstrip().startswith("[")
+
+
 def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One JSON object a line; lines that are no JSON are left out."""
-    df = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
-    return df.where("_corrupt_record is null").drop("_corrupt_record")
+    """The objects of JSON files: one a line, or one file with an object or a list of objects, indented or not.
+
+    Lines or files that are no JSON are left out. A file that is one document is read by one task, as JSON asks for. A folder
+    holds files of one kind.
+    """
+    text = spark.read.text(path, wholetext=is_whole(spark, path))
+    return text.select(F.explode(F.from_json("value", f"array<struct<{schema}>>")).alias("r")).where("r is not null").select("r.*")
 
 
 def transcode(spark: SparkSession, source: str, target: str, schema: str) -> DataFrame:
-    """Read JSON written in Latin-1, write it in UTF-8, and read that."""
-    spark.read.schema(schema).option("encoding", "ISO-8859-1").option("lineSep", "\n").json(source).write.json(target)
+    """Read JSON written in Latin-1, lines or whole files, write it in UTF-8 lines, and read that."""
+    old = spark.read.schema(schema).option("encoding", "ISO-8859-1").option("multiLine", is_whole(spark, source, "ISO-8859-1"))
+    (old if is_whole(spark, source, "ISO-8859-1") else old.option("lineSep", "\n")).json(source).write.json(target)
     return spark.read.schema(schema).json(target)
 
 
 def read_pages(spark: SparkSession, path: str, record: str) -> DataFrame:
     """The records of paged dumps `{total_count, results: [...]}`."""
-    return spark.read.schema(f"total_count long, results array<struct<{record}>>").json(path).select(F.explode("results").alias("r")).select("r.*")
+    return read_documents(spark, path, f"total_count: bigint, results: array<struct<{record}>>").select(F.explode("results").alias("r")).select("r.*")
 
 
 def read_stations(spark: SparkSession, path: str) -> DataFrame:
     """name and value of each price of fuel stations `{prix: [{@nom, @valeur}]}`."""
-    df = spark.read.schema("station long, prix array<struct<`@nom`: string, `@valeur`: string>>").json(path)
+    df = read_documents(spark, path, "station: bigint, prix: array<struct<`@nom`: string, `@valeur`: string>>")
     return df.select("station", F.explode("prix").alias("p")).select("station", F.col("p.`@nom`").alias("name"), F.col("p.`@valeur`").alias("raw"))
 
 
+def count_objects(document: Column) -> Column:
+    """How many objects a JSON document holds: a list's length, 1 for an object, 0 for anything else."""
+    listed = F.json_array_length(document)
+    single = F.get_json_object(document, "$").isNotNull() & F.ltrim(document).startswith("{")
+    return F.when(listed.isNotNull(), listed).when(single, 1).otherwise(0)
+
+
 def first_column(df: DataFrame, names: list[str], default: Column | None = None) -> Column:
     """The first of the names that `df` has; else the default, or an error where there is none."""
     for name in names:
@@ -91,10 +132,15 @@ def append(df: DataFrame, path: str) -> int:
     return df.sparkSession.read.parquet(path).count()
 
 
-def report(df: DataFrame, path: str, by: str) -> DataFrame:
-    """Write rows partitioned by `by`; the summary has a row for each value."""
-    df.write.partitionBy(by).parquet(path)
-    return df.sparkSession.read.parquet(path).groupBy(by).agg(F.count("*").alias("n"))
+def report(df: DataFrame, path: str, by: str, source: str, scraped_at: Column) -> DataFrame:
+    """Write rows as JSON under `path`/rows, partitioned by `by`, and beside them, under `path`/summary, the envelope: scrape_date,
+    source and total_reviews, with a row and its number for each value of `by`. Returns the summary as read again."""
+    df.write.partitionBy(by).json(f"{path}/rows")
+    counts = materialize(df.groupBy(by).agg(F.count("*").alias("n")), "counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    envelope = counts.select(F.date_format(scraped_at, "yyyy-MM-dd'T'HH:mm:ss").alias("scrape_date"), F.lit(source).alias("source"), F.lit(total).cast("long").alias("total_reviews"), by, "n")
+    envelope.write.json(f"{path}/summary")
+    return df.sparkSession.read.schema(envelope.schema).json(f"{path}/summary")
 
 
 def duplicates(df: DataFrame, keys: list[str], sparse: bool = False) -> DataFrame:

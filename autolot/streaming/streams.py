@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from autolot.functions import refdata as R
+from autolot.operators.rows import last_write
 from autolot.sources.files import scratch, upsert
 
 
@@ -40,15 +41,16 @@ def fuel_windows(feed: DataFrame, width: str = "10 minutes", late: str = "10 min
 def review_queue(pending: DataFrame, table: str) -> StreamingQuery:
     """Each batch of pending reviews is processed or failed, and put into the table `table`_<batch> of its snapshot.
 
-    A batch that runs twice after a failure writes the same snapshot, as it starts from the one before.
+    Of several rows of a review in a batch the last by `ts` counts (without one, or at ties, the last by status). A batch that runs twice after a failure writes the same snapshot, as it starts from the one before.
     """
     spark = pending.sparkSession
 
     def step(batch: DataFrame, number: int) -> None:
         failed = F.col("note").isNull()
-        done = batch.select("review_id", F.when(failed, "failed").otherwise("processed").alias("status"), F.when(failed, "no rating").otherwise("").alias("errors"))
+        latest = last_write(batch, ["review_id"], ["ts"]) if "ts" in batch.columns else batch.dropDuplicates()
+        done = latest.select("review_id", F.when(failed, "failed").otherwise("processed").alias("status"), F.when(failed, "no rating").otherwise("").alias("errors"))
         current = spark.read.parquet(f"{table}/n={number - 1}") if number else spark.createDataFrame([], done.schema)
-        upsert(current, done.dropDuplicates(["review_id"]), ["review_id"]).drop("change").write.mode("overwrite").parquet(f"{table}/n={number}")
+        upsert(current, last_write(done, ["review_id"], ["status", "errors"]), ["review_id"]).drop("change").write.mode("overwrite").parquet(f"{table}/n={number}")
 
     return pending.writeStream.foreachBatch(step).option("checkpointLocation", f"{table}-log").trigger(availableNow=True).start()
 
