@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from autolot.functions.text import collapse, digits, pseudonym
+from autolot.functions.text import collapse, digits, pseudonym, suffixed_number
 
 
 def plain(html: Column) -> Column:
@@ -32,13 +32,38 @@ def leading_int(text: Column) -> Column:
     return _pick(text, r"^(\d+)").try_cast("int")
 
 
+#: Patterns of a review block and of a sheet's points. Fixed values.
+MONTHS = "Janvier|Février|Mars|Avril|Mai|Juin|Juillet|Août|Septembre|Octobre|Novembre|Décembre"
+FUELS = "Essence|Diesel|Hybride|Électrique|GPL|E85"
+BOXES = "Manuelle|Automatique|Auto|BVA|CVT"
+AUTHOR = r"(?U)[Rr]édigé\s+par\s+([^,]+),?\s*(?:en\s+)?(\w+\s+\d{4})?"
+ENGINE = r"(?iU)(\d+(?:\.\d+)?[Ll]?\s*-?\s*\d+\s*ch)"
+PROS = r"(?isu)Avantages?\s*:?\s*([^I]+?)(?=Inconvénients?|\z)"
+CONS = r"(?isu)Inconvénients?\s*:?\s*(.+?)\z"
+NO_TITLE = r"(?iu)\d/5|Rédigé|Avantage|Inconvénient"
+USERS, SKIPPED = "l'avis des internautes", ("toutes les autres", "signalé")
+
+
 def block(text: Column) -> Column:
-    """note, author (pseudonym), engine, gearbox, vehicle month, pros and cons of a review block."""
-    line = lambda label: F.trim(_pick(text, rf"(?m)^{label}\s*:\s*(.+)$"))
+    """note, author (pseudonym), date, vehicle_month, fuel, gearbox, engine, pros, cons and title of a review block.
+
+    The block is the page's text, a line for each element. Pros and cons may have several lines. The pros are lost if
+    they hold an i, as in the source, whose pattern stops there.
+    """
+    t = F.trim(text)
+    lines = F.filter(F.transform(F.split(t, r"\n"), lambda x: F.trim(x)), lambda x: (F.length(x) > 5) & (F.length(x) < 100) & ~x.rlike(NO_TITLE))
     return F.struct(
-        F.replace(_pick(text, r"^(\d+(?:[.,]\d+)?)\s*/\s*5"), F.lit(","), F.lit(".")).try_cast("double").alias("note"), pseudonym(_pick(text, r"Par (\S+)")).alias("author"), line("Motorisation").alias("engine"), line("Boîte").alias("gearbox"),
-        _pick(text, r"Année : (\d{2}/\d{4})").alias("vehicle_month"), line("Avantages").alias("pros"), line("Inconvénients").alias("cons"),
-    )
+        F.coalesce(F.replace(_pick(t, r"(\d+(?:[.,]\d+)?)\s*/\s*5"), F.lit(","), F.lit(".")).try_cast("double"), F.lit(0.0)).alias("note"),
+        F.when(t.rlike(AUTHOR), pseudonym(_pick(t, AUTHOR))).alias("author"),
+        _pick(t, AUTHOR, 2).alias("date"),
+        _pick(t, rf"(?iuU)((?:{MONTHS})\s+\d{{4}})").alias("vehicle_month"),
+        F.initcap(_pick(t, f"(?iu)({FUELS})")).alias("fuel"),
+        F.initcap(_pick(t, f"(?iu)({BOXES})")).alias("gearbox"),
+        _pick(t, ENGINE).alias("engine"),
+        F.trim(_pick(t, PROS), F.lit(" \n\t")).alias("pros"),
+        F.trim(_pick(t, CONS), F.lit(" \n\t")).alias("cons"),
+        F.get(lines, F.lit(0)).alias("title"),
+    )
 
 
 def period(html: Column) -> Column:
@@ -61,9 +86,57 @@ def items(html: Column) -> Column:
     return F.transform(F.regexp_extract_all(html, F.lit(r"(?s)<li>(.*?)</li>"), 1), plain)
 
 
-def section_items(html: Column, part: int, longer_than: int) -> Column:
-    """List items before (0) or after (1) the heading of the cons, longer than a bound."""
-    return F.filter(items(F.coalesce(F.get(F.split(html, "Défauts"), F.lit(part)), F.lit(""))), lambda x: F.length(x) > longer_than)
+def lines_of(html: Column) -> Column:
+    """The texts between tags, without empty ones."""
+    return F.filter(F.transform(F.split(F.regexp_replace(html, "<[^>]*>", "\n"), r"\n"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def _section(lines: Column) -> tuple[Column, Column]:
+    """What the experts and what the users say in a section's lines."""
+    at = F.array_position(F.transform(lines, lambda x: F.lower(x).contains(USERS)), True)
+    expert = F.when(at > 0, F.slice(lines, F.lit(1), at.cast("int") - 1)).otherwise(lines)
+    user = F.when(at > 0, F.slice(lines, at.cast("int") + 1, F.size(lines))).otherwise(F.array().cast("array<string>"))
+
+    def said(x: Column, longer_than: int) -> Column:
+        low = F.lower(x)
+        skipped = reduce(lambda a, w: a | low.contains(w), SKIPPED, low.contains(USERS))
+        return (F.length(x) > longer_than) & ~skipped & ~x.rlike(r"^\([^)]+\)$")
+
+    return F.filter(expert, lambda x: said(x, 40)), F.filter(user, lambda x: said(x, 15))
+
+
+def sheet_points(html: Column) -> Column:
+    """pros and cons of a sheet, of experts (more than 40 characters) and of users (more than 15).
+
+    The line `Défauts` parts them, and in each the line on the users' opinion parts experts and users. Lines in brackets,
+    which name an engine, and those of navigation are skipped.
+    """
+    lines = lines_of(html)
+    cut = F.array_position(F.transform(lines, lambda x: F.lower(x).isin("défauts", "defauts")), True).cast("int")
+    pros = _section(F.when(cut > 1, F.slice(lines, F.lit(1), cut - 1)).otherwise(lines))
+    cons = _section(F.when(cut > 1, F.slice(lines, cut, F.size(lines))).otherwise(F.array().cast("array<string>")))
+    return F.struct(pros[0].alias("pros_expert"), pros[1].alias("pros_user"), cons[0].alias("cons_expert"), cons[1].alias("cons_user"))
+
+
+def yearly_sales(html: Column) -> Column:
+    """(year, sales) by year, from tables with a row of three years or more and a later row of as many numbers (82.1K, 1.2M, 900)."""
+    cells = lambda row: F.transform(F.regexp_extract_all(row, F.lit(r"(?s)<t[dh][^>]*>(.*?)</t[dh]>"), 1), plain)
+    start = F.struct(F.lit(None).cast("array<string>").alias("years"), F.lit(None).cast("array<string>").alias("sales"))
+
+    def step(state: Column, row: Column) -> Column:
+        years = F.size(F.filter(row, lambda x: x.rlike(r"^20\d{2}$"))) >= 3
+        numbers = F.size(F.filter(row, lambda x: x.rlike(r"\d"))) >= 3
+        fresh = F.struct(row.alias("years"), state["sales"].alias("sales"))
+        filled = F.struct(state["years"].alias("years"), row.alias("sales"))
+        return F.when(state["sales"].isNotNull(), state).when(years, fresh).when(state["years"].isNotNull() & numbers, filled).otherwise(state)
+
+    def of_table(table: Column) -> Column:
+        found = F.aggregate(F.transform(F.regexp_extract_all(table, F.lit(r"(?s)<tr[^>]*>(.*?)</tr>"), 1), cells), start, step)
+        pairs = F.filter(F.arrays_zip(found["years"].alias("y"), found["sales"].alias("s")), lambda x: x["y"].rlike(r"^20\d{2}$") & x["s"].isNotNull())
+        rows = F.transform(pairs, lambda x: F.struct(x["y"].cast("int").alias("year"), suffixed_number(x["s"]).alias("sales")))
+        return F.coalesce(F.filter(rows, lambda x: x["sales"] > 0), F.array().cast("array<struct<year:int,sales:bigint>>"))
+
+    return F.sort_array(F.flatten(F.transform(F.regexp_extract_all(html, F.lit(r"(?s)<table[^>]*>(.*?)</table>"), 1), of_table)))
 
 
 def engine_notes(html: Column) -> Column:

@@ -85,15 +85,63 @@ query("h19_scores_to_ten", f"SELECT r_id, round(fiabilite * 2, 1) AS fiabilite,
 query("h20_review_page", f"SELECT r_id, confort, securite, nb_avis FROM {sql('model_reviews')}")(
     lambda spark, sf: frame(spark, sf, "model_reviews").withColumn("html", F.concat(F.lit("<b>Avis</b> <p>Confort : "), F.col("confort").cast("string"), F.lit("/5</p><div>Sécurité <i>"), F.coalesce(F.col("securite").cast("string"), F.lit("-")), F.lit("/5</i></div> "), F.col("nb_avis").cast("string"), F.lit(" avis"))).select("r_id", P.page_score(F.col("html"), "Confort").alias("confort"), P.page_score(F.col("html"), "Sécurité").alias("securite"), P.page_reviews(F.col("html")).alias("nb_avis"))
 )
-query("h21_review_block", f"SELECT review_id, coalesce(note, 0) AS note, '2.0L - ' || km || ' ch' AS engine, 'Manuelle' AS gearbox, '03/2021' AS vehicle_month, sha256('Jean')[1:16] AS author, n_pros AS n FROM {RE}")(
-    lambda spark, sf: frame(spark, sf, "reviews").withColumn("block", F.concat(F.coalesce(F.col("note"), F.lit(0.0)).cast("string"), F.lit("/5 Par Jean\nMotorisation : 2.0L - "), F.col("km").cast("string"), F.lit(" ch\nBoîte : Manuelle\nAnnée : 03/2021\nAvantages : "), F.col("n_pros").cast("string"), F.lit(" points\nInconvénients : aucun"))).select("review_id", P.block(F.col("block")).alias("b"), "n_pros").select("review_id", "b.note", "b.engine", "b.gearbox", "b.vehicle_month", "b.author", P.leading_int(F.col("b.pros")).alias("n"))
-)
+BLOCK = """
+concat(CAST(coalesce(note, 0) AS STRING), '/5\nBonne voiture ', modele, CASE WHEN review_id % 2 = 0 THEN '\nJanvier 2021' ELSE '' END, '\nRédigé par ', coalesce(nullif(trim(author), ''), 'Paul'), ', en mars 2023\nFévrier 2022\n',
+  CASE WHEN review_id % 3 = 0 THEN 'diesel' ELSE 'Essence' END, '\nmanuelle\n1.2L - ', CAST(60 + n_pros AS STRING), ' ch\nAvantages :\nconfort\n', CASE WHEN review_id % 5 = 0 THEN 'silence' ELSE 'coffre' END, '\nInconvénients :\nbruit\nprix élevé')
+"""
+BLOCK_SQL = """
+SELECT review_id, coalesce(note, 0)::DOUBLE AS note, sha256(coalesce(nullif(trim(author), ''), 'Paul'))[1:16] AS author, 'mars 2023' AS date, CASE WHEN review_id % 2 = 0 THEN 'Janvier 2021' ELSE 'mars 2023' END AS vehicle_month,
+  CASE WHEN review_id % 3 = 0 THEN 'Diesel' ELSE 'Essence' END AS fuel, 'Manuelle' AS gearbox, '1.2L - ' || (60 + n_pros) || ' ch' AS engine, CASE WHEN review_id % 5 = 0 THEN NULL ELSE 'confort' || chr(10) || 'coffre' END AS pros,
+  'bruit' || chr(10) || 'prix élevé' AS cons, 'Bonne voiture ' || modele AS title FROM
+"""
+
+
+@query("h21_review_block", BLOCK_SQL + RE)
+def h21(spark, sf):
+    return frame(spark, sf, "reviews").select("review_id", P.block(F.expr(BLOCK)).alias("b")).select("review_id", "b.*")
+
+
 query("h22_sheet_links", f"SELECT s_id, CAST(2000 + s_id % 20 AS INT) AS first, CASE WHEN s_id % 2 = 0 THEN CAST(2005 + s_id % 20 AS INT) END AS last, {norm('marque')} AS marque, 2 AS links FROM {SH}")(
     lambda spark, sf: frame(spark, sf, "sheets").withColumns({"url": F.concat(F.lit("/fiche/"), F.replace(T.normalize(F.col("marque")), F.lit(" "), F.lit("+")), F.lit("/x-12.html")), "html": F.concat(F.lit("<h1>X ("), (2000 + F.col("s_id") % 20).cast("string"), F.lit("-"), F.when(F.col("s_id") % 2 == 0, (2005 + F.col("s_id") % 20).cast("string")).otherwise(""), F.lit(')</h1><a href="/fiche/a/b-12.html">a</a><a href="/fiche/a/c-77.html">c</a><a href="/autre">d</a>'))}).select("s_id", P.period(F.col("html")).alias("p"), F.replace(P.url_part(F.col("url"), 1), F.lit("+"), F.lit(" ")).alias("marque"), F.size(P.sheet_links(F.col("html"))).alias("links")).select("s_id", "p.first", "p.last", "marque", "links")
 )
-query("h23_sheet_points", f"SELECT s_id, array_to_string(list_filter(string_split(pros, ';'), lambda x: length(x) > 15), ';') AS pros, array_to_string(list_filter(string_split(cons, ';'), lambda x: length(x) > 15), ';') AS cons FROM {SH}")(
-    lambda spark, sf: frame(spark, sf, "sheets").withColumn("html", F.concat(F.lit("<h2>Qualités</h2><ul><li>"), F.replace("pros", F.lit(";"), F.lit("</li><li>")), F.lit("</li></ul><h2>Défauts</h2><ul><li>"), F.replace("cons", F.lit(";"), F.lit("</li><li>")), F.lit("</li></ul>"))).select("s_id", *[F.array_join(P.section_items(F.col("html"), i, 15), ";").alias(n) for i, n in enumerate(("pros", "cons"))])
-)
+SAID = " selon la rédaction, après un long essai sur route"
+
+
+def section(points):
+    """A section's HTML: an engine, the experts' words, then the users'."""
+    point = lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))
+    some = F.filter(F.split(points, ";"), lambda x: x != "")
+    experts = F.array_join(F.transform(some, lambda x: point(F.concat(x, F.lit(SAID)))), "")
+    users = F.array_join(F.transform(some, point), "")
+    skipped = F.lit("<p>12 défauts signalés par les internautes</p><p>Toutes les autres fiches de la marque</p>")
+    return F.concat(F.lit("<p>(1.2 PureTech 110 ch, depuis 2014)</p>"), experts, F.lit("<b>L'avis des internautes</b>"), users, skipped)
+
+
+POINT = "array_to_string(list_transform(list_filter(string_split({0}, ';'), lambda x: x <> ''), lambda x: x || '" + SAID + "'), ';') AS {0}_expert, array_to_string(list_filter(string_split({0}, ';'), lambda x: length(x) > 15), ';') AS {0}_user"
+
+
+@query("h23_sheet_points", f"SELECT s_id, {POINT.format('pros')}, {POINT.format('cons')} FROM {SH}")
+def h23(spark, sf):
+    html = F.concat(F.lit("<h2>Qualités</h2>"), section("pros"), F.lit("<h2>Défauts</h2>"), section("cons"))
+    parts = ("pros_expert", "pros_user", "cons_expert", "cons_user")
+    return frame(spark, sf, "sheets").select("s_id", P.sheet_points(html).alias("p")).select("s_id", *(F.array_join(f"p.{c}", ";").alias(c) for c in parts))
+
+
+SOLD = "list_sort(list_transform(list_filter(string_split(sales, ';'), lambda x: x <> ''), lambda x: x))"
+
+
+@query("h24_yearly_sales", f"SELECT s_id, CASE WHEN len({SOLD}) >= 3 THEN array_to_string({SOLD}, ';') ELSE '' END AS sales FROM {SH}")
+def h24_sales(spark, sf):
+    """Tables with a row of years and one of numbers, those of a thousand or more written in thousands."""
+    some = F.filter(F.split("sales", ";"), lambda x: x != "")
+    row = lambda of: F.concat(F.lit("<tr><th>-</th>"), F.array_join(F.transform(some, lambda x: F.concat(F.lit("<td>"), of(x), F.lit("</td>"))), ""), F.lit("</tr>"))
+    sold = lambda x: F.split(x, ":")[1].cast("int")
+    short = lambda x: F.when(sold(x) >= 1000, F.concat((sold(x) / 1000).cast("string"), F.lit("K"))).otherwise(sold(x).cast("string"))
+    html = F.concat(F.lit("<table>"), row(lambda x: F.split(x, ":")[0]), row(short), F.lit("</table>"))
+    found = F.transform(P.yearly_sales(html), lambda x: F.concat_ws(":", x["year"].cast("string"), x["sales"].cast("string")))
+    return frame(spark, sf, "sheets").select("s_id", F.array_join(found, ";").alias("sales"))
+
+
 query("h24_sheet_tables", f"SELECT s_id, list_avg(list_transform(list_filter(string_split(notes, ';'), lambda x: x <> ''), lambda x: CASE WHEN CAST(x AS DOUBLE) > 10 THEN CAST(x AS DOUBLE) / 2 ELSE CAST(x AS DOUBLE) END)) AS mean FROM {SH}")(
     lambda spark, sf: frame(spark, sf, "sheets").withColumn("html", F.concat(F.lit("<table>"), F.array_join(F.transform(F.filter(F.split("notes", ";"), lambda x: x != ""), lambda x: F.concat(F.lit("<tr><td>1.2 TCe</td><td>"), x, F.lit("</td></tr>"))), ""), F.lit("</table>"))).withColumn("n", P.engine_notes(F.col("html"))).select("s_id", F.try_divide(F.aggregate("n", F.lit(0.0), lambda a, x: a + x["note"]), F.size("n")).alias("mean"))
 )
