@@ -155,6 +155,136 @@ def identifier(found: Column, href: Column) -> Column:
     return F.coalesce(F.nullif(found, F.lit("")), F.substring(F.md5(href), 1, 12))
 
 
+#: Fuel codes of attribute cards. Fixed values.
+CARD_FUELS = {"b": "Essence", "d": "Diesel", "e": "Électrique", "l": "GPL", "c": "CNG", "2": "Hybride", "h": "Hybride"}
+SITE = "https://www.autoscout24.fr"
+
+
+def attribute_card(article: Column, site: str = SITE) -> Column:
+    """A listing from an <article> whose data attributes hold it; null without an id or a title.
+
+    The title is the heading's first two spans, else make and model; the link counts if it leads to an offer, else one is
+    made from the id; the photo is the first of a source's set, else the image's.
+    """
+    value = lambda name: F.nullif(attribute(article, name), F.lit(""))
+    ident = F.coalesce(value("data-guid"), _pick(article, r'<article[^>]*\sid="([^"]*)"'))
+    make, model = F.initcap(value("data-make")), F.initcap(value("data-model"))
+    heading = F.regexp_extract(article, r"(?s)<h[23][^>]*>(.*?)</h[23]>", 1)
+    spans = F.transform(F.regexp_extract_all(heading, F.lit(r"(?s)<span[^>]*>(.*?)</span>"), 1), plain)
+    first, second = F.get(spans, F.lit(0)), F.get(spans, F.lit(1))
+    title = F.when(first.isNotNull(), F.when((second != "") & (second != first), F.concat_ws(" ", first, second)).otherwise(first))
+    title = F.nullif(F.coalesce(title, F.trim(F.concat_ws(" ", make, model))), F.lit(""))
+    href = _pick(article, r'<a[^>]*\shref="([^"]*)"')
+    offer = href.contains("/offres/") | href.contains("/annonces/")
+    url = F.when(offer, F.when(href.startswith("/"), F.concat(F.lit(site), href)).otherwise(href)).otherwise(F.concat(F.lit(f"{site}/offres/-"), ident))
+    photo = F.coalesce(_pick(article, r'<source[^>]*\ssrcset="([^"\s]+)'), _pick(article, r'<img[^>]*\s(?:data-)?src="([^"\s]+)'))
+    registered = F.split(value("data-first-registration"), "-")
+    whole = F.struct(
+        ident.alias("external_id"), url.alias("url"), title.alias("title"),
+        value("data-price").try_cast("int").alias("price"), value("data-mileage").try_cast("int").alias("mileage"),
+        F.when(F.size(registered) == 2, F.get(registered, F.lit(1)).try_cast("int")).alias("year"),
+        F.create_map(*[F.lit(x) for kv in CARD_FUELS.items() for x in kv])[F.lower(value("data-fuel-type"))].alias("fuel"),
+        value("data-listing-zip-code").alias("zipcode"), photo.alias("photo_url"), make.alias("brand"), model.alias("model"),
+    )
+    return F.when(ident.isNotNull() & title.isNotNull(), whole)
+
+
+#: Words of link and tag cards. Fixed values.
+BADGES = ("a ne pas manquer", "nouveauté", "très bonne affaire", "bonne affaire")
+LINK_FUELS = ("diesel", "essence", "électrique", "electrique", "hybride", "hybrides", "gpl")
+LINK_BOXES = ("auto", "auto.", "automatique", "manuelle", "manuel")
+TAG_FUELS, TAG_BOXES = ("essence", "diesel", "électrique", "hybride", "gpl"), ("manuelle", "automatique", "manuel", "auto")
+
+
+def _first(parts: Column, test) -> Column:
+    return F.get(F.filter(parts, test), F.lit(0))
+
+
+def _last(parts: Column, test) -> Column:
+    return F.try_element_at(F.filter(parts, test), F.lit(-1))
+
+
+def _gearbox(word: Column) -> Column:
+    return F.when(word.isNotNull(), F.when(F.lower(word).contains("auto"), "Automatique").otherwise("Manuelle"))
+
+
+def link_card(link: Column, brands: list[str], site: str = "https://www.lacentrale.fr") -> Column:
+    """A listing from an <a> of text parts, known by their look; null without an advert's link, or without title and price.
+
+    The title is the first part with a known brand. Of badges, fuels and gearboxes the last counts, else the first part.
+    """
+    href = _pick(link, r'<a[^>]*\shref="([^"]*)"')
+    parts = F.filter(lines_of(link), lambda x: ~F.lower(x).isin(*BADGES))
+    branded = lambda x: reduce(lambda a, b: a | F.upper(x).contains(b), brands, F.lit(False))
+    title = _first(parts, branded)
+    price = _first(parts, lambda x: x.contains("€") & ~x.eqNullSafe(title))
+    km = _first(parts, lambda x: F.lower(x).contains("km") & ~x.eqNullSafe(title) & ~x.eqNullSafe(price))
+    badge = _last(lines_of(link), lambda x: F.lower(x).isin(*BADGES))
+    whole = F.struct(
+        identifier(_pick(href, r"annonce-(\d+)"), href).alias("external_id"), F.when(href.startswith("/"), F.concat(F.lit(site), href)).otherwise(href).alias("url"),
+        F.coalesce(title, F.lit("Annonce La Centrale")).alias("title"), digits(price).alias("price"), digits(km).alias("mileage"),
+        _first(parts, lambda x: x.rlike(r"^20[0-2]\d$")).try_cast("int").alias("year"),
+        F.replace(F.initcap(_last(parts, lambda x: F.lower(x).isin(*LINK_FUELS))), F.lit("Hybrides"), F.lit("Hybride")).alias("fuel"),
+        _gearbox(_last(parts, lambda x: F.lower(x).isin(*LINK_BOXES))).alias("transmission"),
+        _pick(link, r'<img[^>]*\s(?:data-|data-lazy-)?src="([^"]*)"').alias("photo_url"), F.concat(F.lit("🏷️ "), badge).alias("description"),
+    )
+    return F.when(href.contains("auto-occasion-annonce") & (title.isNotNull() | price.isNotNull()), whole)
+
+
+def _marked(html: Column, name: str, test: str) -> Column:
+    """The text of the element that a card marks as its `name`."""
+    found = F.regexp_extract(html, rf'(?s)<(\w+)[^>]*(?:data-qa-id="aditem_{name}"|class="aditem_{name}"|data-test-id="{test}")[^>]*>(.*?)</\1>', 2)
+    return F.nullif(plain(found), F.lit(""))
+
+
+def tag_card(card: Column, site: str = "https://www.leboncoin.fr") -> Column:
+    """A listing from a card of marked elements and tags; null without a title of five characters.
+
+    Year and mileage that no tag tells are taken from the card's whole text. A card without a number in its link gets one
+    from its title.
+    """
+    title = F.coalesce(_marked(card, "title", "ad-subject"), F.nullif(plain(F.regexp_extract(card, r"(?s)<h2[^>]*>(.*?)</h2>", 1)), F.lit("")), _pick(card, r'<a[^>]*\stitle="([^"]*)"'))
+    href = _pick(card, r'<a[^>]*\shref="([^"]*)"')
+    url = F.when(href.startswith("http"), href).otherwise(F.concat(F.lit(site), href))
+    tags = F.regexp_extract_all(F.regexp_extract(card, r'(?s)(?:data-qa-id|class)="aditem_tags"[^>]*>(.*?)</div>', 1), F.lit(r"(?s)<span[^>]*>(.*?)</span>"), 1)
+    tags = F.transform(tags, lambda x: F.lower(plain(x)))
+    year = _last(tags, lambda x: x.rlike(r"^20\d{2}$"))
+    km = _last(tags, lambda x: x.contains("km") & ~x.rlike(r"^20\d{2}$"))
+    whole = F.struct(
+        F.coalesce(_pick(url, r"/(\d+)\.htm"), F.concat(F.lit("lbc_"), (F.crc32(title.cast("binary")) % 100_000_000).cast("string"))).alias("external_id"), F.coalesce(url, F.lit("")).alias("url"), title.alias("title"),
+        digits(_marked(card, "price", "ad-price")).alias("price"), _marked(card, "location", "ad-geo").alias("city"),
+        F.coalesce(year, _pick(plain(card), r"\b(20\d{2})\b")).try_cast("int").alias("year"), F.coalesce(digits(km), digits(_pick(plain(card), r"(?i)([\d\s]+)\s*km"))).alias("mileage"),
+        F.initcap(_last(tags, lambda x: x.isin(*TAG_FUELS))).alias("fuel"), _gearbox(_last(tags, lambda x: x.isin(*TAG_BOXES))).alias("transmission"),
+        _pick(card, r'<img[^>]*\s(?:data-)?src="([^"]*)"').alias("photo_url"),
+    )
+    return F.when(F.length(title) >= 5, whole)
+
+
+def _of_class(html: Column, name: str) -> Column:
+    """The trimmed text of the first element of a class; empty without one."""
+    return plain(F.regexp_extract(html, rf'(?s)<(\w+)[^>]*class="{name}"[^>]*>(.*?)</\1>', 2))
+
+
+def legacy_card(html: Column, article: Column) -> Column:
+    """The twelve columns of a legacy card, all texts; `article` is its detail page, which holds the Crit'Air label."""
+    bare = lambda x: F.translate(x, "éèêëÉË", "eeeeEE")
+    title = F.split(bare(_of_class(html, "vehicle-model")), " ")
+    moving = F.split(_of_class(html, "vehicle-transmission"), " - ")
+    year_km = _of_class(html, "vehicle-zero-km")
+    options = F.regexp_extract_all(html, F.lit(r'(?s)class="equipment-tooltip-content"[^>]*>(.*?)<'), 1)
+    picture, link = _pick(html, r'data-original="([^"]*)"'), _pick(html, r'class="real-link vehicle-info-link"[^>]*href="([^"]*)"')
+    label = F.filter(F.transform(F.regexp_extract_all(article, F.lit(r'(?s)class="labels-body"[^>]*>(.*?)<'), 1), plain), lambda x: x.contains("Crit'Air"))
+    empty = lambda x: F.coalesce(x, F.lit(""))
+    return F.struct(
+        empty(F.get(title, F.lit(0))).alias("Marque"), empty(F.get(title, F.lit(1))).alias("Modele"), _of_class(html, "vehicle-motorisation").alias("Sous-titre"),
+        empty(F.concat(F.lit("https:"), picture)).alias("Image"), F.regexp_replace(_of_class(html, "vehicle-loa-offer"), "[€\\s\u00a0]", "").alias("Prix"),
+        F.when(F.size(moving) > 1, moving[1]).otherwise("").alias("Motorisation"), F.when(F.size(moving) > 1, moving[0]).otherwise("").alias("Carburant"),
+        F.substring(year_km, 1, 4).alias("Annee"), F.replace(year_km.substr(F.lit(9), F.greatest(F.length(year_km) - 11, F.lit(0))), F.lit(" "), F.lit("")).alias("Kms"),
+        F.transform(options, lambda x: bare(F.trim(x))).alias("Options"), empty(F.concat(F.lit("https://www.aramisauto.com"), link)).alias("Lien"),
+        empty(F.replace(F.get(label, F.lit(0)), F.lit("Crit'Air "), F.lit(""))).alias("Crit'air"),
+    )
+
+
 def card(text: Column) -> Column:
     """year, km, price, fuel and gearbox of a card of parts between bullets; parts are known by their look."""
     parts = F.transform(F.split(text, "•"), lambda x: F.trim(x))

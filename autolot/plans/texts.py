@@ -10,7 +10,7 @@ from autolot.functions import cleaning as C
 from autolot.functions import parsing as P
 from autolot.functions import refdata as R
 from autolot.functions import text as T
-from autolot.plans.lifts import frame, sql
+from autolot.plans.lifts import BRANDS, frame, sql
 from autolot.plans.matching import MODEL
 from autolot.plans.registry import query
 from autolot.plans.sqltext import brand, dbl, has, norm
@@ -150,12 +150,77 @@ query("h25_fault_classes", f"SELECT n, {FAULT} AS categorie FROM {IT}")(lambda s
 query("h26_listing_cards", f"SELECT external_id, k, CAST(CAST(round(price) AS BIGINT) AS INT) AS price, CAST(km AS INT) AS km, year, fuel, gearbox FROM {LI}")(
     lambda spark, sf: frame(spark, sf, "listings").withColumn("card", F.concat_ws(" • ", F.concat(F.col("year").cast("string")), F.concat(F.format_string("%,d", F.col("km").cast("long")), F.lit(" km")), "fuel", "gearbox", F.concat(F.format_string("%,d", F.round("price").cast("long")), F.lit(" €")))).select("external_id", "k", P.card(F.col("card")).alias("c")).select("external_id", "k", "c.*")
 )
-query("h26_card_attributes", f"SELECT external_id, k, source, md5(source || external_id)[1:12] AS ident, CAST(km AS INT) AS km FROM {LI}")(
-    lambda spark, sf: frame(spark, sf, "listings").withColumn("html", F.concat(F.lit('<article data-source="'), "source", F.lit('" data-mileage="'), F.col("km").cast("int").cast("string"), F.lit('"></article>'))).select("external_id", "k", P.attribute(F.col("html"), "data-source").alias("source"), P.identifier(F.lit(""), F.concat("source", "external_id")).alias("ident"), P.attribute(F.col("html"), "data-mileage").try_cast("int").alias("km"))
-)
-query("h27_legacy_cards", f"SELECT external_id, k, CAST(year AS VARCHAR) AS annee, CAST(CAST(km AS INT) AS VARCHAR) AS kms, trim(marque) AS marque, modele FROM {LI}")(
-    lambda spark, sf: frame(spark, sf, "listings").withColumns({"head": F.concat_ws(" - ", F.trim("marque"), "modele"), "line": F.concat(F.col("year").cast("string"), F.lit(" -- "), F.col("km").cast("int").cast("string"), F.lit(" km"))}).select("external_id", "k", F.substring("line", 1, 4).alias("annee"), F.expr("substring(line, 9, length(line) - 11)").alias("kms"), F.split("head", " - ")[0].alias("marque"), F.split("head", " - ")[1].alias("modele"))
+ARTICLE = """
+concat('<article class="card" data-guid="', external_id, '" data-make="', lower(trim(marque)), '" data-model="', lower(modele), '" data-price="', CAST(CAST(round(price) AS BIGINT) AS STRING), '" data-mileage="',
+  CASE WHEN k % 7 = 0 THEN 'inconnu' ELSE CAST(CAST(km AS INT) AS STRING) END, '" data-first-registration="03-', CAST(year AS STRING), '" data-fuel-type="', CASE k % 4 WHEN 0 THEN 'B' WHEN 1 THEN 'd' WHEN 2 THEN 'x' ELSE '2' END,
+  '" data-listing-zip-code="', CASE WHEN k % 3 = 0 THEN '' ELSE '75011' END, '">', CASE WHEN k % 2 = 0 THEN '<h2><span>Belle offre</span><span>GT Line</span></h2>' ELSE '' END,
+  CASE WHEN k % 5 = 0 THEN concat('<a href="/offres/', external_id, '">x</a>') ELSE '<a href="/autre">x</a>' END,
+  '<img src="https://img.example.com/1.jpg 1x">', CASE WHEN k % 2 = 0 THEN '<source srcset="https://img.example.com/2.webp 2x">' ELSE '' END, '</article>')
+"""
+WORDED = "array_to_string(list_transform(string_split(lower(trim({0})), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+
+
+@query("h26_card_attributes", f"""
+SELECT external_id, k, 'https://www.autoscout24.fr/offres/' || CASE WHEN k % 5 = 0 THEN '' ELSE '-' END || external_id AS url, CASE WHEN k % 2 = 0 THEN 'Belle offre GT Line' ELSE {WORDED.format('marque')} || ' ' || {WORDED.format('modele')} END AS title,
+  CAST(CAST(round(price) AS BIGINT) AS INT) AS price, CASE WHEN k % 7 <> 0 THEN CAST(km AS INT) END AS mileage, year, CASE k % 4 WHEN 0 THEN 'Essence' WHEN 1 THEN 'Diesel' WHEN 3 THEN 'Hybride' END AS fuel,
+  CASE WHEN k % 3 <> 0 THEN '75011' END AS zipcode, 'https://img.example.com/' || CASE WHEN k % 2 = 0 THEN '2.webp' ELSE '1.jpg' END AS photo_url, {WORDED.format('marque')} AS brand, {WORDED.format('modele')} AS model FROM {LI}""")
+def h26_attributes(spark, sf):
+    return frame(spark, sf, "listings").select("k", P.attribute_card(F.expr(ARTICLE)).alias("c")).select("k", "c.*")
+
+
+CARD_BRANDS = [b.strip().upper() for b in BRANDS]
+LINK = """
+concat('<a class="card" href="/auto-occasion-annonce-', CASE WHEN k % 4 = 0 THEN concat('x', external_id) ELSE concat(CAST(k AS STRING), '.html') END, '"><img data-src="https://img.example.com/', external_id, '.jpg">',
+  CASE WHEN k % 3 = 0 THEN '<b>Bonne affaire</b>' ELSE '' END, CASE WHEN k % 11 = 0 THEN '' ELSE concat('<h3>', upper(trim(marque)), ' ', modele, '</h3>') END, '<i>', engine, '</i><p>', CAST(year AS STRING), '</p><p>', CASE gearbox WHEN 'automatique' THEN 'Auto.' ELSE 'Manuelle' END,
+  '</p><p>', format_number(km, 0), ' KM</p><p>', CASE fuel WHEN 'hybride' THEN 'Hybrides' ELSE fuel END, '</p><p>', format_number(round(price), 0), ' €</p></a>')
+"""
+
+
+@query("h26_link_cards", f"""
+SELECT CASE WHEN k % 4 = 0 THEN md5('/auto-occasion-annonce-x' || external_id)[1:12] ELSE CAST(k AS VARCHAR) END AS external_id, k, 'https://www.lacentrale.fr/auto-occasion-annonce-' || CASE WHEN k % 4 = 0 THEN 'x' || external_id ELSE k || '.html' END AS url,
+  CASE WHEN k % 11 = 0 THEN 'Annonce La Centrale' ELSE upper(trim(marque)) || ' ' || modele END AS title, CAST(CAST(round(price) AS BIGINT) AS INT) AS price, CAST(km AS INT) AS mileage, year, upper(fuel[1]) || fuel[2:] AS fuel,
+  upper(gearbox[1]) || gearbox[2:] AS transmission, 'https://img.example.com/' || external_id || '.jpg' AS photo_url, CASE WHEN k % 3 = 0 THEN '🏷️ Bonne affaire' END AS description FROM {LI}""")
+def h26_links(spark, sf):
+    return frame(spark, sf, "listings").select("k", P.link_card(F.expr(LINK), CARD_BRANDS).alias("c")).select("k", "c.*")
+
+
+TAGGED = """
+concat('<div class="ad"><a title="lien" href="/ad/voitures/', CASE WHEN k % 5 = 0 THEN 'x' ELSE concat(CAST(k AS STRING), '.htm') END, '">voir</a>', CASE WHEN k % 2 = 0 THEN concat('<p data-qa-id="aditem_title">', trim(marque), ' ', modele, '</p>') ELSE concat('<h2>', trim(marque), ' ', modele, '</h2>') END,
+  '<span data-qa-id="aditem_price">', format_number(round(price), 0), ' €</span><span class="aditem_location">Paris 75011</span><img src="https://img.example.com/', external_id, '.jpg"><div class="aditem_tags">',
+  CASE WHEN k % 3 = 0 THEN '' ELSE concat('<span>', CAST(year AS STRING), '</span><span>', CAST(CAST(km AS INT) AS STRING), ' km</span>') END, '<span>', initcap(fuel), '</span><span>', gearbox, '</span></div>',
+  CASE WHEN k % 3 = 0 THEN concat('<p>Mise en circulation ', CAST(year AS STRING), '. Compteur : ', CAST(CAST(km AS INT) AS STRING), ' km</p>') ELSE '' END, '</div>')
+"""
+
+
+@query("h26_tag_cards", f"""
+SELECT CASE WHEN k % 5 <> 0 THEN CAST(k AS VARCHAR) ELSE 'lbc' END AS external_id, k, 'https://www.leboncoin.fr/ad/voitures/' || CASE WHEN k % 5 = 0 THEN 'x' ELSE k || '.htm' END AS url, trim(marque) || ' ' || modele AS title, CAST(CAST(round(price) AS BIGINT) AS INT) AS price,
+  'Paris 75011' AS city, year, CAST(km AS INT) AS mileage, CASE WHEN fuel <> 'electrique' THEN upper(fuel[1]) || fuel[2:] END AS fuel, upper(gearbox[1]) || gearbox[2:] AS transmission, 'https://img.example.com/' || external_id || '.jpg' AS photo_url FROM {LI} WHERE length(trim(marque) || ' ' || modele) >= 5""")
+def h26_tags(spark, sf):
+    found = frame(spark, sf, "listings").select("k", P.tag_card(F.expr(TAGGED)).alias("c")).where("c is not null").select("k", "c.*")
+    return found.withColumn("external_id", F.regexp_replace("external_id", r"^lbc_[0-9]{1,8}$", "lbc"))
+
+
+query("h26_identifier", f"SELECT external_id, k, md5(source || external_id)[1:12] AS ident FROM {LI}")(
+    lambda spark, sf: frame(spark, sf, "listings").select("external_id", "k", P.identifier(F.lit(""), F.concat("source", "external_id")).alias("ident"))
 )
+LEGACY = """
+concat('<div class="vehicle-container"><span class="vehicle-model">', replace(trim(marque), ' ', '-'), ' ', replace(modele, ' ', '-'), '</span><p class="vehicle-motorisation"> ', engine, ' </p><img class="lazyload" data-original="//img.example.com/',
+  external_id, '.jpg"><b class="vehicle-loa-offer">', format_number(round(price), 0), ' €</b><i class="vehicle-transmission">', fuel, CASE WHEN k % 5 = 0 THEN '' ELSE concat(' - ', engine) END, '</i><em class="vehicle-zero-km">',
+  CAST(year AS STRING), ' -- ', CAST(CAST(km AS INT) AS STRING), ' km</em><u class="equipment-tooltip-content"> Régulateur </u><u class="equipment-tooltip-content">GPS</u><a class="real-link vehicle-info-link" href="/achat/', external_id, '">x</a></div>')
+"""
+DETAIL = """concat('<p class="labels-body">Garantie</p>', CASE WHEN k % 3 = 0 THEN '' ELSE concat('<p class="labels-body"> Crit''Air ', CAST(k % 6 AS STRING), '</p>') END)"""
+UNACCENTED = "translate(replace({}, ' ', '-'), 'éèêëÉË', 'eeeeEE')"
+
+
+@query("h27_legacy_cards", f"""
+SELECT external_id, k, {UNACCENTED.format('trim(marque)')} AS "Marque", {UNACCENTED.format('modele')} AS "Modele", engine AS "Sous-titre", 'https://img.example.com/' || external_id || '.jpg' AS "Image", replace(format('{{:,}}', CAST(round(price) AS BIGINT)), ' ', '') AS "Prix",
+  CASE WHEN k % 5 = 0 THEN '' ELSE engine END AS "Motorisation", CASE WHEN k % 5 = 0 THEN '' ELSE fuel END AS "Carburant", CAST(year AS VARCHAR) AS "Annee", CAST(CAST(km AS INT) AS VARCHAR) AS "Kms", 'Regulateur,GPS' AS "Options",
+  'https://www.aramisauto.com/achat/' || external_id AS "Lien", CASE WHEN k % 3 = 0 THEN '' ELSE CAST(k % 6 AS VARCHAR) END AS "Crit'air" FROM {LI}""")
+def h27(spark, sf):
+    cards = frame(spark, sf, "listings").select("external_id", "k", P.legacy_card(F.expr(LEGACY), F.expr(DETAIL)).alias("c")).select("external_id", "k", "c.*")
+    return cards.withColumn("Options", F.array_join("Options", ","))
+
+
 KNOWN = ["PEUGEOT", "RENAULT", "CITROEN", "CITROËN", "VOLKSWAGEN", "VW", "BMW", "MERCEDES", "AUDI", "TOYOTA", "FORD", "OPEL", "FIAT", "NISSAN", "HYUNDAI", "KIA", "SEAT", "SKODA", "DACIA", "MINI", "VOLVO", "MAZDA", "HONDA", "SUZUKI", "JEEP", "LAND ROVER", "JAGUAR", "PORSCHE", "TESLA", "ALFA ROMEO", "DS"]
 KB = "CASE " + " ".join(f"WHEN contains(upper(product), '{b}') THEN '{b}'" for b in KNOWN) + " ELSE upper(words[1]) END"
 query("h28_recall_fields", f"SELECT ref, coalesce(upper(nullif(brand_field, '')), {KB}) AS brand, upper(words[2]) AS model, len(list_filter(list_transform(regexp_split_to_array(coalesce(shops, ''), '[,;\\n]'), lambda x: trim(x)), lambda x: x <> ''))::INT AS shops FROM (SELECT *, string_split(regexp_replace(trim(product), '\\s+', ' ', 'g'), ' ') AS words FROM {RC})")(
