@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -40,15 +41,35 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write `df` to the shared folder once and read it back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, most: int = 1000):
+    """Within it, what runs sends texts to Python in batches of at most `most` rows; the session keeps its setting.
+
+    At Spark's default of 10,000 rows, a batch and what Arrow keeps of it take hundreds of MB in each worker.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    if 0 < int(old) <= most:
+        yield
+        return
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def slim(batches: Iterator[pa.RecordBatch], most: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most `most` rows, so that what is made of their texts stays small."""
     for batch in batches:
         for at in range(0, batch.num_rows, most):
             yield batch.slice(at, most)
+    pa.default_memory_pool().release_unused()
 
 
 def quoted(name: str) -> str:
