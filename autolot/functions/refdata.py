@@ -117,3 +117,6 @@ FAULT_CLASSES = [
     ("freinage", ["frein", "brake", "plaquette", "disque"]),
 ]
 STOP_WORDS = ["le", "la", "les", "un", "une", "des", "de", "du", "à", "au", "aux", "et", "ou", "mais", "car", "donc", "or", "ni", "que", "qui", "quoi", "ce", "cette", "ces", "son", "sa", "ses", "mon", "ma", "mes", "très", "peu", "trop", "assez", "bien", "bon", "bonne", "est", "sont", "a", "ont", "fait", "être", "avoir"]
+
+#: Brands looked for in the names of recalled products, in this order. Fixed values.
+RECALL_BRANDS = ["PEUGEOT", "RENAULT", "CITROEN", "CITROËN", "VOLKSWAGEN", "VW", "BMW", "MERCEDES", "AUDI", "TOYOTA", "FORD", "OPEL", "FIAT", "NISSAN", "HYUNDAI", "KIA", "SEAT", "SKODA", "DACIA", "MINI", "VOLVO", "MAZDA", "HONDA", "SUZUKI", "JEEP", "LAND ROVER", "JAGUAR", "PORSCHE", "TESLA", "ALFA ROMEO", "DS"]

@@ -221,10 +221,9 @@ def h27(spark, sf):
     return cards.withColumn("Options", F.array_join("Options", ","))
 
 
-KNOWN = ["PEUGEOT", "RENAULT", "CITROEN", "CITROËN", "VOLKSWAGEN", "VW", "BMW", "MERCEDES", "AUDI", "TOYOTA", "FORD", "OPEL", "FIAT", "NISSAN", "HYUNDAI", "KIA", "SEAT", "SKODA", "DACIA", "MINI", "VOLVO", "MAZDA", "HONDA", "SUZUKI", "JEEP", "LAND ROVER", "JAGUAR", "PORSCHE", "TESLA", "ALFA ROMEO", "DS"]
-KB = "CASE " + " ".join(f"WHEN contains(upper(product), '{b}') THEN '{b}'" for b in KNOWN) + " ELSE upper(words[1]) END"
+KB = "CASE " + " ".join(f"WHEN contains(upper(product), '{b}') THEN '{b}'" for b in R.RECALL_BRANDS) + " ELSE upper(words[1]) END"
 query("h28_recall_fields", f"SELECT ref, coalesce(upper(nullif(brand_field, '')), {KB}) AS brand, upper(words[2]) AS model, len(list_filter(list_transform(regexp_split_to_array(coalesce(shops, ''), '[,;\\n]'), lambda x: trim(x)), lambda x: x <> ''))::INT AS shops FROM (SELECT *, string_split(regexp_replace(trim(product), '\\s+', ' ', 'g'), ' ') AS words FROM {RC})")(
-    lambda spark, sf: frame(spark, sf, "recalls").select("ref", P.recall_brand(F.col("brand_field"), F.col("product"), KNOWN).alias("brand"), P.recall_model(F.col("product")).alias("model"), F.size(P.shops(F.col("shops"))).alias("shops"))
+    lambda spark, sf: frame(spark, sf, "recalls").select("ref", P.recall_brand(F.col("brand_field"), F.col("product"), R.RECALL_BRANDS).alias("brand"), P.recall_model(F.col("product")).alias("model"), F.size(P.shops(F.col("shops"))).alias("shops"))
 )
 query("h29_recall_severity", f"SELECT ref, CASE WHEN {has('t', R.RECALL_CRITICAL)} THEN 'critical' WHEN {has('t', R.RECALL_SERIOUS)} THEN 'serious' ELSE 'moderate' END AS severity FROM (SELECT ref, lower(coalesce(risks, '') || ' ' || coalesce(motive, '')) AS t FROM {RC})")(lambda spark, sf: frame(spark, sf, "recalls").select("ref", T.recall_severity(F.col("risks"), F.col("motive")).alias("severity")))
 
