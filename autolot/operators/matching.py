@@ -27,13 +27,122 @@ def exact_match(left: DataFrame, right: DataFrame, ident: str, keys: list[str],
     return out.select(*left.columns, F.coalesce(*[F.col(f"_h{i}") for i in range(len(keys))]).alias(hit))
 
 
+#: Parts meet texts by so many of their first characters.
+FIRST = 4
+
+
+def pieces(text: Column, size: int = FIRST) -> Column:
+    """Different pieces of 1 to `size` characters; none of a null text."""
+    def of(n: int) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: i + n - 1 <= F.length(text))
+        return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
+
+    return F.array_distinct(F.flatten(F.array(*[of(n) for n in range(1, size + 1)])))
+
+
+def containing(whole: DataFrame, parts: DataFrame, block: str, text: str, part_block: str, part: str) -> DataFrame:
+    """Pairs of a block where `text` of `whole` holds `part` of `parts`, each pair once, with the columns of both (all names differ).
+
+    An empty or null part is in no text. A part's first characters meet the text's pieces of that length in an equi-join; only
+    parts that begin alike are compared further, and no block is held against all of its texts.
+    """
+    cut = whole.withColumn("_piece", F.explode(pieces(F.col(text))))
+    first = parts.where(F.col(part) != "").withColumn("_first", F.substring(part, 1, FIRST))
+    met = cut.join(first, (F.col(block) == F.col(part_block)) & (F.col("_piece") == F.col("_first")))
+    return met.where((F.length(part) <= FIRST) | F.col(text).contains(F.col(part))).drop("_piece", "_first")
+
+
 def partial_match(left: DataFrame, right: DataFrame, block: str, text: str, model: str, other: str, hit: str) -> DataFrame:
     """Different (block, text, model) of `left` with the least `hit` of those rows of `right` in the block whose `other`
-    occurs in the text, or holds the model. Rows that agree are matched once."""
+    occurs in the text, or holds the model. Rows, texts and models that agree are matched once."""
     asked = left.select(block, text, model).distinct()
-    found = asked.join(right.select(F.col(block).alias("_b"), other, hit), F.col(block) == F.col("_b"))
-    inside = ((F.col(other) != "") & F.col(text).contains(F.col(other))) | ((F.col(model) != "") & F.col(other).contains(F.col(model)))
-    return found.where(inside).groupBy(block, text, model).agg(F.min(hit).alias(hit))
+    known = right.groupBy(F.col(block).alias("_b"), other).agg(F.min(hit).alias(hit))
+    texts = containing(asked.select(block, text).distinct(), known, block, text, "_b", other)
+    texts = texts.groupBy(F.col(block).alias("_tb"), F.col(text).alias("_t")).agg(F.min(hit).alias("_by_text"))
+    models = containing(known, asked.select(block, model).distinct(), "_b", other, block, model)
+    models = models.groupBy(F.col(block).alias("_mb"), F.col(model).alias("_m")).agg(F.min(hit).alias("_by_model"))
+    found = asked.join(texts, (F.col(block) == F.col("_tb")) & (F.col(text) == F.col("_t")), "left")
+    found = found.join(models, (F.col(block) == F.col("_mb")) & (F.col(model) == F.col("_m")), "left")
+    return found.select(block, text, model, F.least("_by_text", "_by_model").alias(hit)).where(F.col(hit).isNotNull())
+
+
+def first_containing(left: DataFrame, right: DataFrame, block: str, part: str, right_block: str, text: str, hit: str) -> DataFrame:
+    """Different (block, part) of `left` with the least `hit` of the rows of `right` whose text holds the part."""
+    known = right.groupBy(right_block, text).agg(F.min(hit).alias(hit))
+    pairs = containing(known, left.select(block, part).distinct(), right_block, text, block, part)
+    return pairs.groupBy(block, part).agg(F.min(hit).alias(hit))
+
+
+def first_beginning(left: DataFrame, right: DataFrame, block: str, start: str, right_block: str, text: str, best: str) -> DataFrame:
+    """Different (block, start) of `left` with the greatest `best` of the rows of `right` whose text begins so.
+
+    Every beginning of a text gets its best row before the join, which is then on equal keys alone.
+    """
+    lengths = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    begun = right.select(F.col(right_block).alias("_b"), F.col(best), F.explode(F.transform(lengths, lambda n: F.substring(F.col(text), F.lit(1), n))).alias("_s"))
+    begun = begun.groupBy("_b", "_s").agg(F.max(best).alias(best))
+    asked = left.select(block, start).distinct()
+    return asked.join(begun, (F.col(block) == F.col("_b")) & (F.col(start) == F.col("_s"))).select(block, start, best)
+
+
+def stepwise_lookup(left: DataFrame, right: DataFrame, brand: str, model: str, right_brand: str, right_model: str, note: str, ident: str) -> DataFrame:
+    """Different (brand, model) of `left` with a row of `right` of that brand, and the step that found it.
+
+    1: the same model; 2: a model that holds the one asked for; 3: the best note of the brand; 4: none (null). Within a step
+    the highest note wins, then the least ident. Names are normalised by the caller.
+    """
+    asked = left.select(brand, model).distinct()
+    best = F.max_by(F.struct(note, ident), F.struct(F.col(note), -F.col(ident)))
+    known = right.groupBy(F.col(right_brand).alias("_b"), F.col(right_model).alias("_m")).agg(best.alias("_r"))
+    top = F.max_by("_r", F.struct(F.col(f"_r.{note}"), -F.col(f"_r.{ident}")))
+    same = known.select("_b", "_m", F.col(f"_r.{ident}").alias("_1"))
+    part = containing(known, asked, "_b", "_m", brand, model).groupBy(F.col(brand).alias("_pb"), F.col(model).alias("_pm")).agg(top.alias("_p"))
+    whole = known.groupBy(F.col("_b").alias("_wb")).agg(top.alias("_w"))
+    found = asked.join(same, (F.col(brand) == F.col("_b")) & (F.col(model) == F.col("_m")), "left")
+    found = found.join(part, (F.col(brand) == F.col("_pb")) & (F.col(model) == F.col("_pm")), "left").join(whole, F.col(brand) == F.col("_wb"), "left")
+    hits = [F.col("_1"), F.col(f"_p.{ident}"), F.col(f"_w.{ident}")]
+    step = F.coalesce(*[F.when(h.isNotNull(), n) for n, h in enumerate(hits, 1)], F.lit(4))
+    return found.select(brand, model, step.alias("step"), F.coalesce(*hits).alias(ident))
+
+
+def feature_match(asked: DataFrame, vehicles: DataFrame, ident: str, brand: str = "marque", model: str = "modele", power: str = "puissance", fuel: str = "carburant", span: int = 10) -> DataFrame:
+    """Different (brand, model, power, fuel) of titles with the least `ident` of the vehicles that fit, and `match_type`.
+
+    Brand and fuel are equal, the vehicle's model holds the title's, its power is at most `span` away; all but fuel in any
+    case. A feature that is null (a fuel: or `inconnu`) asks for nothing. `match_type` is `exact`, or `fallback_power_based`
+    where no vehicle fits. Every combination of features left open has its own rolled-up vehicles, so that joins are on
+    equal keys throughout: block of brand and fuel, model names that hold each other, and powers by steps of `span`.
+    """
+    asked = asked.select("brand", "model", "power", "fuel").distinct()
+    part = lambda c: F.coalesce(F.lower(c), F.lit("*"))
+    keys = asked.select("brand", "model", "power", "fuel", F.concat_ws("|", part("brand"), part(F.nullif("fuel", F.lit("inconnu")))).alias("_block"), F.lower(F.coalesce("model", F.lit(""))).alias("_model"))
+    b, f, m = F.lower(brand), F.lower(fuel), F.lower(model)
+    blocks = F.array(*[F.concat_ws("|", x, y) for x in (b, F.lit("*")) for y in (f, F.lit("*"))])
+    known = vehicles.select(ident, F.col(power).alias("_power"), m.alias("_name"), F.explode(blocks).alias("_vb"))
+    known = known.select(ident, "_power", "_vb", F.explode(F.array("_name", F.lit(""))).alias("_name"))  # the empty name: any model
+    known = known.groupBy("_vb", "_name", "_power").agg(F.min(ident).alias("_id"))
+    names = known.select("_vb", "_name").distinct()
+    wanted = keys.select("_block", "_model").distinct()
+    pairs = containing(names, wanted, "_vb", "_name", "_block", "_model").select("_block", "_model", "_name")
+    pairs = pairs.unionByName(wanted.where("_model = ''").withColumn("_name", F.lit("")))
+    step = lambda c: F.floor(F.col(c) / span)
+    near = keys.where("power is not null").select("_block", "_model", "power").distinct().join(pairs, ["_block", "_model"])
+    near = near.withColumn("_step", F.explode(F.array(step("power") - 1, step("power"), step("power") + 1)))
+    near = near.join(known.withColumn("_vs", step("_power")).withColumnRenamed("_name", "_vn"), (F.col("_block") == F.col("_vb")) & (F.col("_name") == F.col("_vn")) & (F.col("_step") == F.col("_vs")))
+    near = near.where(F.abs(F.col("_power") - F.col("power")) <= span).groupBy("_block", "_model", "power").agg(F.min("_id").alias("_id"))
+    any_power = known.groupBy(F.col("_vb"), F.col("_name").alias("_vn")).agg(F.min("_id").alias("_id"))
+    free = keys.where("power is null").select("_block", "_model").distinct().join(pairs, ["_block", "_model"])
+    free = free.join(any_power, (F.col("_block") == F.col("_vb")) & (F.col("_name") == F.col("_vn"))).groupBy("_block", "_model").agg(F.min("_id").alias("_id"))
+    hits = near.unionByName(free.withColumn("power", F.lit(None).cast(keys.schema["power"].dataType))).select(F.col("_block").alias("_hb"), F.col("_model").alias("_hm"), F.col("power").alias("_hp"), F.col("_id").alias(ident))
+    out = keys.join(hits, (F.col("_block") == F.col("_hb")) & (F.col("_model") == F.col("_hm")) & F.col("power").eqNullSafe(F.col("_hp")), "left")
+    return out.select("brand", "model", "power", "fuel", ident, F.when(F.col(ident).isNotNull(), "exact").otherwise("fallback_power_based").alias("match_type"))
+
+
+def blend_reliability(vehicles: DataFrame, reviews: DataFrame, recalls: DataFrame, keys: list[str], review_score: str, recall_score: str, shares: tuple[float, float] = (0.7, 0.3), estimate: float = 7.0) -> DataFrame:
+    """`fiabilite` of each vehicle: the reviews' and the recalls' scores by their `shares`; the one there is; else `estimate`."""
+    both = vehicles.join(reviews.select(*keys, F.col(review_score).alias("_f")), keys, "left").join(recalls.select(*keys, F.col(recall_score).alias("_s")), keys, "left")
+    blend = F.when(F.col("_f").isNotNull() & F.col("_s").isNotNull(), F.col("_f") * shares[0] + F.col("_s") * shares[1])
+    return both.select(*vehicles.columns, F.round(F.coalesce(blend, "_s", "_f", F.lit(estimate)), 3).alias("fiabilite"))
 
 
 def match(left: DataFrame, right: DataFrame, ident: str, keys: list[str], key: str, block: str, text: str, model: str, other: str, hit: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from autolot.operators import vehicles
+from autolot.operators import filters, vehicles
 from autolot.plans.lifts import frame, sql
 from autolot.plans.registry import query
 from autolot.sources import files
@@ -158,35 +158,58 @@ def b13(spark, sf):
 
 
 LIST, VEH = sql("listings"), sql("vehicles")
-query("b15_label_rows", f"SELECT vehicle_id, CAST(floor(CAST(floor(puissance * 0.7355::DOUBLE) AS INT) / 0.7355::DOUBLE) AS INT) AS ch FROM {VEH} WHERE lower(marque) LIKE '%peugeot%' AND abs(CAST(floor(puissance * 0.7355::DOUBLE) AS INT) - CAST(floor(110 * 0.7355::DOUBLE) AS INT)) <= 7 AND carburant IN ('essence', 'hybride') ORDER BY vehicle_id LIMIT 50")(
-    lambda spark, sf: frame(spark, sf, "vehicles").withColumn("kw", F.floor(F.col("puissance") * 0.7355)).where(F.lower("marque").contains("peugeot") & (F.abs(F.col("kw") - int(110 * 0.7355)) <= 7) & F.col("carburant").isin("essence", "hybride")).orderBy("vehicle_id").limit(50).select("vehicle_id", F.floor(F.col("kw") / 0.7355).cast("int").alias("ch"))
-)
-query("b16_list_filter", f"SELECT vehicle_id FROM {VEH} WHERE starts_with(lower(marque), 're') AND regexp_matches(carburant, 'hybride|diesel')")(lambda spark, sf: frame(spark, sf, "vehicles").where(F.startswith(F.lower("marque"), F.lit("re")) & F.col("carburant").rlike("(?i)hybride|diesel")).select("vehicle_id"))
+B15 = f"""SELECT vehicle_id, CAST(floor(kw / 0.7355::DOUBLE) AS INT) AS ch FROM (SELECT *, CAST(floor(puissance * 0.7355::DOUBLE) AS INT) AS kw FROM {VEH})
+WHERE lower(marque) LIKE '%peugeot%' AND abs(kw - CAST(floor(110 * 0.7355::DOUBLE) AS INT)) <= 7 AND carburant IN ('essence', 'hybride') ORDER BY vehicle_id LIMIT 50"""
+
+
+@query("b15_label_rows", B15)
+def b15(spark, sf):
+    v = frame(spark, sf, "vehicles").withColumn("kw", F.floor(F.col("puissance") * filters.KW_PER_HP))
+    return filters.label_rows(v, "vehicle_id", "Peugeot", None, 110, ["essence", "hybride"]).select("vehicle_id", "ch")
+
+
+@query("b16_list_filter", f"SELECT vehicle_id FROM {VEH} WHERE starts_with(lower(marque), 're') AND regexp_matches(carburant, 'hybride|diesel')")
+def b16(spark, sf):
+    return frame(spark, sf, "vehicles").where(filters.vehicle_list("RE", ["hybride", "diesel"])).select("vehicle_id")
 
 
-@query("b17_search_filter", f"SELECT vehicle_id FROM {VEH} WHERE starts_with(lower(marque), 'tesla') AND (contains(replace(replace(lower(marque || modele), ' ', ''), '-', ''), 'model3') OR regexp_matches(modele, '(?i)model 3')) AND carburant = 'inconnu'")
+SEARCH_KEY = "replace(replace(lower(marque || modele), ' ', ''), '-', '')"
+
+
+@query("b17_search_filter", f"SELECT vehicle_id FROM {VEH} WHERE starts_with(lower(marque), 'tesla') AND (contains({SEARCH_KEY}, 'model3') OR contains(lower(modele), 'model 3')) AND carburant = 'inconnu'")
 def b17(spark, sf):
-    words = "tesla model".split()
-    key = F.regexp_replace(F.lower(F.concat("marque", "modele")), r"[\s\-]", "")
-    return frame(spark, sf, "vehicles").where(F.startswith(F.lower("marque"), F.lit(words[0])) & (key.contains("model3") | F.col("modele").rlike("(?i)model 3")) & (F.col("carburant") == "inconnu")).select("vehicle_id")
+    return frame(spark, sf, "vehicles").where(filters.vehicle_search("Tesla", "Model 3", "inconnu")).select("vehicle_id")
+
+
+@query("b17_free_query", f"SELECT vehicle_id FROM {VEH} WHERE starts_with(lower(marque), 'peugeot') AND (contains({SEARCH_KEY}, 'e208') OR contains(lower(modele), 'e-208')) AND regexp_matches(carburant, '(?i)diesel|GO|gazole')")
+def b17_free(spark, sf):
+    return frame(spark, sf, "vehicles").where(filters.vehicle_search(text="Peugeot e-208 occasion", fuel="diesel")).select("vehicle_id")
+
+
+@query("b18_listing_filter", f"SELECT external_id FROM {LIST} WHERE price BETWEEN 10000 AND 40000 AND km <= 120000 AND year BETWEEN 2010 AND 2020 AND fuel = 'diesel' AND gearbox = 'manuelle' AND marque = 'Renault'")
+def b18(spark, sf):
+    wanted = filters.listing_filter((10000, 40000), 120000, (2010, 2020), "diesel", "manuelle", "Renault")
+    return frame(spark, sf, "listings").where(wanted).select("external_id")
+
+
+@query("b14_match_filter", f"SELECT vehicle_id FROM {VEH} WHERE lower(marque) = 'renault' AND contains(lower(modele), 'clio') AND puissance BETWEEN 80 AND 100 AND boite = 'manuelle' AND annee_debut <= 2016 AND (annee_fin IS NULL OR annee_fin >= 2014)")
+def b14_filter(spark, sf):
+    return frame(spark, sf, "vehicles").where(filters.vehicle_filter("Renault", "CLIO", 90, "inconnu", "manuelle", 2015)).select("vehicle_id")
 
 
-query("b18_listing_filter", f"SELECT external_id FROM {LIST} WHERE price BETWEEN 10000 AND 40000 AND km <= 120000 AND year BETWEEN 2010 AND 2020 AND fuel = 'diesel' AND gearbox = 'manuelle' AND marque = 'Renault'")(
-    lambda spark, sf: frame(spark, sf, "listings").where("price between 10000 and 40000 and km <= 120000 and year between 2010 and 2020 and fuel = 'diesel' and gearbox = 'manuelle' and marque = 'Renault'").select("external_id")
-)
 query("b19_minimum_score", f"SELECT external_id, expert FROM {LIST} WHERE expert >= 12")(lambda spark, sf: frame(spark, sf, "listings").where("expert >= 12").select("external_id", "expert"))
-query("b20_recall_search", f"SELECT ref FROM {sql('recalls')} WHERE category = 'automobiles' AND (contains(upper(coalesce(brand_field, '')), 'RENAULT') OR contains(upper(product), 'RENAULT')) AND contains(upper(product), 'CLIO')")(
-    lambda spark, sf: frame(spark, sf, "recalls").where((F.col("category") == "automobiles") & (F.upper(F.coalesce("brand_field", F.lit(""))).contains("RENAULT") | F.upper("product").contains("RENAULT")) & F.upper("product").contains("CLIO")).select("ref")
-)
+@query("b20_recall_search", f"SELECT ref FROM {sql('recalls')} WHERE category = 'automobiles' AND (contains(upper(coalesce(brand_field, '')), 'RENAULT') OR contains(upper(product), 'RENAULT')) AND contains(upper(product), 'CLIO')")
+def b20(spark, sf):
+    return frame(spark, sf, "recalls").where(filters.recall_search("Renault", "Clio")).select("ref")
+
+
 query("b21_keep_reviews", f"SELECT review_id FROM {sql('reviews')} WHERE note IS NOT NULL OR fiabilite IS NOT NULL OR content <> ''")(lambda spark, sf: frame(spark, sf, "reviews").where("note is not null or fiabilite is not null or content <> ''").select("review_id"))
 
 
 @query("b22_queue", f"SELECT review_id, CASE WHEN note IS NULL THEN 'failed' ELSE 'processed' END AS status, CASE WHEN note IS NULL THEN 'no rating' ELSE '' END AS errors FROM {sql('reviews')} WHERE level = 'low'")
 def b22(spark, sf):
-    pending = frame(spark, sf, "reviews").where("level = 'low'").orderBy("ts", "review_id")  # all of them, oldest first
-    failed = F.col("note").isNull()
-    errors = F.when(failed, F.array_append(F.array().cast("array<string>"), F.lit("no rating"))).otherwise(F.array().cast("array<string>"))
-    return pending.select("review_id", F.when(failed, "failed").otherwise("processed").alias("status"), F.array_join(errors, ",").alias("errors"))
+    rows = filters.queue(frame(spark, sf, "reviews"), F.col("level") == "low", F.when(F.col("note").isNull(), "no rating"), ["ts", "review_id"])
+    return rows.select("review_id", "status", F.array_join("errors", ",").alias("errors"))
 
 
 query("b23_fresh_snapshots", f"SELECT review_id FROM {sql('reviews')} WHERE ts + INTERVAL 300 SECOND >= TIMESTAMP '2024-01-10 00:00:00' AND ts <= TIMESTAMP '2024-01-10 00:00:00'")(

@@ -111,43 +111,39 @@ def c5(spark, sf):
     return M.longest_model(titles.withColumn("t", F.col("title")), models, "title", "t", "modele")
 
 
-STATS = f"(SELECT lower(trim(marque)) AS b, lower(modele) AS m, max(struct_pack(n := 20.0::DOUBLE * (vehicle_id % 10) / 10, i := -vehicle_id)) AS best FROM {V} GROUP BY ALL)"
+STATS = f"""(SELECT lower(trim(marque)) AS b, lower(modele) AS m, s_id, coalesce(score, 0) * 2 AS note,
+ string_split(pros, ';')[1:3] AS pros, string_split(cons, ';')[1:3] AS cons, string_split(notes, ';')[1:2] AS faults FROM {SH})"""
+FOUND = f"""(SELECT lb, lm, s_id, note, pros, cons, faults FROM (SELECT DISTINCT lower(trim(marque)) AS lb, lower(modele) AS lm FROM {LI}) q
+ JOIN {STATS} s ON s.b = lb AND starts_with(s.m, lm) QUALIFY row_number() OVER (PARTITION BY lb, lm ORDER BY note DESC, s_id) = 1)"""
+C6 = f"""SELECT external_id, s_id, note, array_to_string(pros, ';') AS pros, array_to_string(cons, ';') AS cons, array_to_string(faults, ';') AS faults
+FROM {LI} l JOIN {FOUND} h ON h.lb = lower(trim(l.marque)) AND h.lm = lower(l.modele)"""
 
 
-def stats(spark, sf):
-    """The best vehicle of each brand and model."""
-    v = frame(spark, sf, "vehicles").withColumn("n", F.lit(20.0) * (F.col("vehicle_id") % 10) / 10)
-    return v.groupBy(F.lower(F.trim("marque")).alias("b"), F.lower("modele").alias("m")).agg(F.max(F.struct("n", (-F.col("vehicle_id")).alias("i"))).alias("best"))
-
-
-@query("c6_listing_stats", f"SELECT external_id, -best.i AS vehicle_id, best.n AS note FROM {LI} l JOIN (SELECT lb, lm, max(best) AS best FROM (SELECT DISTINCT lower(trim(marque)) AS lb, lower(modele) AS lm FROM {LI}) q JOIN {STATS} s ON s.b = lb AND starts_with(s.m, lm) GROUP BY ALL) h ON h.lb = lower(trim(l.marque)) AND h.lm = lower(l.modele)")
+@query("c6_listing_stats", C6)
 def c6(spark, sf):
+    """Listings with note, three pros and cons and two faults of the best sheet of the brand whose model begins as theirs."""
+    few = lambda c, n: F.slice(F.split(c, ";"), 1, n).alias(c)
+    analysis = F.struct(F.coalesce(F.col("score"), F.lit(0.0)).alias("score"), (-F.col("s_id")).alias("order"), few("pros", 3), few("cons", 3), few("notes", 2))
+    stats = frame(spark, sf, "sheets").select(F.lower(F.trim("marque")).alias("b"), F.lower("modele").alias("m"), analysis.alias("best"))
     asked = frame(spark, sf, "listings").select("external_id", F.lower(F.trim("marque")).alias("lb"), F.lower("modele").alias("lm"))
-    hits = asked.select("lb", "lm").distinct().join(stats(spark, sf), (F.col("lb") == F.col("b")) & F.startswith("m", "lm"))
-    best = hits.groupBy("lb", "lm").agg(F.max("best").alias("best"))
-    return asked.join(best, ["lb", "lm"]).select("external_id", (-F.col("best.i")).alias("vehicle_id"), F.col("best.n").alias("note"))
-
-
-@query("c7_feature_match", f"SELECT l.k, min(vehicle_id) AS vehicle_id, count(vehicle_id) AS n FROM (SELECT DISTINCT k, marque, modele, fuel, 60 + k % 150 AS p FROM {LI}) l LEFT JOIN {V} v ON lower(v.marque) = lower(l.marque) AND v.carburant = l.fuel AND contains(lower(v.modele), lower(l.modele)) AND v.puissance BETWEEN p - 10 AND p + 10 GROUP BY l.k")
-def c7(spark, sf):
-    asked = frame(spark, sf, "listings").select("k", F.lower("marque").alias("b"), F.lower("modele").alias("m"), "fuel", (60 + F.col("k") % 150).alias("p")).distinct()
-    v = frame(spark, sf, "vehicles").select("vehicle_id", F.lower("marque").alias("vb"), F.lower("modele").alias("vm"), "carburant", "puissance")
-    on = (F.col("b") == F.col("vb")) & (F.col("fuel") == F.col("carburant")) & F.col("vm").contains(F.col("m")) & F.col("puissance").between(F.col("p") - 10, F.col("p") + 10)
-    return asked.join(v, on, "left").groupBy("k").agg(F.min("vehicle_id").alias("vehicle_id"), F.count("vehicle_id").alias("n"))
+    out = asked.join(M.first_beginning(asked, stats, "lb", "lm", "b", "m", "best"), ["lb", "lm"])
+    lists = [F.array_join(f"best.{c}", ";").alias(n) for c, n in (("pros", "pros"), ("cons", "cons"), ("notes", "faults"))]
+    return out.select("external_id", (-F.col("best.order")).alias("s_id"), (F.col("best.score") * 2).alias("note"), *lists)
 
 
 LOOK = f"(SELECT DISTINCT {norm('marque')} AS b, CASE WHEN k % 3 = 0 THEN 'golf' WHEN k % 3 = 1 THEN {norm('modele')} ELSE 'inconnu' END AS m FROM {LI})"
-BASE = f"(SELECT vehicle_id, {norm('marque')} AS vb, {norm('marque')} || {norm('modele')} AS search, vehicle_id % 21 AS note FROM {V})"
+BASE = f"(SELECT vehicle_id, {norm('marque')} AS vb, {norm('modele')} AS vm, vehicle_id % 21 AS note FROM {V})"
+C8 = f"""WITH q AS {LOOK}, v AS {BASE},
+h AS (SELECT b, m, CASE WHEN vehicle_id IS NULL THEN 4 WHEN vm = m THEN 1 WHEN contains(vm, m) THEN 2 ELSE 3 END AS step, note, vehicle_id FROM q LEFT JOIN v ON vb = b)
+SELECT b, m, step, vehicle_id FROM h QUALIFY row_number() OVER (PARTITION BY b, m ORDER BY step, note DESC, vehicle_id) = 1"""
 
 
-@query("c8_stepwise_lookup", f"WITH q AS {LOOK}, v AS {BASE}, h AS (SELECT b, m, CASE WHEN search = b || m THEN 1 WHEN starts_with(search, b) AND contains(search, m) THEN 2 ELSE 3 END AS step, note, vehicle_id FROM q LEFT JOIN v ON vb = b) SELECT b, m, CASE WHEN vehicle_id IS NULL THEN 4 ELSE step END AS step, vehicle_id FROM h QUALIFY row_number() OVER (PARTITION BY b, m ORDER BY step, note DESC, vehicle_id) = 1")
+@query("c8_stepwise_lookup", C8)
 def c8(spark, sf):
-    asked = frame(spark, sf, "listings").select(T.normalize(F.col("marque")).alias("b"), F.when(F.col("k") % 3 == 0, "golf").when(F.col("k") % 3 == 1, T.normalize(F.col("modele"))).otherwise("inconnu").alias("m")).distinct()
-    v = frame(spark, sf, "vehicles").select("vehicle_id", T.normalize(F.col("marque")).alias("vb"), F.concat(T.normalize(F.col("marque")), T.normalize(F.col("modele"))).alias("search"), (F.col("vehicle_id") % 21).alias("note"))
-    best = v.groupBy("vb", "search").agg(F.min(F.struct((-F.col("note")).alias("o"), "vehicle_id")).alias("r"))  # one row for each name before the join
-    step = F.when(F.col("search") == F.concat("b", "m"), 1).when(F.startswith("search", "b") & F.col("search").contains(F.col("m")), 2).otherwise(3)
-    hit = asked.join(best, F.col("b") == F.col("vb"), "left").groupBy("b", "m").agg(F.min(F.struct(step.alias("s"), F.col("r.o"), F.col("r.vehicle_id"))).alias("h"))
-    return hit.select("b", "m", F.when(F.col("h.vehicle_id").isNull(), 4).otherwise(F.col("h.s")).alias("step"), F.col("h.vehicle_id").alias("vehicle_id"))
+    name = F.when(F.col("k") % 3 == 0, "golf").when(F.col("k") % 3 == 1, T.normalize(F.col("modele"))).otherwise("inconnu")
+    asked = frame(spark, sf, "listings").select(T.normalize(F.col("marque")).alias("b"), name.alias("m"))
+    v = frame(spark, sf, "vehicles").select("vehicle_id", T.normalize(F.col("marque")).alias("vb"), T.normalize(F.col("modele")).alias("vm"), (F.col("vehicle_id") % 21).alias("note"))
+    return M.stepwise_lookup(asked, v, "b", "m", "vb", "vm", "note", "vehicle_id")
 
 
 @query("c9_fuzzy_notes")
@@ -161,9 +157,16 @@ def c9(spark, sf):
 query("c10_without_note", f"SELECT external_id FROM {LI} l WHERE NOT EXISTS (SELECT 1 FROM {RV} r WHERE lower(r.marque) = lower(l.marque) AND r.modele = lower(l.modele) AND r.nb_avis > 10)")(
     lambda spark, sf: frame(spark, sf, "listings").withColumns({"b": F.lower("marque"), "m": F.lower("modele")}).join(frame(spark, sf, "model_reviews").where("nb_avis > 10").select(F.lower("marque").alias("b"), F.col("modele").alias("m")).distinct(), ["b", "m"], "left_anti").select("external_id")
 )
-query("c11_reviews_of_vehicles", f"SELECT v.marque, v.modele, count(*) AS n FROM (SELECT DISTINCT marque, modele FROM {V}) v JOIN {RE} r ON lower(r.marque) = lower(v.marque) AND contains(lower(r.modele), lower(v.modele)) GROUP BY ALL")(
-    lambda spark, sf: frame(spark, sf, "vehicles").select("marque", "modele").distinct().join(frame(spark, sf, "reviews").groupBy(F.lower("marque").alias("b"), F.lower("modele").alias("m")).agg(F.count("*").alias("c")), (F.lower("marque") == F.col("b")) & F.col("m").contains(F.lower("modele"))).groupBy("marque", "modele").agg(F.sum("c").alias("n"))
-)
+C11 = f"SELECT v.marque, v.modele, count(*) AS n FROM (SELECT DISTINCT marque, modele FROM {V}) v JOIN {RE} r ON lower(r.marque) = lower(v.marque) AND contains(lower(r.modele), lower(v.modele)) GROUP BY ALL"
+
+
+@query("c11_reviews_of_vehicles", C11)
+def c11(spark, sf):
+    """Reviews of each vehicle's brand whose model holds the vehicle's; counted by name before they are joined."""
+    v = frame(spark, sf, "vehicles").select("marque", "modele").distinct().withColumns({"vb": F.lower("marque"), "vm": F.lower("modele")})
+    counts = frame(spark, sf, "reviews").groupBy(F.lower("marque").alias("b"), F.lower("modele").alias("m")).agg(F.count("*").alias("c"))
+    return M.containing(counts, v, "b", "m", "vb", "vm").groupBy("marque", "modele").agg(F.sum("c").alias("n"))
+
 
 SEV = f"(SELECT *, CASE WHEN {has('t', R.RECALL_CRITICAL)} THEN 'critical' WHEN {has('t', R.RECALL_SERIOUS)} THEN 'serious' ELSE 'moderate' END AS severity, {has('t', R.RECALL_PENALTY)} AS penal FROM (SELECT *, lower(coalesce(risks, '') || ' ' || coalesce(motive, '')) AS t FROM {RC}))"
 VERIFIED = f"(SELECT marque, modele, avg(fiabilite) AS f, count(*) AS n FROM {RE} WHERE level IN ('high', 'medium') GROUP BY ALL HAVING count(*) >= 3)"
@@ -177,8 +180,7 @@ def c12(spark, sf):
     impact = F.sum(F.when(F.col("sev") == "critical", 2.0).when(F.col("sev") == "serious", 1.0).otherwise(0.5))
     rec = rec.groupBy("marque", "modele").agg(F.greatest(F.lit(0.0), 10.0 - impact).alias("s"))
     v = frame(spark, sf, "vehicles").select("marque", "modele").distinct()
-    blend = F.when(F.col("f").isNotNull() & F.col("s").isNotNull(), F.col("f") * 0.7 + F.col("s") * 0.3).otherwise(F.coalesce("s", "f", F.lit(7.0)))
-    return v.join(reviews, ["marque", "modele"], "left").join(rec, ["marque", "modele"], "left").select("marque", "modele", F.round(blend, 3).alias("fiabilite"))
+    return M.blend_reliability(v, reviews, rec, ["marque", "modele"], "f", "s")
 
 
 RISK = values([(k, k.split("_")[0], s, a, b, ",".join(k.split("_")[1:]), R.SEVERITY_RANK[s], R.SEVERITY_MALUS[s]) for k, s, a, b in R.RISKS], "r(risk, brand, severity, first, last, tokens, rk, malus)")
@@ -238,9 +240,16 @@ def c19(spark, sf):
     return M.two_stage(asked, known, "b", "name", "other", "s_id").select("b", "name", "s_id", F.round("ratio", 3).alias("ratio"), "status")
 
 
-query("e1_first_match", f"SELECT v.marque, v.modele, min(s_id) AS s_id FROM {V} v JOIN {SH} s ON lower(s.marque) = lower(v.marque) AND contains(lower(s.modele), lower(v.modele)) GROUP BY ALL")(
-    lambda spark, sf: rows.keep_first(frame(spark, sf, "vehicles").select("marque", "modele").distinct().join(frame(spark, sf, "sheets").select(F.lower("marque").alias("b"), F.lower("modele").alias("m"), "s_id"), (F.lower("marque") == F.col("b")) & F.col("m").contains(F.lower("modele"))), ["marque", "modele"], ["s_id"]).select("marque", "modele", "s_id")
-)
+E1 = f"SELECT v.marque, v.modele, min(s_id) AS s_id FROM {V} v JOIN {SH} s ON lower(s.marque) = lower(v.marque) AND contains(lower(s.modele), lower(v.modele)) GROUP BY ALL"
+
+
+@query("e1_first_match", E1)
+def e1(spark, sf):
+    v = frame(spark, sf, "vehicles").select("marque", "modele").distinct().withColumns({"vb": F.lower("marque"), "vm": F.lower("modele")})
+    sheets = frame(spark, sf, "sheets").select(F.lower("marque").alias("b"), F.lower("modele").alias("m"), "s_id")
+    return v.join(M.first_containing(v, sheets, "vb", "vm", "b", "m", "s_id"), ["vb", "vm"]).select("marque", "modele", "s_id")
+
+
 query("e2_keep_first", f"SELECT vehicle_id, marque, modele FROM {V} QUALIFY row_number() OVER (PARTITION BY marque, modele ORDER BY vehicle_id) = 1")(lambda spark, sf: rows.keep_first(frame(spark, sf, "vehicles").select("vehicle_id", "marque", "modele"), ["marque", "modele"], ["vehicle_id"]))
 query("e3_last_write", f"SELECT s_id, marque, modele, score FROM {SH} QUALIFY row_number() OVER (PARTITION BY marque, modele ORDER BY s_id DESC) = 1")(lambda spark, sf: rows.last_write(frame(spark, sf, "sheets").select("s_id", "marque", "modele", "score"), ["marque", "modele"], ["s_id"]))
 query("e4_segment_rank", f"SELECT external_id, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank, percent_rank() OVER w AS percent_rank FROM {LI} WINDOW w AS (PARTITION BY marque ORDER BY expert DESC NULLS LAST)")(

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import functions as F
 
@@ -10,10 +12,13 @@ from autolot.functions import cleaning as C
 from autolot.functions import parsing as P
 from autolot.functions import refdata as R
 from autolot.functions import text as T
+from autolot.operators import filters
+from autolot.operators.matching import feature_match
 from autolot.plans.lifts import BRANDS, frame, sql
 from autolot.plans.matching import MODEL
 from autolot.plans.registry import query
 from autolot.plans.sqltext import brand, dbl, has, norm
+from autolot.sources.files import materialize
 
 V, SH, LI, RE, RC, IT, TI, CSV = (sql(x) for x in ("vehicles", "sheets", "listings", "reviews", "recalls", "items", "titles", "labels_csv"))
 
@@ -51,16 +56,39 @@ query("h11_fuel_in_title", f"SELECT title, {FUEL} AS fuel FROM {TITLES}")(lambda
 FEATURES = f"(SELECT title, t, {MODE} AS power, {YEAR} AS year, {GEAR} AS gearbox, {FUEL} AS fuel, {BRAND} AS brand FROM (SELECT *, {POWERS} AS l FROM {TITLES}))"
 query("h12_features", f"SELECT title, power, year, gearbox, fuel, t[1:200] AS text, power IS NOT NULL AND year IS NOT NULL AND gearbox <> 'inconnu' AND fuel <> 'inconnu' AS complete FROM {FEATURES}")(lambda spark, sf: frame(spark, sf, "titles").select("title").distinct().select("title", T.features(F.col("title")).alias("f")).select("title", "f.*"))
 query("d15_power_candidates", f"SELECT title, array_to_string({POWERS}, ',') AS candidates, {MODE} AS best FROM (SELECT *, {POWERS} AS l FROM {TITLES})")(lambda spark, sf: titles(spark, sf).withColumn("c", T.power_candidates(F.col("t"))).select("title", F.array_join(F.transform("c", lambda x: x.cast("string")), ",").alias("candidates"), T.most_frequent(F.col("c")).alias("best")))
-CONF = "round((CASE WHEN brand IS NOT NULL THEN 1.0 ELSE 0.0 END + CASE WHEN power IS NOT NULL THEN 1.0 ELSE 0.0 END + CASE WHEN fuel <> 'inconnu' THEN 1.0 ELSE 0.0 END + CASE WHEN gearbox <> 'inconnu' THEN 0.8 ELSE 0.0 END + CASE WHEN year IS NOT NULL THEN 1.0 ELSE 0.0 END) / greatest(1, (brand IS NOT NULL)::INT + (power IS NOT NULL)::INT + (fuel <> 'inconnu')::INT + (gearbox <> 'inconnu')::INT + (year IS NOT NULL)::INT), 2)"
+FLAGS = [("brand IS NOT NULL", 1.0), ("model IS NOT NULL", 0.9), ("power IS NOT NULL", 1.0), ("fuel <> 'inconnu'", 1.0), ("gearbox <> 'inconnu'", 0.8), ("year IS NOT NULL", 1.0)]
+CONF = "round((" + " + ".join(f"CASE WHEN {c} THEN {w} ELSE 0.0 END" for c, w in FLAGS) + ") / greatest(1, " + " + ".join(f"({c})::INT" for c, _ in FLAGS) + "), 2)"
+NAMED = f"(SELECT *, {NEXT} AS model FROM {FEATURES})"
 
 
-@query("b14_match_confidence", dbl(f"SELECT title, {CONF} AS confidence, CASE WHEN power IS NOT NULL AND year IS NOT NULL AND gearbox <> 'inconnu' AND fuel <> 'inconnu' THEN 'full' ELSE 'partial' END AS completeness FROM {FEATURES}"))
-def b14(spark, sf):
+def named(spark, sf):
+    """Different titles with brand, model and the struct of features `f`."""
     df = titles(spark, sf).withColumns({"brand": T.brand_in(F.col("t")), "f": T.features(F.col("title"))})
-    flags = [(F.col("brand").isNotNull(), 1.0), (F.col("f.power").isNotNull(), 1.0), (F.col("f.fuel") != "inconnu", 1.0), (F.col("f.gearbox") != "inconnu", 0.8), (F.col("f.year").isNotNull(), 1.0)]
-    total = sum((F.when(c, w).otherwise(0.0) for c, w in flags), F.lit(0.0))
-    n = sum((c.cast("int") for c, _ in flags), F.lit(0))
-    return df.select("title", F.round(total / F.greatest(F.lit(1), n), 2).alias("confidence"), F.when(F.col("f.complete"), "full").otherwise("partial").alias("completeness"))
+    return df.withColumn("model", T.model_in(F.col("title"), F.col("brand")))
+
+
+@query("b14_match_confidence", dbl(f"SELECT title, {CONF} AS confidence, CASE WHEN power IS NOT NULL AND year IS NOT NULL AND gearbox <> 'inconnu' AND fuel <> 'inconnu' THEN 'full' ELSE 'partial' END AS completeness FROM {NAMED}"))
+def b14(spark, sf):
+    c = F.col
+    sure = filters.confidence(c("brand"), c("model"), c("f.power"), c("f.fuel"), c("f.gearbox"), c("f.year"))
+    return named(spark, sf).select("title", sure.alias("confidence"), F.when(c("f.complete"), "full").otherwise("partial").alias("completeness"))
+
+
+C7 = f"""WITH q AS (SELECT title, brand, model, power, fuel FROM {NAMED}), d AS (SELECT DISTINCT brand, model, power, fuel FROM q),
+h AS (SELECT d.*, min(vehicle_id) AS vehicle_id FROM d JOIN {V} v ON (brand IS NULL OR lower(marque) = lower(brand)) AND (model IS NULL OR contains(lower(modele), lower(model)))
+ AND (power IS NULL OR puissance BETWEEN power - 10 AND power + 10) AND (fuel = 'inconnu' OR carburant = fuel) GROUP BY ALL)
+SELECT title, vehicle_id, CASE WHEN vehicle_id IS NULL THEN 'fallback_power_based' ELSE 'exact' END AS match_type FROM q LEFT JOIN h
+ ON q.brand IS NOT DISTINCT FROM h.brand AND q.model IS NOT DISTINCT FROM h.model AND q.power IS NOT DISTINCT FROM h.power AND q.fuel = h.fuel"""
+
+
+@query("c7_feature_match", C7)
+def c7(spark, sf):
+    """Titles with the vehicle that their brand, model, power and fuel lead to."""
+    q = named(spark, sf).select("title", "brand", "model", F.col("f.power").alias("power"), F.col("f.fuel").alias("fuel"))
+    q = materialize(q, "features")
+    found = feature_match(q, frame(spark, sf, "vehicles"), "vehicle_id").toDF("_b", "_m", "_p", "_f", "vehicle_id", "match_type")
+    on = [F.col(a).eqNullSafe(F.col(b)) for a, b in (("brand", "_b"), ("model", "_m"), ("power", "_p"), ("fuel", "_f"))]
+    return q.join(found, reduce(and_, on)).select("title", "vehicle_id", "match_type")
 
 
 simple("h13_repair", "vehicles", "vehicle_id", "text", lambda: T.repair(F.concat(F.lit("VÃ©hicule Ã  "), "marque", F.lit(" 100â‚¬Â"))), "'Véhicule à ' || marque || ' 100€'")
