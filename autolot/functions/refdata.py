@@ -120,3 +120,15 @@ STOP_WORDS = ["le", "la", "les", "un", "une", "des", "de", "du", "à", "au", "au
 
 #: Brands looked for in the names of recalled products, in this order. Fixed values.
 RECALL_BRANDS = ["PEUGEOT", "RENAULT", "CITROEN", "CITROËN", "VOLKSWAGEN", "VW", "BMW", "MERCEDES", "AUDI", "TOYOTA", "FORD", "OPEL", "FIAT", "NISSAN", "HYUNDAI", "KIA", "SEAT", "SKODA", "DACIA", "MINI", "VOLVO", "MAZDA", "HONDA", "SUZUKI", "JEEP", "LAND ROVER", "JAGUAR", "PORSCHE", "TESLA", "ALFA ROMEO", "DS"]
+
+# Limits of rows, required ones, and enumerations.
+NAME_LENGTHS = {"marque": 50, "modele": 100, "motorisation": 100}
+VEHICLE_RANGES = {"puissance": (50, 1500), "annee_debut": (1990, 2030), "annee_fin": (1990, 2030), "co2": (0, 500), "conso": (0, 30)}
+REQUIRED = ["puissance", "annee_debut"]
+LISTING_RANGES = {"year": (1990, 2030), "expert": (0, 20), "deal": (-100, 100)}
+FUELS = ["essence", "diesel", "hybride", "hybride_rechargeable", "electrique", "gpl", "gnv", "inconnu"]
+GEARBOXES = ["manuelle", "automatique", "inconnu"]
+
+# Insurance a year (fixed part, part of each fiscal horsepower) and upkeep a kilometre, by profile.
+INSURANCE = {"citadine": (380, 35), "berline": (480, 40), "suv": (550, 45)}
+UPKEEP_PER_KM = {"citadine": 0.084, "berline": 0.092, "suv": 0.105}

@@ -174,6 +174,18 @@ def ownership(consumption: Column, fuel: Column, km: Column | int = 1000) -> Col
     )
 
 
+def insurance(profile: Column, fiscal: Column) -> Column:
+    """Insurance a month: a fixed part and one of each fiscal horsepower, by profile; that of a city car for other profiles."""
+    fixed, each = (lookup({k: float(v[i]) for k, v in R.INSURANCE.items()}, profile, F.lit(float(R.INSURANCE["citadine"][i]))) for i in (0, 1))
+    return F.round((fixed + each * fiscal) / 12, 2)
+
+
+def upkeep(profile: Column, km: Column) -> Column:
+    """Upkeep a year by profile and kilometres a year: 5 % more beyond 25,000, at least 800 below 10,000. Other profiles: the mean rate."""
+    cost = km * lookup(R.UPKEEP_PER_KM, profile, F.lit(R.MAINTENANCE_PER_KM))
+    return F.round(F.when(km < 10000, F.greatest(F.lit(800.0), cost)).when(km > 25000, cost * 1.05).otherwise(cost), 2)
+
+
 def alert_engine(text: Column) -> Column:
     t = F.lower(text)
     return F.when(t.contains("puretech"), "puretech").when(t.contains("tce"), "tce")

@@ -7,12 +7,17 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEED = 42
 
 
+def bucket(key: str, seed: int = SEED, of: int = 10) -> Column:
+    """0 to `of` - 1 by MD5 of seed and key: the same whatever the partitions, and in any engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long") % of
+
+
 def encoder(texts: list[str], numbers: list[str]) -> Pipeline:
     """Sorted categories as codes (unknown ones get a code of their own), numbers with gaps filled by the mean."""
     index = StringIndexer(inputCols=texts, outputCols=[f"{c}_code" for c in texts], stringOrderType="alphabetAsc", handleInvalid="keep")

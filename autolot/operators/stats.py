@@ -28,6 +28,14 @@ def recall_stats(recalls: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumns({"impact": F.round(impact, 2), "score": F.round(F.greatest(F.lit(0.0), 10.0 - impact), 2), "badge_score": F.round(badge, 1), "penalty": S.recall_penalty(F.col("total"), F.col("penal"))})
 
 
+def vehicle_stats(reviews: DataFrame, recalls: DataFrame, keys: list[str], spread: list[str], criteria: list[str], digits: int = 6) -> DataFrame:
+    """Reviews of each vehicle: their number, mean and deviation of `spread`, means of `criteria`, and all its recalls (0: none)."""
+    mean = lambda c: F.round(F.avg(c), digits).alias(c)
+    deviations = [F.round(F.stddev_samp(c), digits).alias(f"{c}_sd") for c in spread]
+    got = reviews.groupBy(*keys).agg(F.count("*").alias("n"), *map(mean, [*spread, *criteria]), *deviations)
+    return got.join(recalls.groupBy(*keys).agg(F.count("*").alias("rappels")), keys, "left").fillna(0, ["rappels"])
+
+
 def station_prices(feed: DataFrame) -> DataFrame:
     """Mean, least and highest price per litre of each fuel, and stations; default prices for fuels without any."""
     spark = feed.sparkSession

@@ -79,3 +79,38 @@ def load(df: DataFrame, order: str) -> DataFrame:
 def violations(rules: dict[str, Column]) -> Column:
     """Names of broken rules, comma-joined; a rule that is null is not broken."""
     return F.concat_ws(",", *[F.when(~ok, F.lit(name)) for name, ok in rules.items()])
+
+
+def text_of(column: str, least: int, most: int, required: bool = False) -> Column:
+    """The text has so many characters; a missing one passes unless it is required."""
+    ok = F.length(column).between(least, most)
+    return F.coalesce(ok, F.lit(False)) if required else ok
+
+
+def number_of(column: str, least: float, most: float, required: bool = False) -> Column:
+    ok = F.col(column).between(least, most)
+    return F.coalesce(ok, F.lit(False)) if required else ok
+
+
+def vehicle_rules() -> dict[str, Column]:
+    """Rules of a vehicle's row, by name."""
+    rules = {n: text_of(n, 1, most, required=True) for n, most in R.NAME_LENGTHS.items()}
+    rules |= {n: number_of(n, *ends, required=n in R.REQUIRED) for n, ends in R.VEHICLE_RANGES.items()}
+    rules["carburant"] = F.coalesce(F.col("carburant").isin(R.FUELS), F.lit(False))
+    rules["boite"] = F.col("boite").isin(R.GEARBOXES)
+    rules["tvv"] = text_of("tvv", 0, 20)
+    rules["annees"] = F.col("annee_fin") >= F.col("annee_debut")
+    return rules
+
+
+def listing_rules() -> dict[str, Column]:
+    """Rules of a listing's row, by name."""
+    rules = {n: F.coalesce(F.length(n) >= 1, F.lit(False)) for n in ("external_id", "title")}
+    rules |= {n: F.col(n) >= 0 for n in ("price", "km")}
+    return rules | {n: number_of(n, *ends) for n, ends in R.LISTING_RANGES.items()} | {"zipcode": text_of("zipcode", 0, 10)}
+
+
+def split_valid(df: DataFrame, rules: dict[str, Column], broken: str = "broken") -> tuple[DataFrame, DataFrame]:
+    """Rows that break no rule, and the others (quarantine) with the names of the rules they break."""
+    marked = df.withColumn(broken, violations(rules))
+    return marked.where(F.col(broken) == "").drop(broken), marked.where(F.col(broken) != "")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from autolot.functions import cleaning as C
 from autolot.functions import refdata as R
 from autolot.functions import scores as Sc
-from autolot.operators import rows, stats
+from autolot.operators import learning, rows, stats
 from autolot.plans.lifts import frame, sql
 from autolot.plans.matching import SEV
 from autolot.plans.registry import query
@@ -52,9 +52,16 @@ NOTES = "list_transform(list_filter(string_split(notes, ';'), lambda x: x <> '')
 notes = lambda: F.transform(F.filter(F.split("notes", ";"), lambda x: x != ""), lambda x: x.cast("double"))
 query("d9_mean_engine_note", f"SELECT s_id, list_avg({NOTES}) AS mean FROM {SH}")(lambda spark, sf: frame(spark, sf, "sheets").withColumn("x", notes()).select("s_id", F.try_divide(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), F.size("x")).alias("mean")))
 query("d11_capture_summary", f"SELECT level, count(*) AS n, count(DISTINCT marque || modele) AS models FROM {RE} GROUP BY level")(lambda spark, sf: frame(spark, sf, "reviews").groupBy("level").agg(F.count("*").alias("n"), F.count_distinct(F.concat("marque", "modele")).alias("models")))
-query("d12_vehicle_stats", f"SELECT marque, modele, count(*) AS n, round(avg(fiabilite), 6) AS fiabilite, round(stddev_samp(fiabilite), 6) AS fiabilite_sd, round(avg(note), 6) AS note, round(stddev_samp(note), 6) AS note_sd FROM {RE} GROUP BY ALL")(
-    lambda spark, sf: frame(spark, sf, "reviews").groupBy("marque", "modele").agg(F.count("*").alias("n"), F.round(F.avg("fiabilite"), 6).alias("fiabilite"), F.round(F.stddev_samp("fiabilite"), 6).alias("fiabilite_sd"), F.round(F.avg("note"), 6).alias("note"), F.round(F.stddev_samp("note"), 6).alias("note_sd"))
-)
+D12 = f"""SELECT marque, modele, count(*) AS n, round(avg(fiabilite), 6) AS fiabilite, round(stddev_samp(fiabilite), 6) AS fiabilite_sd, round(avg(note), 6) AS note, round(stddev_samp(note), 6) AS note_sd,
+ round(avg(confort), 6) AS confort, round(avg(km), 6) AS km, coalesce(any_value(rappels), 0) AS rappels
+FROM {RE} LEFT JOIN (SELECT marque, modele, count(*) AS rappels FROM {RC} GROUP BY ALL) USING (marque, modele) GROUP BY ALL"""
+
+
+@query("d12_vehicle_stats", D12)
+def d12(spark, sf):
+    return stats.vehicle_stats(frame(spark, sf, "reviews"), frame(spark, sf, "recalls"), ["marque", "modele"], ["fiabilite", "note"], ["confort", "km"])
+
+
 query("d12_top_points", f"SELECT marque, string_agg(p, ';' ORDER BY n DESC, p) AS top FROM (SELECT marque, p, count(*) AS n FROM (SELECT lower(marque) AS marque, unnest(string_split(pros, ';')) AS p FROM {SH}) WHERE p <> '' GROUP BY marque, p QUALIFY row_number() OVER (PARTITION BY marque ORDER BY count(*) DESC, p) <= 5) GROUP BY marque")(
     lambda spark, sf: stats.top_words(frame(spark, sf, "sheets").select(F.lower("marque").alias("marque"), F.explode(F.split("pros", ";")).alias("p")).where("p <> ''"), ["marque"], "p", 5)
 )
@@ -94,11 +101,10 @@ def g2(spark, sf):
     return df.select("s_id", F.array_join(merge_points(F.col("a"), F.col("b")), ";").alias("points")).where("points <> ''")
 
 
-@query("g3_train_test_split")
+@query("g3_train_test_split", f"SELECT review_id, CASE WHEN ('0x' || md5('42|' || review_id)[1:8])::BIGINT % 10 < 8 THEN 'train' ELSE 'test' END AS part FROM {RE}")
 def g3(spark, sf):
-    """80 / 20 by a hash of the key: the same rows whatever the partitions."""
-    df = frame(spark, sf, "reviews").select("review_id")
-    return df.withColumn("part", F.when(F.pmod(F.xxhash64("review_id", F.lit(42)), F.lit(10)) < 8, "train").otherwise("test"))
+    """80 / 20 by a hash of the key."""
+    return frame(spark, sf, "reviews").select("review_id", F.when(learning.bucket("review_id") < 8, "train").otherwise("test").alias("part"))
 
 
 STOP = "[" + ", ".join(f"'{w}'" for w in R.STOP_WORDS) + "]"

@@ -150,11 +150,45 @@ query("b12_unlabelled", f"SELECT review_id FROM {sql('reviews')} WHERE note IS N
 query("b12_labelled", f"SELECT review_id, note FROM {sql('reviews')} WHERE note IS NOT NULL")(lambda spark, sf: frame(spark, sf, "reviews").where("note is not null").select("review_id", "note"))
 
 
-@query("b13_validate", dbl(f"SELECT vehicle_id, concat_ws(',', CASE WHEN puissance NOT BETWEEN 50 AND 200 THEN 'power' END, CASE WHEN co2 NOT BETWEEN 0 AND 200 THEN 'co2' END, CASE WHEN conso > 9.0 THEN 'consumption' END, CASE WHEN carburant NOT IN ('essence', 'diesel', 'electrique', 'hybride', 'hybride_rechargeable', 'gpl') THEN 'fuel' END, CASE WHEN annee_fin < annee_debut THEN 'years' END) AS broken FROM {sql('vehicles')}"))
+#: Vehicles with rows that break each kind of rule.
+FAULTY = ["vehicle_id", "CASE WHEN vehicle_id % 19 = 0 THEN '' ELSE marque END AS marque", "CASE WHEN vehicle_id % 23 = 0 THEN repeat(modele, 60) ELSE modele END AS modele", "designation AS motorisation",
+    "CASE WHEN vehicle_id % 17 = 0 THEN NULL ELSE puissance * 9 - 500 END AS puissance", "carburant", "CASE WHEN vehicle_id % 29 = 0 THEN 'cvt' ELSE boite END AS boite", "annee_debut - 13 AS annee_debut", "annee_fin - 9 AS annee_fin",
+    "CASE WHEN vehicle_id % 31 = 0 THEN repeat('M10', 9) ELSE 'M10' END AS tvv", "conso * 4 AS conso", "co2 * 3 AS co2"]
+RULES = [
+    ("marque", "length(marque) BETWEEN 1 AND 50"), ("modele", "length(modele) BETWEEN 1 AND 100"), ("motorisation", "length(motorisation) BETWEEN 1 AND 100"), ("puissance", "puissance IS NOT NULL AND puissance BETWEEN 50 AND 1500"),
+    ("annee_debut", "annee_debut BETWEEN 1990 AND 2030"), ("annee_fin", "annee_fin BETWEEN 1990 AND 2030"), ("co2", "co2 BETWEEN 0 AND 500"), ("conso", "conso BETWEEN 0 AND 30"),
+    ("carburant", "carburant IN ('essence', 'diesel', 'hybride', 'hybride_rechargeable', 'electrique', 'gpl', 'gnv', 'inconnu')"), ("boite", "boite IN ('manuelle', 'automatique', 'inconnu')"), ("tvv", "length(tvv) <= 20"), ("annees", "annee_fin >= annee_debut"),
+]
+CHECKED = "(SELECT *, concat_ws(',', " + ", ".join(f"CASE WHEN NOT ({c}) THEN '{n}' END" for n, c in RULES) + f") AS broken FROM (SELECT {', '.join(FAULTY)} FROM {sql('vehicles')}))"
+
+
+@query("b13_validate", f"SELECT vehicle_id, broken FROM {CHECKED}")
 def b13(spark, sf):
-    c = F.col
-    rules = {"power": c("puissance").between(50, 200), "co2": c("co2").between(0, 200), "consumption": c("conso") <= 9.0, "fuel": c("carburant").isin("essence", "diesel", "electrique", "hybride", "hybride_rechargeable", "gpl"), "years": c("annee_fin") >= c("annee_debut")}
-    return frame(spark, sf, "vehicles").select("vehicle_id", vehicles.violations(rules).alias("broken"))
+    rows = frame(spark, sf, "vehicles").selectExpr(*FAULTY)
+    return rows.select("vehicle_id", vehicles.violations(vehicles.vehicle_rules()).alias("broken"))
+
+
+@query("b13_quarantine", f"SELECT vehicle_id, marque, puissance, broken FROM {CHECKED} WHERE broken <> ''")
+def b13_quarantine(spark, sf):
+    _, bad = vehicles.split_valid(frame(spark, sf, "vehicles").selectExpr(*FAULTY), vehicles.vehicle_rules())
+    return bad.select("vehicle_id", "marque", "puissance", "broken")
+
+
+@query("b13_valid", f"SELECT vehicle_id, marque, puissance FROM {CHECKED} WHERE broken = ''")
+def b13_valid(spark, sf):
+    good, _ = vehicles.split_valid(frame(spark, sf, "vehicles").selectExpr(*FAULTY), vehicles.vehicle_rules())
+    return good.select("vehicle_id", "marque", "puissance")
+
+
+LISTED = ["external_id", "k", "source AS title", "price - 2000 AS price", "km", "year - 5 AS year", "expert * 1.5 AS expert", "expert * 8 - 20 AS deal", "CASE WHEN k % 37 = 0 THEN '75001 Paris 1er' ELSE '75001' END AS zipcode"]
+LISTING_RULES = [
+    ("external_id", "length(external_id) >= 1"), ("title", "length(title) >= 1"), ("price", "price >= 0"), ("km", "km >= 0"), ("year", "year BETWEEN 1990 AND 2030"), ("expert", "expert BETWEEN 0 AND 20"), ("deal", "deal BETWEEN -100 AND 100"), ("zipcode", "length(zipcode) <= 10"),
+]
+
+
+@query("b13_validate_listings", "SELECT external_id, k, concat_ws(',', " + ", ".join(f"CASE WHEN NOT ({c}) THEN '{n}' END" for n, c in LISTING_RULES) + f") AS broken FROM (SELECT {', '.join(LISTED)} FROM {sql('listings')})")
+def b13_listings(spark, sf):
+    return frame(spark, sf, "listings").selectExpr(*LISTED).select("external_id", "k", vehicles.violations(vehicles.listing_rules()).alias("broken"))
 
 
 LIST, VEH = sql("listings"), sql("vehicles")
@@ -192,9 +226,9 @@ def b18(spark, sf):
     return frame(spark, sf, "listings").where(wanted).select("external_id")
 
 
-@query("b14_match_filter", f"SELECT vehicle_id FROM {VEH} WHERE lower(marque) = 'renault' AND contains(lower(modele), 'clio') AND puissance BETWEEN 80 AND 100 AND boite = 'manuelle' AND annee_debut <= 2016 AND (annee_fin IS NULL OR annee_fin >= 2014)")
+@query("b14_match_filter", f"SELECT vehicle_id FROM {VEH} WHERE lower(marque) = 'vw' AND contains(lower(modele), 'clio') AND puissance BETWEEN 100 AND 120 AND annee_debut <= 2013 AND (annee_fin IS NULL OR annee_fin >= 2011)")
 def b14_filter(spark, sf):
-    return frame(spark, sf, "vehicles").where(filters.vehicle_filter("Renault", "CLIO", 90, "inconnu", "manuelle", 2015)).select("vehicle_id")
+    return frame(spark, sf, "vehicles").where(filters.vehicle_filter("VW", "CLIO", 110, "inconnu", "inconnu", 2012)).select("vehicle_id")
 
 
 query("b19_minimum_score", f"SELECT external_id, expert FROM {LIST} WHERE expert >= 12")(lambda spark, sf: frame(spark, sf, "listings").where("expert >= 12").select("external_id", "expert"))

@@ -12,7 +12,7 @@ from autolot.operators import rows
 from autolot.plans.lifts import frame, sql
 from autolot.plans.registry import query
 from autolot.sources.files import materialize
-from autolot.plans.sqltext import brand, dbl, has, norm, values
+from autolot.plans.sqltext import brand, dbl, has, indel, norm, values
 
 V, SH, RV, LI, RE, RC = (sql(x) for x in ("vehicles", "sheets", "model_reviews", "listings", "reviews", "recalls"))
 
@@ -58,9 +58,16 @@ def matched(spark, sf, name, ident, keys):
 query("c1_c2_match_sheets", matched_sql(SH, "s_id", True))(lambda spark, sf: matched(spark, sf, "sheets", "s_id", ["key1", "key2"]).select("vehicle_id", "s_id", "step"))
 query("c3_match_reviews", matched_sql(RV, "r_id", False))(lambda spark, sf: matched(spark, sf, "model_reviews", "r_id", ["key1"]).select("vehicle_id", "r_id", "step"))
 query("c1_exact_sheets", f"WITH k AS {KEYED}, x AS {indexed_sql(SH, 's_id')} SELECT k.vehicle_id, coalesce(a.s_id, b.s_id) AS s_id FROM k LEFT JOIN x a ON a.key = key1 LEFT JOIN x b ON b.key = key2")(lambda spark, sf: M.exact_match(keyed(frame(spark, sf, "vehicles")), indexed(frame(spark, sf, "sheets"), "s_id"), "vehicle_id", ["key1", "key2"], "key", "s_id").select("vehicle_id", "s_id"))
-query("c2_partial_sheets", f"WITH k AS {KEYED}, x AS {indexed_sql(SH, 's_id')} SELECT k.block, text, model, min(s_id) AS s_id FROM (SELECT DISTINCT block, text, model FROM k) k JOIN x ON x.block = k.block AND ((other <> '' AND contains(text, other)) OR (model <> '' AND contains(other, model))) GROUP BY ALL")(
-    lambda spark, sf: M.partial_match(keyed(frame(spark, sf, "vehicles")), indexed(frame(spark, sf, "sheets"), "s_id"), "block", "text", "model", "other", "s_id")
-)
+C2 = f"""WITH k AS {KEYED}, x AS {indexed_sql(SH, 's_id')}
+SELECT k.block, text, model, min(s_id) AS s_id FROM (SELECT DISTINCT block, text, model FROM k) k
+JOIN x ON x.block = k.block AND ((other <> '' AND contains(text, other)) OR (model <> '' AND contains(other, model))) GROUP BY ALL"""
+
+
+@query("c2_partial_sheets", C2)
+def c2(spark, sf):
+    names = materialize(keyed(frame(spark, sf, "vehicles").select(*NAMES).distinct()).select("block", "text", "model").distinct(), "names")
+    sheets = materialize(indexed(frame(spark, sf, "sheets"), "s_id").select("block", "other", "s_id"), "index")
+    return M.partial_match(names, sheets, "block", "text", "model", "other", "s_id")
 
 
 def consolidated(spark, sf):
@@ -146,9 +153,14 @@ def c8(spark, sf):
     return M.stepwise_lookup(asked, v, "b", "m", "vb", "vm", "note", "vehicle_id")
 
 
-@query("c9_fuzzy_notes")
+C9 = f"SELECT DISTINCT l.b, l.m AS a, s.m AS b2 FROM (SELECT lower(trim(marque)) AS b, lower(modele) AS m FROM {LI}) l JOIN (SELECT lower(trim(marque)) AS b, lower(modele) AS m FROM {SH}) s USING (b)"
+C9 = f"""WITH RECURSIVE {indel(f'SELECT a, b2 AS b FROM ({C9})')}
+SELECT x.b, x.a AS m, min(s_id) AS s_id FROM ({C9}) x JOIN f ON f.a = x.a AND f.b = x.b2 AND ratio >= 50 JOIN {SH} s ON lower(trim(s.marque)) = x.b AND lower(s.modele) = x.b2 GROUP BY ALL"""
+
+
+@query("c9_fuzzy_notes", C9)
 def c9(spark, sf):
-    """Notes of the nearest model name of the brand; no SQL has this ratio (see tests)."""
+    """The first note whose model name in the brand is at least half alike."""
     asked = frame(spark, sf, "listings").select(F.lower(F.trim("marque")).alias("b"), F.lower("modele").alias("m")).distinct()
     notes = frame(spark, sf, "sheets").select(F.lower(F.trim("marque")).alias("b"), F.lower("modele").alias("other"), "s_id")
     return M.fuzzy_match(asked, notes, "b", "m", "other", "s_id")

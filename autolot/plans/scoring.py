@@ -121,11 +121,17 @@ def h59(spark, sf):
     return frame(spark, sf, "vehicles").select("vehicle_id", S.tidy(litres, 1).alias("litres"), S.tidy(litres * 1.695, 2).alias("cost"))
 
 
-@query("h60_insurance_and_upkeep", dbl(f"SELECT vehicle_id, round((380 + 35 * (4 + vehicle_id % 9)) / 12, 2) AS insurance, round(CASE WHEN km < 10000 THEN greatest(800.0, km * 0.093) WHEN km > 25000 THEN km * 0.093 * 1.05 ELSE km * 0.093 END, 2) AS upkeep FROM (SELECT *, vehicle_id % 40 * 1000 AS km FROM {V})"))
+PROFILE = "CASE vehicle_id % 4 WHEN 0 THEN 'citadine' WHEN 1 THEN 'berline' WHEN 2 THEN 'suv' ELSE 'autre' END"
+YEARLY = "(km * CASE p WHEN 'citadine' THEN 0.084 WHEN 'berline' THEN 0.092 WHEN 'suv' THEN 0.105 ELSE 0.093 END)"
+H60 = f"""SELECT vehicle_id, round(CASE p WHEN 'berline' THEN 480 + 40 * cv WHEN 'suv' THEN 550 + 45 * cv ELSE 380 + 35 * cv END / 12, 2) AS insurance,
+ round(CASE WHEN km < 10000 THEN greatest(800.0, {YEARLY}) WHEN km > 25000 THEN {YEARLY} * 1.05 ELSE {YEARLY} END, 2) AS upkeep
+FROM (SELECT vehicle_id, vehicle_id % 40 * 1000 AS km, 4 + vehicle_id % 9 AS cv, {PROFILE} AS p FROM {V})"""
+
+
+@query("h60_insurance_and_upkeep", dbl(H60))
 def h60(spark, sf):
-    km = c("vehicle_id") % 40 * 1000
-    upkeep = F.when(km < 10000, F.greatest(F.lit(800.0), km * R.MAINTENANCE_PER_KM)).when(km > 25000, km * R.MAINTENANCE_PER_KM * 1.05).otherwise(km * R.MAINTENANCE_PER_KM)
-    return frame(spark, sf, "vehicles").select("vehicle_id", F.round((380 + 35 * (4 + c("vehicle_id") % 9)) / 12, 2).alias("insurance"), F.round(upkeep, 2).alias("upkeep"))
+    profile, km, fiscal = F.expr(PROFILE), c("vehicle_id") % 40 * 1000, 4 + c("vehicle_id") % 9
+    return frame(spark, sf, "vehicles").select("vehicle_id", S.insurance(profile, fiscal).alias("insurance"), S.upkeep(profile, km).alias("upkeep"))
 
 
 query("h61_engine_alerts", dbl(f"SELECT vehicle_id, CASE WHEN contains(lower(designation), 'puretech') THEN 'puretech' WHEN contains(lower(designation), 'tce') THEN 'tce' END AS engine, CASE WHEN contains(lower(designation), 'puretech') THEN -1.5 WHEN contains(lower(designation), 'tce') THEN -1.0 ELSE 0.0 END AS adjustment FROM {V}"))(

@@ -27,3 +27,15 @@ def dbl(text: str) -> str:
     import re
 
     return re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w.'])", r"\1::DOUBLE", text)
+
+
+def indel(pairs: str) -> str:
+    """WITH RECURSIVE parts up to `f(a, b, ratio)`: the indel ratio of the different pairs (a, b), one character of b a step.
+
+    `v` holds a bit for each character of a; those that are cleared count the longest common subsequence. Up to 60 characters.
+    """
+    mask = "list_sum(list_transform(range(length(a)), lambda j: CASE WHEN a[j + 1] = b[i + 1] THEN 1::BIGINT << j::INT ELSE 0::BIGINT END))::BIGINT"
+    return f"""p AS (SELECT DISTINCT a, b FROM ({pairs})),
+r AS (SELECT a, b, 0 AS i, (1::BIGINT << length(a)::INT) - 1 AS ones, (1::BIGINT << length(a)::INT) - 1 AS v FROM p
+ UNION ALL SELECT a, b, i + 1, ones, ((v + h) | (v - h)) & ones FROM (SELECT *, v & coalesce({mask}, 0) AS h FROM r WHERE i < length(b))),
+f AS (SELECT a, b, CASE WHEN length(a) + length(b) = 0 THEN 100.0::DOUBLE ELSE 200.0::DOUBLE * (length(a) - bit_count(v)) / (length(a) + length(b)) END AS ratio FROM r WHERE i = length(b))"""
