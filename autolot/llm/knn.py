@@ -13,10 +13,11 @@ import logging
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from autolot.llm.common import materialize, slim, table
+from autolot.llm.vectors import main_length, matrix, product, quantized
 
 K, SCALE, EVERY = 20, 64, 20
 #: Queries in a group, and rows in a block.
@@ -25,27 +26,6 @@ GROUP, BLOCK = 4096, 4096
 FEWEST, MOST = 48, 1024
 
 
-def quantized(vector: Column, scale: int = SCALE) -> Column:
-    """floor(scale * x) of each component; null for a vector that is null or holds a null or a component that is not finite."""
-    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(vector.isNotNull() & ~bad, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("double")))
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
-
-
-def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer inner products of all rows; exact beyond 2^53 as well."""
-    if not a.size or not b.size:
-        return np.zeros((len(a), len(b)))
-    if np.abs(a).max() * np.abs(b).max() * a.shape[1] < 2**53:
-        return a @ b.T
-    whole = [[int(x) for x in row] for row in a], [[int(x) for x in row] for row in b]
-    return np.array([[sum(x * y for x, y in zip(u, v, strict=True)) for v in whole[1]] for u in whole[0]], object)
-
-
 def pivots(rows: DataFrame, count: int) -> np.ndarray:
     """At most `count` different vectors, from four times as many rows chosen by a hash of vec_id; a top-k, not a shuffle."""
     chosen = rows.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(4 * count).toPandas()["v"]
@@ -59,7 +39,7 @@ def _assign(rows: DataFrame, centre: np.ndarray) -> DataFrame:
 
     def run(batches):
         for batch in slim(batches, 4096):
-            x = _matrix(batch.column(2))
+            x = matrix(batch.column(2))
             if not len(x):
                 continue
             cell = (half[None] - x @ sent.value.T).argmin(1)
@@ -128,7 +108,8 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCAL
     """query_id, rank, vec_id and score: the k best of all other rows for each row whose vec_id is divisible by `every`.
 
     `vectors` has vec_id and embedding. Rows with an unusable vector, or a null vec_id, take no part; nor do vectors
-    of another length than most usable ones (of equally frequent lengths, than the longest). Repeated rows are
+    of another length than most usable ones (of equally frequent lengths, than the longest). A vector
+    whose squares do not add up to a long takes no part, so every score is an exact long (`vectors.quantized`). Repeated rows are
     candidates apart; a query's own row is every row with its vec_id. Several rows of a query's vec_id are one query:
     the k best are those of all their scores. Fewer than k candidates are all given. Empty tables give no rows; other
     columns are ignored. What the driver holds and what is broadcast is bounded by the square of the pivots.
@@ -136,11 +117,11 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCAL
     answer = "query_id long, vec_id long, score long"
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), (F.col("vec_id") % every == 0).alias("query"), quantized(F.col("embedding"), scale).alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
-    length = rows.groupBy(F.size("v").alias("length")).count().orderBy(F.desc("count"), F.desc("length")).first()
-    if length is None:
+    length, usable = main_length(rows, "v")
+    if not usable:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    rows = rows.where(F.size("v") == length["length"])
-    centre = pivots(rows, count or min(MOST, max(FEWEST, length["count"] // block)))
+    rows = rows.where(F.size("v") == length)
+    centre = pivots(rows, count or min(MOST, max(FEWEST, usable // block)))
     rows = materialize(_assign(rows, centre).withColumn("row", F.monotonically_increasing_id()), "cells")
     nearest = F.row_number().over(Window.partitionBy("cell", "part").orderBy("far"))
     # A query leaves out every row with its vec_id, so each vec_id counts once, in one cell, towards the k + 1 of a bound.
@@ -176,7 +157,7 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCAL
         found = []
         for lo in range(0, len(queries), 512):
             part = queries.iloc[lo : lo + 512]
-            score = _product(np.stack(part["q"].to_numpy()), x)
+            score = product(np.stack(part["q"].to_numpy()), x)
             for q, s in zip(part["query_id"].tolist(), score, strict=True):
                 other = np.flatnonzero(ids != q)
                 s = s[other]
@@ -186,7 +167,7 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCAL
                 else:
                     kept = np.arange(len(s))
                 kept = kept[np.argsort(-s[kept], kind="stable")][:k]
-                found.append(pd.DataFrame({"query_id": q, "vec_id": ids[other[kept]], "score": s[kept].astype(np.int64)}))
+                found.append(pd.DataFrame({"query_id": q, "vec_id": ids[other[kept]], "score": s[kept]}))
         return pd.concat(found)
 
     best = asked.groupBy("unit_key").cogroup(data.groupBy("key")).applyInPandas(solve, answer)
@@ -199,11 +180,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-WITH e0 AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+WITH e1 AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+e0 AS (SELECT * FROM e1 WHERE list_sum(list_transform(v, lambda x: x * x)) <= 9.0e18),
 e AS (SELECT * FROM e0 WHERE len(v) = (SELECT len(v) FROM e0 GROUP BY len(v) ORDER BY count(*) DESC, len(v) DESC LIMIT 1)),
 q AS (SELECT vec_id, v FROM e WHERE vec_id % 20 = 0),
-s AS (SELECT q.vec_id AS query_id, e.vec_id, list_dot_product(q.v::DOUBLE[], e.v::DOUBLE[])::BIGINT AS score FROM q JOIN e ON q.vec_id <> e.vec_id),
+s AS (SELECT q.vec_id AS query_id, e.vec_id, list_dot_product(q.v, e.v)::BIGINT AS score FROM q JOIN e ON q.vec_id <> e.vec_id),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 20
 """

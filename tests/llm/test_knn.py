@@ -6,6 +6,7 @@ from autolot.llm import knn as K
 
 def brute(rows, k, every, scale=64):
     good = [(i, [math.floor(scale * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v) and v]
+    good = [(i, v) for i, v in good if sum(x * x for x in v) <= 9e18]  # a larger one takes no part
     out = set()
     for q in {i for i, _ in good if i % every == 0}:
         best = sorted((-sum(a * b for a, b in zip(v, x, strict=True)), i) for j, v in good if j == q for i, x in good if i != q)[:k]
@@ -30,6 +31,16 @@ def test_large_numbers_are_exact(spark):
     assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == brute(rows, 3, 20)
 
 
+def test_vectors_beyond_longs_take_no_part(spark):
+    """A finite vector whose squares do not fit a long would make scores that are none; others beside it are exact."""
+    rng = random.Random(8)
+    rows = [(i, [rng.uniform(-2e7, 2e7) for _ in range(4)]) for i in range(0, 90)]
+    rows += [(100, [1e12] * 4), (101, [-1e300] * 4), (120, [1e17, 0.0, 0.0, 0.0]), (140, [4e7, 0.0, 0.0, 0.0]), (141, [-4.6e7, 0.0, 0.0, 0.0]), (160, [1e306] * 4)]
+    got = {tuple(r) for r in K.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4).select("query_id", "rank", "vec_id", "score").collect()}
+    want = brute(rows, 4, 20)
+    assert got == want and max(abs(r[3]) for r in want) > 2**60 and 140 in {r[0] for r in want} and not {100, 120, 160} & {r[0] for r in want}
+
+
 def test_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in K.search(df).select("query_id", "rank", "vec_id", "score").collect()] == [(0, 1, 1, 8192)]
