@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from autolot.llm import hosts, knn, language, mixing, neardup, packing, private, quality, sharding, tools
+from autolot.llm import hosts, knn, language, licenses, mixing, neardup, negatives, packing, private, quality, sharding, tools, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_voronoi_knn": knn.query,
         "op9_jump_sharding": sharding.query,
         "op10_host_reputation": hosts.query,
+        "op11_license_scan": licenses.query,
+        "op12_hard_negatives": negatives.query,
+        "op13_whitening": whitening.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_tool_calls": tools.SQL, "op7_poisson_mixing": mixing.SQL, "op8_voronoi_knn": knn.SQL, "op9_jump_sharding": sharding.SQL, "op10_host_reputation": hosts.SQL}
+    return {
+        "op3_tool_calls": tools.SQL, "op7_poisson_mixing": mixing.SQL, "op8_voronoi_knn": knn.SQL, "op9_jump_sharding": sharding.SQL, "op10_host_reputation": hosts.SQL,
+        "op12_hard_negatives": negatives.SQL,
+    }

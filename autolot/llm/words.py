@@ -48,9 +48,9 @@ def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 class Words:
     """Words of the rows of a batch: `start`, `end` (bytes), `hash`, and `first`, each row's first word."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray):
+    def __init__(self, data: np.ndarray, at: np.ndarray, separators: np.ndarray = SEPARATOR):
         n = len(data)
-        separator = SEPARATOR[data]
+        separator = separators[data]
         before, after = np.empty(n, bool), np.empty(n, bool)
         if n:
             before[0] = after[-1] = True
