@@ -156,15 +156,17 @@ class Model:
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
     """Learn from documents (text, lang, doc_id) that are labelled and not held out; None if there are none.
 
-    The sample holds about `sample_docs` whole documents of each language, chosen by a hash of doc_id; so
-    what the driver gets, counts of four-byte strings, does not grow with the corpus.
+    The sample holds about `sample_docs` different whole documents of each language, chosen by a hash of doc_id and text, so ids that
+    are null or equal change nothing; a language of which the hash chooses none gives those with the least hash. A repeated
+    row is learned from once. So what the driver gets, counts of four-byte strings, does not grow with the corpus.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0) & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    size = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    known = known.select("lang", "text", spread(F.col("doc_id"), F.col("text"), seed=1).alias("_order"))
+    size = {r["lang"]: (r["n"], r["least"]) for r in known.groupBy("lang").agg(F.count("*").alias("n"), F.min("_order").alias("least")).collect()}
     if not size:
         return None
-    share = F.create_map([F.lit(x) for k, n in size.items() for x in (k, min(1.0, sample_docs / n))])[F.col("lang")]
-    sample = known.where(spread(F.col("doc_id"), seed=1) < share)
+    bound = F.create_map([F.lit(x) for k, (n, least) in size.items() for x in (k, max(sample_docs / n, least))])[F.col("lang")]
+    sample = known.where(F.col("_order") <= bound).dropDuplicates(["lang", "_order"])
     rows = sample.select("text", "lang").mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     if rows.empty:
         return None

@@ -199,9 +199,13 @@ def _packed(groups: DataFrame, name: str, block_bytes: int) -> DataFrame:
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) of `nodes` (node, doc_id), written once; the only join with all texts."""
+    """(node, text) of `nodes` (node, doc_id), each once, written; the only join with all texts.
+
+    Rows that repeat text and doc_id, as all copies without a doc_id do, bring a node's text several times; then each is kept once.
+    """
     rows = docs.select(F.col("doc_id").alias("_id"), F.md5("text").alias("_md5"), "text")
-    return materialize(rows.join(maybe_broadcast(nodes), F.expr("_md5 = node and _id <=> doc_id")).select("node", "text"), "texts")
+    texts = materialize(rows.join(maybe_broadcast(nodes), F.expr("_md5 = node and _id <=> doc_id")).select("node", "text"), "texts")
+    return texts if texts.count() == nodes.count() else materialize(texts.dropDuplicates(["node"]), "texts")
 
 
 def links(docs: DataFrame, rows: DataFrame, least: float = SIMILAR, weighting: str = WEIGHTING, block_bytes: int = BLOCK_BYTES, block: int = BLOCK) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from autolot.llm.common import chunks, ddl, materialize, slim, strings, table, utf8
+from autolot.llm.common import chunks, ddl, materialize, slim, strings, table, typed, utf8
 from autolot.llm.words import spans
 
 CAPACITY, END = 2048, 1
@@ -173,7 +173,7 @@ PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """The pieces of every row of `docs` (doc_id, text): full windows, then the rest. A null text is empty; its one id is END."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = typed(docs.schema["doc_id"].dataType)
 
     def run(batches):
         tokenizer = Tokenizer(path)
@@ -247,9 +247,9 @@ def pack(found: DataFrame, capacity: int = CAPACITY, bin_tokens: int = BIN_TOKEN
 
     `found` is read twice and should be a written table. Full windows are sequences by themselves, and
     are not gathered, only numbered. The other pieces are dealt to as many bins as their tokens ask for, so no bin
-    grows with the input, and only the last few windows of a bin stay open. Equal pieces are packed like others.
-    Sequence numbers are unique, not gapless: odd for full windows. They depend on the pieces, not on how these are
-    partitioned. Columns that are called sequence_id, offset or _bin give way.
+    grows with the input, and only the last few windows of a bin stay open. Equal pieces are packed like others: rows are
+    dealt by a hash of the piece and of the row's number in the written table, so that many equal ones go to many bins.
+    Sequence numbers are unique, not gapless: odd for full windows. Columns that are called sequence_id, offset or _bin give way.
     """
     found = found.drop("sequence_id", "offset", "_bin")
     size = found.agg(F.sum(F.when(F.col("length") < capacity, F.col("length"))).alias("tokens"), F.count(F.when(F.col("length") == capacity, 1)).alias("full")).first()
@@ -261,7 +261,8 @@ def pack(found: DataFrame, capacity: int = CAPACITY, bin_tokens: int = BIN_TOKEN
         return frame.drop(columns="_bin").assign(sequence_id=2 * (window * bins + int(key[0])), offset=offset)
 
     def dealt(rows: DataFrame, count: int) -> DataFrame:
-        return rows.withColumn("_bin", F.pmod(F.xxhash64("ids_crc32", "doc_id", "start", F.lit(5)), F.lit(count)).cast("int"))
+        number = F.monotonically_increasing_id()
+        return rows.withColumn("_bin", F.pmod(F.xxhash64("ids_crc32", "doc_id", "start", number), F.lit(count)).cast("int"))
 
     packed = dealt(found.where(F.col("length") < capacity), bins).groupBy("_bin").applyInPandas(run, f"{ddl(found)}, sequence_id long, offset long")
     number = F.row_number().over(Window.partitionBy("_bin").orderBy("ids_crc32", "doc_id", "start"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from autolot.llm.boost import Boosted
-from autolot.llm.common import chunks, ddl, slim, spread, strings, table, utf8
+from autolot.llm.common import chunks, ddl, slim, spread, strings, table, typed, utf8
 
 #: Documents, as expected, and most proposals that the trees learn from.
 SAMPLE_DOCS, SAMPLE_SPANS = 6000, 40_000
@@ -82,10 +82,11 @@ _PROPOSE = (
     ("number", re.compile(r"(?<![0-9A-Za-z])\+?(?:[0-9]{1,3}[\x20.\-/])?\(?[0-9]{2,4}\)?[\x20.\-/][0-9]{3,4}[\x20.\-/]?[0-9]{3,4}(?![0-9])")),
     ("number", re.compile(r"(?<![0-9A-Za-z])[0-9]{4}(?:[\x20._\-/]{1,3}[0-9]{4}){3}(?![0-9])")),
     ("contact", re.compile(r"(?<![^\s<>(),;:\"'])[^\s@<>(),;:\"']++@[^\s@<>(),;:\"']++")),
-    ("contact", re.compile(r"(?<![\w.+-])[\w.+-]{1,64}+\s?[\[({]\s?(?:at|@)\s?[\])}]\s?[\w-]{1,64}+(?:(?:\s?[\[({]\s?(?:dot|\.)\s?[\])}]\s?|\.)[\w-]{1,64}+){1,5}", re.I)),
+    ("contact", re.compile(r"(?<![\w.+-])[\w.+-]++\s?[\[({]\s?(?:at|@)\s?[\])}]\s?[\w-]++(?:(?:\s?[\[({]\s?(?:dot|\.)\s?[\])}]\s?|\.)[\w-]++)+", re.I)),
     ("account", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[0-9A-Z]{4}){2,7}(?:\x20?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")),
     ("secret", re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+")),
-    ("secret", re.compile(r"(?i:pass(?:word|wd)?|pwd|token|secret|api_?key)\s{0,4}[=:]\s{0,4}[\"']?([^\s\"',;<>]{6,200}+)")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]++){2}(?![A-Za-z0-9_-])")),
+    ("secret", re.compile(r"(?i:pass(?:word|wd)?|pwd|token|secret|api_?key)\s{0,4}[=:]\s{0,4}[\"']?([^\s\"',;<>]{6,}+)")),
 )
 ADDED = ("number", "contact", "account", "secret")
 _MARK = re.compile(r"[0-9@]")
@@ -95,7 +96,7 @@ _WORDS = (
     re.compile(r"version|licen[sc]e|isbn|page|year|section|commit|sha|v\.", re.I),
 )
 _ASSIGNED = re.compile(r"(?:pass(?:word|wd)?|pwd|token|secret|api_?key)\s{0,4}[=:]\s{0,4}[\"']?\Z", re.I)
-_AWS = re.compile(r"AKIA[0-9A-Z]{16}")
+_KNOWN = re.compile(r"AKIA[0-9A-Z]{16}|(?:sk|pk|rk)-(?:[a-z]+-)?[A-Za-z0-9]{20,}|gh[opsu]_[A-Za-z0-9]{36,}|eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 _CALL = re.compile(r"(?:\+|00)?[0-9]{0,3}[\x20.\-/]?\(?[0-9]{3}\)?[\x20.\-/][0-9]{3}[\x20.\-/][0-9]{4}")
 _DATE = re.compile(r"(?:[12][0-9]{3}[.\-/][0-9]{1,2}[.\-/][0-9]{1,2}|[0-9]{1,2}[.\-/][0-9]{1,2}[.\-/][12][0-9]{3})(?:\x20.*)?")
 _NAME = re.compile(r"[\w.+-]+\Z")
@@ -112,7 +113,7 @@ def iban(value: str) -> bool:
 
 
 def _features(text: str, kind: str, a: int, b: int) -> list[float]:
-    s, before, after = text[a : min(b, a + 256)], text[max(0, a - 24) : a], text[b : b + 8]
+    s, before, after = text[a:b], text[max(0, a - 24) : a], text[b : b + 8]
     digits = sum(c.isdigit() for c in s)
     letters = sum(c.isalpha() for c in s)
     switches = sum(x.isdigit() != y.isdigit() for x, y in zip(s, s[1:], strict=False))
@@ -126,7 +127,7 @@ def _features(text: str, kind: str, a: int, b: int) -> list[float]:
 
 
 def propose(text: str) -> list[Span]:
-    """All proposals, which may overlap. Long words without a digit are none, unless they are assigned to a secret's name."""
+    """All proposals, of whole values of any length; they may overlap. Long words without a digit are none, unless they are assigned to a secret's name."""
     out = dict.fromkeys((kind, *m.span(m.lastindex or 0)) for kind, pattern in _PROPOSE for m in pattern.finditer(text) if kind != "secret" or m.lastindex or _MARK.search(text, *m.span()))
     return list(out)
 
@@ -142,7 +143,7 @@ def _sure(text: str, span: Span) -> bool:
     kind, a, b = span
     s = text[a:b]
     if kind == "secret":
-        return bool(_AWS.fullmatch(s)) or bool(_MARK.search(s) and _ASSIGNED.search(text[max(0, a - 24) : a]))
+        return bool(_KNOWN.fullmatch(s)) or bool(_MARK.search(s) and _ASSIGNED.search(text[max(0, a - 24) : a]))
     return (kind == "number" and s.startswith("+") and bool(_CALL.fullmatch(s))) or (kind == "account" and iban(s))
 
 
@@ -179,7 +180,10 @@ def altered(text: str, span: Span) -> list[tuple[str, str, bool]]:
         name = rng.choice(("password", "api_key", "secret", "pwd"))
         short = s[: rng.randint(8, 15)]
         yes = [(f"{name}={rng.choice(('', chr(34)))}", s), (f"{name}: ", short + "7"), ("", "AKIA" + "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ234567") for _ in range(16)))]
-        no = [("commit ", s), ("sha ", s), ("", "-".join((*re.findall("[a-z]+", s)[:4], "of", "the", "thing", other[:2])))]
+        code = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+        whole = [("", f"sk-{code(rng.randint(20, 48))}"), ("", f"ghp_{code(36)}"), ("bearer ", f"eyJ{code(rng.randint(12, 30))}.eyJ{code(rng.randint(20, 60))}.{code(rng.randint(20, 43))}")]
+        yes += whole
+        no = [("commit ", s), ("sha ", s), ("", "-".join((*re.findall("[a-z]+", s)[:4], "of", "the", "thing", other[:2]))), ("", "org.example.module_" + other[:2] + ".part"), ("", f"example{other[:2]}.tests.test_{other[:3]}"), ("", f"sk-{'-'.join(re.findall('[a-z]+', s)[:3])}-page-{other[:1]}")]
     return [(*x, True) for x in yes] + [(*x, False) for x in no]
 
 
@@ -238,6 +242,17 @@ def _examples(batches):
             yield pa.RecordBatch.from_arrays([*(pa.array(rows[:, k]) for k in range(len(FEATURES))), pa.array([x[1] for x in found]), pa.array([x[2] for x in found], pa.int64())], [*FEATURES, "yes", "value"])
 
 
+def outermost(spans: list[Span], some: list[int]) -> list[int]:
+    """Those of the spans numbered `some` that lie in no longer one of them."""
+    out, end, begin = [], -1, -1
+    for k in sorted(some, key=lambda k: (spans[k][1], -spans[k][2])):
+        _, a, b = spans[k]
+        if b > end or (a, b) == (begin, end):
+            out.append(k)
+            begin, end = a, b
+    return out
+
+
 class Chooser:
     """Boosted trees with a threshold for each generator's kind; adds nothing where it has learned nothing.
 
@@ -263,7 +278,8 @@ class Chooser:
                 self.least[name] = max(0.5, float(s[ok[-1]] + below) / 2)
 
     def spans(self, text: str) -> tuple[list[Span], list[Span]]:
-        """Base spans, and added ones: from the best score on, those that overlap neither a base span nor a better one."""
+        """Base spans, and added ones: of the proposals that pass their kind's threshold, and lie in no longer one that does, from the
+        best score on those that overlap neither a base span nor a better one."""
         base = base_spans(text)
         found = propose(text) if self.model is not None else []
         if not found:
@@ -273,9 +289,10 @@ class Chooser:
         for _, a, b in base:
             covered[a:b] = b"\1" * (b - a)
         added: list[Span] = []
-        for k in sorted(range(len(found)), key=lambda k: (-score[k], found[k][1] - found[k][2], found[k][1])):
+        passed = [k for k in range(len(found)) if score[k] >= self.least[found[k][0]] and covered.find(1, *found[k][1:]) < 0]
+        for k in sorted(outermost(found, passed), key=lambda k: (-score[k], found[k][1] - found[k][2], found[k][1])):
             kind, a, b = found[k]
-            if score[k] >= self.least[kind] and covered.find(1, a, b) < 0:
+            if covered.find(1, a, b) < 0:
                 covered[a:b] = b"\1" * (b - a)
                 added.append((kind, a, b))
         return base, added
@@ -296,9 +313,11 @@ def chooser(rows: pd.DataFrame) -> Chooser:
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_spans: int = SAMPLE_SPANS) -> Chooser:
-    """Learn from about `sample_docs` whole documents, chosen by a hash of doc_id, and at most `sample_spans` of their examples."""
-    share = min(1.0, sample_docs / max(1, docs.count()))
-    rows = examples(docs.where(spread(F.col("doc_id"), seed=2) < share))
+    """Learn from about `sample_docs` different whole documents, chosen by a hash of doc_id and text (so null or equal ids change nothing),
+    and at most `sample_spans` of their examples. A repeated row is learned from once."""
+    rows = docs.select("text", spread(F.col("doc_id"), F.col("text"), seed=2).alias("_at"))
+    size = rows.agg(F.count("*").alias("n"), F.min("_at").alias("least")).first()
+    rows = examples(rows.where(F.col("_at") <= max(sample_docs / max(1, size["n"]), size["least"] or 0.0)).dropDuplicates(["_at"]))
     return chooser(rows.withColumn("_order", F.xxhash64("value", *FEATURES)).orderBy("_order", "value", *FEATURES, "yes").limit(sample_spans).drop("_order").toPandas())
 
 
@@ -308,7 +327,7 @@ def find(docs: DataFrame, chooser: Chooser) -> DataFrame:
     Beside the base counts, their digest and all spans: n_added and its parts by kind, and n_spans, base and added
     together. A null text is empty; texts are read whole; repeated rows stay; other columns are ignored.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = typed(docs.schema["doc_id"].dataType)
     sent = docs.sparkSession.sparkContext.broadcast(chooser)
     nothing = hashlib.sha256(b"").hexdigest()
     names = ["doc_id", *(f"n_{b}" for b in BASE), "base_sha256", "spans", "n_added", *(f"n_{k}" for k in ADDED), "n_spans"]

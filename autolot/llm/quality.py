@@ -185,8 +185,8 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, most_rules: int = 12, most_
         rest = left & ~grow
         while len(rule) > 1 and _precision(rule[:-1], x, bad, rest)[0] >= _precision(rule, x, bad, rest)[0]:
             rule.pop()
-        hit = _covers(rule, x, n) & left
-        if (hit & bad).sum() < least or (hit & bad).sum() < precision * hit.sum() or _precision(rule, x, bad, rest)[1] == 0:
+        hit, apart = _covers(rule, x, n) & left, _covers(rule, x, n) & rest
+        if (apart & bad).sum() < max(1, least // 3) or (apart & bad).sum() < precision * apart.sum():  # on the pruning third alone
             break
         rules.append(rule)
         left &= ~hit
@@ -194,12 +194,16 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, most_rules: int = 12, most_
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_labels: int = SAMPLE_LABELS) -> list[Rule]:
-    """Learn a decision list from about `sample_labels` labelled documents, chosen by a hash of doc_id."""
+    """Learn a decision list from about `sample_labels` labelled documents, chosen by a hash of doc_id.
+
+    Of several texts under one labelled doc_id that with the least hash is learned from, so what the driver takes is bounded.
+    """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     share = min(1.0, sample_labels / max(1, known.count()))
     chosen = F.broadcast(known.where(spread(F.col("doc_id"), seed=4) < share))  # about sample_labels rows
     sample = docs.where(spread(F.col("doc_id"), seed=4) < share).select("doc_id", "text").join(chosen, "doc_id")
     rows = measure(sample, "doc_id", "quality").where("not (n_words < 20 or 100 * n_repeat_words > 30 * n_words)")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64(*COUNTS).alias("_h"), "quality", *COUNTS)).alias("_r")).select("doc_id", "_r.quality", *[f"_r.{c}" for c in COUNTS])
     frame = rows.select(F.xxhash64("doc_id").alias("_order"), "quality", *(v.alias(k) for k, v in ratios().items())).toPandas()
     frame = frame.sort_values(["_order", *ratios()])
     return learn({k: frame[k].to_numpy(float) for k in ratios()}, frame["quality"].to_numpy() == 0) if len(frame) else []

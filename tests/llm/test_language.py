@@ -80,3 +80,19 @@ def test_odd_rows(spark):
     assert L.fit(samples.empty(spark)) is None
     assert L.identify(samples.empty(spark), None).count() == 0
     assert {r.lang_pred for r in L.identify(docs, None).collect()} == {"und"}
+
+
+def test_learning_does_not_hang_on_ids(spark):
+    """All ids null, all equal, and one language's equal: every language is learned; one hot document does not make the sample."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    F = L.F
+    langs = sorted(r.lang for r in docs.where("lang is not null").select("lang").distinct().collect())
+    hot = F.when(F.col("lang") == langs[0], 1).otherwise(F.col("doc_id"))
+    rows = docs.where("lang is not null and length(text) > 200")
+    right = lambda model: L.identify(rows, model).join(rows, "doc_id").where("lang_pred = lang").count() / rows.count()
+    usual = right(L.fit(docs, sample_docs=200))
+    for ident in (F.lit(None).cast("long"), F.lit(1).cast("long"), hot.cast("long")):
+        model = L.fit(docs.withColumn("doc_id", ident).join(spark.range(4).select(F.col("id").alias("copy"))), sample_docs=800)
+        assert model.langs == langs and right(model) > usual - 0.005
+    one = spark.createDataFrame([(1, "the only text of this language", "xx")], docs.schema).join(spark.range(5000)).drop("id")
+    assert L.fit(docs.unionByName(one), sample_docs=20).langs == sorted([*langs, "xx"])

@@ -164,3 +164,15 @@ def test_one_row_of_each_class_not_of_each_id(spark):
     assert [t for i, t in kept].count(a) == [t for i, t in kept].count(b) == 1 and (9, near(d)) in kept and kept.count((7, f)) == 1
     assert len({c, near(c)} & {t for i, t in kept}) == len({e, near(e)} & {t for i, t in kept}) == 1
     assert kept.count((None, None)) == 2 and kept.count((7, None)) == 1
+
+
+def test_one_text_a_node_however_often_it_is_repeated(spark, monkeypatch):
+    """3,000 copies without an id, and near copies of them: each different text reaches the comparisons once."""
+    a = samples.prose(70, 80)
+    b = a.replace(a.split()[40], "changed", 1)
+    rows = [(None, a)] * 3000 + [(4, b)] * 50 + [(5, samples.prose(71, 80))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes, plain = [], N._texts
+    monkeypatch.setattr(N, "_texts", lambda *x: sizes.append((t := plain(*x)).count()) or t)
+    got = {tuple(r) for r in N.classes(docs).select("doc_id", "class_id").collect()}
+    assert sizes == [2] and got == {(None, 4), (4, 4), (5, 5)}

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from autolot.llm import packing as P
-from autolot.llm.common import table
+from autolot.llm.common import materialize, table
 from tests.llm import samples
 
 
@@ -67,3 +67,19 @@ def test_odd_rows(spark):
     docs = samples.documents(spark)
     whole(docs, P.pack_documents(docs))
     assert P.pack_documents(samples.empty(spark)).count() == 0
+
+
+def test_many_equal_rows_go_to_many_bins(spark):
+    """Short and window-long pieces of one document, repeated very often: no bin gets much more than its share."""
+    short, full = ("a", 0, 300, 7, 300), ("b", 0, P.CAPACITY, 9, P.CAPACITY)
+    rows = spark.createDataFrame([short, full], f"doc_id string, {P.PIECE}")
+    found = materialize(rows.join(spark.range(100_000)), "equal")
+    packed = P.pack(found, bin_tokens=1 << 20).select("length", "sequence_id", "offset", (P.F.col("sequence_id") / 2 % (30_000_000 // (1 << 20) + 1)).cast("int").alias("bin"))
+    rows = packed.toPandas()
+    assert len(rows) == 200_000
+    part = rows[rows["length"] == 300]
+    assert part.groupby("bin")["length"].sum().max() < 2 * (1 << 20) and part["bin"].nunique() > 25
+    assert part.groupby("sequence_id")["length"].sum().max() <= P.CAPACITY and part["sequence_id"].nunique() < 1.02 * 100_000 / 6
+    assert rows[rows["length"] == P.CAPACITY]["sequence_id"].nunique() == 100_000
+    plan = P.pack(found)._jdf.queryExecution().toString()
+    assert "monotonically_increasing_id" in plan

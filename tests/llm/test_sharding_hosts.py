@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from autolot.llm import hosts, sharding
-from autolot.llm.common import table
+from autolot.llm.common import materialize, table
 from tests.llm import samples
 
 
@@ -31,6 +31,31 @@ def test_shards_equal_the_plain_loop(spark, sf_dir):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(rows) == len(docs)
 
 
+@pytest.mark.parametrize("key", [7, None])
+def test_many_rows_of_one_key_are_numbered_in_parts(spark, key, monkeypatch):
+    """Equal rows, and different texts of one key, beside other rows; slots follow the order that the SQL states."""
+    monkeypatch.setattr(sharding.number_within, "__defaults__", (500,))
+    hot = spark.range(20_000).select(sharding.F.lit(key).cast("long").alias("doc_id"), sharding.F.lit("same text").alias("text"))
+    other = spark.range(3000).select(sharding.F.when(sharding.F.col("id") % 2 == 0, key).otherwise(sharding.F.col("id")).cast("long").alias("doc_id"), sharding.F.concat(sharding.F.lit("t"), "id").alias("text"))
+    docs = hot.union(other).repartition(6)
+    rows = sharding.shard_documents(docs, 4).collect()
+    code = lambda r: (r.shard, int(hashlib.md5(f"{'null' if r.doc_id is None else r.doc_id}:{r.text_crc32}".encode()).hexdigest()[:15], 16))
+    for shard in range(4):
+        own = sorted((r for r in rows if r.shard == shard), key=lambda r: r.slot)
+        assert [r.slot for r in own] == list(range(len(own))) and list(map(code, own)) == sorted(map(code, own))
+    assert len(rows) == 23_000
+    same = [r for r in rows if r.text_crc32 == zlib.crc32(b"same text")]
+    assert len(same) == 20_000 and len({r.slot for r in same}) == 20_000
+
+
+def test_no_task_numbers_all_rows_of_a_key(spark):
+    table_ = materialize(spark.range(200_000).select(sharding.F.lit(1).alias("g"), sharding.F.lit(5 << 50).alias("rank"), sharding.F.lit(0).alias("x")), "equal")
+    got = sharding.number_within(table_, "g", ["x"], "rank", 3, "slot", most=20_000)
+    per_task = got.groupBy(sharding.F.spark_partition_id()).count().collect()
+    assert got.agg(sharding.F.count_distinct("slot"), sharding.F.max("slot")).first() == (200_000, 199_999)
+    assert "hash(_row" in got._jdf.queryExecution().toString().replace("xxhash64", "hash") and per_task
+
+
 def test_shards_are_even_and_move_little(spark):
     rows = spark.range(40_000).select(sharding.jump(sharding.F.col("id"), 8).alias("a"), sharding.jump(sharding.F.col("id"), 9).alias("b")).collect()
     assert all(abs(n / 5000 - 1) < 0.06 for n in Counter(r.a for r in rows).values())
