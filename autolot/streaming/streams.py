@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from autolot.functions import refdata as R
 from autolot.operators.rows import last_write
@@ -25,9 +30,46 @@ def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(out)
 
 
-def fresh_listings(captures: DataFrame, ttl: str = "5 minutes") -> DataFrame:
-    """One row for each source and external_id within the time to live; state is dropped by the watermark."""
-    return captures.withWatermark("scraped_at", ttl).dropDuplicatesWithinWatermark(["source", "external_id"])
+def fresh_listings(captures: DataFrame, ttl: int = 300, delay: str = "1 minute", keys: tuple[str, ...] = ("source", "external_id"), at: str = "scraped_at") -> DataFrame:
+    """The captures that begin a lifetime: the first of each key, and each first one after a lifetime of `ttl` seconds has passed.
+
+    A key's lifetime is counted from its own beginning, whatever other keys do: its state holds that time and the captures that
+    wait, and wakes by a timer of its own. Captures wait until the watermark (`delay` behind the latest capture) has passed them,
+    and are then taken in the order of their times; so the result does not depend on the order in which they came. Those that
+    come later than the watermark are dropped. State goes when the lifetime is over and nothing waits. A capture at the very end
+    of a lifetime still belongs to it; of captures at one time the first by its columns counts. Times and keys that are null are left out.
+    """
+    rest = [c for c in captures.columns if c not in keys and c != at]
+    known = captures.where(" and ".join(f"`{c}` is not null" for c in (*keys, at)))
+    rows = known.withWatermark(at, delay).select(*keys, at, F.unix_micros(at).alias("_at"), F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("_rest"))
+    fields = {f.name: f.dataType for f in captures.schema}
+    kinds = ", ".join(f"`{k}` {fields[k].simpleString()}" for k in keys)
+
+    def wake(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        begun, waiting = (state.get[0], list(zip(state.get[1], state.get[2], strict=True))) if state.exists else (None, [])
+        if not state.hasTimedOut:
+            for frame in frames:
+                waiting += zip(frame["_at"].tolist(), frame["_rest"].tolist(), strict=True)
+        mark = state.getCurrentWatermarkMs() * 1000
+        waiting.sort()
+        fresh = []
+        while waiting and waiting[0][0] <= mark:
+            time, row = waiting.pop(0)
+            if begun is None or time > begun + ttl * 1_000_000:
+                begun = time
+                fresh.append((*key, time, row))
+        ends = begun + ttl * 1_000_000 if begun is not None else None
+        if not waiting and (ends is None or ends < mark):
+            state.remove()
+        else:
+            state.update((begun, [w[0] for w in waiting], [w[1] for w in waiting]))
+            state.setTimeoutTimestamp((waiting[0][0] if waiting else ends) // 1000 + 1)  # always beyond the watermark
+        if fresh:
+            yield pd.DataFrame(fresh, columns=[*keys, "_at", "_rest"])
+
+    begun = rows.groupBy(*keys).applyInPandasWithState(wake, f"{kinds}, _at long, _rest string", "begun long, at array<long>, rest array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+    parsed = F.from_json("_rest", StructType([captures.schema[c] for c in rest])) if rest else F.lit(None)
+    return begun.select(*keys, F.timestamp_micros("_at").alias(at), parsed.alias("_r")).select(*[F.col(c) if c in keys or c == at else F.col(f"_r.`{c}`").alias(c) for c in captures.columns])
 
 
 def fuel_windows(feed: DataFrame, width: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
