@@ -6,16 +6,10 @@ several hits the one with the least order is taken.
 
 from __future__ import annotations
 
-import math
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from autolot.functions import refdata as R
-from autolot.operators.rows import cap, keep_first
 from autolot.sources.files import small
 
 
@@ -27,29 +21,48 @@ def exact_match(left: DataFrame, right: DataFrame, ident: str, keys: list[str],
     return out.select(*left.columns, F.coalesce(*[F.col(f"_h{i}") for i in range(len(keys))]).alias(hit))
 
 
-#: Parts meet texts by so many of their first characters.
-FIRST = 4
+#: Parts meet texts by one of their runs of so many characters; shorter parts as they are.
+GRAM = 4
 
 
-def pieces(text: Column, size: int = FIRST) -> Column:
-    """Different pieces of 1 to `size` characters; none of a null text."""
+def pieces(text: Column, sizes: list[int]) -> Column:
+    """Different pieces of a text of the given numbers of characters; none of a null text."""
     def of(n: int) -> Column:
         starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: i + n - 1 <= F.length(text))
         return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
 
-    return F.array_distinct(F.flatten(F.array(*[of(n) for n in range(1, size + 1)])))
+    return F.array_distinct(F.flatten(F.array(*map(of, sizes))))
+
+
+def candidates(whole: DataFrame, parts: DataFrame, block: str, text: str, part_block: str, part: str, size: int = GRAM) -> DataFrame:
+    """Pairs of a block that may hold each other, each once, with the columns of both: those where the text has the rarest of the part's runs.
+
+    A part is filed under the run of `size` characters that the fewest texts of its block have, so names that begin or end alike
+    do not meet for that. Parts with a run that no text of the block has are in no text, and take no part.
+    """
+    known = parts.where(F.col(part) != "")
+    n = F.least(F.length(part), F.lit(size))
+    sizes = sorted(r[0] for r in known.select(n).distinct().collect())  # at most `size` numbers
+    if not sizes:
+        sizes = [size]
+    texts = whole.select(F.col(block).alias("_tb"), F.col(text).alias("_t")).where("_tb is not null").distinct()
+    counts = texts.select("_tb", F.explode(pieces(F.col("_t"), sizes)).alias("_piece")).groupBy("_tb", "_piece").agg(F.count("*").alias("_n"))
+    names = known.select(F.col(part_block).alias("_pb"), F.col(part).alias("_part"), n.alias("_size")).distinct()
+    runs = F.transform(F.sequence(F.lit(1), F.length("_part") - F.col("_size") + 1), lambda i: F.substring(F.col("_part"), i, F.col("_size")))
+    runs = names.select("_pb", "_part", F.explode(F.array_distinct(runs)).alias("_run"))
+    found = runs.join(counts, (F.col("_pb") == F.col("_tb")) & (F.col("_run") == F.col("_piece")), "left")
+    filed = found.groupBy("_pb", "_part").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_run")).alias("_a")).where("_a.n > 0").select("_pb", "_part", F.col("_a._run").alias("_run"))
+    cut = whole.withColumn("_piece", F.explode(pieces(F.col(text), sizes)))
+    first = known.join(filed, (F.col(part_block) == F.col("_pb")) & (F.col(part) == F.col("_part"))).drop("_pb", "_part")
+    return cut.join(first, (F.col(block) == F.col(part_block)) & (F.col("_piece") == F.col("_run"))).drop("_piece", "_run")
 
 
 def containing(whole: DataFrame, parts: DataFrame, block: str, text: str, part_block: str, part: str) -> DataFrame:
     """Pairs of a block where `text` of `whole` holds `part` of `parts`, each pair once, with the columns of both (all names differ).
 
-    An empty or null part is in no text. A part's first characters meet the text's pieces of that length in an equi-join; only
-    parts that begin alike are compared further, and no block is held against all of its texts.
+    An empty or null part is in no text, and a null block equals none. See `candidates` for which pairs are compared.
     """
-    cut = whole.withColumn("_piece", F.explode(pieces(F.col(text))))
-    first = parts.where(F.col(part) != "").withColumn("_first", F.substring(part, 1, FIRST))
-    met = cut.join(first, (F.col(block) == F.col(part_block)) & (F.col("_piece") == F.col("_first")))
-    return met.where((F.length(part) <= FIRST) | F.col(text).contains(F.col(part))).drop("_piece", "_first")
+    return candidates(whole, parts, block, text, part_block, part).where(F.col(text).contains(F.col(part)))
 
 
 def partial_match(left: DataFrame, right: DataFrame, block: str, text: str, model: str, other: str, hit: str) -> DataFrame:
@@ -154,27 +167,34 @@ def match(left: DataFrame, right: DataFrame, ident: str, keys: list[str], key: s
     return exact.join(part, on, "left").select(*left.columns, F.coalesce(F.col(hit), F.col("_p")).alias(hit), step.alias("step"))
 
 
-#: A word, or what stands between two words.
-PIECES = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
+#: A word, or what stands between two words; a name without what stands around its words.
+PIECES, WORD, INNER = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+", r"[\p{L}\p{N}_]+", r"^[^\p{L}\p{N}_]*(.*?)[^\p{L}\p{N}_]*$"
+
+
+def filed_models(models: DataFrame, model: str) -> DataFrame:
+    """_m, _name, _word, _at, _n: each model under that of its words which the fewest models have (ties: the first), where it stands
+    among the name's pieces, and the name's number of pieces."""
+    name = F.regexp_extract(F.lower(F.trim(model)), INNER, 1)
+    known = models.select(F.col(model).alias("_m"), name.alias("_name")).where("_name <> ''").distinct()
+    words = known.select("_m", "_name", F.posexplode(F.regexp_extract_all("_name", F.lit(PIECES), 0)).alias("_at", "_word")).where(F.col("_at") % 2 == 0)  # it begins with a word
+    counts = words.select("_name", "_word").distinct().groupBy("_word").agg(F.count("*").alias("_c"))
+    best = words.join(counts, "_word").groupBy("_m", "_name").agg(F.min(F.struct("_c", "_at", "_word")).alias("_a"))
+    return best.select("_m", "_name", F.col("_a._word").alias("_word"), F.col("_a._at").alias("_at"), F.size(F.regexp_extract_all("_name", F.lit(PIECES), 0)).alias("_n"))
 
 
 def longest_model(titles: DataFrame, models: DataFrame, ident: str, title: str, model: str) -> DataFrame:
     """The longest known model (ties: the first by name) that stands in the title between word boundaries.
 
-    Runs of as many words as the longest model has, with what stands between them, meet the dictionary in an equi-join, so
-    no title is held against every model. The dictionary is broadcast if its bytes allow it. Models begin and end with a
-    letter or digit; signs around them are cut off.
+    A title's words, each once, meet the models that are filed under them; then the whole name is compared at that place. So a title is
+    held against few models, and what is made of it goes with its words, however long the longest model is. Models begin and end
+    with a letter or digit; signs around them are cut off. The dictionary is broadcast if its bytes allow it.
     """
-    name = F.regexp_extract(F.lower(F.trim(model)), r"^[^\p{L}\p{N}_]*(.*?)[^\p{L}\p{N}_]*$", 1)
-    known = models.select(F.col(model).alias("_m"), name.alias("_run")).where("_run <> ''").distinct()
-    words = known.agg(F.max(F.size(F.regexp_extract_all("_run", F.lit(r"[\p{L}\p{N}_]+"), 0)))).first()[0] or 1
-    pieces = F.regexp_extract_all(F.lower(title), F.lit(PIECES), 0)
-    asked = titles.select(ident, pieces.alias("_p")).where(F.size("_p") > 0)
-    start = F.sequence(F.lit(1), F.size("_p"))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(words)), lambda n: F.transform(start, lambda i: F.array_join(F.slice("_p", i, 2 * n - 1), ""))))
-    asked = asked.select(ident, F.explode(F.array_distinct(runs)).alias("_run"))
-    best = F.min_by("_m", F.struct(-F.length("_m"), F.col("_m")))
-    return asked.join(small(known), "_run").groupBy(ident).agg(best.alias(model))
+    asked = titles.select(ident, F.regexp_extract_all(F.lower(title), F.lit(PIECES), 0).alias("_p"))
+    word = asked.select(ident, "_p", F.posexplode("_p").alias("_i", "_word")).where(F.col("_word").rlike("^" + WORD))
+    start = F.col("_i") - F.col("_at")
+    same = (start >= 0) & (F.array_join(F.slice("_p", start + 1, F.col("_n")), "") == F.col("_name"))
+    met = word.join(small(filed_models(models, model)), "_word").where(F.when(start >= 0, same).otherwise(False))
+    return met.groupBy(ident).agg(F.min_by("_m", F.struct(-F.length("_m"), F.col("_m"))).alias(model))
 
 
 def risks(rows: DataFrame, table: DataFrame, ident: str, brand: Column, year: Column, engine: Column, reference_order: bool = False) -> DataFrame:
@@ -195,77 +215,3 @@ def risks(rows: DataFrame, table: DataFrame, ident: str, brand: Column, year: Co
 def risk_table(spark) -> DataFrame:
     rows = [(k, k.split("_")[0], s, a, b, k.split("_")[1:]) for k, s, a, b in R.RISKS]
     return F.broadcast(spark.createDataFrame(rows, "risk string, brand string, severity string, first int, last int, tokens array<string>"))  # seven rows
-
-
-def indel(a: str, b: str) -> float:
-    """100 * (1 - insertions and deletions / both lengths), by the longest common subsequence in bits of one integer."""
-    if not a and not b:
-        return 100.0
-    place: dict[str, int] = {}
-    for i, c in enumerate(a):
-        place[c] = place.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for c in b:
-        hit = row & place.get(c, 0)
-        row = ((row + hit) | (row - hit)) & full
-    lcs = len(a) - row.bit_count()
-    return 200.0 * lcs / (len(a) + len(b))
-
-
-def token_set(a: str, b: str) -> float:
-    """The best indel ratio of shared words, and of shared words with each side's rest."""
-    x, y = set(re.findall(r"\w+", a.lower())), set(re.findall(r"\w+", b.lower()))
-    both = " ".join(sorted(x & y))
-    left, right = (f"{both} {' '.join(sorted(s))}".strip() for s in (x - y, y - x))
-    if both and (not x - y or not y - x):
-        return 100.0
-    return max([indel(left, right), *((indel(both, left), indel(both, right)) if both else ())])
-
-
-@F.pandas_udf(DoubleType())
-def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([indel(x, y) if isinstance(x, str) and isinstance(y, str) else math.nan for x, y in zip(a, b, strict=True)])
-
-
-@F.pandas_udf(DoubleType())
-def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_set(x, y) if isinstance(x, str) and isinstance(y, str) else math.nan for x, y in zip(a, b, strict=True)])
-
-
-def fuzzy_match(left: DataFrame, right: DataFrame, block: str, model: str, other: str, hit: str, least: float = 50.0) -> DataFrame:
-    """Different (block, model) of `left` with the least `hit` of similar models in the block.
-
-    Only different pairs are compared, and only those whose lengths allow the ratio: 2 * shorter >= least / 100 * both.
-    """
-    asked = left.select(block, model).distinct()
-    known = right.groupBy(F.col(block).alias("_b"), other).agg(F.min(hit).alias(hit))
-    a, b = F.length(model), F.length(other)
-    pairs = asked.join(known, F.col(block) == F.col("_b")).where(F.least(a, b) * 200 >= F.lit(least) * (a + b))
-    return pairs.where(indel_ratio(F.col(model), F.col(other)) >= least).groupBy(block, model).agg(F.min(hit).alias(hit))
-
-
-def two_stage(left: DataFrame, right: DataFrame, block: str, name: str, other: str, hit: str, top: int = 200, sure: float = 92.0, likely: float = 85.0) -> DataFrame:
-    """Spec'd entity match: in a brand block, the `top` names by TF-IDF cosine over character trigrams, then token-set ratio.
-
-    status is auto, probable or reject. Pairs that share no trigram have cosine 0 and don't meet.
-    """
-    def grams(c: str) -> Column:
-        padded = F.concat(F.lit(" "), F.lower(c), F.lit(" "))
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substring(padded, i, 3)))
-
-    asked, known = left.select(block, name).distinct(), right.groupBy(F.col(block).alias("_b"), other).agg(F.min(hit).alias(hit))
-    total = known.select(F.count_distinct(other).alias("_n"))
-    gram = known.select("_b", other, hit, F.explode(grams(other)).alias("g"))
-    idf = gram.groupBy("g").agg(F.count_distinct(other).alias("_d")).join(F.broadcast(total)).select("g", F.log((F.col("_n") + 1) / (F.col("_d") + 1)).alias("w"))
-    weighted = gram.join(idf, "g")
-    norm = weighted.groupBy("_b", other).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    own = asked.select(block, name, F.explode(grams(name)).alias("g")).join(idf, "g")
-    own_norm = own.groupBy(block, name).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_own"))
-    dots = own.join(weighted.select("_b", other, hit, "g"), (F.col(block) == F.col("_b")) & (own["g"] == weighted["g"])).groupBy(block, name, "_b", other, hit).agg(F.sum(F.col("w") * F.col("w")).alias("_dot"))
-    scored = dots.join(norm, ["_b", other]).join(own_norm, [block, name]).withColumn("cosine", F.try_divide(F.col("_dot"), F.col("_norm") * F.col("_own")))
-    near = cap(scored, [block, name], [F.desc("cosine"), other], top)
-    ranked = near.withColumn("ratio", token_set_ratio(F.col(name), F.col(other)))
-    best = keep_first(ranked, [block, name], [F.desc("ratio"), F.desc("cosine"), hit])
-    return best.select(block, name, other, hit, "ratio", F.when(F.col("ratio") >= sure, "auto").when(F.col("ratio") >= likely, "probable").otherwise("reject").alias("status"))
-

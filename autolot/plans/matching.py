@@ -9,10 +9,11 @@ from autolot.functions import scores as Sc
 from autolot.functions import text as T
 from autolot.operators import matching as M
 from autolot.operators import rows
+from autolot.operators import similarity
 from autolot.plans.lifts import frame, sql
 from autolot.plans.registry import query
 from autolot.sources.files import materialize
-from autolot.plans.sqltext import brand, dbl, has, indel, norm, values
+from autolot.plans.sqltext import brand, dbl, has, indel, norm, token_sets, values
 
 V, SH, RV, LI, RE, RC = (sql(x) for x in ("vehicles", "sheets", "model_reviews", "listings", "reviews", "recalls"))
 
@@ -163,7 +164,7 @@ def c9(spark, sf):
     """The first note whose model name in the brand is at least half alike."""
     asked = frame(spark, sf, "listings").select(F.lower(F.trim("marque")).alias("b"), F.lower("modele").alias("m")).distinct()
     notes = frame(spark, sf, "sheets").select(F.lower(F.trim("marque")).alias("b"), F.lower("modele").alias("other"), "s_id")
-    return M.fuzzy_match(asked, notes, "b", "m", "other", "s_id")
+    return similarity.first_similar(asked, notes, "b", "m", "other", "s_id")
 
 
 query("c10_without_note", f"SELECT external_id FROM {LI} l WHERE NOT EXISTS (SELECT 1 FROM {RV} r WHERE lower(r.marque) = lower(l.marque) AND r.modele = lower(l.modele) AND r.nb_avis > 10)")(
@@ -244,12 +245,43 @@ SEGSQL = f"(SELECT q.*, CASE WHEN replace(replace(segment, ' ', '_'), '+', '_')
 query("c17_segment_weights", f"SELECT vehicle_id, segment, weights_of FROM {SEGSQL}")(lambda spark, sf: segmented(frame(spark, sf, "vehicles")).select("vehicle_id", "segment", "weights_of"))
 
 
-@query("c19_two_stage_match")
+def named(table: str) -> str:
+    return f"SELECT DISTINCT lower(trim(marque)) AS b, lower(marque) || ' ' || lower(modele) AS name FROM {table}"
+
+
+GRAMS = "unnest(list_distinct(list_transform(range(1, greatest(length(name), 1) + 1), lambda i: (' ' || name || ' ')[i:i + 2])))"
+COSINES = f"""a AS MATERIALIZED ({named(V)}), k AS MATERIALIZED ({named(SH)}), kg AS MATERIALIZED (SELECT b, name AS other, {GRAMS} AS g FROM k), ag AS MATERIALIZED (SELECT b, name, {GRAMS} AS g FROM a),
+ w AS MATERIALIZED (SELECT g, pow(ln(((SELECT count(DISTINCT name) FROM k) + 1)::DOUBLE / (count(DISTINCT other) + 1)), 2) AS w FROM kg GROUP BY g),
+ kn AS MATERIALIZED (SELECT b, other, sqrt(sum(w)) AS n FROM kg JOIN w USING (g) GROUP BY ALL), an AS MATERIALIZED (SELECT b, name, sqrt(sum(w)) AS n FROM ag JOIN w USING (g) GROUP BY ALL),
+ c AS MATERIALIZED (SELECT b, name, other, round(coalesce(sum(w) / nullif(an.n * kn.n, 0), 0), 9) AS cosine FROM ag JOIN kg USING (b, g) JOIN w USING (g) JOIN an USING (b, name) JOIN kn USING (b, other) GROUP BY b, name, other, an.n, kn.n)"""
+
+
+def names(spark, sf):
+    """Different names of vehicles and of sheets, with brand and model, by brand."""
+    name = F.concat_ws(" ", F.lower("marque"), F.lower("modele"))
+    asked = frame(spark, sf, "vehicles").select(F.lower(F.trim("marque")).alias("b"), name.alias("name")).distinct()
+    return asked, frame(spark, sf, "sheets").select(F.lower(F.trim("marque")).alias("b"), name.alias("other"), "s_id")
+
+
+@query("c19_trigram_cosine", f"WITH {COSINES} SELECT b, name, other, cosine FROM c QUALIFY row_number() OVER (PARTITION BY b, name ORDER BY cosine DESC, other) <= 5")
+def c19_cosine(spark, sf):
+    """The first stage alone, with the five nearest names."""
+    asked, known = names(spark, sf)
+    return similarity.cosine_top(asked, known, "b", "name", "b", "other", 5)
+
+
+C19 = f"""WITH RECURSIVE {COSINES}, top AS MATERIALIZED (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY b, name ORDER BY cosine DESC, other) <= 200),
+ h AS (SELECT b, other, min(s_id) AS s_id FROM (SELECT lower(trim(marque)) AS b, lower(marque) || ' ' || lower(modele) AS other, s_id FROM {SH}) GROUP BY ALL),
+ {token_sets('SELECT name AS m, other FROM top')}
+SELECT b, name, s_id, round(token_set, 3) AS ratio, CASE WHEN token_set >= 92 THEN 'auto' WHEN token_set >= 85 THEN 'probable' ELSE 'reject' END AS status
+FROM top JOIN h USING (b, other) JOIN token_sets t ON t.m = name AND t.other = top.other QUALIFY row_number() OVER (PARTITION BY b, name ORDER BY token_set DESC, cosine DESC, s_id) = 1"""
+
+
+@query("c19_two_stage_match", C19)
 def c19(spark, sf):
-    """Block, trigram TF-IDF, token-set ratio; not SQL (see tests)."""
-    asked = frame(spark, sf, "vehicles").select(F.lower(F.trim("marque")).alias("b"), F.concat_ws(" ", F.lower("marque"), F.lower("modele")).alias("name")).distinct()
-    known = frame(spark, sf, "sheets").select(F.lower(F.trim("marque")).alias("b"), F.concat_ws(" ", F.lower("marque"), F.lower("modele")).alias("other"), "s_id")
-    return M.two_stage(asked, known, "b", "name", "other", "s_id").select("b", "name", "s_id", F.round("ratio", 3).alias("ratio"), "status")
+    """Block, trigram TF-IDF, token-set ratio."""
+    asked, known = names(spark, sf)
+    return similarity.two_stage(asked, known, "b", "name", "other", "s_id").select("b", "name", "s_id", F.round("ratio", 3).alias("ratio"), "status")
 
 
 E1 = f"SELECT v.marque, v.modele, min(s_id) AS s_id FROM {V} v JOIN {SH} s ON lower(s.marque) = lower(v.marque) AND contains(lower(s.modele), lower(v.modele)) GROUP BY ALL"

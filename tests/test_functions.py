@@ -125,32 +125,6 @@ def test_distinct_items_equal_a_loop(spark):
     assert [r[0] for r in df.select(C.distinct_items(F.col("x"))).collect()] == [loop(x) for x in lists]
 
 
-def test_indel_equals_the_table(spark):
-    def lcs(a, b):
-        row = [0] * (len(b) + 1)
-        for x in a:
-            last = 0
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-        return row[-1]
-
-    rng = random.Random(2)
-    for _ in range(300):
-        a, b = ("".join(rng.choice("abc 2") for _ in range(rng.randint(0, 12))) for _ in range(2))
-        assert matching.indel(a, b) == (100.0 if not a + b else 200.0 * lcs(a, b) / len(a + b))
-    assert matching.token_set("clio IV dci", "dci clio") == 100.0 and matching.token_set("a", "b") == 0.0
-
-
-def test_fuzzy_and_two_stage(spark):
-    left = spark.createDataFrame([("p", "208"), ("p", "clio"), ("q", "208")], "b string, m string")
-    right = spark.createDataFrame([("p", "208 ii", 5), ("p", "2008", 3), ("p", "x", 1)], "b string, other string, i int")
-    assert sorted(map(tuple, matching.fuzzy_match(left, right, "b", "m", "other", "i").collect())) == [("p", "208", 3)]
-    names = spark.createDataFrame([("p", "peugeot 208 gt"), ("p", "peugeot zzz")], "b string, name string")
-    known = spark.createDataFrame([("p", "peugeot 208", 1), ("p", "peugeot 508 sw", 2)], "b string, other string, i int")
-    got = {r["name"]: (r["i"], r["status"]) for r in matching.two_stage(names, known, "b", "name", "other", "i").collect()}
-    assert got["peugeot 208 gt"] == (1, "auto") and got["peugeot zzz"][1] == "reject"
-
-
 def test_risks(spark):
     df = spark.createDataFrame([(1, "Peugeot", 2015, "1.2 puretech"), (2, "Peugeot", 2020, "1.2 puretech"), (3, "", 2015, "1.2"), (4, "Volkswagen", None, "1.4 TSI"), (5, "peugeot", None, "2.0 hdi 1.2 puretech")], "i int, b string, y int, e string")
     run = lambda **k: {r["i"]: (r["severity"], r["malus"]) for r in matching.risks(df, matching.risk_table(spark), "i", F.col("b"), F.col("y"), F.col("e"), **k).collect()}
