@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from autolot.operators import filters, vehicles
 from autolot.plans.lifts import frame, sql
 from autolot.plans.registry import query
-from autolot.sources import files
+from autolot.sources import buckets, files
 from autolot.functions import refdata as R
 from autolot.plans.sqltext import dbl, values
 
@@ -102,6 +102,21 @@ query("a7_upsert", UPSERT)(upserted)
 query("a7_upsert_counts", f"SELECT change, count(*) AS n FROM ({UPSERT}) GROUP BY change")(lambda spark, sf: files.changes(upserted(spark, sf)))
 
 
+MERGED = f"""SELECT vehicle_id, marque, CASE WHEN vehicle_id % 40 = 7 THEN prix * 3 WHEN vehicle_id % 2 = 0 THEN prix * 2 ELSE prix END AS prix
+FROM {sql('vehicles')} WHERE vehicle_id % 3 <> 0 OR vehicle_id % 2 = 0 OR vehicle_id % 40 = 7"""
+
+
+@query("a7_merge_buckets", MERGED)
+def a7_merge(spark, sf):
+    """A first load and two batches, each merged into the buckets that it touches; the last one runs twice, as after a failure."""
+    v, path = frame(spark, sf, "vehicles").select("vehicle_id", "marque", "prix"), files.scratch(spark, "vehicles")
+    buckets.create(spark, path, 16)
+    times = lambda n, some: v.where(some).withColumn("prix", F.col("prix") * n)
+    for version, rows in ((0, v.where("vehicle_id % 3 <> 0")), (1, times(2, "vehicle_id % 2 = 0")), (2, times(3, "vehicle_id % 40 = 7")), (2, times(3, "vehicle_id % 40 = 7"))):
+        buckets.merge(rows, path, ["vehicle_id"], version)
+    return buckets.read(spark, path, v.schema)
+
+
 @query("a8_append", f"SELECT vehicle_id, count(*) AS n FROM (SELECT vehicle_id FROM {sql('vehicles')} UNION ALL SELECT vehicle_id FROM {sql('vehicles')} WHERE vehicle_id % 2 = 0) GROUP BY vehicle_id")
 def a8(spark, sf):
     path, v = files.scratch(spark, "notes"), frame(spark, sf, "vehicles").select("vehicle_id")

@@ -13,7 +13,8 @@ from pyspark.sql.types import StructType
 
 from autolot.functions import refdata as R
 from autolot.operators.rows import last_write
-from autolot.sources.files import scratch, upsert
+from autolot.sources import buckets
+from autolot.sources.files import scratch
 
 
 def read(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
@@ -30,7 +31,7 @@ def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(out)
 
 
-def fresh_listings(captures: DataFrame, ttl: int = 300, delay: str = "1 minute", keys: tuple[str, ...] = ("source", "external_id"), at: str = "scraped_at") -> DataFrame:
+def fresh_listings(captures: DataFrame, ttl: int = 300, delay: str = "0 seconds", keys: tuple[str, ...] = ("source", "external_id"), at: str = "scraped_at") -> DataFrame:
     """The captures that begin a lifetime: the first of each key, and each first one after a lifetime of `ttl` seconds has passed.
 
     A key's lifetime is counted from its own beginning, whatever other keys do: its state holds that time and the captures that
@@ -63,7 +64,8 @@ def fresh_listings(captures: DataFrame, ttl: int = 300, delay: str = "1 minute",
             state.remove()
         else:
             state.update((begun, [w[0] for w in waiting], [w[1] for w in waiting]))
-            state.setTimeoutTimestamp((waiting[0][0] if waiting else ends) // 1000 + 1)  # always beyond the watermark
+            # A timer wakes its key once the watermark lies beyond it; it has to be set beyond the present one.
+            state.setTimeoutTimestamp(max(-(-(waiting[0][0] if waiting else ends + 1) // 1000) - 1, mark // 1000 + 1))
         if fresh:
             yield pd.DataFrame(fresh, columns=[*keys, "_at", "_rest"])
 
@@ -80,20 +82,23 @@ def fuel_windows(feed: DataFrame, width: str = "10 minutes", late: str = "10 min
     return out.select(F.col("w.start").alias("start"), "fuel", "mean", "least", "most", "n")
 
 
-def review_queue(pending: DataFrame, table: str) -> StreamingQuery:
-    """Each batch of pending reviews is processed or failed, and put into the table `table`_<batch> of its snapshot.
+def review_queue(pending: DataFrame, table: str, count: int = 64) -> StreamingQuery:
+    """Each batch of pending reviews is processed or failed, and merged into the bucketed table `table` (see `sources.buckets`) as the
+    version of the batch's number; so a batch writes the buckets that it touches, and one that runs twice after a failure gives the same table.
 
-    Of several rows of a review in a batch the last by `ts` counts (without one, or at ties, the last by status). A batch that runs twice after a failure writes the same snapshot, as it starts from the one before.
+    Of several rows of a review in a batch the last by `ts` counts (without one, or at ties, the last by status).
     """
-    spark = pending.sparkSession
-
     def step(batch: DataFrame, number: int) -> None:
         failed = F.col("note").isNull()
         latest = last_write(batch, ["review_id"], ["ts"]) if "ts" in batch.columns else batch.dropDuplicates()
         done = latest.select("review_id", F.when(failed, "failed").otherwise("processed").alias("status"), F.when(failed, "no rating").otherwise("").alias("errors"))
-        current = spark.read.parquet(f"{table}/n={number - 1}") if number else spark.createDataFrame([], done.schema)
-        upsert(current, last_write(done, ["review_id"], ["status", "errors"]), ["review_id"]).drop("change").write.mode("overwrite").parquet(f"{table}/n={number}")
+        if number == 0:
+            buckets.create(batch.sparkSession, table, count)
+        buckets.merge(last_write(done, ["review_id"], ["status", "errors"]), table, ["review_id"], number)
 
     return pending.writeStream.foreachBatch(step).option("checkpointLocation", f"{table}-log").trigger(availableNow=True).start()
 
 
+def reviewed(spark: SparkSession, table: str, key: str = "bigint") -> DataFrame:
+    """The queue's table as its last batch left it."""
+    return buckets.read(spark, table, StructType.fromDDL(f"review_id {key}, status string, errors string"))
