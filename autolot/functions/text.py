@@ -71,18 +71,22 @@ def listing_text(title: Column, description: Column | None = None) -> Column:
     return F.trim(F.regexp_replace(s, r"[^\w\s.]", " "))
 
 
+def has_word(low: Column, words: list[str], before: str = r"\b", after: str = r"\b") -> Column:
+    """Whether a text in lower case holds one of the words between the boundaries. The pattern is tried only where a word stands at all."""
+    return contains_any(low, words) & low.rlike(before + "(" + "|".join(map(re.escape, words)) + ")" + after)
+
+
 def brand_in(text: Column) -> Column:
     """The first known brand of which an alias occurs as a word."""
-    found = [F.when(text.rlike(r"(?i)\b(" + "|".join(map(re.escape, a)) + r")\b"), F.lit(b.title())) for b, a in R.BRANDS.items()]
-    return F.coalesce(*found)
+    return bound(F.lower(text), lambda low: F.coalesce(*[F.when(has_word(low, [x.lower() for x in a]), F.lit(b.title())) for b, a in R.BRANDS.items()]))
 
 
 def model_in(title: Column, brand: Column) -> Column:
     """The word after the brand in the raw title, upper case; a model of digits counts."""
     out = []
     for b, aliases in R.BRANDS.items():
-        words = [F.nullif(F.regexp_extract(title, r"(?i)\b" + re.escape(a) + r"\s+([a-zA-Z0-9\-]+)", 1), F.lit("")) for a in aliases]
-        out.append(F.when(brand == b.title(), F.coalesce(*[F.when(F.length(w) >= 2, F.upper(w)) for w in words])))
+        words = [bound(F.regexp_extract(title, r"(?i)\b" + re.escape(a) + r"\s+([a-zA-Z0-9\-]+)", 1), lambda w: F.when(F.length(w) >= 2, F.upper(w))) for a in aliases]
+        out.append(F.when(brand == b.title(), F.coalesce(*words)))
     return F.coalesce(*out)
 
 
@@ -123,11 +127,14 @@ def gearbox_in(text: Column) -> Column:
 
 def fuel_in(text: Column, normalize_keywords: bool = False) -> Column:
     """The first fuel, by priority, with a word in the text; `normalize_keywords` also finds accented and hyphened words."""
-    out = F
-    for fuel, words in R.FUEL_WORDS.items():
-        words = [w.replace("é", "e").replace("-", " ") for w in words] if normalize_keywords else words
-        out = out.when(text.rlike(r"(?i)(^|\s|-)(" + "|".join(map(re.escape, words)) + r")(\s|$|-)"), fuel)
-    return out.otherwise("inconnu")
+    def of(low: Column) -> Column:
+        out = F
+        for fuel, words in R.FUEL_WORDS.items():
+            words = [w.replace("é", "e").replace("-", " ") for w in words] if normalize_keywords else words
+            out = out.when(has_word(low, [w.lower() for w in words], r"(^|\s|-)", r"(\s|$|-)"), fuel)
+        return out.otherwise("inconnu")
+
+    return bound(F.lower(text), of)
 
 
 def features(title: Column, description: Column | None = None) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from autolot.functions import refdata as R
-from autolot.sources.files import small
+from autolot.sources.files import materialize, small
 
 
 def exact_match(left: DataFrame, right: DataFrame, ident: str, keys: list[str], key: str, hit: str) -> DataFrame:
@@ -126,27 +126,26 @@ def feature_match(asked: DataFrame, vehicles: DataFrame, ident: str, brand: str
     where no vehicle fits. Every combination of features left open has its own rolled-up vehicles, so that joins are on
     equal keys throughout: block of brand and fuel, model names that hold each other, and powers by steps of `span`.
     """
-    asked = asked.select("brand", "model", "power", "fuel").distinct()
     part = lambda c: F.coalesce(F.lower(c), F.lit("*"))
-    keys = asked.select("brand", "model", "power", "fuel", F.concat_ws("|", part("brand"), part(F.nullif("fuel", F.lit("inconnu")))).alias("_block"), F.lower(F.coalesce("model", F.lit(""))).alias("_model"))
-    b, f, m = F.lower(brand), F.lower(fuel), F.lower(model)
-    blocks = F.array(*[F.concat_ws("|", x, y) for x in (b, F.lit("*")) for y in (f, F.lit("*"))])
-    known = vehicles.select(ident, F.col(power).alias("_power"), m.alias("_name"), F.explode(blocks).alias("_vb"))
-    known = known.select(ident, "_power", "_vb", F.explode(F.array("_name", F.lit(""))).alias("_name"))  # the empty name: any model
-    known = known.groupBy("_vb", "_name", "_power").agg(F.min(ident).alias("_id"))
-    names = known.select("_vb", "_name").distinct()
+    keys = asked.select("brand", "model", "power", "fuel").distinct()
+    keys = materialize(keys.select("*", F.concat_ws("|", part("brand"), part(F.nullif("fuel", F.lit("inconnu")))).alias("_block"), F.lower(F.coalesce("model", F.lit(""))).alias("_model")), "keys")
     wanted = keys.select("_block", "_model").distinct()
-    pairs = containing(names, wanted, "_vb", "_name", "_block", "_model").select("_block", "_model", "_name")
-    pairs = pairs.unionByName(wanted.where("_model = ''").withColumn("_name", F.lit("")))
+    # Vehicles that agree in all four are one; each gets only those of its four blocks that are asked for.
+    cars = vehicles.groupBy(F.lower(brand).alias("_brand"), F.lower(fuel).alias("_fuel"), F.lower(model).alias("_name"), F.col(power).alias("_power")).agg(F.min(ident).alias("_id"))
+    blocks = F.array(*[F.concat_ws("|", x, y) for x in (F.col("_brand"), F.lit("*")) for y in (F.col("_fuel"), F.lit("*"))])
+    known = cars.select("_name", "_power", "_id", F.explode(blocks).alias("_vb"))
+    known = known.join(wanted.select(F.col("_block").alias("_vb")).distinct(), "_vb", "left_semi").groupBy("_vb", "_name", "_power").agg(F.min("_id").alias("_id"))
+    known = materialize(known, "blocks")
+    # Which names of a block hold the model that is asked for; without a model all do, so its vehicles are rolled up over names.
+    pairs = containing(known.select("_vb", "_name").distinct(), wanted, "_vb", "_name", "_block", "_model").select("_block", "_model", "_name")
+    named = known.join(pairs.withColumnRenamed("_block", "_vb"), ["_vb", "_name"]).groupBy(F.col("_vb").alias("_block"), "_model", "_power").agg(F.min("_id").alias("_id"))
+    every = known.join(wanted.where("_model = ''").select(F.col("_block").alias("_vb")), "_vb", "left_semi").groupBy(F.col("_vb").alias("_block"), F.lit("").alias("_model"), "_power").agg(F.min("_id").alias("_id"))
+    cells = materialize(named.unionByName(every), "cells")  # the cells of the lattice that are asked for, by power
     step = lambda c: F.floor(F.col(c) / span)
-    near = keys.where("power is not null").select("_block", "_model", "power").distinct().join(pairs, ["_block", "_model"])
-    near = near.withColumn("_step", F.explode(F.array(step("power") - 1, step("power"), step("power") + 1)))
-    near = near.join(known.withColumn("_vs", step("_power")).withColumnRenamed("_name", "_vn"), (F.col("_block") == F.col("_vb")) & (F.col("_name") == F.col("_vn")) & (F.col("_step") == F.col("_vs")))
-    near = near.where(F.abs(F.col("_power") - F.col("power")) <= span).groupBy("_block", "_model", "power").agg(F.min("_id").alias("_id"))
-    any_power = known.groupBy(F.col("_vb"), F.col("_name").alias("_vn")).agg(F.min("_id").alias("_id"))
-    free = keys.where("power is null").select("_block", "_model").distinct().join(pairs, ["_block", "_model"])
-    free = free.join(any_power, (F.col("_block") == F.col("_vb")) & (F.col("_name") == F.col("_vn"))).groupBy("_block", "_model").agg(F.min("_id").alias("_id"))
-    hits = near.unionByName(free.withColumn("power", F.lit(None).cast(keys.schema["power"].dataType))).select(F.col("_block").alias("_hb"), F.col("_model").alias("_hm"), F.col("power").alias("_hp"), F.col("_id").alias(ident))
+    near = keys.where("power is not null").select("_block", "_model", "power").distinct().withColumn("_step", F.explode(F.array(step("power") - 1, step("power"), step("power") + 1)))
+    near = near.join(cells.withColumn("_step", step("_power")), ["_block", "_model", "_step"]).where(F.abs(F.col("_power") - F.col("power")) <= span).groupBy("_block", "_model", "power").agg(F.min("_id").alias("_id"))
+    free = cells.groupBy("_block", "_model").agg(F.min("_id").alias("_id")).withColumn("power", F.lit(None).cast(keys.schema["power"].dataType))
+    hits = near.unionByName(free.select(near.columns)).select(F.col("_block").alias("_hb"), F.col("_model").alias("_hm"), F.col("power").alias("_hp"), F.col("_id").alias(ident))
     out = keys.join(hits, (F.col("_block") == F.col("_hb")) & (F.col("_model") == F.col("_hm")) & F.col("power").eqNullSafe(F.col("_hp")), "left")
     return out.select("brand", "model", "power", "fuel", ident, F.when(F.col(ident).isNotNull(), "exact").otherwise("fallback_power_based").alias("match_type"))
 
@@ -190,7 +189,8 @@ def longest_model(titles: DataFrame, models: DataFrame, ident: str, title: str,
     with a letter or digit; signs around them are cut off. The dictionary is broadcast if its bytes allow it.
     """
     asked = titles.select(ident, F.regexp_extract_all(F.lower(title), F.lit(PIECES), 0).alias("_p"))
-    word = asked.select(ident, "_p", F.posexplode("_p").alias("_i", "_word")).where(F.col("_word").rlike("^" + WORD))
+    # An outer explode: for a plain one Spark also filters on the size of the pieces, and works them out once more.
+    word = asked.select(ident, "_p", F.posexplode_outer("_p").alias("_i", "_word")).where(F.col("_word").rlike("^" + WORD))
     start = F.col("_i") - F.col("_at")
     same = (start >= 0) & (F.array_join(F.slice("_p", start + 1, F.col("_n")), "") == F.col("_name"))
     met = word.join(small(filed_models(models, model)), "_word").where(F.when(start >= 0, same).otherwise(False))

@@ -12,6 +12,16 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column | str]) -> Dat
     return df.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
+def different(df: DataFrame, *columns: str) -> DataFrame:
+    """The different rows of some columns, dealt to as many tasks as shuffles have.
+
+    After a distinct alone Spark joins partitions by their bytes, and few short texts end in one or two tasks, although what is
+    done with each of them next (patterns, matches) takes far longer than reading it.
+    """
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select(*columns).distinct().repartition(count, *columns)
+
+
 def last_write(df: DataFrame, keys: list[str], stamp: list[str]) -> DataFrame:
     """The latest row of each key, reduced before the shuffle by an aggregate."""
     rest = [c for c in df.columns if c not in keys]

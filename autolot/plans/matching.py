@@ -50,7 +50,7 @@ NAMES = ["marque", "modele", "designation"]
 def matched(spark, sf, name, ident, keys):
     """Different names are normalised and matched once; vehicles then look their names up."""
     v = frame(spark, sf, "vehicles")
-    left = materialize(keyed(v.select(*NAMES).distinct()), "names")
+    left = materialize(keyed(rows.different(v, *NAMES)), "names")
     right = materialize(indexed(frame(spark, sf, name), ident), "index")
     found = M.match(left, right, "", keys, "key", "block", "text", "model", "other", ident).select(*NAMES, ident, "step")
     return v.select("vehicle_id", *NAMES).join(found, NAMES).select("vehicle_id", ident, "step")
@@ -66,7 +66,7 @@ JOIN x ON x.block = k.block AND ((other <> '' AND contains(text, other)) OR (mod
 
 @query("c2_partial_sheets", C2)
 def c2(spark, sf):
-    names = materialize(keyed(frame(spark, sf, "vehicles").select(*NAMES).distinct()).select("block", "text", "model").distinct(), "names")
+    names = materialize(keyed(rows.different(frame(spark, sf, "vehicles"), *NAMES)).select("block", "text", "model").distinct(), "names")
     sheets = materialize(indexed(frame(spark, sf, "sheets"), "s_id").select("block", "other", "s_id"), "index")
     return M.partial_match(names, sheets, "block", "text", "model", "other", "s_id")
 
@@ -114,7 +114,7 @@ WITH_LONG = "SELECT DISTINCT modele FROM (SELECT modele FROM {} UNION ALL SELECT
 @query("c5_longest_model", f"SELECT title, first(modele ORDER BY length(modele) DESC, modele) AS modele FROM (SELECT DISTINCT {SIGNED} AS title FROM {TI} UNION ALL SELECT 'Land Rover Sport V8 Long Edition, 2019') t JOIN ({WITH_LONG.format(V)}) m ON {WHOLE} GROUP BY title")
 def c5(spark, sf):
     """Titles with blanks, commas and brackets, and one model of five words."""
-    titles = frame(spark, sf, "titles").select(F.expr(SIGNED).alias("title")).distinct().union(spark.createDataFrame([("Land Rover Sport V8 Long Edition, 2019",)], "title string"))
+    titles = rows.different(frame(spark, sf, "titles"), "title").select(F.expr(SIGNED).alias("title")).union(spark.createDataFrame([("Land Rover Sport V8 Long Edition, 2019",)], "title string"))
     models = frame(spark, sf, "vehicles").select("modele").union(spark.createDataFrame([("Rover Sport V8 Long Edition",)], "modele string")).distinct()
     return M.longest_model(titles.withColumn("t", F.col("title")), models, "title", "t", "modele")
 

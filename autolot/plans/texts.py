@@ -17,6 +17,7 @@ from autolot.operators.matching import feature_match
 from autolot.plans.aggregates import KW as KEYWORDS
 from autolot.plans.lifts import BRANDS, frame, sql
 from autolot.plans.matching import MODEL
+from autolot.operators.rows import different
 from autolot.plans.registry import query
 from autolot.plans.sqltext import brand, dbl, has, norm
 from autolot.sources.files import materialize
@@ -36,7 +37,7 @@ simple("h4_match_key", "vehicles", "vehicle_id", "key", lambda: T.model_key(F.co
 
 TEXT = r"trim(regexp_replace(regexp_replace(regexp_replace(translate(lower(title), 'éèêëàâäîïôöùûüç', 'eeeeaaaiioouuuc'), '[/\-_,;:()\[\]]+', ' ', 'g'), '\s+', ' ', 'g'), '[^\w\s.]', ' ', 'g'))"
 TITLES = f"(SELECT title, {TEXT} AS t FROM (SELECT DISTINCT title FROM {TI}))"
-titles = lambda spark, sf: frame(spark, sf, "titles").select("title").distinct().withColumn("t", T.listing_text(F.col("title")))
+titles = lambda spark, sf: different(frame(spark, sf, "titles"), "title").withColumn("t", T.listing_text(F.col("title")))
 word = lambda ws: r"\b(" + "|".join(re.escape(w) for w in ws).replace("'", "''") + r")\b"
 BRAND = "CASE " + " ".join(f"WHEN regexp_matches(t, '{word(a)}') THEN '{b.title()}'" for b, a in R.BRANDS.items()) + " END"
 BRAND = BRAND.replace(r"\ ", " ").replace(r"\-", "-")
@@ -55,7 +56,7 @@ query("h9_year_in_title", f"SELECT title, {YEAR} AS year FROM {TITLES}")(lambda
 query("h10_gearbox_in_title", f"SELECT title, {GEAR} AS gearbox FROM {TITLES}")(lambda spark, sf: titles(spark, sf).select("title", T.gearbox_in(F.col("t")).alias("gearbox")))
 query("h11_fuel_in_title", f"SELECT title, {FUEL} AS fuel FROM {TITLES}")(lambda spark, sf: titles(spark, sf).select("title", T.fuel_in(F.col("t")).alias("fuel")))
 FEATURES = f"(SELECT title, t, {MODE} AS power, {YEAR} AS year, {GEAR} AS gearbox, {FUEL} AS fuel, {BRAND} AS brand FROM (SELECT *, {POWERS} AS l FROM {TITLES}))"
-query("h12_features", f"SELECT title, power, year, gearbox, fuel, t[1:200] AS text, power IS NOT NULL AND year IS NOT NULL AND gearbox <> 'inconnu' AND fuel <> 'inconnu' AS complete FROM {FEATURES}")(lambda spark, sf: frame(spark, sf, "titles").select("title").distinct().select("title", T.features(F.col("title")).alias("f")).select("title", "f.*"))
+query("h12_features", f"SELECT title, power, year, gearbox, fuel, t[1:200] AS text, power IS NOT NULL AND year IS NOT NULL AND gearbox <> 'inconnu' AND fuel <> 'inconnu' AS complete FROM {FEATURES}")(lambda spark, sf: different(frame(spark, sf, "titles"), "title").select("title", T.features(F.col("title")).alias("f")).select("title", "f.*"))
 query("d15_power_candidates", f"SELECT title, array_to_string({POWERS}, ',') AS candidates, {MODE} AS best FROM (SELECT *, {POWERS} AS l FROM {TITLES})")(lambda spark, sf: titles(spark, sf).withColumn("c", T.power_candidates(F.col("t"))).select("title", F.array_join(F.transform("c", lambda x: x.cast("string")), ",").alias("candidates"), T.most_frequent(F.col("c")).alias("best")))
 FLAGS = [("brand IS NOT NULL", 1.0), ("model IS NOT NULL", 0.9), ("power IS NOT NULL", 1.0), ("fuel <> 'inconnu'", 1.0), ("gearbox <> 'inconnu'", 0.8), ("year IS NOT NULL", 1.0)]
 CONF = "round((" + " + ".join(f"CASE WHEN {c} THEN {w} ELSE 0.0 END" for c, w in FLAGS) + ") / greatest(1, " + " + ".join(f"({c})::INT" for c, _ in FLAGS) + "), 2)"
@@ -85,8 +86,8 @@ SELECT title, vehicle_id, CASE WHEN vehicle_id IS NULL THEN 'fallback_power_base
 @query("c7_feature_match", C7)
 def c7(spark, sf):
     """Titles with the vehicle that their brand, model, power and fuel lead to."""
-    q = named(spark, sf).select("title", "brand", "model", F.col("f.power").alias("power"), F.col("f.fuel").alias("fuel"))
-    q = materialize(q, "features")
+    q = titles(spark, sf).select("title", T.brand_in(F.col("t")).alias("brand"), T.power_in(F.col("t")).alias("power"), T.fuel_in(F.col("t")).alias("fuel"))
+    q = materialize(q.select("title", "brand", T.model_in(F.col("title"), F.col("brand")).alias("model"), "power", "fuel"), "features")
     found = feature_match(q, frame(spark, sf, "vehicles"), "vehicle_id").toDF("_b", "_m", "_p", "_f", "vehicle_id", "match_type")
     on = [F.col(a).eqNullSafe(F.col(b)) for a, b in (("brand", "_b"), ("model", "_m"), ("power", "_p"), ("fuel", "_f"))]
     return q.join(found, reduce(and_, on)).select("title", "vehicle_id", "match_type")
