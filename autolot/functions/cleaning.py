@@ -52,6 +52,7 @@ CONS = [
     (r"(peu de|manque de) place (arrière)?", "Habitabilité arrière limitée"), (r"(manque|pas assez) de rangements?", "Rangements insuffisants"), (r"(mou|sous-motorisé|manque de pêche)", "Motorisation juste"),
     (r"(direction|volant) (flou|imprécis)", "Direction peu précise"), (r"(mauvaise|pas terrible) tenue de route", "Comportement routier perfectible"), (r"(boîte|bva) (lente|molle|saccadée)", "Transmission à améliorer"),
 ]
+# Letters of keywords.
 LETTERS = "a-zàâäéèêëïîôùûüç"
 
 
@@ -79,12 +80,16 @@ def complaint(text: Column) -> Column:
     return _rewrite(text, CONS)
 
 
+# Blanks before a sign, a sign with a letter right after it, and a sign that ends a text.
+BEFORE_SIGN, AFTER_SIGN, LAST_SIGN = r"\s+([.,!?;:])", r"([.,!?;:])([A-Za-zÀ-ÿ])", r"[.!?]\z"
+
+
 def punctuate(text: Column) -> Column:
     """Single blanks, none before a sign, one after; a capital first and a full stop last."""
-    s = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"\s+([.,!?;:])", "$1")
-    s = F.regexp_replace(s, r"([.,!?;:])([A-Za-zÀ-ÿ])", "$1 $2")
+    s = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), BEFORE_SIGN, "$1")
+    s = F.regexp_replace(s, AFTER_SIGN, "$1 $2")
     s = bound(s, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substr(x, F.lit(2))))
-    return bound(s, lambda x: F.trim(F.when((x != "") & ~x.rlike(r"[.!?]\z"), F.concat(x, F.lit("."))).otherwise(x)))
+    return bound(s, lambda x: F.trim(F.when((x != "") & ~x.rlike(LAST_SIGN), F.concat(x, F.lit("."))).otherwise(x)))
 
 
 def clean(text: Column, pro: bool = True) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from autolot.functions import refdata as R
 
+# Letters with accents and those without.
 ACCENTED, PLAIN = "éèêëàâäîïôöùûüç", "eeeeaaaiioouuuc"
 
 
@@ -49,13 +50,17 @@ def normalize_brand(text: Column) -> Column:
     return lookup(R.BRAND_ALIASES, n, n)
 
 
+# Models at the beginning of a trade name, digits with letters or a word.
+MODEL_PATTERNS = (r"^([A-Z]?\d{1,4}[A-Z]?)\b", r"^([A-Z][A-Z\-]+)\b")
+
+
 def model_of_designation(designation: Column, brand: Column) -> Column:
     """The model in a trade name: digits with letters, else a word, else the first word without brackets."""
     d, b = F.upper(F.trim(F.coalesce(designation, F.lit("")))), F.upper(F.coalesce(brand, F.lit("")))
     d = F.when((b != "") & F.startswith(d, b), F.trim(F.substr(d, F.length(b) + 1))).otherwise(d)
     pick = lambda p: F.nullif(F.regexp_extract(d, p, 1), F.lit(""))
     first = F.regexp_replace(F.split(d, " ")[0], r"^[()]+|[()]+$", "")
-    return F.lower(F.coalesce(pick(r"^([A-Z]?\d{1,4}[A-Z]?)\b"), pick(r"^([A-Z][A-Z\-]+)\b"), first))
+    return F.lower(F.coalesce(*map(pick, MODEL_PATTERNS), first))
 
 
 def model_key(brand: Column, model: Column) -> Column:

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from autolot.functions import cleaning as C
 from autolot.functions import refdata as R
 from autolot.functions import scores as Sc
-from autolot.operators import learning, rows, stats
+from autolot.operators import learning, rows, states, stats
 from autolot.plans.lifts import frame, sql
 from autolot.plans.matching import SEV
 from autolot.plans.registry import query
+from autolot.sources import buckets, files
 from autolot.plans.sqltext import dbl, values
 
 V, SH, LI, RE, RC, FU, IT = (sql(x) for x in ("vehicles", "sheets", "listings", "reviews", "recalls", "fuel_feed", "items"))
@@ -62,6 +63,22 @@ def d12(spark, sf):
     return stats.vehicle_stats(frame(spark, sf, "reviews"), frame(spark, sf, "recalls"), ["marque", "modele"], ["fiabilite", "note"], ["confort", "km"])
 
 
+D12_MERGED = D12.replace(", coalesce(any_value(rappels), 0) AS rappels", "").replace(f" LEFT JOIN (SELECT marque, modele, count(*) AS rappels FROM {RC} GROUP BY ALL) USING (marque, modele)", " WHERE review_id % 11 <> 0")
+
+
+@query("d12_merged_stats", D12_MERGED)
+def d12_merged(spark, sf):
+    """Three days of reviews folded into states one after another; on the fourth, reviews of the first ones are taken back. The third day's batch runs twice."""
+    keys, columns = ["marque", "modele"], ["fiabilite", "note", "confort", "km"]
+    reviews, path = frame(spark, sf, "reviews"), files.scratch(spark, "states")
+    buckets.create(spark, path, 16)
+    for version, day in ((0, 0), (1, 1), (2, 2), (2, 2)):
+        states.fold(states.state(reviews.where(F.col("review_id") % 3 == day), keys, columns), path, keys, version)
+    back = states.state(reviews.where("review_id % 11 = 0"), keys, columns, -1)
+    states.fold(back, path, keys, 3)
+    return states.statistics(buckets.read(spark, path, back.schema), keys, ["fiabilite", "note"], ["confort", "km"])
+
+
 query("d12_top_points", f"SELECT marque, string_agg(p, ';' ORDER BY n DESC, p) AS top FROM (SELECT marque, p, count(*) AS n FROM (SELECT lower(marque) AS marque, unnest(string_split(pros, ';')) AS p FROM {SH}) WHERE p <> '' GROUP BY marque, p QUALIFY row_number() OVER (PARTITION BY marque ORDER BY count(*) DESC, p) <= 5) GROUP BY marque")(
     lambda spark, sf: stats.top_words(frame(spark, sf, "sheets").select(F.lower("marque").alias("marque"), F.explode(F.split("pros", ";")).alias("p")).where("p <> ''"), ["marque"], "p", 5)
 )
