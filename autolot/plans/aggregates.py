@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from autolot.functions import cleaning as C
 from autolot.functions import refdata as R
 from autolot.functions import scores as Sc
-from autolot.operators import learning, rows, states, stats
+from autolot.operators import learning, pages, rows, states, stats
 from autolot.plans.lifts import frame, sql
 from autolot.plans.matching import SEV
 from autolot.plans.registry import query
@@ -97,6 +97,16 @@ query("d16_sources_used", f"SELECT review_id, concat_ws(',', CASE WHEN fiabilite
 )
 
 query("f1_best_page", f"SELECT vehicle_id, prix FROM {V} ORDER BY prix DESC, vehicle_id LIMIT 20 OFFSET 40")(lambda spark, sf: rows.page(frame(spark, sf, "vehicles").select("vehicle_id", "prix"), [F.desc("prix"), F.col("vehicle_id")], 40, 20))
+
+
+@query("f1_page_of_directory", f"SELECT vehicle_id, marque, modele, prix FROM {V} ORDER BY prix DESC, vehicle_id LIMIT 20 OFFSET 130")
+def f1_directory(spark, sf):
+    """A page in the middle, from a table that is sorted once in ranges."""
+    order, path = [F.desc("prix"), F.col("vehicle_id")], files.scratch(spark, "pages")
+    pages.write(frame(spark, sf, "vehicles").select("vehicle_id", "marque", "modele", "prix"), path, order, 50)
+    return pages.page(spark, path, order, 130, 20)
+
+
 query("f1_page_after", f"SELECT vehicle_id, prix FROM {V} WHERE prix < 9500 OR (prix = 9500 AND vehicle_id > 10) ORDER BY prix DESC, vehicle_id LIMIT 20")(lambda spark, sf: rows.page_after(frame(spark, sf, "vehicles").select("vehicle_id", "prix"), "prix", "vehicle_id", (9500.0, 10), 20))
 query("f2_search_top", f"SELECT s_id, score, array_to_string(string_split(pros, ';')[1:3], ';') AS pros FROM {SH} WHERE lower(modele) LIKE '%golf%' ORDER BY score DESC NULLS LAST, s_id LIMIT 30")(lambda spark, sf: frame(spark, sf, "sheets").where(F.lower("modele").contains("golf")).orderBy(F.desc_nulls_last("score"), "s_id").limit(30).select("s_id", "score", F.array_join(F.slice(F.split("pros", ";"), 1, 3), ";").alias("pros")))
 query("f3_listing_order", f"SELECT external_id, k FROM {LI} ORDER BY coalesce(expert, 0) DESC, coalesce(price, 999999), external_id, k")(lambda spark, sf: frame(spark, sf, "listings").orderBy(F.coalesce("expert", F.lit(0.0)).desc(), F.coalesce("price", F.lit(999999.0)), "external_id", "k").select("external_id", "k"))
