@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
+
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from autolot.sources.files import materialize, scratch
+
 SEED = 42
 
 
@@ -25,17 +30,115 @@ def encoder(texts: list[str], numbers: list[str]) -> Pipeline:
     return Pipeline(stages=[index, fill, VectorAssembler(inputCols=[*index.getOutputCols(), *fill.getOutputCols()], outputCol="features")])
 
 
-def train(df: DataFrame, texts: list[str], numbers: list[str], label: str, trees: tuple[int, ...] = (100, 200, 300), depths: tuple[int, ...] = (30, 10, 20), folds: int = 5, leaves: tuple[int, ...] = (1, 2, 4), parallelism: int = 4) -> PipelineModel:
-    """Fit the encoder once, then search the grid by mean squared error; the model applies both.
+def forest(label: str, trees: int, depth: int, leaf: int) -> RandomForestRegressor:
+    return RandomForestRegressor(featuresCol="features", labelCol=label, predictionCol="raw", seed=SEED, maxBins=256, numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf)
+
+
+def nodes(path: str, spark: SparkSession) -> DataFrame:
+    """The nodes of a saved forest, flat: treeID, id (from the root on, left before right), prediction, rawCount, leftChild, rightChild and the rest."""
+    return spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
+
+
+def depths_of(tree: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Depth and parent (-1: the root) of the nodes of one tree, sorted by id."""
+    depth, parent = np.zeros(len(tree), np.int64), np.full(len(tree), -1)
+    for i, (lo, hi) in enumerate(zip(tree["leftChild"].tolist(), tree["rightChild"].tolist(), strict=True)):
+        for child in (lo, hi):
+            if child >= 0:
+                depth[child], parent[child] = depth[i] + 1, i
+    return depth, parent
+
+
+def answers(tree: pd.DataFrame, points: list[tuple[int, int]]) -> pd.DataFrame:
+    """leaf (numbered from the left) and what the tree says there if it is cut back to each (depth, least rows to split)."""
+    tree = tree.sort_values("id")
+    depth, parent = depths_of(tree)
+    says, rows, inner = tree["prediction"].to_numpy(float), tree["rawCount"].to_numpy(), tree["leftChild"].to_numpy() >= 0
+    out = np.empty((len(points), len(tree)))
+    for k, (most, least) in enumerate(points):
+        stop = (depth >= most) | (rows < least)
+        at = np.arange(len(tree))  # the node where a row that reaches this one stops
+        for i in range(1, len(tree)):  # parents come first
+            up = parent[i]
+            if at[up] != up or stop[up]:
+                at[i] = at[up]
+        out[k] = says[at]
+    leaves = np.flatnonzero(~inner)
+    return pd.DataFrame({"tree": int(tree["treeID"].iloc[0]), "leaf": np.arange(len(leaves), dtype=np.int64), "says": list(out[:, leaves].T)})
+
+
+def errors(grown: RandomForestRegressionModel, rows: DataFrame, label: str, trees: tuple[int, ...], points: list[tuple[int, int]]) -> dict[tuple[int, int, int], float]:
+    """Mean squared error on `rows` (features, label) of the grown forest's first trees, cut back to each (depth, least rows to split).
+
+    A row's leaves in the grown trees are found once; what a cut tree says there is looked up. So one growth answers for all points.
+    """
+    spark = rows.sparkSession
+    path = scratch(spark, "forest")
+    grown.save(path)
+    says = nodes(path, spark).select("treeID", "id", "prediction", "rawCount", "leftChild", "rightChild").groupBy("treeID").applyInPandas(lambda t: answers(t, points), "tree int, leaf long, says array<double>")  # one tree a task
+    leafy = grown.copy().setLeafCol("_leaves").transform(rows.withColumn("_row", F.monotonically_increasing_id()))
+    each = leafy.select("_row", F.col(label).alias("_y"), F.posexplode(vector_to_array("_leaves")).alias("tree", "_leaf")).withColumn("leaf", F.col("_leaf").cast("long"))
+    met = each.join(says, ["tree", "leaf"])
+    sums = [F.sum(F.when(F.col("tree") < n, F.get("says", F.lit(k)))).alias(f"s_{n}_{k}") for n in trees for k in range(len(points))]
+    means = met.groupBy("_row").agg(F.first("_y").alias("_y"), *sums)
+    found = means.agg(*[F.avg(F.pow(F.col("_y") - F.col(f"s_{n}_{k}") / n, F.lit(2))).alias(f"s_{n}_{k}") for n in trees for k in range(len(points))]).first()
+    return {(n, *points[k]): found[f"s_{n}_{k}"] for n in trees for k in range(len(points))}
+
+
+def cut_back(grown: RandomForestRegressionModel, spark: SparkSession, trees: int, depth: int, least: int) -> RandomForestRegressionModel:
+    """The forest of the first `trees` trees without what lies below `depth`, and without splits of fewer than `least` rows."""
+    source, target = scratch(spark, "forest"), scratch(spark, "forest")
+    grown.save(source)
+    flat = nodes(source, spark)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flat.schema)
+
+    def cut(tree: pd.DataFrame) -> pd.DataFrame:
+        tree = tree.sort_values("id").reset_index(drop=True)
+        level, parent = depths_of(tree)
+        stop = (level >= depth) | (tree["rawCount"].to_numpy() < least) | (tree["leftChild"].to_numpy() < 0)
+        kept = np.ones(len(tree), bool)
+        for i in range(1, len(tree)):
+            kept[i] = kept[parent[i]] and not stop[parent[i]]
+        number = np.append(np.cumsum(kept) - 1, -1)  # the last one for "no child"
+        leaf = pd.Series(stop)
+        tree = tree.assign(id=number[:-1], leftChild=np.where(stop, -1, number[tree["leftChild"]]), rightChild=np.where(stop, -1, number[tree["rightChild"]]), gain=tree["gain"].where(~leaf, -1.0))
+        none = {"featureIndex": -1, "leftCategoriesOrThreshold": [], "numCategories": -1}
+        tree["split"] = [none if s else x for x, s in zip(tree["split"], stop, strict=True)]
+        return tree[kept]
+
+    data = flat.where(F.col("treeID") < trees).groupBy("treeID").applyInPandas(cut, kinds)
+    fields = [c for c in flat.columns if c != "treeID"]
+    data.select("treeID", F.struct(*fields).alias("nodeData")).write.parquet(f"{target}/data")
+    spark.read.parquet(f"{source}/treesMetadata").where(F.col("_1") < trees).coalesce(1).write.parquet(f"{target}/treesMetadata")
+    about = json.loads(spark.read.text(f"{source}/metadata").first()[0])
+    about["numTrees"] = about["paramMap"]["numTrees"] = trees
+    about["paramMap"]["maxDepth"] = depth
+    spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.text(f"{target}/metadata")
+    return RandomForestRegressionModel.load(target)
+
+
+def train(df: DataFrame, texts: list[str], numbers: list[str], label: str, trees: tuple[int, ...] = (100, 200, 300), depths: tuple[int, ...] = (30, 10, 20), folds: int = 5, leaves: tuple[int, ...] = (1, 2, 4), splits: tuple[int, ...] = (2, 5, 10)) -> PipelineModel:
+    """Fit the encoder once, then search the grid by mean squared error over `folds`; the model applies both.
 
-    The defaults are the source's grid and folds. Its unlimited depth is 30 here, the most that Spark grows; Spark has
-    no least size of a node to split, so the source's 2, 5 or 10 are not searched.
+    The defaults are the source's 81 points and folds; its unlimited depth is 30 here, the most that Spark grows. A fold needs one growth for each leaf
+    size: the largest forest at the greatest depth. Smaller forests are its first trees, and lower depths and larger least sizes of a node to
+    split, which Spark's forest does not know, are its trees cut back, as a tree grown under them would stop there.
+    Of equally good points the first in the order of the parameters is taken. Rows without label or features take no part.
     """
+    spark = df.sparkSession
     coded = encoder(texts, numbers).fit(df)
-    forest = RandomForestRegressor(featuresCol="features", labelCol=label, predictionCol="raw", seed=SEED, maxBins=256)
-    grid = ParamGridBuilder().addGrid(forest.numTrees, list(trees)).addGrid(forest.maxDepth, list(depths)).addGrid(forest.minInstancesPerNode, list(leaves)).build()
-    search = CrossValidator(estimator=forest, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=label, predictionCol="raw", metricName="mse"), numFolds=folds, seed=SEED, parallelism=parallelism)
-    return PipelineModel(stages=[*coded.stages, search.fit(coded.transform(df).select("features", label)).bestModel])
+    rows = coded.transform(df).where(F.col(label).isNotNull()).select("features", F.col(label).cast("double").alias(label), F.floor(F.rand(SEED) * folds).cast("int").alias("_fold"))
+    rows = materialize(rows, "features")
+    points = [(d, s) for d in depths for s in splits]
+    total: dict[tuple[int, int, int, int], float] = {}
+    for fold in range(folds):
+        for leaf in leaves:
+            grown = forest(label, max(trees), max(depths), leaf).fit(rows.where(F.col("_fold") != fold))
+            for point, e in errors(grown, rows.where(F.col("_fold") == fold), label, trees, points).items():
+                total[leaf, *point] = total.get((leaf, *point), 0.0) + (e or 0.0)  # a fold without rows tells nothing
+    leaf, n, depth, least = min(total, key=total.get)
+    best = forest(label, n, max(depths), leaf).fit(rows)
+    return PipelineModel(stages=[*coded.stages, cut_back(best, spark, n, depth, least)])
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
