@@ -90,7 +90,7 @@ def test_few_and_none(spark):
     for rows in ([], [(1, None)], [(1, [1.0, 2.0])], [(1, [1.0, 2.0])] * 3):
         assert W.whiten(make(rows)).count() == 0
     got = W.whiten(make([(1, [1.0, 2.0]), (2, [3.0, 5.0])])).collect()  # one component: two rows lie on a line
-    assert sorted((r.vec_id, r.component, round(abs(r.whitened), 9), r.explained) for r in got) == [(1, 1, 1.0, 1.0), (2, 1, 1.0, 1.0)]
+    assert sorted((r.vec_id, r.component, round(abs(r.whitened), 9), round(r.explained, 12)) for r in got) == [(1, 1, 1.0, 1.0), (2, 1, 1.0, 1.0)]
 
 
 def test_the_query_on_the_given_table(spark, sf_dir):
