@@ -67,7 +67,7 @@ def fresh_listings(captures: DataFrame, ttl: int = 300, delay: str = "0 seconds"
             # A timer wakes its key once the watermark lies beyond it; it has to be set beyond the present one.
             state.setTimeoutTimestamp(max(-(-(waiting[0][0] if waiting else ends + 1) // 1000) - 1, mark // 1000 + 1))
         if fresh:
-            yield pd.DataFrame(fresh, columns=[*keys, "_at", "_rest"])
+            yield pd.DataFrame(dict(zip((*keys, "_at", "_rest"), map(list, zip(*fresh, strict=True)), strict=True)))
 
     begun = rows.groupBy(*keys).applyInPandasWithState(wake, f"{kinds}, _at long, _rest string", "begun long, at array<long>, rest array<string>", "append", GroupStateTimeout.EventTimeTimeout)
     parsed = F.from_json("_rest", StructType([captures.schema[c] for c in rest])) if rest else F.lit(None)
