@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from autolot.operators import filters, vehicles
 from autolot.plans.lifts import frame, sql
 from autolot.plans.registry import query
-from autolot.sources import buckets, files
+from autolot.sources import buckets, files, records
 from autolot.functions import refdata as R
 from autolot.plans.sqltext import dbl, values
 
@@ -46,7 +46,7 @@ def indented(spark, df, name, page, rows=5000):
 @query("a2_read_nested_json", f"SELECT s_id, marque, len(string_split(pros, ';')) AS n_pros FROM {sql('sheets')}")
 def a2(spark, sf):
     path = indented(spark, frame(spark, sf, "sheets").select("s_id", "marque", F.split("pros", ";").alias("qualites")), "sheets", "s_id")
-    return files.read_documents(spark, path, "s_id: bigint, marque: string, qualites: array<string>").select("s_id", "marque", F.size("qualites").cast("long").alias("n_pros"))
+    return records.read_documents(spark, path, "s_id: bigint, marque: string, qualites: array<string>").select("s_id", "marque", F.size("qualites").cast("long").alias("n_pros"))
 
 
 @query("a2_read_json_lines", f"SELECT s_id, marque FROM {sql('sheets')}")
@@ -54,7 +54,7 @@ def a2_lines(spark, sf):
     path = files.scratch(spark, "sheets")
     df = frame(spark, sf, "sheets").select("s_id", "marque")
     df.select(F.to_json(F.struct("*")).alias("value")).union(spark.createDataFrame([("{broken",)], "value string")).write.text(path)
-    return files.read_documents(spark, path, "s_id: bigint, marque: string")
+    return records.read_documents(spark, path, "s_id: bigint, marque: string")
 
 
 @query("a3_transcode_listings", f"SELECT n, lib_mod_doss AS titre FROM {S}")
@@ -63,7 +63,7 @@ def a3(spark, sf):
     df = frame(spark, sf, "labels_csv").select("n", F.col("lib_mod_doss").alias("titre"))
     pages = df.groupBy(F.floor(F.col("n") / 5000).alias("page")).agg(F.collect_list(F.struct("*")).alias("annonces")).drop("page")
     pages.write.option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1").option("pretty", True).json(old)
-    return files.transcode(spark, old, new, "annonces array<struct<n: bigint, titre: string>>").select(F.explode("annonces").alias("a")).select("a.*")
+    return records.transcode(spark, old, new, "n bigint, titre string", "annonces")
 
 
 @query("a4_read_recall_pages", f"SELECT ref, product, risks FROM {sql('recalls')}")
@@ -72,14 +72,14 @@ def a4(spark, sf):
     pages = frame(spark, sf, "recalls").select("ref", "product", "risks").withColumn("page", F.floor(F.col("ref") / 5000))
     pages = pages.groupBy("page").agg(F.count("*").alias("total_count"), F.collect_list(F.struct("ref", "product", "risks")).alias("results"))
     pages.select(F.to_json(F.struct("total_count", "results"), {"pretty": "true"}).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
-    return files.read_pages(spark, path, "ref: bigint, product: string, risks: string")
+    return records.read_pages(spark, path, "ref: bigint, product: string, risks: string")
 
 
 @query("a5_read_station_prices", f"SELECT station, name, raw FROM {sql('fuel_feed')}")
 def a5(spark, sf):
     feed = frame(spark, sf, "fuel_feed")
     prices = F.array(F.struct(F.col("name").alias("@nom"), F.col("raw").alias("@valeur")))
-    return files.read_stations(spark, indented(spark, feed.select("station", prices.alias("prix")), "stations", "station"))
+    return records.read_stations(spark, indented(spark, feed.select("station", prices.alias("prix")), "stations", "station"))
 
 
 @query("a6_column_aliases", f"SELECT n, lib_mrq AS marque, lib_mod_doss AS modele, '' AS code FROM {S}")

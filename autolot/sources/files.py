@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import json
 import shutil
 import tempfile
 import uuid
@@ -55,44 +54,6 @@ def read_labels(spark: SparkSession, path: str, limit: int | None = None) -> Dat
     return df if limit is None else df.limit(limit)
 
 
-def is_whole(spark: SparkSession, path: str, encoding: str = "UTF-8") -> bool:
-    """Whether JSON files hold one document each, over many lines; else each line is one. The first line that is read tells:
-    it is a whole object only where lines are documents."""
-    first = spark.read.option("encoding", encoding).text(path).where("trim(value) <> ''").first()
-    try:
-        return first is not None and not isinstance(json.loads(first[0]), dict)
-    except ValueError:
-        return first[0].strip() in ("{", "[") or first[0].lstrip().startswith("[")
-
-
-def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The objects of JSON files: one a line, or one file with an object or a list of objects, indented or not.
-
-    Lines or files that are no JSON are left out. A file that is one document is read by one task, as JSON asks for. A folder
-    holds files of one kind.
-    """
-    text = spark.read.text(path, wholetext=is_whole(spark, path))
-    return text.select(F.explode(F.from_json("value", f"array<struct<{schema}>>")).alias("r")).where("r is not null").select("r.*")
-
-
-def transcode(spark: SparkSession, source: str, target: str, schema: str) -> DataFrame:
-    """Read JSON written in Latin-1, lines or whole files, write it in UTF-8 lines, and read that."""
-    old = spark.read.schema(schema).option("encoding", "ISO-8859-1").option("multiLine", is_whole(spark, source, "ISO-8859-1"))
-    (old if is_whole(spark, source, "ISO-8859-1") else old.option("lineSep", "\n")).json(source).write.json(target)
-    return spark.read.schema(schema).json(target)
-
-
-def read_pages(spark: SparkSession, path: str, record: str) -> DataFrame:
-    """The records of paged dumps `{total_count, results: [...]}`."""
-    return read_documents(spark, path, f"total_count: bigint, results: array<struct<{record}>>").select(F.explode("results").alias("r")).select("r.*")
-
-
-def read_stations(spark: SparkSession, path: str) -> DataFrame:
-    """name and value of each price of fuel stations `{prix: [{@nom, @valeur}]}`."""
-    df = read_documents(spark, path, "station: bigint, prix: array<struct<`@nom`: string, `@valeur`: string>>")
-    return df.select("station", F.explode("prix").alias("p")).select("station", F.col("p.`@nom`").alias("name"), F.col("p.`@valeur`").alias("raw"))
-
-
 def count_objects(document: Column) -> Column:
     """How many objects a JSON document holds: a list's length, 1 for an object, 0 for anything else."""
     listed = F.json_array_length(document)
