@@ -112,8 +112,9 @@ def levels(calls: DataFrame, most: int = LOCAL_EDGES) -> DataFrame:
     Where all calls of a conversation come after calls of earlier turns only, as in an orderly log, turns are
     a topological order already, and the level is 0. In other conversations it is one more than the highest level of the
     calls before it; null on and behind a cycle. Conversations of at most `most` edges and calls are ordered in one task
-    each. In larger ones a round settles the calls whose predecessors are settled, so there are as many rounds as the
-    longest chain of such a conversation has calls. Calls named in `after` that do not exist don't count.
+    each. In larger ones chains of calls that wait for one other are contracted, in rounds that go with the logarithm of their
+    length; of calls that wait for several, a round settles those whose predecessors are settled, so there are as many more rounds as
+    such calls follow one another. Calls named in `after` that do not exist don't count.
     """
     calls = materialize(calls.select("conv_id", "call_id", "turn", "after"), "calls")
     ids = calls.select("conv_id", F.col("call_id").alias("before"), F.col("turn").alias("before_turn"))
@@ -133,21 +134,49 @@ def levels(calls: DataFrame, most: int = LOCAL_EDGES) -> DataFrame:
     return ordered.unionByName(found)
 
 
+def _chained(edges: DataFrame) -> DataFrame:
+    """conv_id, call_id, to, far, done: for each call that waits for one other, how many steps before it (`far`) the first call `to` stands
+    that waits for none or for several. `done` is false on and behind a cycle of such calls.
+
+    Steps double from round to round, so a chain of n calls takes about log2(n) rounds.
+    """
+    one = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.min("before").alias("to")).where("n = 1")
+    one = materialize(one.select("conv_id", "call_id", "to", F.lit(1).cast("long").alias("far")), "single")
+    inner = one.select("conv_id", F.col("call_id").alias("to"), F.lit(True).alias("inner"))
+    jumps = materialize(one.join(inner, ["conv_id", "to"], "left").select("conv_id", "call_id", "to", "far", F.col("inner").isNull().alias("done")), "jumps")
+    for _ in range(one.count().bit_length()):  # then a step is longer than any chain
+        moving = jumps.where("not done")
+        if moving.isEmpty():
+            break
+        further = jumps.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("_to"), F.col("far").alias("_far"), F.col("done").alias("_done"))
+        moved = moving.drop("done").join(further, ["conv_id", "to"]).select("conv_id", "call_id", F.col("_to").alias("to"), (F.col("far") + F.col("_far")).alias("far"), F.col("_done").alias("done"))
+        jumps = materialize(jumps.where("done").unionByName(moved), "jumps")
+    return jumps
+
+
 def _settled(rows: DataFrame) -> DataFrame:
-    """Levels of the calls of large conversations, a round for each level; what is settled is appended to one table."""
+    """Levels of the calls of large conversations. Chains of calls that wait for one other are contracted; of the rest a round settles
+    the calls whose predecessors are settled, and appends them to one table; then chains follow the calls they hang on."""
+    spark = rows.sparkSession
     start = rows.where("before is null").select("conv_id", "call_id", F.lit(0).alias("level"))
-    left = materialize(rows.where("before is not null"), "left")
-    path, spark = f"{shared_dir(rows.sparkSession)}/settled-{uuid.uuid4().hex}", rows.sparkSession
+    edges = materialize(rows.where("before is not null").select("conv_id", "call_id", "before"), "left")
+    jumps = _chained(edges)
+    ends = jumps.where("done").select("conv_id", F.col("call_id").alias("before"), "to", "far")
+    several = edges.join(jumps.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti").join(ends, ["conv_id", "before"], "left")
+    left = materialize(several.select("conv_id", "call_id", F.coalesce("to", "before").alias("before"), (F.coalesce("far", F.lit(0)) + 1).alias("far")), "left")
+    path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
     start.write.parquet(path)
     while not left.isEmpty():
         known = spark.read.schema(start.schema).parquet(path).select("conv_id", F.col("call_id").alias("before"), "level")
-        state = left.join(known, ["conv_id", "before"], "left").groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.count("level").alias("m"), F.max("level").alias("top"))
-        fresh = materialize(state.where("n = m").select("conv_id", "call_id", (F.col("top") + 1).cast("int").alias("level")), "levels")
+        state = left.join(known, ["conv_id", "before"], "left").groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.count("level").alias("m"), F.max(F.col("level") + F.col("far")).alias("top"))
+        fresh = materialize(state.where("n = m").select("conv_id", "call_id", F.col("top").cast("int").alias("level")), "levels")
         if fresh.isEmpty():
             break
         fresh.write.mode("append").parquet(path)
         left = materialize(left.join(fresh.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti"), "left")
-    return spark.read.schema(start.schema).parquet(path)
+    known = spark.read.schema(start.schema).parquet(path)
+    chained = jumps.where("done").join(known.select("conv_id", F.col("call_id").alias("to"), "level"), ["conv_id", "to"])
+    return known.unionByName(chained.select("conv_id", "call_id", (F.col("level") + F.col("far")).cast("int").alias("level")))
 
 
 def positions(rows: DataFrame) -> DataFrame:

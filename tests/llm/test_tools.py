@@ -73,6 +73,19 @@ def test_long_chains_need_no_rounds(spark):
     assert all(got[f"c{k:05}"] == k for k in range(10_000))
 
 
+def test_chains_of_large_conversations_take_few_rounds(spark, monkeypatch):
+    n = 700
+    calls = [(1, n - k, f"c{k:03}", "search", GOOD, [f"c{k - 1:03}"] if k else []) for k in range(n)]
+    calls += [(1, 1, "join", "search", GOOD, ["c699", "c350"]), (1, 0, "last", "search", GOOD, ["join"])]
+    calls += [(1, 5, "a", "search", GOOD, ["b"]), (1, 5, "b", "search", GOOD, ["a"]), (1, 5, "behind", "search", GOOD, ["a", "c001"]), (1, 5, "self", "search", GOOD, ["self"])]
+    monkeypatch.setattr(T.levels, "__defaults__", (10,))
+    written, plain = [], T.materialize
+    monkeypatch.setattr(T, "materialize", lambda df, name: written.append(name) or plain(df, name))
+    got = {r.call_id: r.position for r in rows(spark, calls, [])}
+    assert got == plain_order(calls) | dict.fromkeys(("a", "b", "behind", "self"))
+    assert written.count("jumps") <= 12 and written.count("levels") <= 3
+
+
 def test_nulls_and_clashing_names(spark):
     calls = [(1, None, "b", "search", GOOD, None), (1, None, "a", "search", GOOD, ["b"]), (1, 1, "c", "search", GOOD, []), (None, 1, "d", "search", GOOD, None), (1, 2, None, "search", GOOD, ["c"]), (1, 3, "long", "note", '{"query": "' + "x" * 3_000_000 + '"}', None)]
     extra = spark.createDataFrame([(*c, "x", 1, 2, 3, 4, "y") for c in calls], CALLS + ", level int, part int, position int, nth int, status string")
