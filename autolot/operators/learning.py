@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import uuid
+from datetime import datetime, timezone
 
 import numpy as np
 import pandas as pd
@@ -144,3 +146,36 @@ def train(df: DataFrame, texts: list[str], numbers: list[str], label: str, trees
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Notes rounded to two digits, from 0 to 20."""
     return model.transform(df).withColumn("prediction", F.greatest(F.lit(0.0), F.least(F.lit(20.0), F.round("raw", 2)))).drop("raw")
+
+
+MODELS = "number long, path string, published_at timestamp, label string, metrics map<string,double>"
+
+
+def _manifest(spark: SparkSession, root: str) -> DataFrame:
+    """Published models under `root`; none where there is no manifest yet."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest")
+    there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    return spark.read.schema(MODELS).parquet(f"{root}/manifest") if there else spark.createDataFrame([], MODELS)
+
+
+def publish(model: PipelineModel, spark: SparkSession, root: str, label: str, metrics: dict[str, float] | None = None) -> int:
+    """Save a model under `root`, then a row of the manifest that names it; returns its number, from 1.
+
+    A model counts from its row on, so one whose saving broke off is never loaded, and models that are in use are never overwritten.
+    One job publishes at a time.
+    """
+    number = (_manifest(spark, root).agg(F.max("number")).first()[0] or 0) + 1
+    path = f"{root}/models/{number}-{uuid.uuid4().hex}"
+    model.save(path)
+    row = (number, path, datetime.now(timezone.utc), label, metrics or {})
+    spark.createDataFrame([row], MODELS).coalesce(1).write.mode("append").parquet(f"{root}/manifest")
+    return number
+
+
+def published(spark: SparkSession, root: str, label: str, number: int | None = None) -> PipelineModel:
+    """The latest published model of a label, or that of a number; an error where there is none."""
+    known = _manifest(spark, root).where(F.col("label") == label)
+    row = (known if number is None else known.where(F.col("number") == number)).orderBy(F.desc("number")).first()
+    if row is None:
+        raise ValueError(f"no model of {label} under {root}")
+    return PipelineModel.load(row["path"])

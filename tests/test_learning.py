@@ -54,3 +54,19 @@ def test_the_best_point_is_taken(spark):
     last = model.stages[-1]  # noise: the largest forest of the smallest trees errs least
     assert last.getNumTrees in (2, 8) and max(t.numNodes for t in last.trees) < 15
     assert learning.predict(model, df).where("prediction between 0 and 20").count() == 600
+
+
+def test_published_models(spark, tmp_path):
+    df = spark.createDataFrame([(c, float(i % 20), float(i % 20 > 9) * 8 + 2) for i, c in enumerate("abab" * 50)], "m string, x double, y double")
+    few = learning.train(df.where("x < 5"), ["m"], ["x"], "y", trees=(2,), depths=(3,), folds=2, leaves=(1,), splits=(2,))
+    all_ = learning.train(df, ["m"], ["x"], "y", trees=(3,), depths=(3,), folds=2, leaves=(1,), splits=(2,))
+    root = str(tmp_path)
+    with pytest.raises(ValueError):
+        learning.published(spark, root, "y")
+    assert learning.publish(few, spark, root, "y", {"r2": 0.5}) == 1 and learning.publish(all_, spark, root, "y") == 2 and learning.publish(few, spark, root, "z") == 3
+    all_.save(f"{root}/models/4-broken-off")  # never named by the manifest
+    says = lambda m: [r.prediction for r in learning.predict(m, df).orderBy("m", "x").collect()]
+    assert says(learning.published(spark, root, "y")) == says(all_) != says(few)
+    assert says(learning.published(spark, root, "y", 1)) == says(few) == says(learning.published(spark, root, "z"))
+    with pytest.raises(ValueError):
+        learning.published(spark, root, "y", 3)
