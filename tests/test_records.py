@@ -78,3 +78,12 @@ def test_one_file_is_read_by_many_tasks(spark, tmp_path, ranges):
     path = write(tmp_path / "d", [json.dumps(rows(60, 9))])
     tasks = records.pieces(spark, path).select("block").distinct().count()
     assert tasks > 20 if ranges != "100000000" else tasks == 1
+
+
+def test_documents_of_one_line_each(spark, tmp_path):
+    a, b = rows(6, 10), rows(4, 11)
+    path = write(tmp_path / "d", ["\n".join(json.dumps({"results": x}, ensure_ascii=False) for x in (a, b)) + "\n"], "latin-1")
+    found = records.transcode(spark, path, str(tmp_path / "u"), SCHEMA, "results")
+    assert plain(r.asDict(True) for r in found.collect()) == plain([*a, *b])
+    path = write(tmp_path / "e", ["\n".join([json.dumps({"results": a}), "{broken", json.dumps({"results": b})])])
+    assert plain(r.asDict(True) for r in records.read_pages(spark, path, SCHEMA).collect()) == plain([*a, *b])
