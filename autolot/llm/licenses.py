@@ -5,8 +5,8 @@ its diagonal, the place in the text less that in the template: a copy of a templ
 a few neighbouring ones. Votes are added up by text, template and diagonal; neighbouring diagonals are merged; the span of text
 they point at is verified by the words that it shares with the template in order.
 
-Texts are told apart by hashes of their content (128 bits with their length), so equal texts, however many, are voted on and
-verified as one, and no number of a row has to be the same in two passes over the table.
+Texts are told apart by hashes of their content (128 bits with their length), so equal texts, however many, vote once and share one
+verdict, and no number of a row has to be the same in two passes over the table.
 """
 
 from __future__ import annotations
