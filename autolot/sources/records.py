@@ -130,6 +130,9 @@ def read_records(spark: SparkSession, path: str, schema: str, key: str | None =
 def is_whole(spark: SparkSession, path: str, encoding: str = "UTF-8") -> bool:
     """Whether JSON files hold one document each, over many lines; else each line is one. The first line that is read tells:
     it is a whole object only where lines are documents."""
+    head = spark.read.option("lineSep", "}").text(path).where(F.col("value").rlike(r"\S")).first()  # a list's only line may be the whole file
+    if head is not None and head[0].lstrip("\ufeff \t\r\n").startswith("["):
+        return True
     first = spark.read.option("encoding", encoding).text(path).where("trim(value) <> ''").first()
     try:
         return first is not None and not isinstance(json.loads(first[0]), dict)
@@ -148,19 +151,17 @@ def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def transcode(spark: SparkSession, source: str, target: str, schema: str, key: str | None = None) -> DataFrame:
     """Read JSON written in Latin-1, lines or whole files, write its records in UTF-8 lines, and read these. `key` names the list of
     whole files in which the records stand (see `record_texts`)."""
-    if is_whole(spark, source, "ISO-8859-1"):
+    if key or is_whole(spark, source, "ISO-8859-1"):
         read_records(spark, source, schema, key, "ISO-8859-1").write.json(target)
     else:
-        lines = spark.read.schema(f"{key} array<struct<{schema}>>" if key else schema).option("encoding", "ISO-8859-1").option("lineSep", "\n").json(source)
-        (lines.select(F.explode(key).alias("r")).select("r.*") if key else lines).write.json(target)
+        spark.read.schema(schema).option("encoding", "ISO-8859-1").option("lineSep", "\n").json(source).write.json(target)
     return spark.read.schema(schema).json(target)
 
 
 def read_pages(spark: SparkSession, path: str, record: str) -> DataFrame:
-    """The records of paged dumps `{total_count, results: [...]}`."""
-    if is_whole(spark, path):
-        return read_records(spark, path, record, "results")
-    return parsed(spark.read.text(path), f"results: array<struct<{record}>>").select(F.explode("results").alias("r")).select("r.*")
+    """The records of paged dumps `{total_count, results: [...]}`, one page a file or a line. A page in one line is read by many tasks
+    too, so a broken line leaves out its file."""
+    return read_records(spark, path, record, "results")
 
 
 def read_stations(spark: SparkSession, path: str) -> DataFrame:

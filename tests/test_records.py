@@ -85,5 +85,5 @@ def test_documents_of_one_line_each(spark, tmp_path):
     path = write(tmp_path / "d", ["\n".join(json.dumps({"results": x}, ensure_ascii=False) for x in (a, b)) + "\n"], "latin-1")
     found = records.transcode(spark, path, str(tmp_path / "u"), SCHEMA, "results")
     assert plain(r.asDict(True) for r in found.collect()) == plain([*a, *b])
-    path = write(tmp_path / "e", ["\n".join([json.dumps({"results": a}), "{broken", json.dumps({"results": b})])])
+    path = write(tmp_path / "e", ["\n".join([json.dumps({"results": a}), json.dumps({"results": b})])] + ["{broken\n" + json.dumps({"results": a})])
     assert plain(r.asDict(True) for r in records.read_pages(spark, path, SCHEMA).collect()) == plain([*a, *b])
