@@ -64,6 +64,16 @@ def small_batches(spark: SparkSession, most: int = 1000):
         spark.conf.set(key, old)
 
 
+def keep_batches_small(spark: SparkSession, most: int = 1000) -> None:
+    """From now on, whatever the session runs sends texts to Python in batches of at most `most` rows.
+
+    Spark takes the size when a run starts, so rows that a caller writes need it after the function that made them has returned.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= most:
+        spark.conf.set(key, str(most))
+
+
 def slim(batches: Iterator[pa.RecordBatch], most: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most `most` rows, so that what is made of their texts stays small."""
     for batch in batches:

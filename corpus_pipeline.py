@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over `documents`, each written as Parquet and read again by the next.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows it is given. All but the last return the
-columns of `documents`; the last returns the packed pieces.
+columns of `documents`; the last returns the packed pieces. Stages whose texts go to Python when the caller runs
+what they return leave the session with small Arrow batches.
 """
 
 from __future__ import annotations
@@ -9,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from autolot.llm import mixing, neardup, packing, private, quality
-from autolot.llm.common import materialize, quoted, table
+from autolot.llm.common import keep_batches_small, materialize, quoted, table
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base limits and the learned quality rules keep."""
+    keep_batches_small(spark)
     return quality.keep_good(spark, docs, sf_dir)
 
 
@@ -24,6 +26,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced."""
+    keep_batches_small(spark)
     return private.redact(docs, private.fit(docs))
 
 

@@ -1,3 +1,5 @@
+import pytest
+
 import corpus_pipeline as C
 from autolot.llm import private, quality
 from autolot.llm.common import materialize, table
@@ -38,3 +40,28 @@ def test_every_stage_against_brute_force(spark, sf_dir):
     assert tokens / (sequences * 2048) > 0.97
     run = C.run(spark, sf_dir).select("doc_id", "start", "ids_crc32")
     assert sorted(map(tuple, run.collect())) == sorted(map(tuple, packed.select("doc_id", "start", "ids_crc32").collect()))
+
+
+@pytest.mark.parametrize(("name", "module"), [("quality rules", quality), ("personal data", private)])
+def test_texts_go_to_python_in_small_batches_whoever_runs_the_stage(spark, sf_dir, monkeypatch, name, module):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    docs = table(spark, sf_dir, "documents")
+    many = docs.crossJoin(spark.range(15)).select(*docs.columns).coalesce(1)  # 3,000 rows in one task
+
+    def small(batches):
+        for batch in batches:
+            assert batch.num_rows <= 1000, f"a batch of {batch.num_rows} rows"
+            yield batch
+
+    try:
+        spark.conf.set(key, "10000")
+        with monkeypatch.context() as m:
+            m.setattr(module, "slim", small)
+            rows = dict(C.STAGES)[name](spark, many, sf_dir)
+            rows.write.format("noop").mode("overwrite").save()
+        spark.conf.set(key, "300")
+        dict(C.STAGES)[name](spark, docs, sf_dir)
+        assert spark.conf.get(key) == "300"  # a smaller size stays
+    finally:
+        spark.conf.set(key, old)
