@@ -20,6 +20,10 @@ from autolot.llm.common import chunks, slim, spread, strings, table, typed, utf8
 
 #: Documents sampled for each language, as expected; all are taken where there are fewer.
 SAMPLE_DOCS = 400
+#: Documents of the sample that are counted in one task, as expected.
+DOCS_A_TASK = 250
+#: Different strings that a task counts before it gives them.
+MOST_STRINGS = 1 << 20
 #: A context of three bytes is kept if some language has it so often.
 LEAST_COUNT = 3
 DEPTH = 3
@@ -41,10 +45,10 @@ def _padded(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _grams(batches):
-    """Counts of four-byte strings by language, for each task."""
+    """Counts of four-byte strings by language, one for each task; where there are very many strings, some more."""
+    counts: dict[str, dict] = {}
     for batch in slim(batches):
         texts, langs = strings(batch.column(0)), np.array(batch.column(1).to_pylist(), object)
-        counts: dict[str, dict] = {}
         for a, b in chunks(texts):
             for lang in set(langs[a:b]):
                 data, at = utf8(texts.slice(a, b - a).filter(pa.array(langs[a:b] == lang)))
@@ -59,8 +63,15 @@ def _grams(batches):
                 own = counts.setdefault(lang, {})
                 for g, c in zip(found.tolist(), n.tolist(), strict=True):
                     own[g] = own.get(g, 0) + c
-        for lang, own in counts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.int64())], ["lang", "gram", "n"])
+            if sum(map(len, counts.values())) > MOST_STRINGS:
+                yield from _given(counts)
+                counts = {}
+    yield from _given(counts)
+
+
+def _given(counts: dict[str, dict]):
+    for lang, own in counts.items():
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.int64())], ["lang", "gram", "n"])
 
 
 class Model:
@@ -158,7 +169,9 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
 
     The sample holds about `sample_docs` different whole documents of each language, chosen by a hash of doc_id and text, so ids that
     are null or equal change nothing; a language of which the hash chooses none gives those with the least hash. A repeated
-    row is learned from once. So what the driver gets, counts of four-byte strings, does not grow with the corpus.
+    row is learned from once. So what the driver gets, counts of four-byte strings, does not grow with the corpus. The sample is counted in as
+    many tasks as its documents ask for: each task gives its own counts of the strings that are common to all, so in as many tasks as the
+    session shuffles to, there would be more counts than strings by far.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0) & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
     known = known.select("lang", "text", spread(F.col("doc_id"), F.col("text"), seed=1).alias("_order"))
@@ -166,7 +179,8 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
     if not size:
         return None
     bound = F.create_map([F.lit(x) for k, (n, least) in size.items() for x in (k, max(sample_docs / n, least))])[F.col("lang")]
-    sample = known.where(F.col("_order") <= bound).dropDuplicates(["lang", "_order"])
+    tasks = sum(min(n, sample_docs) for n, _ in size.values()) // DOCS_A_TASK + 1
+    sample = known.where(F.col("_order") <= bound).dropDuplicates(["lang", "_order"]).coalesce(tasks)
     rows = sample.select("text", "lang").mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     if rows.empty:
         return None

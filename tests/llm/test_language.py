@@ -96,3 +96,47 @@ def test_learning_does_not_hang_on_ids(spark):
         assert model.langs == langs and right(model) > usual - 0.005
     one = spark.createDataFrame([(1, "the only text of this language", "xx")], docs.schema).join(spark.range(5000)).drop("id")
     assert L.fit(docs.unionByName(one), sample_docs=20).langs == sorted([*langs, "xx"])
+
+
+def test_counts_do_not_grow_with_partitions_or_batches(spark, monkeypatch):
+    """The sample's strings are given once by each of its tasks, whatever the session shuffles to and sends at once."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    made, given = [], type(docs).mapInArrow
+
+    def noted(self, *args, **more):
+        made.append(given(self, *args, **more))
+        return made[-1]
+
+    monkeypatch.setattr(type(docs), "mapInArrow", noted)
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    old = {k: spark.conf.get(k) for k in keys}
+    rows, models = [], []
+    try:
+        for values in (("4", "true", "10000"), ("200", "false", "10000"), ("4", "true", "10")):
+            for k, v in zip(keys, values, strict=True):
+                spark.conf.set(k, v)
+            models.append(L.fit(docs, sample_docs=100))
+            rows.append(made[-1].count())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert rows[0] <= rows[1] <= 2 * rows[0] and rows[2] == rows[0]  # about 400 documents ask for two tasks at most; a single one gives each string once
+    for m in models[1:]:
+        assert m.langs == models[0].langs and all(np.array_equal(x, y) for x, y in zip(m.key + m.cost, models[0].key + models[0].cost, strict=True))
+
+
+def test_very_many_strings_are_given_in_parts(monkeypatch):
+    batch = pa.RecordBatch.from_arrays([pa.array(["the cat sat", "on the mat", "the end"]), pa.array(["en"] * 3)], ["text", "lang"])
+
+    def total(found):
+        out = Counter()
+        for part in found:
+            for g, n in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                out[g] += n
+        return out
+
+    whole = list(L._grams([batch, batch]))
+    monkeypatch.setattr(L, "MOST_STRINGS", 3)
+    parts = list(L._grams([batch, batch]))
+    assert len(whole) == 1 and len(parts) == 2 and total(whole) == total(parts)
+    assert list(L._grams([])) == []
