@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from autolot.functions.text import collapse, digits, pseudonym, suffixed_number
+from autolot.functions.text import bound, collapse, digits, pseudonym, suffixed_number
 
 
 def plain(html: Column) -> Column:
@@ -16,7 +16,7 @@ def plain(html: Column) -> Column:
 
 
 def _pick(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return bound(F.regexp_extract(text, pattern, group), lambda x: F.nullif(x, F.lit("")))
 
 
 def page_score(html: Column, label: str) -> Column:
@@ -88,21 +88,22 @@ def items(html: Column) -> Column:
 
 def lines_of(html: Column) -> Column:
     """The texts between tags, without empty ones."""
-    return F.filter(F.transform(F.split(F.regexp_replace(html, "<[^>]*>", "\n"), r"\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.regexp_replace(html, "<[^>]*>", "\n"), "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def _section(lines: Column) -> tuple[Column, Column]:
-    """What the experts and what the users say in a section's lines."""
-    at = F.array_position(F.transform(lines, lambda x: F.lower(x).contains(USERS)), True)
-    expert = F.when(at > 0, F.slice(lines, F.lit(1), at.cast("int") - 1)).otherwise(lines)
-    user = F.when(at > 0, F.slice(lines, at.cast("int") + 1, F.size(lines))).otherwise(F.array().cast("array<string>"))
-
+def _section(lines: Column, name: str) -> Column:
+    """What the experts (`name`_expert) and what the users say (`name`_user) in a section's lines."""
     def said(x: Column, longer_than: int) -> Column:
-        low = F.lower(x)
-        skipped = reduce(lambda a, w: a | low.contains(w), SKIPPED, low.contains(USERS))
-        return (F.length(x) > longer_than) & ~skipped & ~x.rlike(r"^\([^)]+\)$")
+        skipped = bound(F.lower(x), lambda low: reduce(lambda a, w: a | low.contains(w), SKIPPED, low.contains(USERS)))
+        return (F.length(x) > longer_than) & ~x.rlike(r"^\([^)]+\)$") & ~skipped
+
+    def parted(all_: Column, at: Column) -> Column:
+        expert = F.when(at > 0, F.slice(all_, F.lit(1), at - 1)).otherwise(all_)
+        user = F.when(at > 0, F.slice(all_, at + 1, F.size(all_))).otherwise(F.array().cast("array<string>"))
+        return F.struct(F.filter(expert, lambda x: said(x, 40)).alias(f"{name}_expert"), F.filter(user, lambda x: said(x, 15)).alias(f"{name}_user"))
 
-    return F.filter(expert, lambda x: said(x, 40)), F.filter(user, lambda x: said(x, 15))
+    users = lambda all_: F.array_position(F.transform(all_, lambda x: F.lower(x).contains(USERS)), True).cast("int")
+    return bound(lines, lambda all_: bound(users(all_), lambda at: parted(all_, at)))
 
 
 def sheet_points(html: Column) -> Column:
@@ -111,11 +112,13 @@ def sheet_points(html: Column) -> Column:
     The line `Défauts` parts them, and in each the line on the users' opinion parts experts and users. Lines in brackets,
     which name an engine, and those of navigation are skipped.
     """
-    lines = lines_of(html)
-    cut = F.array_position(F.transform(lines, lambda x: F.lower(x).isin("défauts", "defauts")), True).cast("int")
-    pros = _section(F.when(cut > 1, F.slice(lines, F.lit(1), cut - 1)).otherwise(lines))
-    cons = _section(F.when(cut > 1, F.slice(lines, cut, F.size(lines))).otherwise(F.array().cast("array<string>")))
-    return F.struct(pros[0].alias("pros_expert"), pros[1].alias("pros_user"), cons[0].alias("cons_expert"), cons[1].alias("cons_user"))
+    def parted(lines: Column, cut: Column) -> Column:
+        pros = _section(F.when(cut > 1, F.slice(lines, F.lit(1), cut - 1)).otherwise(lines), "pros")
+        cons = _section(F.when(cut > 1, F.slice(lines, cut, F.size(lines))).otherwise(F.array().cast("array<string>")), "cons")
+        return bound(F.struct(pros.alias("p"), cons.alias("c")), lambda x: F.struct(*[x[part][f].alias(f) for part, f in (("p", "pros_expert"), ("p", "pros_user"), ("c", "cons_expert"), ("c", "cons_user"))]))
+
+    faults = lambda lines: F.array_position(F.transform(lines, lambda x: F.lower(x).isin("défauts", "defauts")), True).cast("int")
+    return bound(lines_of(html), lambda lines: bound(faults(lines), lambda cut: parted(lines, cut)))
 
 
 def yearly_sales(html: Column) -> Column:

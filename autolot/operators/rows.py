@@ -18,8 +18,12 @@ def different(df: DataFrame, *columns: str) -> DataFrame:
     After a distinct alone Spark joins partitions by their bytes, and few short texts end in one or two tasks, although what is
     done with each of them next (patterns, matches) takes far longer than reading it.
     """
-    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.select(*columns).distinct().repartition(count, *columns)
+    return dealt(df.select(*columns).distinct(), *columns)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows of `df`, dealt by keys to as many tasks as shuffles have; for small files whose rows take far longer to work on than to read."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def last_write(df: DataFrame, keys: list[str], stamp: list[str]) -> DataFrame:

@@ -17,7 +17,7 @@ from autolot.operators.matching import feature_match
 from autolot.plans.aggregates import KW as KEYWORDS
 from autolot.plans.lifts import BRANDS, frame, sql
 from autolot.plans.matching import MODEL
-from autolot.operators.rows import different
+from autolot.operators.rows import dealt, different
 from autolot.plans.registry import query
 from autolot.plans.sqltext import brand, dbl, has, norm
 from autolot.sources.files import materialize
@@ -154,7 +154,7 @@ POINT = "array_to_string(list_transform(list_filter(string_split({0}, ';'), lamb
 def h23(spark, sf):
     html = F.concat(F.lit("<h2>Qualités</h2>"), section("pros"), F.lit("<h2>Défauts</h2>"), section("cons"))
     parts = ("pros_expert", "pros_user", "cons_expert", "cons_user")
-    return frame(spark, sf, "sheets").select("s_id", P.sheet_points(html).alias("p")).select("s_id", *(F.array_join(f"p.{c}", ";").alias(c) for c in parts))
+    return dealt(frame(spark, sf, "sheets").select("s_id", "pros", "cons"), "s_id").select("s_id", P.sheet_points(html).alias("p")).select("s_id", *(F.array_join(f"p.{c}", ";").alias(c) for c in parts))
 
 
 SOLD = "list_sort(list_transform(list_filter(string_split(sales, ';'), lambda x: x <> ''), lambda x: x))"
