@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from autolot.functions.text import bound, collapse, digits, pseudonym, suffixed_number
+from autolot.functions.text import bound, collapse, digits, lookup, pseudonym, suffixed_number
 
 
 def plain(html: Column) -> Column:
@@ -150,7 +150,10 @@ def engine_notes(html: Column) -> Column:
 
 
 def attribute(html: Column, name: str) -> Column:
-    return _pick(html, rf'{name}="([^"]*)"')
+    """The first value of an attribute; null without one or if it is empty. It is found by its place, without a pattern."""
+    begin = f'{name}="'
+    value = lambda rest: F.when(rest.contains('"'), bound(F.substring_index(rest, '"', 1), lambda x: F.nullif(x, F.lit(""))))
+    return bound(F.instr(html, begin), lambda at: F.when(at > 0, bound(F.substr(html, at + len(begin)), value)))
 
 
 def identifier(found: Column, href: Column) -> Column:
@@ -169,27 +172,34 @@ def attribute_card(article: Column, site: str = SITE) -> Column:
     The title is the heading's first two spans, else make and model; the link counts if it leads to an offer, else one is
     made from the id; the photo is the first of a source's set, else the image's.
     """
-    value = lambda name: F.nullif(attribute(article, name), F.lit(""))
-    ident = F.coalesce(value("data-guid"), _pick(article, r'<article[^>]*\sid="([^"]*)"'))
-    make, model = F.initcap(value("data-make")), F.initcap(value("data-model"))
-    heading = F.regexp_extract(article, r"(?s)<h[23][^>]*>(.*?)</h[23]>", 1)
-    spans = F.transform(F.regexp_extract_all(heading, F.lit(r"(?s)<span[^>]*>(.*?)</span>"), 1), plain)
-    first, second = F.get(spans, F.lit(0)), F.get(spans, F.lit(1))
-    title = F.when(first.isNotNull(), F.when((second != "") & (second != first), F.concat_ws(" ", first, second)).otherwise(first))
-    title = F.nullif(F.coalesce(title, F.trim(F.concat_ws(" ", make, model))), F.lit(""))
-    href = _pick(article, r'<a[^>]*\shref="([^"]*)"')
-    offer = href.contains("/offres/") | href.contains("/annonces/")
-    url = F.when(offer, F.when(href.startswith("/"), F.concat(F.lit(site), href)).otherwise(href)).otherwise(F.concat(F.lit(f"{site}/offres/-"), ident))
-    photo = F.coalesce(_pick(article, r'<source[^>]*\ssrcset="([^"\s]+)'), _pick(article, r'<img[^>]*\s(?:data-)?src="([^"\s]+)'))
-    registered = F.split(value("data-first-registration"), "-")
-    whole = F.struct(
-        ident.alias("external_id"), url.alias("url"), title.alias("title"),
-        value("data-price").try_cast("int").alias("price"), value("data-mileage").try_cast("int").alias("mileage"),
-        F.when(F.size(registered) == 2, F.get(registered, F.lit(1)).try_cast("int")).alias("year"),
-        F.create_map(*[F.lit(x) for kv in CARD_FUELS.items() for x in kv])[F.lower(value("data-fuel-type"))].alias("fuel"),
-        value("data-listing-zip-code").alias("zipcode"), photo.alias("photo_url"), make.alias("brand"), model.alias("model"),
-    )
-    return F.when(ident.isNotNull() & title.isNotNull(), whole)
+    def read(a: Column) -> Column:
+        value = lambda name: attribute(a, name)
+        make, model = F.initcap(value("data-make")), F.initcap(value("data-model"))
+        ident = F.coalesce(value("data-guid"), _pick(a, r'<article[^>]*\sid="([^"]*)"'))
+        heading = F.regexp_extract(a, r"(?s)<h[23][^>]*>(.*?)</h[23]>", 1)
+        spans = F.transform(F.regexp_extract_all(heading, F.lit(r"(?s)<span[^>]*>(.*?)</span>"), 1), plain)
+        photo = F.coalesce(_pick(a, r'<source[^>]*\ssrcset="([^"\s]+)'), _pick(a, r'<img[^>]*\s(?:data-)?src="([^"\s]+)'))
+        return bound(F.struct(a.alias("a"), ident.alias("ident"), make.alias("make"), model.alias("model"), spans.alias("spans"), photo.alias("photo"), _pick(a, r'<a(?:\s[^>]*)?\shref="([^"]*)"').alias("href")), titled)
+
+    def titled(x: Column) -> Column:
+        first, second = F.get(x["spans"], F.lit(0)), F.get(x["spans"], F.lit(1))
+        title = F.when(first.isNotNull(), F.when((second != "") & (second != first), F.concat_ws(" ", first, second)).otherwise(first))
+        return bound(F.nullif(F.coalesce(title, F.trim(F.concat_ws(" ", x["make"], x["model"]))), F.lit("")), lambda t: whole(x, t))
+
+    def whole(x: Column, title: Column) -> Column:
+        ident, href, value = x["ident"], x["href"], lambda name: attribute(x["a"], name)
+        offer = href.contains("/offres/") | href.contains("/annonces/")
+        url = F.when(offer, F.when(href.startswith("/"), F.concat(F.lit(site), href)).otherwise(href)).otherwise(F.concat(F.lit(f"{site}/offres/-"), ident))
+        year = bound(F.split(value("data-first-registration"), "-"), lambda on: F.when(F.size(on) == 2, F.get(on, F.lit(1)).try_cast("int")))
+        listing = F.struct(
+            ident.alias("external_id"), url.alias("url"), title.alias("title"),
+            value("data-price").try_cast("int").alias("price"), value("data-mileage").try_cast("int").alias("mileage"), year.alias("year"),
+            lookup(CARD_FUELS, F.lower(value("data-fuel-type"))).alias("fuel"),
+            value("data-listing-zip-code").alias("zipcode"), x["photo"].alias("photo_url"), x["make"].alias("brand"), x["model"].alias("model"),
+        )
+        return F.when(ident.isNotNull() & title.isNotNull(), listing)
+
+    return bound(article, read)
 
 
 #: Words of link and tag cards. Fixed values.

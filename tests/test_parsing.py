@@ -1,4 +1,4 @@
-"""Pages are worked out once for each row, however many columns are read from them."""
+"""Pages and cards are worked out once for each row, however many columns are read from them."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from autolot.functions import parsing as P
 
 READERS = {
     "sheet_points": P.sheet_points,
+    "attribute_card": P.attribute_card,
 }
 
 
@@ -40,3 +41,15 @@ def test_lines_of_a_sheet_are_made_once(spark):
 
 def test_sheets_are_dealt_to_all_tasks(spark, sf_dir):
     assert "RepartitionByExpression" in plan(plans.queries()["h23_sheet_points"](spark, sf_dir))
+
+
+def test_attributes_by_their_place(spark):
+    html = '<article x-data-make="a" data-model="" data-price="1" data-price="2" data-guid="'
+    df = spark.createDataFrame([(html,), ("",), (None,), ('é€ data-make="ü"',)], "h string")
+    got = [tuple(r) for r in df.select(*[P.attribute(F.col("h"), f"data-{n}") for n in ("make", "model", "price", "guid", "x")]).collect()]
+    assert got == [("a", None, "1", None, None), (None,) * 5, (None,) * 5, ("ü", None, None, None, None)]
+
+
+def test_an_article_is_no_link(spark):
+    card = '<article href="/offres/9" data-guid="g" data-make="bmw"><a class="x" href="/offres/1">x</a></article>'
+    assert spark.createDataFrame([(card,)], "h string").select(P.attribute_card(F.col("h")).alias("c")).first().c.url == "https://www.autoscout24.fr/offres/1"
