@@ -226,22 +226,31 @@ def link_card(link: Column, brands: list[str], site: str = "https://www.lacentra
 
     The title is the first part with a known brand. Of badges, fuels and gearboxes the last counts, else the first part.
     """
-    href = _pick(link, r'<a[^>]*\shref="([^"]*)"')
-    parts = F.filter(lines_of(link), lambda x: ~F.lower(x).isin(*BADGES))
-    branded = lambda x: reduce(lambda a, b: a | F.upper(x).contains(b), brands, F.lit(False))
-    title = _first(parts, branded)
-    price = _first(parts, lambda x: x.contains("€") & ~x.eqNullSafe(title))
-    km = _first(parts, lambda x: F.lower(x).contains("km") & ~x.eqNullSafe(title) & ~x.eqNullSafe(price))
-    badge = _last(lines_of(link), lambda x: F.lower(x).isin(*BADGES))
-    whole = F.struct(
-        identifier(_pick(href, r"annonce-(\d+)"), href).alias("external_id"), F.when(href.startswith("/"), F.concat(F.lit(site), href)).otherwise(href).alias("url"),
-        F.coalesce(title, F.lit("Annonce La Centrale")).alias("title"), digits(price).alias("price"), digits(km).alias("mileage"),
-        _first(parts, lambda x: x.rlike(r"^20[0-2]\d$")).try_cast("int").alias("year"),
-        F.replace(F.initcap(_last(parts, lambda x: F.lower(x).isin(*LINK_FUELS))), F.lit("Hybrides"), F.lit("Hybride")).alias("fuel"),
-        _gearbox(_last(parts, lambda x: F.lower(x).isin(*LINK_BOXES))).alias("transmission"),
-        _pick(link, r'<img[^>]*\s(?:data-|data-lazy-)?src="([^"]*)"').alias("photo_url"), F.concat(F.lit("🏷️ "), badge).alias("description"),
-    )
-    return F.when(href.contains("auto-occasion-annonce") & (title.isNotNull() | price.isNotNull()), whole)
+    branded = lambda x: bound(F.upper(x), lambda up: reduce(lambda a, b: a | up.contains(b), brands, F.lit(False)))
+
+    def read(a: Column, lines: Column) -> Column:
+        href, badge = _pick(a, r'<a[^>]*\shref="([^"]*)"'), _last(lines, lambda x: F.lower(x).isin(*BADGES))
+        photo = _pick(a, r'<img[^>]*\s(?:data-|data-lazy-)?src="([^"]*)"')
+        parts = F.filter(lines, lambda x: ~F.lower(x).isin(*BADGES))
+        return bound(F.struct(href.alias("href"), badge.alias("badge"), photo.alias("photo"), parts.alias("parts"), F.transform(lines, F.lower).alias("low")), titled)
+
+    def titled(x: Column) -> Column:
+        return bound(_first(x["parts"], branded), lambda title: bound(_first(x["parts"], lambda y: y.contains("€") & ~y.eqNullSafe(title)), lambda price: whole(x, title, price)))
+
+    def whole(x: Column, title: Column, price: Column) -> Column:
+        href, parts, low = x["href"], x["parts"], x["low"]  # no fuel and no gearbox is a badge
+        km = _first(parts, lambda y: F.lower(y).contains("km") & ~y.eqNullSafe(title) & ~y.eqNullSafe(price))
+        listing = F.struct(
+            identifier(_pick(href, r"annonce-(\d+)"), href).alias("external_id"), F.when(href.startswith("/"), F.concat(F.lit(site), href)).otherwise(href).alias("url"),
+            F.coalesce(title, F.lit("Annonce La Centrale")).alias("title"), digits(price).alias("price"), digits(km).alias("mileage"),
+            _first(parts, lambda y: y.rlike(r"^20[0-2]\d$")).try_cast("int").alias("year"),
+            F.replace(F.initcap(_last(low, lambda y: y.isin(*LINK_FUELS))), F.lit("Hybrides"), F.lit("Hybride")).alias("fuel"),
+            bound(_last(low, lambda y: y.isin(*LINK_BOXES)), _gearbox).alias("transmission"),
+            x["photo"].alias("photo_url"), F.concat(F.lit("🏷️ "), x["badge"]).alias("description"),
+        )
+        return F.when(href.contains("auto-occasion-annonce") & (title.isNotNull() | price.isNotNull()), listing)
+
+    return bound(link, lambda a: bound(lines_of(a), lambda lines: read(a, lines)))
 
 
 def _marked(html: Column, name: str, test: str) -> Column:

@@ -11,6 +11,7 @@ from autolot.functions import parsing as P
 READERS = {
     "sheet_points": P.sheet_points,
     "attribute_card": P.attribute_card,
+    "link_card": lambda x: P.link_card(x, ["BMW", "AUDI"]),
 }
 
 
@@ -33,9 +34,9 @@ def test_a_page_is_made_once(spark, name):
     assert plan(df.select("c.*")).count("reverse(") == 1
 
 
-def test_lines_of_a_sheet_are_made_once(spark):
+def test_lines_of_a_sheet_and_a_card_are_made_once(spark):
     df = spark.createDataFrame([("x",)], "h string")
-    for reader in (P.sheet_points,):
+    for reader in (P.sheet_points, READERS["link_card"]):
         assert plan(df.select(reader(F.col("h")).alias("c"))).count("<[^>]*>") == 1
 
 
