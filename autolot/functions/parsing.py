@@ -255,8 +255,8 @@ def link_card(link: Column, brands: list[str], site: str = "https://www.lacentra
 
 def _marked(html: Column, name: str, test: str) -> Column:
     """The text of the element that a card marks as its `name`."""
-    found = F.regexp_extract(html, rf'(?s)<(\w+)[^>]*(?:data-qa-id="aditem_{name}"|class="aditem_{name}"|data-test-id="{test}")[^>]*>(.*?)</\1>', 2)
-    return F.nullif(plain(found), F.lit(""))
+    found = F.regexp_extract(html, rf'(?s)<(\w++)[^>]*(?:data-qa-id="aditem_{name}"|class="aditem_{name}"|data-test-id="{test}")[^>]*>(.*?)</\1>', 2)
+    return bound(plain(found), lambda x: F.nullif(x, F.lit("")))
 
 
 def tag_card(card: Column, site: str = "https://www.leboncoin.fr") -> Column:
@@ -265,21 +265,35 @@ def tag_card(card: Column, site: str = "https://www.leboncoin.fr") -> Column:
     Year and mileage that no tag tells are taken from the card's whole text. A card without a number in its link gets one
     from its title.
     """
-    title = F.coalesce(_marked(card, "title", "ad-subject"), F.nullif(plain(F.regexp_extract(card, r"(?s)<h2[^>]*>(.*?)</h2>", 1)), F.lit("")), _pick(card, r'<a[^>]*\stitle="([^"]*)"'))
-    href = _pick(card, r'<a[^>]*\shref="([^"]*)"')
-    url = F.when(href.startswith("http"), href).otherwise(F.concat(F.lit(site), href))
-    tags = F.regexp_extract_all(F.regexp_extract(card, r'(?s)(?:data-qa-id|class)="aditem_tags"[^>]*>(.*?)</div>', 1), F.lit(r"(?s)<span[^>]*>(.*?)</span>"), 1)
-    tags = F.transform(tags, lambda x: F.lower(plain(x)))
-    year = _last(tags, lambda x: x.rlike(r"^20\d{2}$"))
-    km = _last(tags, lambda x: x.contains("km") & ~x.rlike(r"^20\d{2}$"))
-    whole = F.struct(
-        F.coalesce(_pick(url, r"/(\d+)\.htm"), F.concat(F.lit("lbc_"), (F.crc32(title.cast("binary")) % 100_000_000).cast("string"))).alias("external_id"), F.coalesce(url, F.lit("")).alias("url"), title.alias("title"),
-        digits(_marked(card, "price", "ad-price")).alias("price"), _marked(card, "location", "ad-geo").alias("city"),
-        F.coalesce(year, _pick(plain(card), r"\b(20\d{2})\b")).try_cast("int").alias("year"), F.coalesce(digits(km), digits(_pick(plain(card), r"(?i)([\d\s]+)\s*km"))).alias("mileage"),
-        F.initcap(_last(tags, lambda x: x.isin(*TAG_FUELS))).alias("fuel"), _gearbox(_last(tags, lambda x: x.isin(*TAG_BOXES))).alias("transmission"),
-        _pick(card, r'<img[^>]*\s(?:data-)?src="([^"]*)"').alias("photo_url"),
-    )
-    return F.when(F.length(title) >= 5, whole)
+    def read(a: Column) -> Column:
+        title = F.coalesce(_marked(a, "title", "ad-subject"), bound(plain(F.regexp_extract(a, r"(?s)<h2[^>]*>(.*?)</h2>", 1)), lambda x: F.nullif(x, F.lit(""))), _pick(a, r'<a[^>]*\stitle="([^"]*)"'))
+        return bound(title, lambda t: F.when(F.length(t) >= 5, bound(F.struct(a.alias("a"), t.alias("title"), url(a).alias("url"), tags(a).alias("tags")), whole)))
+
+    def url(a: Column) -> Column:
+        return bound(_pick(a, r'<a[^>]*\shref="([^"]*)"'), lambda href: F.when(href.startswith("http"), href).otherwise(F.concat(F.lit(site), href)))
+
+    def tags(a: Column) -> Column:
+        found = F.regexp_extract_all(F.regexp_extract(a, r'(?s)(?:data-qa-id|class)="aditem_tags"[^>]*>(.*?)</div>', 1), F.lit(r"(?s)<span[^>]*>(.*?)</span>"), 1)
+        return F.transform(found, lambda x: F.lower(plain(x)))
+
+    def whole(x: Column) -> Column:
+        a, found = x["a"], x["tags"]
+        tagged = F.struct(_last(found, lambda y: y.rlike(r"^20\d{2}$")).try_cast("int").alias("year"), digits(_last(found, lambda y: y.contains("km") & ~y.rlike(r"^20\d{2}$"))).alias("km"))
+        text = lambda t: F.when(t["year"].isNull() | t["km"].isNull(), plain(a))
+        told = lambda t, p: F.struct(F.coalesce(t["year"], _pick(p, r"\b(20\d{2})\b").try_cast("int")).alias("year"), F.coalesce(t["km"], digits(_pick(p, r"(?i)([\d\s]+)\s*km"))).alias("km"))
+        return bound(bound(tagged, lambda t: bound(text(t), lambda p: told(t, p))), lambda t: listing(x, t))
+
+    def listing(x: Column, moved: Column) -> Column:
+        a, title, found = x["a"], x["title"], x["tags"]
+        return F.struct(
+            F.coalesce(_pick(x["url"], r"/(\d+)\.htm"), F.concat(F.lit("lbc_"), (F.crc32(title.cast("binary")) % 100_000_000).cast("string"))).alias("external_id"), F.coalesce(x["url"], F.lit("")).alias("url"), title.alias("title"),
+            digits(_marked(a, "price", "ad-price")).alias("price"), _marked(a, "location", "ad-geo").alias("city"),
+            moved["year"].alias("year"), moved["km"].alias("mileage"),
+            F.initcap(_last(found, lambda y: y.isin(*TAG_FUELS))).alias("fuel"), bound(_last(found, lambda y: y.isin(*TAG_BOXES)), _gearbox).alias("transmission"),
+            _pick(a, r'<img[^>]*\s(?:data-)?src="([^"]*)"').alias("photo_url"),
+        )
+
+    return bound(card, read)
 
 
 def _of_class(html: Column, name: str) -> Column:

@@ -12,6 +12,7 @@ READERS = {
     "sheet_points": P.sheet_points,
     "attribute_card": P.attribute_card,
     "link_card": lambda x: P.link_card(x, ["BMW", "AUDI"]),
+    "tag_card": P.tag_card,
 }
 
 
@@ -40,6 +41,10 @@ def test_lines_of_a_sheet_and_a_card_are_made_once(spark):
         assert plan(df.select(reader(F.col("h")).alias("c"))).count("<[^>]*>") == 1
 
 
+def test_the_filter_of_tag_cards_does_not_read_them_again(spark, sf_dir):
+    assert plan(plans.queries()["h26_tag_cards"](spark, sf_dir)).count("ad-subject") == 1
+
+
 def test_sheets_are_dealt_to_all_tasks(spark, sf_dir):
     assert "RepartitionByExpression" in plan(plans.queries()["h23_sheet_points"](spark, sf_dir))
 
