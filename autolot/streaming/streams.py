@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -31,47 +32,67 @@ def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(out)
 
 
-def fresh_listings(captures: DataFrame, ttl: int = 300, delay: str = "0 seconds", keys: tuple[str, ...] = ("source", "external_id"), at: str = "scraped_at") -> DataFrame:
+def _packed(*columns: list) -> bytes:
+    """Columns of equal length as one compressed value."""
+    batch = pa.record_batch([pa.array(c) for c in columns], [f"c{i}" for i in range(len(columns))])
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(value: bytes) -> list[list]:
+    return [c.to_pylist() for c in pa.ipc.open_stream(bytes(value)).read_all().columns]
+
+
+def fresh_listings(captures: DataFrame, ttl: int = 300, delay: str = "0 seconds", keys: tuple[str, ...] = ("source", "external_id"), at: str = "scraped_at", groups: int = 1024) -> DataFrame:
     """The captures that begin a lifetime: the first of each key, and each first one after a lifetime of `ttl` seconds has passed.
 
-    A key's lifetime is counted from its own beginning, whatever other keys do: its state holds that time and the captures that
-    wait, and wakes by a timer of its own. Captures wait until the watermark (`delay` behind the latest capture) has passed them,
-    and are then taken in the order of their times; so the result does not depend on the order in which they came. Those that
-    come later than the watermark are dropped. State goes when the lifetime is over and nothing waits. A capture at the very end
-    of a lifetime still belongs to it; of captures at one time the first by its columns counts. Times and keys that are null are left out.
+    A key's lifetime is counted from its own beginning, whatever other keys do. Captures wait until the watermark (`delay` behind the latest
+    capture) has passed them, and are then taken in the order of their times; so the result does not depend on the order in which they came.
+    Those that come later than the watermark are dropped. What is known of a key goes when its lifetime is over and nothing waits. A capture at
+    the very end of a lifetime still belongs to it; of captures at one time the first by its columns counts. Times and keys that are null are left out.
+
+    Keys are dealt by their hash to `groups` groups, as a state of its own costs a key milliseconds in each batch that meets it. A group's state
+    holds its open lifetimes and the captures that wait, compressed, and wakes by the earliest of their times. More keys ask for more groups;
+    a stream keeps its number as long as its checkpoint.
     """
     rest = [c for c in captures.columns if c not in keys and c != at]
     known = captures.where(" and ".join(f"`{c}` is not null" for c in (*keys, at)))
-    rows = known.withWatermark(at, delay).select(*keys, at, F.unix_micros(at).alias("_at"), F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("_rest"))
-    fields = {f.name: f.dataType for f in captures.schema}
-    kinds = ", ".join(f"`{k}` {fields[k].simpleString()}" for k in keys)
-
-    def wake(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        begun, waiting = (state.get[0], list(zip(state.get[1], state.get[2], strict=True))) if state.exists else (None, [])
+    as_json = lambda names: F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+    rows = known.withWatermark(at, delay).select(F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int").alias("_group"), at, as_json(keys).alias("_key"), F.unix_micros(at).alias("_at"), as_json(rest).alias("_rest"))
+    span = ttl * 1_000_000
+
+    def wake(group: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        begun, waiting = {}, []
+        if state.exists:
+            lives, waits = map(_unpacked, state.get)
+            begun, waiting = dict(zip(*lives, strict=True)), list(zip(*waits, strict=True))
         if not state.hasTimedOut:
             for frame in frames:
-                waiting += zip(frame["_at"].tolist(), frame["_rest"].tolist(), strict=True)
+                waiting += zip(frame["_key"].tolist(), frame["_at"].tolist(), frame["_rest"].tolist(), strict=True)
         mark = state.getCurrentWatermarkMs() * 1000
-        waiting.sort()
         fresh = []
-        while waiting and waiting[0][0] <= mark:
-            time, row = waiting.pop(0)
-            if begun is None or time > begun + ttl * 1_000_000:
-                begun = time
-                fresh.append((*key, time, row))
-        ends = begun + ttl * 1_000_000 if begun is not None else None
-        if not waiting and (ends is None or ends < mark):
+        for key, time, row in sorted(w for w in waiting if w[1] <= mark):
+            if key not in begun or time > begun[key] + span:
+                begun[key] = time
+                fresh.append((key, time, row))
+        waiting = [w for w in waiting if w[1] > mark]
+        begun = {k: t for k, t in begun.items() if t + span >= mark}
+        if not waiting and not begun:
             state.remove()
         else:
-            state.update((begun, [w[0] for w in waiting], [w[1] for w in waiting]))
-            # A timer wakes its key once the watermark lies beyond it; it has to be set beyond the present one.
-            state.setTimeoutTimestamp(max(-(-(waiting[0][0] if waiting else ends + 1) // 1000) - 1, mark // 1000 + 1))
+            state.update((_packed(list(begun), list(begun.values())), _packed(*([w[i] for w in waiting] for i in range(3)))))
+            # A timer wakes its group once the watermark lies beyond it; it has to be set beyond the present one.
+            first = min(w[1] for w in waiting) if waiting else min(begun.values()) + span + 1
+            state.setTimeoutTimestamp(max(-(-first // 1000) - 1, mark // 1000 + 1))
         if fresh:
-            yield pd.DataFrame(dict(zip((*keys, "_at", "_rest"), map(list, zip(*fresh, strict=True)), strict=True)))
+            yield pd.DataFrame(dict(zip(("_key", "_at", "_rest"), map(list, zip(*fresh, strict=True)), strict=True)))
 
-    begun = rows.groupBy(*keys).applyInPandasWithState(wake, f"{kinds}, _at long, _rest string", "begun long, at array<long>, rest array<string>", "append", GroupStateTimeout.EventTimeTimeout)
-    parsed = F.from_json("_rest", StructType([captures.schema[c] for c in rest])) if rest else F.lit(None)
-    return begun.select(*keys, F.timestamp_micros("_at").alias(at), parsed.alias("_r")).select(*[F.col(c) if c in keys or c == at else F.col(f"_r.`{c}`").alias(c) for c in captures.columns])
+    begun = rows.groupBy("_group").applyInPandasWithState(wake, "_key string, _at long, _rest string", "begun binary, waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
+    parsed = lambda c, names: F.from_json(c, StructType([captures.schema[n] for n in names])) if names else F.lit(None)
+    told = begun.select(parsed("_key", keys).alias("_k"), F.timestamp_micros("_at").alias(at), parsed("_rest", rest).alias("_r"))
+    return told.select(*[F.col(at) if c == at else F.col(f"_k.`{c}`" if c in keys else f"_r.`{c}`").alias(c) for c in captures.columns])
 
 
 def fuel_windows(feed: DataFrame, width: str = "10 minutes", late: str = "10 minutes") -> DataFrame:

@@ -74,3 +74,21 @@ def test_restart_and_repeated_captures(spark):
     assert run(spark, path, out) == sorted([("a", 0), ("a", 301), ("b", 100), ("b", 401), ("z", 200)])
     land(spark, path, [("a", 2100), ("x", 4000)])
     assert ("a", 2100) in run(spark, path, out)
+
+
+def test_keys_share_groups(spark):
+    """Keys of one group keep lifetimes of their own, whatever the number of groups; and Python is called for groups, not for keys."""
+    rng = random.Random(8)
+    captures = sorted({(f"k{rng.randrange(300)}", rng.randrange(0, 1500)) for _ in range(1500)}, key=lambda x: x[1] + rng.uniform(0, 500))
+    path = f"{tempfile.mkdtemp()}/in"
+    for at in range(0, len(captures), 500):
+        land(spark, path, captures[at : at + 500])
+    land(spark, path, [("end", 9000)])
+    for groups in (1, 7):
+        out = f"{tempfile.mkdtemp()}/out"
+        fresh = streams.fresh_listings(streams.read(spark, path), delay="20 minutes", groups=groups)
+        query = fresh.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start()
+        query.awaitTermination()
+        got = sorted((r.external_id, r.second) for r in spark.read.schema(fresh.schema).parquet(out).withColumn("second", F.unix_seconds("scraped_at") - 1_700_000_000).collect())
+        assert got == plain(captures)
+        assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= groups
