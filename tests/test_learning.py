@@ -70,3 +70,30 @@ def test_published_models(spark, tmp_path):
     assert says(learning.published(spark, root, "y", 1)) == says(few) == says(learning.published(spark, root, "z"))
     with pytest.raises(ValueError):
         learning.published(spark, root, "y", 3)
+
+
+def test_rows_are_not_multiplied_by_trees(spark, rows, monkeypatch):
+    """Errors are summed by each task where the row is read: no join, and no exchange but that of the sums."""
+    grown, seen = learning.forest("y", 5, 6, 1).fit(rows), []
+    frames = type(rows)
+    monkeypatch.setattr(frames, "first", lambda self, first=frames.first: (seen.append(self._jdf.queryExecution().optimizedPlan().toString()), first(self))[1])
+    found = learning.errors(grown, rows, "y", (2, 5), [(3, 2), (6, 40)])
+    assert len(seen) == 1 and "Join" not in seen[0] and "Generate" not in seen[0] and seen[0].count("Aggregate") == 1
+    for n, depth, least in found:
+        assert abs(mse(learning.cut_back(grown, spark, n, depth, least), rows) - found[n, depth, least]) < 1e-9
+    assert set(learning.errors(grown, rows.where("y > 1e9"), "y", (2,), [(3, 2)]).values()) == {None}
+
+
+def test_rows_that_remember_their_nodes_grow_the_same_trees(rows):
+    assert learning.forest("y", 5, 10, 1).getCacheNodeIds() and not learning.forest("y", 5, 11, 1).getCacheNodeIds()
+    trees = [f.fit(rows).toDebugString.split("\n")[1:] for f in (learning.forest("y", 5, 8, 1), learning.forest("y", 5, 8, 1).setCacheNodeIds(False))]
+    assert trees[0] == trees[1] and len(trees[0]) > 50
+
+
+def test_growths_read_as_many_tasks_as_shuffles_have(spark, monkeypatch):
+    """A small file is not grown from in one task."""
+    seen, written = [], learning.materialize
+    monkeypatch.setattr(learning, "materialize", lambda df, name: seen.append(df.rdd.getNumPartitions()) or written(df, name))
+    df = spark.createDataFrame([("abc"[i % 3], float(i), i % 7 * 1.0) for i in range(300)], "m string, x double, y double").coalesce(1)
+    learning.train(df, ["m"], ["x"], "y", trees=(2,), depths=(3,), folds=2, leaves=(1,), splits=(2,))
+    assert seen == [8]
